@@ -17,3 +17,31 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want)
+
+
+def running_offsets(df: DataFrame, order_cols: list[str], count_col: str,
+                    out_col: str = "offset") -> DataFrame:
+    """Exclusive running sum of ``count_col`` in ``order_cols`` order.
+
+    Two-level prefix sum, so no task ever sees more than one range of rows:
+    range-partition by the order, sum each partition (one row per
+    partition), prefix-sum those few rows, then prefix-sum inside each
+    partition and add the partition's offset.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    parted = (df.repartitionByRange(n, *order_cols)
+              .withColumn("_part", F.spark_partition_id()))
+    totals = parted.groupBy("_part").agg(F.sum(count_col).alias("_tot"))
+    # One row per partition: bounded by the partition count.
+    w_all = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_part", F.coalesce(F.sum("_tot").over(w_all), F.lit(0))
+                           .alias("_start"))
+    w_in = (Window.partitionBy("_part").orderBy(*order_cols)
+            .rowsBetween(Window.unboundedPreceding, -1))
+    local = parted.withColumn("_local", F.coalesce(F.sum(count_col).over(w_in), F.lit(0)))
+    return (local.join(F.broadcast(starts), "_part")
+            .withColumn(out_col, (F.col("_start") + F.col("_local")).cast("long"))
+            .drop("_part", "_start", "_local"))
