@@ -187,3 +187,240 @@ def t8_text_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = TX.feedback_text("text", "summary")
     return fb.select("conv_id", "turn", TX.text_length(t).alias("text_length"),
                      F.octet_length(t).cast("long").alias("text_bytes"))
+
+
+# ---------------------------------------------------------------------------
+# Embedding stage over documents
+# ---------------------------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from ..operators import embedding as EM  # noqa: E402
+from ..operators import search as SE  # noqa: E402
+from ..operators import stats as ST  # noqa: E402
+from ..operators.store import CollectionStore  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import json_dir, sinks  # noqa: E402
+
+TEXT_DIM = 128
+FB_SQL = S.feedback_text("text", "NULL")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/lensmap-{what}-{uuid.uuid4().hex[:12]}"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as feedback records: (doc_id, fb) with fb the T4 text."""
+    d = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", TX.feedback_text("text", F.lit(None)).alias("fb"))
+
+
+def _seeded_cache(spark: SparkSession, sf_dir: str, embedder) -> EM.EmbeddingCache:
+    """A cache that already holds the texts of the labelled documents."""
+    cache = EM.EmbeddingCache(spark, scratch(spark, "cache"), embedder.model)
+    labelled = _docs(spark, sf_dir).join(
+        load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    seed = EM.embed_records(labelled, "fb", embedder)
+    cache.save(seed.fresh)
+    return cache
+
+
+def _embed_docs(spark: SparkSession, sf_dir: str):
+    emb = EM.HashEmbedder(TEXT_DIM)
+    return EM.embed_records(_docs(spark, sf_dir), "fb", emb,
+                            cache=_seeded_cache(spark, sf_dir, emb))
+
+
+def _nonzero(df: DataFrame, key: str, vec: str) -> DataFrame:
+    return (df.select(key, F.posexplode(vec).alias("bucket", "w"))
+            .where(F.col("w") != 0)
+            .select(key, F.col("bucket").cast("int").alias("bucket"),
+                    F.round(F.col("w").cast("double"), 6).alias("weight")))
+
+
+def _nonzero_sql(source_sql: str, key: str) -> str:
+    return (f"WITH {S.hash_embed_ctes('e', source_sql, TEXT_DIM)} "
+            f"SELECT k AS {key}, CAST(b AS INTEGER) AS bucket, "
+            f"round(CAST(v AS DOUBLE), 6) AS weight FROM e_nv")
+
+
+_LABELLED_HASHES = (f"SELECT DISTINCT md5({FB_SQL}) AS h FROM documents "
+                    f"JOIN labels USING (doc_id)")
+
+
+@register("E1_embed", _nonzero_sql("SELECT doc_id AS k, text AS t FROM documents", "doc_id"))
+def e1_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashing embedder over every whole document text."""
+    d = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    v = d.select("doc_id", EM.HashEmbedder(TEXT_DIM).column("text").alias("v"))
+    return _nonzero(v, "doc_id", "v")
+
+
+@register("E2_embed_batch", _nonzero_sql(f"SELECT doc_id AS k, {FB_SQL} AS t FROM documents",
+                                         "doc_id"))
+def e2_embed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embed stage: dedup, cache lookup, model on misses, join back."""
+    return _nonzero(_embed_docs(spark, sf_dir).records, "doc_id", "embedding")
+
+
+@register("E3_cache_lookup", f"""
+SELECT doc_id, CASE WHEN NOT {S.not_blank(FB_SQL)} THEN NULL
+                    WHEN md5({FB_SQL}) IN ({_LABELLED_HASHES}) THEN 'cache'
+                    ELSE 'model' END AS source
+FROM documents""")
+def e3_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _embed_docs(spark, sf_dir)
+    return (res.records.select("doc_id", "text_hash")
+            .join(res.vectors.select("text_hash", "source"), "text_hash", "left")
+            .select("doc_id", "source"))
+
+
+@register("E4_dedup_embed", f"""
+SELECT md5({FB_SQL}) AS text_hash, count(*) AS n_records, CAST(1 AS BIGINT) AS n_vectors
+FROM documents WHERE {S.not_blank(FB_SQL)} GROUP BY 1""")
+def e4_dedup_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _embed_docs(spark, sf_dir)
+    per_hash = res.records.where(F.col("text_hash").isNotNull()).groupBy("text_hash") \
+        .agg(F.count(F.lit(1)).alias("n_records"))
+    vec = res.vectors.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n_vectors"))
+    return per_hash.join(vec, "text_hash", "left")
+
+
+_STATS_SQL = f"""
+WITH nb AS (SELECT md5({FB_SQL}) AS h FROM documents WHERE {S.not_blank(FB_SQL)}),
+miss AS (SELECT count(DISTINCT h) AS m FROM nb WHERE h NOT IN ({_LABELLED_HASHES})),
+tot AS (SELECT count(*) AS n FROM nb),
+allr AS (SELECT count(*) AS n FROM documents)
+SELECT tot.n - miss.m AS cache_hits, miss.m AS cache_misses, miss.m AS embeddings_generated,
+       CAST(0.0 AS DOUBLE) AS processing_time, CAST(0 AS BIGINT) AS errors,
+       printf('%.2f%%', CASE WHEN tot.n > 0 THEN (tot.n - miss.m) / tot.n * 100.0 ELSE 0.0 END)
+         AS cache_hit_rate,
+       tot.n AS total_requests, CAST(0.0 AS DOUBLE) AS avg_processing_time,
+       allr.n AS total_count, tot.n AS success_count, allr.n - tot.n AS failure_count
+FROM miss, tot, allr"""
+
+
+@register("E7_embed_stats", _STATS_SQL)
+def e7_embed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _embed_docs(spark, sf_dir)
+    return EM.embed_stats(res.records, res.vectors)
+
+
+@register("E8_embed_success_counts", f"""
+SELECT count(*) AS total_count, count(*) FILTER (WHERE {S.not_blank(FB_SQL)}) AS success_count,
+       count(*) FILTER (WHERE NOT {S.not_blank(FB_SQL)}) AS failure_count FROM documents""")
+def e8_embed_success_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _embed_docs(spark, sf_dir)
+    return EM.embed_stats(res.records, res.vectors).select(
+        "total_count", "success_count", "failure_count")
+
+
+def flaky_model(texts, dim: int = TEXT_DIM, _seen: dict = {}):  # noqa: B006
+    """Stand-in for a remote model: texts whose md5 starts with '0' always
+    fail, '1' fails once when sent alone; a batch fails if it holds either."""
+    import hashlib
+
+    import pyarrow as pa
+    hs = [hashlib.md5(t.encode("utf-8")).hexdigest() for t in texts]
+    if len(texts) > 1 and any(h[0] in "01" for h in hs):
+        raise RuntimeError("batch failed")
+    if len(texts) == 1:
+        h = hs[0]
+        if h[0] == "0":
+            raise RuntimeError("permanent failure")
+        if h[0] == "1" and not _seen.get(h):
+            _seen[h] = True
+            raise RuntimeError("transient failure")
+    return EM._hash_vectors(pa.array(texts, pa.string()), dim, 3).to_pylist()
+
+
+def _flaky_embed(spark: SparkSession, sf_dir: str):
+    emb = EM.FunctionEmbedder(flaky_model, "flaky-hash", batch_size=16, backoff=0.0)
+    return EM.embed_records(_docs(spark, sf_dir), "fb", emb)
+
+
+@register("E5_retry", f"""
+SELECT DISTINCT md5({FB_SQL}) AS text_hash,
+       CAST(CASE left(md5({FB_SQL}), 1) WHEN '0' THEN 3 WHEN '1' THEN 2 ELSE 1 END AS INTEGER)
+         AS attempts,
+       CAST(CASE left(md5({FB_SQL}), 1) WHEN '0' THEN 3 WHEN '1' THEN 1 ELSE 0 END AS INTEGER)
+         AS errors,
+       left(md5({FB_SQL}), 1) = '0' AS failed
+FROM documents WHERE {S.not_blank(FB_SQL)}""")
+def e5_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _flaky_embed(spark, sf_dir)
+    return res.vectors.select("text_hash", "attempts", "errors",
+                              F.col("embedding").isNull().alias("failed"))
+
+
+@register("E6_drop_failed", f"""
+SELECT doc_id, CASE WHEN NOT {S.not_blank(FB_SQL)} THEN 'blank text'
+                    ELSE 'RuntimeError: permanent failure' END AS reason
+FROM documents
+WHERE NOT {S.not_blank(FB_SQL)} OR left(md5({FB_SQL}), 1) = '0'""")
+def e6_drop_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flaky_embed(spark, sf_dir).failed.select("doc_id", "reason")
+
+
+@register("S9_cache_save", f"SELECT h AS text_hash FROM ({_LABELLED_HASHES})")
+def s9_cache_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emb = EM.HashEmbedder(TEXT_DIM)
+    cache = _seeded_cache(spark, sf_dir, emb)
+    return spark.read.parquet(cache.path).select("text_hash")
+
+
+@register("S8_cache_load", f"SELECT h AS text_hash, {TEXT_DIM} AS dim FROM ({_LABELLED_HASHES})")
+def s8_cache_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two saves of the same entries; load keeps one (the latest) per hash."""
+    emb = EM.HashEmbedder(TEXT_DIM)
+    cache = _seeded_cache(spark, sf_dir, emb)
+    labelled = _docs(spark, sf_dir).join(load(spark, sf_dir, "labels").select("doc_id"),
+                                         "doc_id", "left_semi")
+    cache.save(EM.embed_records(labelled, "fb", emb).fresh)
+    return cache.load().select("text_hash", F.size("embedding").alias("dim"))
+
+
+# ---------------------------------------------------------------------------
+# JSON directory scan (S1, S2, T6) and entity sinks
+# ---------------------------------------------------------------------------
+
+def _docs_as_json_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Write documents as JSON-array files (50 records each) and return the folder."""
+    out = scratch(spark, "json")
+    d = load(spark, sf_dir, "documents")
+    packed = (d.groupBy(F.floor(F.col("doc_id") / 50).alias("f"))
+              .agg(F.to_json(F.collect_list(F.struct("doc_id", "text", "lang", "source",
+                                                     "n_chars"))).alias("value")))
+    packed.select("value").write.option("maxRecordsPerFile", 1).text(out)
+    return out
+
+
+@register("S1_json_dir_scan", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def s1_json_dir_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, _ = json_dir.scan_json_dir(spark, _docs_as_json_dir(spark, sf_dir), glob="*.txt")
+    g = lambda k, t: F.try_variant_get("item", f"$.{k}", t).alias(k)
+    return rec.select(g("doc_id", "bigint"), g("text", "string"), g("lang", "string"),
+                      g("source", "string"), g("n_chars", "bigint"))
+
+
+@register("T6_default_id", """
+SELECT count(*) AS records, count(*) AS distinct_positions, CAST(0 AS BIGINT) AS min_position,
+       count(*) - 1 AS max_position FROM documents""")
+def t6_default_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, _ = json_dir.scan_json_dir(spark, _docs_as_json_dir(spark, sf_dir), glob="*.txt")
+    return rec.agg(F.count(F.lit(1)).alias("records"),
+                   F.count_distinct("gpos").alias("distinct_positions"),
+                   F.min("gpos").alias("min_position"), F.max("gpos").alias("max_position"))
+
+
+@register("S2_bad_file_report")
+def s2_bad_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw page HTML written as *.json files next to valid ones: the HTML
+    files are reported and skipped, the rest is read."""
+    out = _docs_as_json_dir(spark, sf_dir)
+    load(spark, sf_dir, "pages").select("html").write.option("maxRecordsPerFile", 1) \
+        .mode("append").text(out)
+    files = json_dir.read_json_files(spark, out, glob="*.txt")
+    return json_dir.bad_files(files)

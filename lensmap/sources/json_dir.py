@@ -32,7 +32,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(jsc.hadoopConfiguration()).exists(p)
 
 
-def _has_json(spark: SparkSession, path: str) -> bool:
+def _has_json(spark: SparkSession, path: str, suffix: str = ".json") -> bool:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(jsc.hadoopConfiguration())
@@ -40,12 +40,12 @@ def _has_json(spark: SparkSession, path: str) -> bool:
     while it.hasNext():
         st = it.next()
         name = st.getPath().getName()
-        if st.isFile() and name.endswith(".json") and not name.startswith(("_", ".")):
+        if st.isFile() and name.endswith(suffix) and not name.startswith(("_", ".")):
             return True
     return False
 
 
-def read_json_files(spark: SparkSession, directory: str) -> DataFrame:
+def read_json_files(spark: SparkSession, directory: str, glob: str = "*.json") -> DataFrame:
     """One row per ``*.json`` file (non-recursive): (file, value, doc VARIANT).
 
     S3: a missing directory raises; a directory without JSON gives no rows.
@@ -53,9 +53,9 @@ def read_json_files(spark: SparkSession, directory: str) -> DataFrame:
     """
     if not _exists(spark, directory):
         raise DirectoryNotFound(f"directory does not exist: {directory}")
-    if not _has_json(spark, directory):
+    if not _has_json(spark, directory, glob.lstrip("*")):
         return spark.createDataFrame([], "file string, value string, doc variant")
-    raw = (spark.read.option("pathGlobFilter", "*.json")
+    raw = (spark.read.option("pathGlobFilter", glob)
            .text(directory, wholetext=True)
            .select(F.col("_metadata.file_path").alias("file"), "value"))
     return raw.withColumn("doc", F.try_parse_json("value"))
@@ -80,9 +80,10 @@ def explode_records(files: DataFrame) -> DataFrame:
                     (F.col("offset") + F.col("pos")).cast("long").alias("gpos")))
 
 
-def scan_json_dir(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+def scan_json_dir(spark: SparkSession, directory: str,
+                  glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """S1+S2: (records, bad_files) of a directory."""
-    files = read_json_files(spark, directory)
+    files = read_json_files(spark, directory, glob)
     if not files.columns or "doc" not in files.columns:
         return spark.createDataFrame([], RECORD_SCHEMA), spark.createDataFrame([], "file string, error string")
     return explode_records(files), bad_files(files)
