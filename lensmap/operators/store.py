@@ -28,7 +28,7 @@ from ..functions import vector as V
 
 ENTITY_SCHEMA = T.StructType([
     T.StructField("id", T.StringType(), False),
-    T.StructField("vector", T.ArrayType(T.FloatType(), containsNull=False), True),
+    T.StructField("vector", T.ArrayType(T.FloatType(), containsNull=True), True),
     T.StructField("text_for_embedding", T.StringType(), True),
     T.StructField("metadata", T.VariantType(), True),
 ])

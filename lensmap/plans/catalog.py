@@ -424,3 +424,328 @@ def s2_bad_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         .mode("append").text(out)
     files = json_dir.read_json_files(spark, out, glob="*.txt")
     return json_dir.bad_files(files)
+
+
+# ---------------------------------------------------------------------------
+# Collections
+# ---------------------------------------------------------------------------
+
+def _orders_batch(spark: SparkSession, sf_dir: str, batch: str) -> DataFrame:
+    """Two overlapping batches of orders as entities (batch A before 1996,
+    batch B from 1995 on) - the same keys arrive twice."""
+    o = load(spark, sf_dir, "orders")
+    cond = (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")) if batch == "A" \
+        else (F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp"))
+    return o.where(cond).select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.array(F.col("o_totalprice").cast("float")).alias("vector"),
+        F.col("o_orderpriority").alias("text_for_embedding"),
+        F.to_variant_object(F.struct(F.col("o_orderstatus").alias("status"),
+                                     F.lit(batch).alias("batch"))).alias("metadata"))
+
+
+_BATCH_A = "FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'"
+_BATCH_B = "FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01'"
+
+
+def _orders_rows(df: DataFrame) -> DataFrame:
+    return df.select("id", SE.meta("batch").alias("batch"), SE.meta("status").alias("status"))
+
+
+@register("C3_append_entities", f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS id, 'A' AS batch, o_orderstatus AS status {_BATCH_A}
+UNION ALL
+SELECT CAST(o_orderkey AS VARCHAR) AS id, 'B' AS batch, o_orderstatus AS status {_BATCH_B}""")
+def c3_append_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = CollectionStore(spark, scratch(spark, "store"), num_buckets=8)
+    st.create("orders", dim=1)
+    st.append("orders", _orders_batch(spark, sf_dir, "A"))
+    st.append("orders", _orders_batch(spark, sf_dir, "B"))
+    return _orders_rows(st.read("orders"))
+
+
+@register("C4_upsert_entities", f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS id, 'A' AS batch, o_orderstatus AS status {_BATCH_A}
+  AND o_orderdate < TIMESTAMP '1995-01-01'
+UNION ALL
+SELECT CAST(o_orderkey AS VARCHAR) AS id, 'B' AS batch, o_orderstatus AS status {_BATCH_B}""")
+def c4_upsert_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = CollectionStore(spark, scratch(spark, "store"), num_buckets=8)
+    st.create("orders", dim=1)
+    st.upsert("orders", _orders_batch(spark, sf_dir, "A"))
+    st.upsert("orders", _orders_batch(spark, sf_dir, "B"))
+    return _orders_rows(st.read("orders"))
+
+
+@register("C5_validate_entities", """
+SELECT CAST(doc_id AS VARCHAR) AS id, strlen(text) <= 65535 AS accepted,
+       CASE WHEN strlen(text) > 65535 THEN 'text longer than 65535 bytes' END AS reason
+FROM documents""")
+def c5_validate_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.array(F.col("n_chars").cast("float")).alias("vector"),
+        F.col("text").alias("text_for_embedding"), F.lit(None).cast("variant").alias("metadata"))
+    ok, bad = CollectionStore.validate(d, 1)
+    return ok.select("id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason")) \
+        .unionByName(bad.select("id", F.lit(False).alias("accepted"), "reason"))
+
+
+def _embedding_collection(spark: SparkSession, sf_dir: str) -> tuple[CollectionStore, str]:
+    st = CollectionStore(spark, scratch(spark, "store"), num_buckets=8)
+    ent = embedding_entities(spark, sf_dir)
+    dim = ent.agg(F.max(F.size("vector"))).first()[0]
+    st.create("embeddings", dim=dim)
+    st.upsert("embeddings", ent.select(
+        "id", "vector", F.col("insight").alias("text_for_embedding"),
+        F.to_variant_object(F.struct("aspect", "label")).alias("metadata")))
+    return st, "embeddings"
+
+
+@register("S5_collection_scan", """
+SELECT CAST(vec_id AS VARCHAR) AS id, CAST(len(embedding) AS INTEGER) AS dim,
+       'vec_' || CAST(vec_id AS VARCHAR) AS text_for_embedding,
+       'label_' || CAST(label AS VARCHAR) AS aspect FROM embeddings""")
+def s5_collection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st, name = _embedding_collection(spark, sf_dir)
+    return st.read(name, ["id", "vector", "text_for_embedding", "metadata"]).select(
+        "id", F.size("vector").alias("dim"), "text_for_embedding", SE.meta("aspect").alias("aspect"))
+
+
+@register("C8_collection_info", """
+SELECT 'embeddings' AS name, count(*) AS row_count, 'loaded' AS status,
+       CAST(max(len(embedding)) AS INTEGER) AS dim, 'COSINE' AS metric FROM embeddings""")
+def c8_collection_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st, name = _embedding_collection(spark, sf_dir)
+    return st.info([name]).select("name", "row_count", "status", "dim", "metric")
+
+
+# ---------------------------------------------------------------------------
+# Records, mapping and search over text
+# ---------------------------------------------------------------------------
+
+def _benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as knowledge records (VARIANT items)."""
+    b = load(spark, sf_dir, "benchmark")
+    item = F.to_variant_object(F.struct(
+        F.col("item_id").alias("insight_id"), F.col("text").alias("insight"),
+        F.lit("benchmark").alias("aspect"), F.lit("neutral").alias("sentiment"),
+        F.array(F.col("text")).alias("examples")))
+    return b.select(F.lit("benchmark").alias("file"), F.lit(0).alias("pos"),
+                    item.alias("item"), F.col("item_id").cast("long").alias("gpos"))
+
+
+def _document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as feedback records; ``type`` overrides the built-in key and
+    ``_n_chars`` is private (dropped from metadata)."""
+    d = spread(load(spark, sf_dir, "documents"))
+    item = F.to_variant_object(F.struct(
+        F.col("doc_id").alias("fb_id"), F.col("text").alias("raw_text"), "lang", "source",
+        F.lit("document").alias("type"), F.col("n_chars").alias("_n_chars")))
+    return d.select(F.lit("documents").alias("file"), F.lit(0).alias("pos"),
+                    item.alias("item"), F.col("doc_id").cast("long").alias("gpos"))
+
+
+def _knowledge(spark: SparkSession, sf_dir: str):
+    from ..operators.records import build_knowledge
+    return build_knowledge(_benchmark_items(spark, sf_dir), EM.HashEmbedder(TEXT_DIM))
+
+
+_KN_TEXT_SQL = (f"{S.q('维度：benchmark | 观点：')} || {S.clean('text')} || "
+                f"{S.q(' | 情感：neutral | 例子：')} || {S.clean('text')}")
+_KN_SRC = f"SELECT CAST(item_id AS VARCHAR) AS k, {_KN_TEXT_SQL} AS t FROM benchmark"
+
+
+@register("R1_build_knowledge", f"""
+SELECT CAST(item_id AS VARCHAR) AS id, {_KN_TEXT_SQL} AS text_for_embedding,
+       CAST({TEXT_DIM} AS INTEGER) AS dim FROM benchmark""")
+def r1_build_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ent = _knowledge(spark, sf_dir).entities
+    return ent.select("id", "text_for_embedding", F.size("vector").alias("dim"))
+
+
+@register("T9_knowledge_metadata", f"""
+SELECT CAST(item_id AS VARCHAR) AS id, 'knowledge' AS type, 'benchmark' AS aspect,
+       text AS insight, 'neutral' AS sentiment, 'active' AS status,
+       'hash-3gram-{TEXT_DIM}' AS model, CAST(length({_KN_TEXT_SQL}) AS BIGINT) AS text_length,
+       CAST({TEXT_DIM} AS BIGINT) AS embedding_dim, 1 AS n_examples, false AS has_description
+FROM benchmark""")
+def t9_knowledge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ent = _knowledge(spark, sf_dir).entities
+    m = lambda k, t="string": F.try_variant_get("metadata", f"$.{k}", t)
+    return ent.select("id", m("type").alias("type"), m("aspect").alias("aspect"),
+                      m("insight").alias("insight"), m("sentiment").alias("sentiment"),
+                      m("status").alias("status"), m("model").alias("model"),
+                      m("text_length", "bigint").alias("text_length"),
+                      m("embedding_dim", "bigint").alias("embedding_dim"),
+                      F.size(m("examples", "array<string>")).alias("n_examples"),
+                      m("description", "variant").isNotNull().alias("has_description"))
+
+
+def _feedback(spark: SparkSession, sf_dir: str):
+    from ..operators.records import build_feedback
+    return build_feedback(_document_items(spark, sf_dir), EM.HashEmbedder(TEXT_DIM),
+                          _knowledge(spark, sf_dir).entities)
+
+
+def _topk_sql(qsrc: str, ksrc: str, k: int = 5) -> str:
+    """Brute-force cosine top-k between hashing-embedder vectors of two sources."""
+    return f"""WITH {S.hash_embed_ctes('qe', qsrc, TEXT_DIM)}, {S.dense_vectors('qe', TEXT_DIM)},
+{S.hash_embed_ctes('ke', ksrc, TEXT_DIM)}, {S.dense_vectors('ke', TEXT_DIM)},
+p AS (SELECT q.k AS qk, c.k AS id,
+             list_cosine_similarity(CAST(q.vec AS DOUBLE[]), CAST(c.vec AS DOUBLE[])) AS d
+      FROM qe_vec q, ke_vec c),
+r AS (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY -d, id) AS rank FROM p)
+SELECT qk, CAST(rank AS INTEGER) AS rank, id, round((d + 1) / 2, 6) AS score
+FROM r WHERE rank <= {k}"""
+
+
+_FB_SRC = f"SELECT CAST(doc_id AS VARCHAR) AS k, {FB_SQL} AS t FROM documents"
+
+
+@register("R2_build_feedback", f"""
+SELECT qk AS id, rank, id AS mapped_id, score FROM ({_topk_sql(_FB_SRC, _KN_SRC)})""")
+def r2_build_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ent = _feedback(spark, sf_dir).entities
+    mp = F.try_variant_get("metadata", "$.mapped_perspectives",
+                           "array<struct<id string, score double>>")
+    return (ent.select("id", F.posexplode(mp).alias("pos", "m"))
+            .select("id", (F.col("pos") + 1).cast("int").alias("rank"),
+                    F.col("m.id").alias("mapped_id"), r6("m.score").alias("score")))
+
+
+@register("T10_feedback_metadata", f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, 'document' AS type, lang, source,
+       CAST(doc_id AS BIGINT) AS fb_id, false AS has_private, true AS summary_is_null,
+       CAST(length(text) AS BIGINT) AS raw_text_length,
+       CAST(length({FB_SQL}) AS BIGINT) AS text_length, CAST(5 AS BIGINT) AS match_count
+FROM documents""")
+def t10_feedback_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ent = _feedback(spark, sf_dir).entities
+    m = lambda k, t="string": F.try_variant_get("metadata", f"$.{k}", t)
+    return ent.select("id", m("type").alias("type"), m("lang").alias("lang"),
+                      m("source").alias("source"), m("fb_id", "bigint").alias("fb_id"),
+                      m("_n_chars", "variant").isNotNull().alias("has_private"),
+                      F.is_variant_null(m("summary", "variant")).alias("summary_is_null"),
+                      F.char_length(m("raw_text")).cast("long").alias("raw_text_length"),
+                      m("text_length", "bigint").alias("text_length"),
+                      m("match_count", "bigint").alias("match_count"))
+
+
+def _knowledge_store(spark: SparkSession, sf_dir: str) -> CollectionStore:
+    st = CollectionStore(spark, scratch(spark, "store"), num_buckets=8)
+    st.create("knowledge", dim=TEXT_DIM)
+    st.upsert("knowledge", _knowledge(spark, sf_dir).entities)
+    return st
+
+
+def _user_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn of every conversation is a search query."""
+    c = load(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return c.select(F.concat_ws("-", F.col("conv_id").cast("string"),
+                                F.col("turn").cast("string")).alias("query_id"),
+                    F.col("text").alias("query"))
+
+
+def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = _knowledge_store(spark, sf_dir)
+    return SE.semantic_search(_user_queries(spark, sf_dir), st, "knowledge",
+                              EM.HashEmbedder(TEXT_DIM), top_k=5, threshold=0.0)
+
+
+_Q_SRC = (f"SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS k, "
+          f"{S.query_text('text', S.q('knowledge'))} AS t FROM conversations WHERE role = 'user'")
+
+
+@register("V10_semantic_search", f"""
+SELECT qk AS query_id, rank, id, score FROM ({_topk_sql(_Q_SRC, _KN_SRC)})""")
+def v10_semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir).select("query_id", "rank", "id", r6("score").alias("score"))
+
+
+@register("T11_result_projection", f"""
+SELECT r.qk AS query_id, r.rank, r.id, 'benchmark' AS aspect,
+       substring(b.text, 1, 50) || '...' AS insight, 'neutral' AS sentiment
+FROM ({_topk_sql(_Q_SRC, _KN_SRC)}) r JOIN benchmark b ON CAST(b.item_id AS VARCHAR) = r.id""")
+def t11_result_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SE.knowledge_rows(_search(spark, sf_dir)).drop("score_text")
+
+
+@register("T12_result_detail", f"""
+SELECT r.qk AS query_id, r.rank, r.id, 'benchmark' AS aspect, b.text AS insight,
+       'neutral' AS sentiment, CAST(NULL AS VARCHAR) AS description
+FROM ({_topk_sql(_Q_SRC, _KN_SRC, 3)}) r JOIN benchmark b ON CAST(b.item_id AS VARCHAR) = r.id""")
+def t12_result_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SE.detail_rows(_search(spark, sf_dir), "knowledge").drop("score_text", "distance_text")
+
+
+@register("T13_result_json")
+def t13_result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _search(spark, sf_dir)
+    return SE.result_json(hits, _user_queries(spark, sf_dir), "knowledge", 0.0)
+
+
+@register("T14_json_path_access", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""")
+def t14_json_path_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("metadata"))
+    return e.select("event_id", F.try_variant_get("metadata", "$.k", "int").alias("k"))
+
+
+@register("S6_entity_json_sink", f"SELECT CAST(item_id AS VARCHAR) AS id, {_KN_TEXT_SQL} AS text_for_embedding FROM benchmark")
+def s6_entity_json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "out")
+    path = sinks.save_entities(_knowledge(spark, sf_dir).entities, out, sinks.KNOWLEDGE_JSON)
+    return spark.read.json(path).select("id", "text_for_embedding")
+
+
+# ---------------------------------------------------------------------------
+# Statistics
+# ---------------------------------------------------------------------------
+
+_A4_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS name, count(*) AS row_count, 'loaded' AS status FROM {t}"
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
+              "events", "documents", "embeddings", "pages", "benchmark", "labels",
+              "conversations"))
+
+
+def _table_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.tables import TABLES
+    return ST.collection_stats(spark, {t: (lambda t=t: load(spark, sf_dir, t)) for t in TABLES})
+
+
+@register("A4_collection_stats", _A4_SQL)
+def a4_collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table_collections(spark, sf_dir)
+
+
+@register("A1_collections_summary", f"""
+SELECT count(*) AS collections, count(*) FILTER (WHERE status = 'loaded') AS loaded,
+       CAST(sum(row_count) AS BIGINT) AS total_rows FROM ({_A4_SQL})""")
+def a1_collections_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ST.collections_summary(_table_collections(spark, sf_dir))
+
+
+@register("A2_run_summary", f"""
+SELECT (SELECT count(*) FROM benchmark) AS knowledge_records,
+       (SELECT count(*) FROM documents WHERE {S.not_blank(FB_SQL)}) AS feedback_records,
+       CASE WHEN (SELECT count(*) FROM documents WHERE NOT {S.not_blank(FB_SQL)}) = 0
+            THEN '成功' ELSE '部分成功' END AS status,
+       (SELECT count(*) FROM documents WHERE NOT {S.not_blank(FB_SQL)}) AS error_count""")
+def a2_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kn = _knowledge(spark, sf_dir)
+    fb = _feedback(spark, sf_dir)
+    return ST.run_summary(kn.entities, fb.entities, fb.failed.unionByName(
+        kn.failed, allowMissingColumns=True), 0.0).drop("processing_seconds")
+
+
+@register("S7_run_stats_sink")
+def s7_run_stats_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "out")
+    summ = a2_run_summary(spark, sf_dir)
+    path = sinks.save_run_stats(summ, out, settings={"embedding_model": f"hash-3gram-{TEXT_DIM}",
+                                                     "vector_dim": TEXT_DIM,
+                                                     "similarity_metric": "COSINE"},
+                                saved_files=[sinks.KNOWLEDGE_JSON, sinks.FEEDBACK_JSON])
+    return spark.read.json(path)
