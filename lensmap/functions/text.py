@@ -44,6 +44,11 @@ QUERY_PREFIX_OTHER = "用户反馈: "
 KNOWLEDGE_COLLECTION = "knowledge"
 # ---------------------------------------------------------------------------
 
+# The same whitespace set as literal characters (for btrim).
+WHITESPACE_CHARS = "".join(
+    [chr(c) for c in range(0x09, 0x0E)] + [chr(c) for c in range(0x1C, 0x21)]
+    + ["\x85", "\xa0", "\u1680"] + [chr(c) for c in range(0x2000, 0x200B)]
+    + ["\u2028", "\u2029", "\u202f", "\u205f", "\u3000"])
 WS_RUN = f"[{WHITESPACE_CLASS}]+"
 DELETE_RE = f"[^{KEEP_CLASS}]"
 REPEAT_RE = r"([,.!?；：])\1+"
@@ -71,7 +76,7 @@ def _labelled(label: str, value: Column) -> Column:
 
 def knowledge_text(aspect, insight, sentiment, description, examples, keywords,
                    *, insight_present=None, aspect_present=None,
-                   insight_raw=None, aspect_raw=None) -> Column:
+                   insight_raw=None, aspect_raw=None, precleaned: bool = False) -> Column:
     """T2 + T3: labelled parts joined by ' | ', empty parts left out.
 
     ``examples``/``keywords`` are ``array<string>`` columns.  Examples: the first
@@ -86,12 +91,13 @@ def knowledge_text(aspect, insight, sentiment, description, examples, keywords,
     kw = F.filter(F.coalesce(_c(keywords), F.array()), lambda e: e.isNotNull() & (e != ""))
     ex_txt = F.array_join(F.transform(ex, clean_text), EXAMPLE_SEPARATOR)
     kw_txt = F.array_join(F.transform(kw, clean_text), KEYWORD_SEPARATOR)
+    cl = (lambda c: _c(c)) if precleaned else clean_text
     parts = F.concat_ws(
         PART_SEPARATOR,
-        _labelled(LABEL_ASPECT, clean_text(aspect)),
-        _labelled(LABEL_INSIGHT, clean_text(insight)),
-        _labelled(LABEL_SENTIMENT, clean_text(sentiment)),
-        _labelled(LABEL_DESCRIPTION, clean_text(description)),
+        _labelled(LABEL_ASPECT, cl(aspect)),
+        _labelled(LABEL_INSIGHT, cl(insight)),
+        _labelled(LABEL_SENTIMENT, cl(sentiment)),
+        _labelled(LABEL_DESCRIPTION, cl(description)),
         F.when(F.size(ex) > 0, F.concat(F.lit(LABEL_EXAMPLES), ex_txt)),
         F.when(F.size(kw) > 0, F.concat(F.lit(LABEL_KEYWORDS), kw_txt)),
     )
@@ -124,6 +130,13 @@ def query_text(query, collection) -> Column:
     return F.concat(prefix, F.coalesce(_c(query).cast("string"), F.lit("")))
 
 
+def is_blank(x) -> Column:
+    """``not text or not text.strip()``.  ``btrim`` stops at the first
+    non-blank character from each end, so long texts cost O(1)."""
+    t = _c(x).cast("string")
+    return t.isNull() | (F.btrim(t, F.lit(WHITESPACE_CHARS)) == "")
+
+
 def text_hash(x) -> Column:
     """md5 hex of the UTF-8 text."""
     return F.md5(_c(x).cast("string"))
@@ -132,3 +145,38 @@ def text_hash(x) -> Column:
 def text_length(x) -> Column:
     """Length in code points (Python ``len``)."""
     return F.char_length(_c(x)).cast("long")
+
+
+# ---------------------------------------------------------------------------
+# DataFrame-level builders.  Spark does not share a sub-expression between a
+# CASE condition and its branches, so the Column forms above clean a field
+# once per reference.  These add the cleaned fields as their own projection
+# first (Catalyst keeps a non-cheap expression used twice in its own Project),
+# so every regex runs once per field.
+# ---------------------------------------------------------------------------
+
+def with_feedback_text(df, raw_text, summary, out: str = "text_for_embedding"):
+    t = (df.withColumn("__raw_c", clean_text(raw_text))
+         .withColumn("__sum_c", clean_text(summary)))
+    raw, summ = F.col("__raw_c"), F.col("__sum_c")
+    txt = (F.when(raw == "", F.lit(EMPTY_FEEDBACK))
+           .when(summ != "", F.concat(F.lit(LABEL_SUMMARY), summ, F.lit(PART_SEPARATOR),
+                                      F.lit(LABEL_ORIGINAL), raw))
+           .otherwise(F.concat(F.lit(LABEL_FEEDBACK), raw)))
+    return t.withColumn(out, txt).drop("__raw_c", "__sum_c")
+
+
+def with_knowledge_text(df, aspect, insight, sentiment, description, examples, keywords,
+                        out: str = "text_for_embedding", **fallback):
+    t = df
+    names = []
+    for i, c in enumerate((aspect, insight, sentiment, description)):
+        t = t.withColumn(f"__k{i}", clean_text(c))
+        names.append(f"__k{i}")
+    txt = knowledge_text(*[F.col(n) for n in names], examples, keywords,
+                         insight_raw=fallback.get("insight_raw", insight),
+                         aspect_raw=fallback.get("aspect_raw", aspect),
+                         insight_present=fallback.get("insight_present"),
+                         aspect_present=fallback.get("aspect_present"),
+                         precleaned=True)
+    return t.withColumn(out, txt).drop(*names)

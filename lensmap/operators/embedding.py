@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
+from ..session import ensure_checkpoint_dir
 
 VECTOR_TYPE = T.ArrayType(T.FloatType(), containsNull=False)
 EMBED_SCHEMA = T.StructType([
@@ -48,8 +49,7 @@ DEFAULT_BACKOFF = 1.0          # seconds; waits 1 s, 2 s between attempts
 
 def is_blank(text) -> Column:
     """``not text or not text.strip()``: null, empty or whitespace only."""
-    t = F.col(text) if isinstance(text, str) else text
-    return t.isNull() | (F.regexp_replace(t, TX.WS_RUN, "") == "")
+    return TX.is_blank(text)
 
 
 # ---------------------------------------------------------------------------
@@ -276,9 +276,18 @@ class EmbedResult:
 
 def embed_records(records: DataFrame, text_col: str, embedder, *,
                   cache: EmbeddingCache | None = None,
-                  out_col: str = "embedding") -> EmbedResult:
-    """Embed every record's text once per distinct text, cache first."""
+                  out_col: str = "embedding", materialize: bool = True) -> EmbedResult:
+    """Embed every record's text once per distinct text, cache first.
+
+    ``materialize`` writes the records with their text and hash once to the
+    shared checkpoint folder: the dedup, the join back and the statistics
+    read it instead of re-running the text expressions (and Catalyst cannot
+    push an expensive filter into the scan and evaluate it twice).
+    """
     rec = records.withColumn("text_hash", F.when(~is_blank(text_col), TX.text_hash(text_col)))
+    if materialize:
+        ensure_checkpoint_dir(rec.sparkSession)
+        rec = rec.checkpoint(eager=True)
     distinct = (rec.where(F.col("text_hash").isNotNull())
                 .select("text_hash", F.col(text_col).alias("text"))
                 .dropDuplicates(["text_hash"]))                              # E4

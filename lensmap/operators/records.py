@@ -106,14 +106,13 @@ def default_id(id_key: str, prefix: str) -> Column:
 def knowledge_texts(records: DataFrame) -> DataFrame:
     """T2/T3 over scanned knowledge records: adds ``id`` and ``text_for_embedding``."""
     from ..functions import text as TX
-    txt = TX.knowledge_text(
-        _str("aspect"), _str("insight"), _str("sentiment"), _str("description"),
+    with_id = records.select("*", default_id("insight_id", "knowledge").alias("id"))
+    return TX.with_knowledge_text(
+        with_id, _str("aspect"), _str("insight"), _str("sentiment"), _str("description"),
         F.try_variant_get("item", "$.examples", "array<string>"),
         F.try_variant_get("item", "$.keywords", "array<string>"),
         insight_present=_present("insight"), aspect_present=_present("aspect"),
         insight_raw=_str("insight"), aspect_raw=_str("aspect"))
-    return records.select("*", default_id("insight_id", "knowledge").alias("id"),
-                          txt.alias("text_for_embedding"))
 
 
 def knowledge_metadata(model: str) -> Column:
@@ -137,9 +136,8 @@ def knowledge_metadata(model: str) -> Column:
 def feedback_texts(records: DataFrame) -> DataFrame:
     """T4 over scanned feedback records: adds ``id`` and ``text_for_embedding``."""
     from ..functions import text as TX
-    return records.select("*", default_id("fb_id", "feedback").alias("id"),
-                          TX.feedback_text(_str("raw_text"), _str("summary"))
-                          .alias("text_for_embedding"))
+    with_id = records.select("*", default_id("fb_id", "feedback").alias("id"))
+    return TX.with_feedback_text(with_id, _str("raw_text"), _str("summary"))
 
 
 def feedback_metadata(model: str, mapped_col: str = MAPPED_COL) -> Column:

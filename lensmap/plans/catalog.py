@@ -136,10 +136,10 @@ def t2_knowledge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read as knowledge: source=aspect, text=insight, lang=sentiment,
     lines=examples, source and lang=keywords."""
     d = spread(load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    txt = TX.knowledge_text("source", "text", "lang", F.lit(None).cast("string"),
-                            F.split("text", "\n"),
-                            F.split(F.concat_ws(" ", "source", "lang"), " "))
-    return d.select("doc_id", txt.alias("text_for_embedding"))
+    out = TX.with_knowledge_text(d, "source", "text", "lang", F.lit(None).cast("string"),
+                                 F.split("text", "\n"),
+                                 F.split(F.concat_ws(" ", "source", "lang"), " "))
+    return out.select("doc_id", "text_for_embedding")
 
 
 _SUMMARY_SQL = "lag(text) OVER (PARTITION BY conv_id ORDER BY turn)"
@@ -156,9 +156,8 @@ def _conversation_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn, {S.feedback_text('text', 'summary')} AS text_for_embedding
 FROM (SELECT conv_id, turn, text, {_SUMMARY_SQL} AS summary FROM conversations)""")
 def t4_feedback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fb = _conversation_feedback(spark, sf_dir)
-    return fb.select("conv_id", "turn",
-                     TX.feedback_text("text", "summary").alias("text_for_embedding"))
+    fb = TX.with_feedback_text(_conversation_feedback(spark, sf_dir), "text", "summary")
+    return fb.select("conv_id", "turn", "text_for_embedding")
 
 
 @register("T5_query_text", f"""
@@ -174,7 +173,8 @@ def t5_query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, md5({S.feedback_text('text', 'NULL')}) AS text_hash FROM documents""")
 def t7_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", TX.text_hash(TX.feedback_text("text", F.lit(None))).alias("text_hash"))
+    d = TX.with_feedback_text(d, "text", F.lit(None).cast("string"), "fb")
+    return d.select("doc_id", TX.text_hash("fb").alias("text_hash"))
 
 
 @register("T8_text_length", f"""
@@ -183,10 +183,9 @@ SELECT conv_id, turn, CAST(length(t) AS BIGINT) AS text_length,
 FROM (SELECT conv_id, turn, {S.feedback_text('text', 'summary')} AS t
       FROM (SELECT conv_id, turn, text, {_SUMMARY_SQL} AS summary FROM conversations))""")
 def t8_text_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fb = _conversation_feedback(spark, sf_dir)
-    t = TX.feedback_text("text", "summary")
-    return fb.select("conv_id", "turn", TX.text_length(t).alias("text_length"),
-                     F.octet_length(t).cast("long").alias("text_bytes"))
+    fb = TX.with_feedback_text(_conversation_feedback(spark, sf_dir), "text", "summary", "t")
+    return fb.select("conv_id", "turn", TX.text_length("t").alias("text_length"),
+                     F.octet_length("t").cast("long").alias("text_bytes"))
 
 
 # ---------------------------------------------------------------------------
@@ -214,7 +213,7 @@ def scratch(spark: SparkSession, what: str) -> str:
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as feedback records: (doc_id, fb) with fb the T4 text."""
     d = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", TX.feedback_text("text", F.lit(None)).alias("fb"))
+    return TX.with_feedback_text(d, "text", F.lit(None).cast("string"), "fb").select("doc_id", "fb")
 
 
 def _seeded_cache(spark: SparkSession, sf_dir: str, embedder) -> EM.EmbeddingCache:
