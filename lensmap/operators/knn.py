@@ -79,19 +79,26 @@ def prepare_candidates(candidates: DataFrame, *, id_col: str = "id",
     return df
 
 
-def measure_candidates(cand: DataFrame, payload: list[str] | None = None) -> dict:
-    """One aggregate over the candidates: row count, dims and bytes to ship."""
-    pay_bytes = [F.coalesce(F.octet_length(F.col(p).cast("string")), F.lit(0))
-                 for p in payload or []]
-    per_row = F.octet_length("id") + F.size("vector") * 4
-    for b in pay_bytes:
-        per_row = per_row + b
-    r = cand.agg(F.count(F.lit(1)).alias("n"),
-                 F.min(F.size("vector")).alias("dmin"),
-                 F.max(F.size("vector")).alias("dmax"),
-                 F.sum(per_row.cast("long")).alias("bytes")).first()
-    return {"n": int(r["n"] or 0), "dmin": r["dmin"], "dmax": r["dmax"],
-            "bytes": int(r["bytes"] or 0)}
+def measure_candidates(cand: DataFrame, payload: list[str] | None = None,
+                       dim: int | None = None) -> dict:
+    """Row count, dimension and bytes to ship, from two small aggregates.
+
+    ``dim`` is the declared dimension (a collection's manifest); without it
+    the most common vector length is used.  Rows of any other length cannot
+    be scored (C5) and are neither counted nor shipped.
+    """
+    if dim is None:
+        top = (cand.groupBy(F.size("vector").alias("d")).count()
+               .orderBy(F.col("count").desc(), F.col("d").asc()).first())
+        dim = int(top["d"]) if top is not None else None
+    if dim is None:
+        return {"n": 0, "dim": None, "bytes": 0}
+    per_row = F.octet_length("id") + F.lit(dim * 4)
+    for p in payload or []:
+        per_row = per_row + F.coalesce(F.octet_length(F.col(p).cast("string")), F.lit(0))
+    r = cand.where(F.size("vector") == dim).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(per_row.cast("long")).alias("bytes")).first()
+    return {"n": int(r["n"] or 0), "dim": dim, "bytes": int(r["bytes"] or 0)}
 
 
 def _matrix(ids, mat, norms, payload) -> dict:
@@ -339,15 +346,16 @@ class KnnPlan:
 def plan_knn(candidates: DataFrame, *, k: int | None = DEFAULT_K, metric: str = V.COSINE,
              id_col: str = "id", vector_col: str = "vector",
              predicate: Column | str | None = None, payload: list[str] | None = None,
-             broadcast_bytes: int | None = None) -> KnnPlan:
+             broadcast_bytes: int | None = None, dim: int | None = None) -> KnnPlan:
     spark = candidates.sparkSession
     metric = V.normalize_metric(metric)
     k = resolve_k(k)
     payload = list(payload or [])
     cand = prepare_candidates(candidates, id_col=id_col, vector_col=vector_col,
                               metric=metric, predicate=predicate, payload=payload)
-    stats = measure_candidates(cand, payload)
-    dim = stats["dmax"]
+    stats = measure_candidates(cand, payload, dim)
+    dim = stats["dim"]
+    cand = cand.where(F.size("vector") == dim) if dim is not None else cand
     budget = broadcast_bytes or conf_int(spark, KNN_BROADCAST_BYTES, KNN_BROADCAST_BYTES_DEFAULT)
     ptypes = [(p, cand.schema[p].dataType) for p in payload]
     return KnnPlan(spark, cand, metric, k, payload, ptypes, stats, dim, budget)
@@ -359,7 +367,7 @@ def knn_join(queries: DataFrame, candidates: DataFrame, *, k: int | None = DEFAU
              candidate_vector: str = "vector", predicate: Column | str | None = None,
              threshold: float | None = None, payload: list[str] | None = None,
              keep: list[str] | None = None,
-             broadcast_bytes: int | None = None) -> DataFrame:
+             broadcast_bytes: int | None = None, dim: int | None = None) -> DataFrame:
     """V5-V8: exact top-k per query, flat ``(query_id, rank, id, distance, score)``.
 
     ``predicate`` filters candidates before ranking (V6); ``threshold`` keeps
@@ -368,7 +376,7 @@ def knn_join(queries: DataFrame, candidates: DataFrame, *, k: int | None = DEFAU
     """
     plan = plan_knn(candidates, k=k, metric=metric, id_col=candidate_id,
                     vector_col=candidate_vector, predicate=predicate, payload=payload,
-                    broadcast_bytes=broadcast_bytes)
+                    broadcast_bytes=broadcast_bytes, dim=dim)
     out = plan.search_flat(queries, query_id, query_vector, keep=keep)
     if threshold is not None:
         out = out.where(F.col("score") >= F.lit(float(threshold)))
@@ -381,7 +389,7 @@ def knn_arrays(queries: DataFrame, candidates: DataFrame, *, output_col: str = "
                candidate_id: str = "id", candidate_vector: str = "vector",
                predicate: Column | str | None = None, threshold: float | None = None,
                payload: list[str] | None = None,
-               broadcast_bytes: int | None = None) -> DataFrame:
+               broadcast_bytes: int | None = None, dim: int | None = None) -> DataFrame:
     """Every query row keeps its columns and gains an array of hits.
 
     Broadcast path: a single ``select`` over the queries (no shuffle, no
@@ -390,7 +398,7 @@ def knn_arrays(queries: DataFrame, candidates: DataFrame, *, output_col: str = "
     """
     plan = plan_knn(candidates, k=k, metric=metric, id_col=candidate_id,
                     vector_col=candidate_vector, predicate=predicate, payload=payload,
-                    broadcast_bytes=broadcast_bytes)
+                    broadcast_bytes=broadcast_bytes, dim=dim)
     thr = None if threshold is None else F.lit(float(threshold))
     if plan.broadcastable:
         hits = plan.hits_column(F.col(query_vector))
