@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
-from ..session import ensure_checkpoint_dir
+from ..session import materialize as materialize_df
 
 VECTOR_TYPE = T.ArrayType(T.FloatType(), containsNull=False)
 EMBED_SCHEMA = T.StructType([
@@ -279,15 +279,14 @@ def embed_records(records: DataFrame, text_col: str, embedder, *,
                   out_col: str = "embedding", materialize: bool = True) -> EmbedResult:
     """Embed every record's text once per distinct text, cache first.
 
-    ``materialize`` writes the records with their text and hash once to the
-    shared checkpoint folder: the dedup, the join back and the statistics
+    ``materialize`` writes the records with their text and hash once to a
+    table in the shared checkpoint folder: the dedup, the join back and the statistics
     read it instead of re-running the text expressions (and Catalyst cannot
     push an expensive filter into the scan and evaluate it twice).
     """
     rec = records.withColumn("text_hash", F.when(~is_blank(text_col), TX.text_hash(text_col)))
     if materialize:
-        ensure_checkpoint_dir(rec.sparkSession)
-        rec = rec.checkpoint(eager=True)
+        rec = materialize_df(rec, "embed-records")
     distinct = (rec.where(F.col("text_hash").isNotNull())
                 .select("text_hash", F.col(text_col).alias("text"))
                 .dropDuplicates(["text_hash"]))                              # E4
@@ -305,7 +304,7 @@ def embed_records(records: DataFrame, text_col: str, embedder, *,
     if getattr(embedder, "expensive", False):
         # A real model is called once: the join-back, the cache write and the
         # statistics all read this reliable checkpoint (shared storage).
-        fresh = fresh.checkpoint(eager=True)
+        fresh = materialize_df(fresh, "embed-fresh")
     vectors = fresh.select("text_hash", "embedding", "source", "attempts", "errors",
                            "seconds", "error")
     if hits is not None:

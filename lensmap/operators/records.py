@@ -133,10 +133,10 @@ def knowledge_metadata(model: str) -> Column:
     return F.to_variant_object(F.map_concat(fixed, optional))
 
 
-def feedback_texts(records: DataFrame) -> DataFrame:
+def feedback_texts(records: DataFrame, id_prefix: str = "feedback") -> DataFrame:
     """T4 over scanned feedback records: adds ``id`` and ``text_for_embedding``."""
     from ..functions import text as TX
-    with_id = records.select("*", default_id("fb_id", "feedback").alias("id"))
+    with_id = records.select("*", default_id("fb_id", id_prefix).alias("id"))
     return TX.with_feedback_text(with_id, _str("raw_text"), _str("summary"))
 
 
@@ -177,10 +177,11 @@ def build_knowledge(records: DataFrame, embedder, *, cache=None):
 
 
 def build_feedback(records: DataFrame, embedder, knowledge: DataFrame | None, *,
-                   cache=None, metric: str = V.COSINE, broadcast_bytes: int | None = None):
+                   cache=None, metric: str = V.COSINE, broadcast_bytes: int | None = None,
+                   id_prefix: str = "feedback"):
     """R2: texts -> embeddings -> drop failed -> R3 mapping -> metadata -> entities."""
     from .embedding import embed_records
-    texts = feedback_texts(records)
+    texts = feedback_texts(records, id_prefix)
     res = embed_records(texts, "text_for_embedding", embedder, cache=cache, out_col="vector")
     mapped = map_feedback(res.embedded.withColumn("_row", F.col("gpos")), knowledge,
                           metric=metric, broadcast_bytes=broadcast_bytes, feedback_id="_row")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vector as V
+from ..session import materialize
 
 ENTITY_SCHEMA = T.StructType([
     T.StructField("id", T.StringType(), False),
@@ -199,7 +200,7 @@ class CollectionStore:
         v = m["version"] + 1
         new = (ok.withColumn("bucket", self._bucket(m))
                .withColumn("_seq", F.monotonically_increasing_id() + F.lit(1)))
-        new = new.checkpoint(eager=True)      # fixed input order, read twice below
+        new = materialize(new, "upsert")      # fixed input order, read twice below
         touched = [r[0] for r in new.select("bucket").distinct().collect()]  # <= num_buckets
         old = (self.read(name, buckets=touched)
                .withColumn("bucket", self._bucket(m)).withColumn("_seq", F.lit(0).cast("long")))

@@ -748,3 +748,30 @@ def s7_run_stats_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                      "similarity_metric": "COSINE"},
                                 saved_files=[sinks.KNOWLEDGE_JSON, sinks.FEEDBACK_JSON])
     return spark.read.json(path)
+
+
+# ---------------------------------------------------------------------------
+# Extension: incremental ingest with Structured Streaming
+# ---------------------------------------------------------------------------
+
+@register("X1_stream_ingest", f"""
+SELECT qk AS id, rank, id AS mapped_id, score FROM ({_topk_sql(_FB_SRC, _KN_SRC)})""")
+def x1_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive as JSON files; the stream maps and upserts them."""
+    from ..streaming.ingest import ingest_feedback
+    src = scratch(spark, "incoming")
+    d = load(spark, sf_dir, "documents")
+    (d.groupBy(F.floor(F.col("doc_id") / 50).alias("f"))
+     .agg(F.to_json(F.collect_list(F.struct(F.col("doc_id").alias("fb_id"),
+                                            F.col("text").alias("raw_text")))).alias("value"))
+     .select("value").write.option("maxRecordsPerFile", 1).text(src))
+    st = _knowledge_store(spark, sf_dir)
+    q = ingest_feedback(spark, src, store=st, knowledge=st.read("knowledge"),
+                        embedder=EM.HashEmbedder(TEXT_DIM), glob="*.txt",
+                        checkpoint_location=scratch(spark, "stream-ckpt"))
+    q.awaitTermination()
+    mp = F.try_variant_get("metadata", "$.mapped_perspectives",
+                           "array<struct<id string, score double>>")
+    return (st.read("feedback").select("id", F.posexplode(mp).alias("pos", "m"))
+            .select("id", (F.col("pos") + 1).cast("int").alias("rank"),
+                    F.col("m.id").alias("mapped_id"), r6("m.score").alias("score")))

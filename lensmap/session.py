@@ -69,3 +69,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def conf_int(spark: SparkSession, key: str, default: int) -> int:
     v = spark.conf.get(key, None)
     return int(v) if v not in (None, "") else int(default)
+
+
+def materialize(df, what: str = "stage"):
+    """Write ``df`` once to a Parquet table under the shared checkpoint folder
+    and read it back.
+
+    Cuts the lineage like ``checkpoint()``, survives executor loss (the data
+    is on shared storage), and - unlike a checkpointed plan, whose inherited
+    constraints can break later unions in Catalyst - reads back as a plain
+    table scan with pruning and pushdown.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/lensmap-{what}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

@@ -121,3 +121,22 @@ def test_sinks(spark, knowledge_dir, tmp_path):
                               saved_files=[sinks.KNOWLEDGE_JSON])
     row = spark.read.json(sp).first()
     assert row.processing_stats.knowledge_records == 5 and row.settings.vector_dim == 8
+
+
+def test_run_mapping_end_to_end(spark, knowledge_dir, tmp_path):
+    from lensmap.plans.mapping_run import run_mapping
+    d = tmp_path / "fb"
+    write(d, "x.json", [{"fb_id": "f1", "raw_text": "太贵了"}, {"raw_text": "服务很好"}])
+    write(d, "y.json", "[broken", raw=True)
+    emb = HashEmbedder(dim=16)
+    kw = dict(store_root=str(tmp_path / "store"), out_dir=str(tmp_path / "out"), embedder=emb,
+              cache_path=str(tmp_path / "cache"))
+    res = run_mapping(spark, knowledge_dir, str(d), **kw)
+    s = res.summary.first()
+    assert (s.knowledge_records, s.feedback_records) == (5, 2)
+    assert s.status == "部分成功" and s.error_count == 2          # two unparsable files
+    assert {r.name: r.row_count for r in res.collections.collect()} == {"knowledge": 5, "feedback": 2}
+    assert spark.read.json(str(tmp_path / "out" / "processing_stats.json")).count() == 1
+    # a second run reuses the cache and upserts: same rows, no duplicates
+    res2 = run_mapping(spark, knowledge_dir, str(d), **kw)
+    assert res2.feedback.count() == 2 and res2.knowledge.count() == 5
