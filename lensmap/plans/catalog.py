@@ -775,3 +775,24 @@ def x1_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (st.read("feedback").select("id", F.posexplode(mp).alias("pos", "m"))
             .select("id", (F.col("pos") + 1).cast("int").alias("rank"),
                     F.col("m.id").alias("mapped_id"), r6("m.score").alias("score")))
+
+
+# ---------------------------------------------------------------------------
+# IVF cells (k-means) with probing
+# ---------------------------------------------------------------------------
+
+def _ivf_query(nprobe: int, nlist: int = 16):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..operators import ivf
+        ent = embedding_entities(spark, sf_dir)
+        index = ivf.build_ivf(ent, nlist=nlist, metric=V.COSINE)
+        q = ent.select(F.col("id").alias("query_id"), "vector")
+        out = ivf.ivf_search(q, index, k=5, nprobe=nprobe)
+        return out.select("query_id", "rank", "id", r6("distance").alias("distance"),
+                          r6("score").alias("score"))
+    return run
+
+
+# Probing every cell is exact: same oracle as V1.
+register("V11_ivf_search", _knn_sql(V.COSINE, 5))(_ivf_query(nprobe=16))
+register("V11_ivf_partial_probe")(_ivf_query(nprobe=4))
