@@ -142,14 +142,19 @@ def t2_knowledge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text_for_embedding")
 
 
-_SUMMARY_SQL = "lag(text) OVER (PARTITION BY conv_id ORDER BY turn)"
+_SUMMARY_SQL = ("(SELECT p.text FROM conversations p "
+                "WHERE p.conv_id = conversations.conv_id AND p.turn = conversations.turn - 1)")
 
 
 def _conversation_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as feedback; the previous turn serves as summary."""
+    """Conversation turns as feedback; the text of turn - 1 serves as summary.
+
+    An equi-join on the unique (conv_id, turn) key rather than a window over
+    conv_id: one very long conversation cannot land in a single task.
+    """
     c = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return c.withColumn("summary", F.lag("text").over(w))
+    prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("summary"))
+    return c.join(prev, ["conv_id", "turn"], "left")
 
 
 @register("T4_feedback_text", f"""
