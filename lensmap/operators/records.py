@@ -189,3 +189,20 @@ def build_feedback(records: DataFrame, embedder, knowledge: DataFrame | None, *,
                         feedback_metadata(embedder.model).alias("metadata"))
     res.entities = ent
     return res
+
+
+class UnknownRecordType(ValueError):
+    pass
+
+
+def build_dictionary(data_type: str, records: DataFrame, embedder, *,
+                     knowledge: DataFrame | None = None, cache=None, **kw):
+    """Dispatch on the record type - 'knowledge' (R1) or 'feedback' (R2).
+
+    Any other type raises; an empty input simply yields empty results.
+    """
+    if data_type == "knowledge":
+        return build_knowledge(records, embedder, cache=cache)
+    if data_type == "feedback":
+        return build_feedback(records, embedder, knowledge, cache=cache, **kw)
+    raise UnknownRecordType(f"unknown data type: {data_type}")

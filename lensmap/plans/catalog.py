@@ -801,3 +801,47 @@ def _ivf_query(nprobe: int, nlist: int = 16):
 # Probing every cell is exact: same oracle as V1.
 register("V11_ivf_search", _knn_sql(V.COSINE, 5))(_ivf_query(nprobe=16))
 register("V11_ivf_partial_probe")(_ivf_query(nprobe=4))
+
+
+# ---------------------------------------------------------------------------
+# V1-V4 as column expressions: every vector against its label's centroid
+# ---------------------------------------------------------------------------
+
+def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vector per label: (label, centroid array<double>).
+
+    Element-wise mean via posexplode + groupBy(label, i) (partial aggregation
+    absorbs a hot label); each centroid collects ``dim`` values.
+    """
+    e = load(spark, sf_dir, "embeddings")
+    comp = (e.select("label", F.posexplode("embedding").alias("i", "x"))
+            .groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m")))
+    return comp.groupBy("label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
+        .alias("centroid"))
+
+
+@register("V4_score", """
+WITH comp AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m
+              FROM (SELECT label, unnest(embedding) AS x,
+                           generate_subscripts(embedding, 1) AS i FROM embeddings)
+              GROUP BY label, i),
+cen AS (SELECT label, list(m ORDER BY i) AS c FROM comp GROUP BY label),
+d AS (SELECT e.vec_id,
+             list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), cen.c) AS cs,
+             pow(list_distance(CAST(e.embedding AS DOUBLE[]), cen.c), 2) AS l2,
+             list_dot_product(CAST(e.embedding AS DOUBLE[]), cen.c) AS ip
+      FROM embeddings e JOIN cen USING (label))
+SELECT vec_id, round(cs, 6) AS cosine, round((cs + 1) / 2, 6) AS cosine_score,
+       round(l2, 6) AS l2, round(1 / (1 + l2), 6) AS l2_score,
+       round(ip, 6) AS ip, round(greatest(0, least(1, ip)), 6) AS ip_score FROM d""")
+def v4_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    j = e.join(label_centroids(spark, sf_dir), "label")      # 1 row per label
+    cs = V.cosine_similarity("embedding", "centroid")
+    l2 = V.l2_squared("embedding", "centroid")
+    ip = V.dot("embedding", "centroid")
+    return j.select("vec_id", F.round(cs, 6).alias("cosine"),
+                    F.round(V.score(cs, V.COSINE), 6).alias("cosine_score"),
+                    F.round(l2, 6).alias("l2"), F.round(V.score(l2, V.L2), 6).alias("l2_score"),
+                    F.round(ip, 6).alias("ip"), F.round(V.score(ip, V.IP), 6).alias("ip_score"))

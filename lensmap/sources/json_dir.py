@@ -45,7 +45,25 @@ def _has_json(spark: SparkSession, path: str, suffix: str = ".json") -> bool:
     return False
 
 
-def read_json_files(spark: SparkSession, directory: str, glob: str = "*.json") -> DataFrame:
+def _strict_json(batches):
+    """Parse each file with Python's json (the reference's parser) and hand
+    Spark a normalised text: trailing garbage makes a file bad; duplicate keys
+    resolve last-wins as in Python."""
+    import json
+
+    import pandas as pd
+    for pdf in batches:
+        out = []
+        for v in pdf["value"]:
+            try:
+                out.append(json.dumps(json.loads(v), ensure_ascii=False))
+            except Exception:
+                out.append(None)
+        yield pd.DataFrame({"file": pdf["file"], "value": pdf["value"], "norm": out})
+
+
+def read_json_files(spark: SparkSession, directory: str, glob: str = "*.json",
+                    strict: bool = False) -> DataFrame:
     """One row per ``*.json`` file (non-recursive): (file, value, doc VARIANT).
 
     S3: a missing directory raises; a directory without JSON gives no rows.
@@ -58,6 +76,12 @@ def read_json_files(spark: SparkSession, directory: str, glob: str = "*.json") -
     raw = (spark.read.option("pathGlobFilter", glob)
            .text(directory, wholetext=True)
            .select(F.col("_metadata.file_path").alias("file"), "value"))
+    if strict:
+        # Optional: Spark's parser accepts trailing garbage after a value and
+        # rejects duplicate keys; Python's json does the opposite.  One file
+        # per row, validated in Arrow batches.
+        norm = raw.mapInPandas(_strict_json, "file string, value string, norm string")
+        return norm.select("file", "value", F.try_parse_json("norm").alias("doc"))
     return raw.withColumn("doc", F.try_parse_json("value"))
 
 
@@ -80,10 +104,10 @@ def explode_records(files: DataFrame) -> DataFrame:
                     (F.col("offset") + F.col("pos")).cast("long").alias("gpos")))
 
 
-def scan_json_dir(spark: SparkSession, directory: str,
-                  glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
+def scan_json_dir(spark: SparkSession, directory: str, glob: str = "*.json",
+                  strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """S1+S2: (records, bad_files) of a directory."""
-    files = read_json_files(spark, directory, glob)
+    files = read_json_files(spark, directory, glob, strict)
     if not files.columns or "doc" not in files.columns:
         return spark.createDataFrame([], RECORD_SCHEMA), spark.createDataFrame([], "file string, error string")
     return explode_records(files), bad_files(files)

@@ -140,3 +140,18 @@ def test_run_mapping_end_to_end(spark, knowledge_dir, tmp_path):
     # a second run reuses the cache and upserts: same rows, no duplicates
     res2 = run_mapping(spark, knowledge_dir, str(d), **kw)
     assert res2.feedback.count() == 2 and res2.knowledge.count() == 5
+
+
+def test_strict_json_and_dispatch(spark, tmp_path):
+    d = tmp_path / "s"
+    write(d, "a.json", '[{"x": 1}] trailing', raw=True)
+    write(d, "b.json", '{"x": 1, "x": 2}', raw=True)
+    loose_rec, loose_bad = json_dir.scan_json_dir(spark, str(d))
+    strict_rec, strict_bad = json_dir.scan_json_dir(spark, str(d), strict=True)
+    name = lambda df: sorted(r.file.rsplit("/", 1)[1] for r in df.collect())
+    assert name(loose_bad) == ["b.json"] and name(strict_bad) == ["a.json"]
+    assert strict_rec.select(F.try_variant_get("item", "$.x", "int")).first()[0] == 2
+    with pytest.raises(R.UnknownRecordType):
+        R.build_dictionary("other", strict_rec, HashEmbedder(dim=4))
+    empty = spark.createDataFrame([], json_dir.RECORD_SCHEMA)
+    assert R.build_dictionary("knowledge", empty, HashEmbedder(dim=4)).entities.count() == 0
