@@ -88,7 +88,7 @@ def _score_group(metric: str, k: int):
             norms = norms * norms
         keep = np.isfinite(norms) & ((norms > 0) if metric == V.COSINE else True)
         ids = cpdf["id"].to_numpy()[keep]
-        m = {"mat": mat[keep], "norms": norms[keep]}
+        m = knn._matrix(ids, np.ascontiguousarray(mat[keep]), norms[keep], {})
         q = np.stack(qpdf["vector"].to_numpy()).astype(np.float64)
         key, idx = knn.score_block(q, m, metric, k, 4096)
         fin = np.isfinite(key)

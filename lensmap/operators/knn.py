@@ -102,8 +102,14 @@ def measure_candidates(cand: DataFrame, payload: list[str] | None = None,
 
 
 def _matrix(ids, mat, norms, payload) -> dict:
-    """What every executor holds for a candidate tile: plain picklable values."""
-    return {"ids": ids, "mat": mat, "norms": norms, "payload": payload}
+    """What every executor holds for a candidate tile: plain picklable values.
+
+    ``norms`` are L2 norms (squared for the L2 metric); ``cmax`` is the
+    largest L2 norm, used by the float32 error bound.
+    """
+    m64 = mat.astype(np.float64) if len(mat) else np.zeros((0, 1))
+    cmax = float(np.sqrt(np.einsum("ij,ij->i", m64, m64)).max()) if len(mat) else 0.0
+    return {"ids": ids, "mat": mat, "norms": norms, "payload": payload, "cmax": cmax}
 
 
 def _collect_matrix(cand: DataFrame, dim: int, metric: str,
@@ -164,39 +170,175 @@ def _topk_merge(best_key, best_idx, key, idx, k):
     return selk, seli
 
 
+def _score_block_f64(q: np.ndarray, m: dict, metric: str, k: int,
+                     tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """Reference path: every score in float64 (used for rows the fast path
+    cannot certify)."""
+    b, n = q.shape[0], m["mat"].shape[0]
+    kk = min(k, n)
+    best_key = np.full((b, 0), np.inf)
+    best_idx = np.zeros((b, 0), dtype=np.int64)
+    qn = _query_norms(q, metric)
+    for s in range(0, n, tile):
+        e = min(n, s + tile)
+        key = _keys(q @ m["mat"][s:e].astype(np.float64).T, qn, m["norms"][s:e], metric)
+        idx = np.broadcast_to(np.arange(s, e, dtype=np.int64), key.shape)
+        best_key, best_idx = _topk_merge(best_key, best_idx, key, idx, kk)
+    return _sorted(best_key, best_idx)
+
+
+def _query_norms(q: np.ndarray, metric: str):
+    if metric == V.COSINE:
+        return np.sqrt(np.einsum("ij,ij->i", q, q))
+    if metric == V.L2:
+        return np.einsum("ij,ij->i", q, q)
+    return None
+
+
+def _keys(dots: np.ndarray, qn, cn, metric: str) -> np.ndarray:
+    """Ascending order keys from dot products (float64); +inf = no score."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if metric == V.COSINE:
+            key = -(dots / (qn[:, None] * cn[None, :]))
+        elif metric == V.L2:
+            key = np.maximum(qn[:, None] + cn[None, :] - 2.0 * dots, 0.0)
+        else:
+            key = -dots
+    key[~np.isfinite(key)] = np.inf
+    return key
+
+
+def _sorted(key, idx):
+    if key.shape[1]:
+        o = np.lexsort((idx, key), axis=1)
+        key = np.take_along_axis(key, o, axis=1)
+        idx = np.take_along_axis(idx, o, axis=1)
+    return key, idx
+
+
+SHORTLIST_SLACK = 16
+F32_UNIT = 2.0 ** -24
+
+
+def _prepared(m: dict, metric: str) -> np.ndarray:
+    """float32 matrix whose product with the (augmented) query block is the
+    ascending ranking key; built once per executor process and kept in the
+    broadcast value.
+
+    COSINE: -c/|c|  (query normalised)      -> -cos
+    L2:     [-2c, |c|^2] (query gets a 1)   -> |c|^2 - 2 q.c  (= key - |q|^2)
+    IP:     -c                              -> -q.c
+    """
+    key = "_prep_" + metric
+    if key not in m:
+        c = m["mat"].astype(np.float64)
+        if metric == V.COSINE:
+            p = -(c / m["norms"][:, None])
+        elif metric == V.L2:
+            p = np.concatenate([-2.0 * c, m["norms"][:, None]], axis=1)
+        else:
+            p = -c
+        m[key] = np.ascontiguousarray(p.astype(np.float32))
+    return m[key]
+
+
+def _shortlist_merge(best_key, best_idx, key, s, k2):
+    """Best k2 of the tile (selected in place), then merged with the running
+    best - the full tile is never copied."""
+    if key.shape[1] > k2:
+        part = np.argpartition(key, k2 - 1, axis=1)[:, :k2]
+        key = np.take_along_axis(key, part, axis=1)
+        idx = part.astype(np.int64) + s
+    else:
+        idx = np.broadcast_to(np.arange(s, s + key.shape[1], dtype=np.int64), key.shape)
+    allk = np.concatenate([best_key, key], axis=1)
+    alli = np.concatenate([best_idx, idx], axis=1)
+    if allk.shape[1] <= k2:
+        return allk, alli
+    part = np.argpartition(allk, k2 - 1, axis=1)[:, :k2]
+    return np.take_along_axis(allk, part, axis=1), np.take_along_axis(alli, part, axis=1)
+
+
 def score_block(q: np.ndarray, m: dict, metric: str, k: int,
                 tile: int) -> tuple[np.ndarray, np.ndarray]:
     """Exact top-k of one query block against the whole matrix.
 
     Returns (key, idx) of shape (b, k'), sorted by (key, idx); key is the
-    ascending order key, +inf marks "no hit".
+    ascending order key in float64, +inf marks "no hit".
+
+    Fast path: one float32 BLAS product per tile yields a ranking key
+    directly; the best ``k + 16`` per query form a shortlist that is
+    rescored in float64 and ranked.  The float32 keys are within a bound B
+    of the exact ones (a dot product of length d is off by at most
+    gamma_d |q| |c|, gamma_d ~ d 2^-24, plus the roundings of the prepared
+    matrix), so no candidate outside the shortlist can enter the top-k when
+    the shortlist's last key exceeds the k-th one by more than 2B.  Rows
+    that cannot be certified so are recomputed fully in float64: results
+    equal the float64 computation.
     """
     b, n = q.shape[0], m["mat"].shape[0]
     kk = min(k, n)
-    best_key = np.full((b, 0), np.inf)
-    best_idx = np.zeros((b, 0), dtype=np.int64)
+    if b == 0 or kk == 0:
+        return np.full((b, 0), np.inf), np.zeros((b, 0), dtype=np.int64)
+    d = q.shape[1]
+    k2 = min(n, kk + SHORTLIST_SLACK)
+    prep = _prepared(m, metric)
+    qabs = np.sqrt(np.einsum("ij,ij->i", q, q))
     if metric == V.COSINE:
-        qn = np.sqrt(np.einsum("ij,ij->i", q, q))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            qa = (q / qabs[:, None]).astype(np.float32)
     elif metric == V.L2:
-        qn = np.einsum("ij,ij->i", q, q)
+        qa = np.concatenate([q, np.ones((b, 1))], axis=1).astype(np.float32)
+    else:
+        qa = q.astype(np.float32)
+    best_key = np.full((b, 0), np.inf, dtype=np.float32)
+    best_idx = np.zeros((b, 0), dtype=np.int64)
     for s in range(0, n, tile):
         e = min(n, s + tile)
-        dots = q @ m["mat"][s:e].astype(np.float64).T
-        if metric == V.COSINE:
-            with np.errstate(divide="ignore", invalid="ignore"):
-                key = -(dots / (qn[:, None] * m["norms"][None, s:e]))
-        elif metric == V.L2:
-            key = np.maximum(qn[:, None] + m["norms"][None, s:e] - 2.0 * dots, 0.0)
-        else:
-            key = -dots
-        key[~np.isfinite(key)] = np.inf
-        idx = np.broadcast_to(np.arange(s, e, dtype=np.int64), key.shape)
-        best_key, best_idx = _topk_merge(best_key, best_idx, key, idx, kk)
-    if best_key.shape[1]:
-        o = np.lexsort((best_idx, best_key), axis=1)
-        best_key = np.take_along_axis(best_key, o, axis=1)
-        best_idx = np.take_along_axis(best_idx, o, axis=1)
-    return best_key, best_idx
+        best_key, best_idx = _shortlist_merge(best_key, best_idx, qa @ prep[s:e].T, s, k2)
+    best_key = best_key.astype(np.float64)
+    best_key[~np.isfinite(best_key)] = np.inf
+    o = np.argsort(best_key, axis=1, kind="stable")
+    best_key = np.take_along_axis(best_key, o, axis=1)
+    best_idx = np.take_along_axis(best_idx, o, axis=1)
+    # Bound B of |float32 key - exact key| per query (generous constants).
+    gamma = 2.0 * (d + 4) * F32_UNIT
+    cmax = m["cmax"]
+    if metric == V.COSINE:
+        bound = np.full(b, 3.0 * gamma)
+    elif metric == V.L2:
+        bound = 2.0 * gamma * (qabs * cmax + cmax * cmax + 1.0)
+    else:
+        bound = gamma * (qabs * cmax + 1.0)
+    kth = best_key[:, kk - 1]
+    certain = ~np.isfinite(kth) | (k2 >= n) | (best_key[:, k2 - 1] > kth + 2.0 * bound)
+    if metric == V.COSINE:
+        certain &= qabs > 0
+    # Exact rescoring of the shortlist in float64.
+    out_key = np.full((b, kk), np.inf)
+    out_idx = np.zeros((b, kk), dtype=np.int64)
+    qn = _query_norms(q, metric)
+    ok_rows = np.nonzero(certain)[0]
+    for c0 in range(0, len(ok_rows), 256):
+        rows = ok_rows[c0:c0 + 256]
+        ids = best_idx[rows]
+        cand = m["mat"][ids].astype(np.float64)                # (r, k2, d)
+        dots = np.einsum("rkd,rd->rk", cand, q[rows])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if metric == V.COSINE:
+                key = -(dots / (qn[rows][:, None] * m["norms"][ids]))
+            elif metric == V.L2:
+                key = np.maximum(qn[rows][:, None] + m["norms"][ids] - 2.0 * dots, 0.0)
+            else:
+                key = -dots
+        key[~np.isfinite(key) | ~np.isfinite(best_key[rows])] = np.inf
+        key, ids = _sorted(key, ids)
+        out_key[rows], out_idx[rows] = key[:, :kk], ids[:, :kk]
+    redo = np.nonzero(~certain & ((qabs > 0) | (metric != V.COSINE)))[0]
+    if len(redo):
+        rk, ri = _score_block_f64(q[redo], m, metric, k, tile)
+        out_key[redo], out_idx[redo] = rk, ri
+    return out_key, out_idx
 
 
 def _key_to_distance_score(key: np.ndarray, metric: str):

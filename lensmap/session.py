@@ -38,7 +38,12 @@ def build_session(master: str | None = None, app: str = "lensmap",
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.driver.memory", os.environ.get("LENSMAP_DRIVER_MEMORY", "16g"))
-         .config("spark.python.worker.reuse", "true"))
+         .config("spark.python.worker.reuse", "true")
+         # One BLAS thread per Python worker: the cores are already busy with
+         # one task each; nested BLAS threads only oversubscribe them.
+         .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
+         .config("spark.executorEnv.OMP_NUM_THREADS", "1")
+         .config("spark.executorEnv.MKL_NUM_THREADS", "1"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():

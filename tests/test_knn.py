@@ -130,3 +130,36 @@ def test_plan_has_no_exchange_on_query_side(spark):
     plan = knn.knn_join(qdf, cdf, k=5)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "CartesianProduct" not in plan \
         and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_mass_ties_take_the_exact_path(spark):
+    # 40 identical candidates (more than k + shortlist slack) plus noise:
+    # the float32 shortlist cannot certify the cut, the row is redone in
+    # float64 and ties still break by id.
+    rows = [(f"t{i:02d}", [1.0, 2.0, 3.0]) for i in range(40)]
+    rows += [(f"n{i:02d}", [float(i), -1.0, 0.5]) for i in range(30)]
+    cand = spark.createDataFrame(rows, "id string, vector array<float>")
+    q = spark.createDataFrame([("q", [1.0, 2.0, 3.0])], "query_id string, vector array<float>")
+    for metric in ("COSINE", "L2", "IP"):
+        got = [r.id for r in knn.knn_join(q, cand, k=5, metric=metric).orderBy("rank").collect()]
+        if metric == "IP":
+            exp = [r[0] for r in sorted(rows, key=lambda r: (-float(np.dot(r[1], [1, 2, 3])), r[0]))[:5]]
+        else:
+            exp = ["t00", "t01", "t02", "t03", "t04"]
+        assert got == exp, metric
+
+
+def test_score_block_certified_equals_float64():
+    rng = np.random.default_rng(11)
+    mat = rng.normal(size=(3000, 48)).astype(np.float32)
+    ids = None
+    for metric in ("COSINE", "L2", "IP"):
+        norms = np.sqrt(np.einsum("ij,ij->i", mat.astype(np.float64), mat.astype(np.float64)))
+        if metric == "L2":
+            norms = norms * norms
+        m = knn._matrix(ids, mat, norms, {})
+        q = rng.normal(size=(300, 48)).astype(np.float32).astype(np.float64)
+        a = knn.score_block(q, m, metric, 10, 1024)
+        b = knn._score_block_f64(q, m, metric, 10, 1024)
+        assert (a[1] == b[1]).all()
+        assert np.allclose(a[0], b[0], rtol=0, atol=1e-12)
