@@ -78,6 +78,7 @@ def build_ivf(candidates: DataFrame, *, nlist: int, metric: str = V.COSINE,
 
 def _score_group(metric: str, k: int):
     def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        knn.limit_blas_threads()
         if qpdf.empty or cpdf.empty:
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
         cpdf = cpdf.sort_values("id", kind="stable")

@@ -351,10 +351,39 @@ def _key_to_distance_score(key: np.ndarray, metric: str):
     return d, np.clip(d, 0.0, 1.0)
 
 
+_BLAS_LIMITED = []
+
+
+def limit_blas_threads() -> None:
+    """One BLAS thread per task, once per Python worker, unless the platform
+    already chose (``OPENBLAS_NUM_THREADS``).  Each Spark task owns one core;
+    nested BLAS threads only oversubscribe it.  Best effort, no effect on
+    results."""
+    if _BLAS_LIMITED:
+        return
+    _BLAS_LIMITED.append(True)
+    import os
+    if os.environ.get("OPENBLAS_NUM_THREADS"):
+        return
+    try:
+        import ctypes
+        import glob
+        libdir = os.path.dirname(np.__file__) + ".libs"
+        for path in glob.glob(os.path.join(libdir, "*openblas*.so*")):
+            lib = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(lib, name):
+                    getattr(lib, name)(1)
+                    return
+    except Exception:
+        pass
+
+
 def _make_scorer(bc, dim: int, metric: str, k: int, payload_names: list[str],
                  qblock: int, tile: int, out_type: T.DataType):
 
     def score_arrow(vectors: pa.Array) -> pa.Array:
+        limit_blas_threads()
         m = bc.value
         if isinstance(vectors, pa.ChunkedArray):
             vectors = vectors.combine_chunks()
