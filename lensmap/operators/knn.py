@@ -29,6 +29,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,24 +82,25 @@ def prepare_candidates(candidates: DataFrame, *, id_col: str = "id",
 
 def measure_candidates(cand: DataFrame, payload: list[str] | None = None,
                        dim: int | None = None) -> dict:
-    """Row count, dimension and bytes to ship, from two small aggregates.
+    """Row count, dimension and bytes to ship - one grouped aggregate.
 
     ``dim`` is the declared dimension (a collection's manifest); without it
     the most common vector length is used.  Rows of any other length cannot
-    be scored (C5) and are neither counted nor shipped.
+    be scored (C5) and are neither counted nor shipped.  The aggregate has
+    one row per distinct vector length, so collecting it is bounded.
     """
-    if dim is None:
-        top = (cand.groupBy(F.size("vector").alias("d")).count()
-               .orderBy(F.col("count").desc(), F.col("d").asc()).first())
-        dim = int(top["d"]) if top is not None else None
-    if dim is None:
-        return {"n": 0, "dim": None, "bytes": 0}
-    per_row = F.octet_length("id") + F.lit(dim * 4)
+    per_row = F.octet_length("id") + F.size("vector") * 4
     for p in payload or []:
         per_row = per_row + F.coalesce(F.octet_length(F.col(p).cast("string")), F.lit(0))
-    r = cand.where(F.size("vector") == dim).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(per_row.cast("long")).alias("bytes")).first()
-    return {"n": int(r["n"] or 0), "dim": dim, "bytes": int(r["bytes"] or 0)}
+    by_len = (cand.groupBy(F.size("vector").alias("d"))
+              .agg(F.count(F.lit(1)).alias("n"), F.sum(per_row.cast("long")).alias("bytes"))
+              .collect())
+    if dim is None and by_len:
+        dim = int(sorted(by_len, key=lambda r: (-r["n"], r["d"]))[0]["d"])
+    row = next((r for r in by_len if r["d"] == dim), None)
+    if dim is None or row is None:
+        return {"n": 0, "dim": dim, "bytes": 0}
+    return {"n": int(row["n"]), "dim": int(dim), "bytes": int(row["bytes"] or 0)}
 
 
 def _matrix(ids, mat, norms, payload) -> dict:
@@ -446,6 +448,8 @@ class KnnPlan:
 
     def _scorer(self, cand: DataFrame) -> Column:
         m = _collect_matrix(cand, self.dim, self.metric, self.payload)
+        if self.broadcastable:
+            self.cand.unpersist()
         bc = self.spark.sparkContext.broadcast(m)
         self._broadcasts.append(bc)
         qb = conf_int(self.spark, KNN_QUERY_BLOCK, KNN_QUERY_BLOCK_DEFAULT)
@@ -494,6 +498,7 @@ class KnnPlan:
              .select(query_id, "h.*").drop("rank")
              .write.mode("overwrite").parquet(f"{run_dir}/tile={t}"))
             self.release()
+        self.cand.unpersist()
         parts = self.spark.read.parquet(run_dir).drop("tile")
         key = V.order_key(F.col("distance"), self.metric)
         w = Window.partitionBy(query_id).orderBy(key.asc(), F.col("id").asc())
@@ -524,6 +529,8 @@ def plan_knn(candidates: DataFrame, *, k: int | None = DEFAULT_K, metric: str =
     payload = list(payload or [])
     cand = prepare_candidates(candidates, id_col=id_col, vector_col=vector_col,
                               metric=metric, predicate=predicate, payload=payload)
+    # Measured, then collected (or tiled): computed once, kept until released.
+    cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
     stats = measure_candidates(cand, payload, dim)
     dim = stats["dim"]
     cand = cand.where(F.size("vector") == dim) if dim is not None else cand
