@@ -208,7 +208,10 @@ class CollectionStore:
         merged = (old.unionByName(new)
                   .withColumn("_rn", F.row_number().over(w))
                   .where(F.col("_rn") == 1).drop("_rn", "_seq"))
-        merged.write.partitionBy("bucket").mode("errorifexists").parquet(f"{self.root}/{name}/v={v}")
+        # Ids are unique now, so buckets are balanced: cluster by bucket and
+        # write about one file per bucket instead of one per task and bucket.
+        merged.repartition(max(1, len(touched)), "bucket").write.partitionBy("bucket") \
+            .mode("errorifexists").parquet(f"{self.root}/{name}/v={v}")
         buckets = {b: list(vs) for b, vs in m["buckets"].items()}
         for b in touched:
             buckets[str(b)] = [v]
