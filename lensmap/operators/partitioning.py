@@ -47,3 +47,12 @@ def running_offsets(df: DataFrame, order_cols: list[str], count_col: str,
     return (local.join(F.broadcast(starts), "_part")
             .withColumn(out_col, (F.col("_start") + F.col("_local")).cast("long"))
             .drop("_part", "_start", "_local"))
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, budget: int = 64 * 1024 * 1024) -> DataFrame:
+    """Broadcast ``df`` only after proving its size: count its rows (one small
+    job) and compare rows x row_bytes with the budget; otherwise leave the
+    join to a shuffle (and AQE)."""
+    from pyspark.sql import functions as F
+    n = df.count()
+    return F.broadcast(df) if n * max(1, row_bytes) <= budget else df

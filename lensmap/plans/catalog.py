@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..functions import vector as V
 from ..operators import knn, records
-from ..operators.partitioning import spread
+from ..operators.partitioning import broadcast_if_small, spread
 from ..sources.tables import load
 from . import sqltext as S
 
@@ -837,7 +837,11 @@ SELECT vec_id, round(cs, 6) AS cosine, round((cs + 1) / 2, 6) AS cosine_score,
        round(ip, 6) AS ip, round(greatest(0, least(1, ip)), 6) AS ip_score FROM d""")
 def v4_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    j = e.join(label_centroids(spark, sf_dir), "label")      # 1 row per label
+    dim = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    # One centroid per label; broadcast once its size is proven, so a hot
+    # label does not concentrate the vectors side on one task.
+    cen = broadcast_if_small(label_centroids(spark, sf_dir), row_bytes=8 * dim + 16)
+    j = e.join(cen, "label")
     cs = V.cosine_similarity("embedding", "centroid")
     l2 = V.l2_squared("embedding", "centroid")
     ip = V.dot("embedding", "centroid")
@@ -845,3 +849,40 @@ def v4_score(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round(V.score(cs, V.COSINE), 6).alias("cosine_score"),
                     F.round(l2, 6).alias("l2"), F.round(V.score(l2, V.L2), 6).alias("l2_score"),
                     F.round(ip, 6).alias("ip"), F.round(V.score(ip, V.IP), 6).alias("ip_score"))
+
+
+# ---------------------------------------------------------------------------
+# The paths that take over at scale, checked on whole tables
+# ---------------------------------------------------------------------------
+
+def _knn_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5 with a broadcast budget below the catalogue's size: the candidates
+    are cut into hash tiles, scored tile by tile, merged per query."""
+    ent = embedding_entities(spark, sf_dir)
+    queries = ent.select(F.col("id").alias("query_id"), "vector")
+    out = knn.knn_join(queries, ent, k=10, metric=V.COSINE, broadcast_bytes=48 * 1024)
+    return out.select("query_id", "rank", "id", r6("distance").alias("distance"),
+                      r6("score").alias("score"))
+
+
+register("V5_knn_join_tiled", _knn_sql(V.COSINE, 10))(_knn_tiled)
+
+
+@register("S1_json_lines_scan", """
+SELECT doc_id, text, lang, source, n_chars, CAST(count(*) OVER () AS BIGINT) AS records
+FROM documents""")
+def s1_json_lines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines (one record per line, splittable) and
+    read back with positions."""
+    out = scratch(spark, "jsonl")
+    load(spark, sf_dir, "documents").write.json(out)
+    rec, _ = json_dir.scan_json_lines(spark, out)
+    g = lambda k, t: F.try_variant_get("item", f"$.{k}", t).alias(k)
+    # One-row check that the positions are exactly 0..n-1, attached to every
+    # record by a broadcast equi-join on a constant (the small side is 1 row).
+    n = (rec.agg(F.count(F.lit(1)).alias("records"), F.max("gpos").alias("mx"))
+         .where(F.col("mx") == F.col("records") - 1)
+         .select(F.lit(1).alias("_one"), "records"))
+    return (rec.select(F.lit(1).alias("_one"), g("doc_id", "bigint"), g("text", "string"),
+                       g("lang", "string"), g("source", "string"), g("n_chars", "bigint"))
+            .join(F.broadcast(n), "_one").drop("_one"))
