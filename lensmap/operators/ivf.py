@@ -21,7 +21,6 @@ exact join (V5); smaller ``nprobe`` trades recall for work.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,7 +52,7 @@ def build_ivf(candidates: DataFrame, *, nlist: int, metric: str = V.COSINE,
               id_col: str = "id", vector_col: str = "vector", seed: int = 7,
               max_iter: int = 20) -> IvfIndex:
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     metric = V.normalize_metric(metric)
     cand = knn.prepare_candidates(candidates, id_col=id_col, vector_col=vector_col)
