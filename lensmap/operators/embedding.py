@@ -285,6 +285,8 @@ def embed_records(records: DataFrame, text_col: str, embedder, *,
     push an expensive filter into the scan and evaluate it twice).
     """
     rec = records.withColumn("text_hash", F.when(~is_blank(text_col), TX.text_hash(text_col)))
+    if cache is None and not getattr(embedder, "expensive", True) and hasattr(embedder, "column"):
+        return _embed_inline(rec, text_col, embedder, out_col)
     if materialize:
         rec = materialize_df(rec, "embed-records")
     distinct = (rec.where(F.col("text_hash").isNotNull())
@@ -320,6 +322,26 @@ def embed_records(records: DataFrame, text_col: str, embedder, *,
     return EmbedResult(joined.drop("_embed_error"), vectors, fresh, embedded, failed, out_col)
 
 
+def _embed_inline(rec: DataFrame, text_col: str, embedder, out_col: str) -> EmbedResult:
+    """A cheap deterministic embedder without a cache: embedding a text costs
+    less than deduplicating and joining it back, so every record is embedded
+    in place - one pass, no shuffle.  ``vectors`` (one row per distinct
+    hash, for the statistics) is only computed if asked for."""
+    joined = rec.withColumn(out_col, embedder.column(text_col))
+    vectors = (joined.where(F.col("text_hash").isNotNull())
+               .select("text_hash", F.col(out_col).alias("embedding"))
+               .dropDuplicates(["text_hash"])
+               .select("text_hash", "embedding", F.lit("model").alias("source"),
+                       F.lit(1).alias("attempts"), F.lit(0).alias("errors"),
+                       F.lit(0.0).alias("seconds"), F.lit(None).cast("string").alias("error")))
+    embedded = joined.where(F.col(out_col).isNotNull())
+    failed = (joined.where(F.col(out_col).isNull())
+              .withColumn("reason", F.when(F.col("text_hash").isNull(), F.lit("blank text"))
+                          .otherwise(F.lit("embedding failed")))
+              .drop(out_col))
+    return EmbedResult(joined, vectors, vectors.drop("source"), embedded, failed, out_col)
+
+
 def embed_stats(records: DataFrame, vectors: DataFrame,
                 embedding_col: str = "embedding") -> DataFrame:
     """E7/E8 as one row.
