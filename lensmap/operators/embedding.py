@@ -108,7 +108,10 @@ class HashEmbedder:
                 texts = texts.combine_chunks()
             return _hash_vectors(texts, dim, n)
 
-        udf = F.arrow_udf(embed_arrow, VECTOR_TYPE)
+        # The function is deterministic; declaring it otherwise stops Catalyst
+        # from copying it into a pushed-down filter (an expensive UDF would
+        # then run twice).  Retried tasks recompute identical vectors.
+        udf = F.arrow_udf(embed_arrow, VECTOR_TYPE).asNondeterministic()
         return udf(F.col(text) if isinstance(text, str) else text)
 
     def embed(self, texts: DataFrame) -> DataFrame:

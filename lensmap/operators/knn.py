@@ -421,7 +421,9 @@ def _make_scorer(bc, dim: int, metric: str, k: int, payload_names: list[str],
         struct = pa.StructArray.from_arrays(arrays, names)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
 
-    return F.arrow_udf(score_arrow, out_type)
+    # Deterministic in fact; declared otherwise so Catalyst never duplicates
+    # the scorer into a pushed-down filter (it would run twice).
+    return F.arrow_udf(score_arrow, out_type).asNondeterministic()
 
 
 # --------------------------------------------------------------------------

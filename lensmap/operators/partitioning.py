@@ -17,8 +17,16 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= want:
         return df
     # Twice the cores: row sizes vary a lot (texts of 1 to 20,000 words), so
-    # more, smaller slices balance better.
-    return df.repartition(2 * want)
+    # more, smaller slices balance better.  Catalyst pushes deterministic
+    # filters through a repartition - an expensive predicate (say, on an
+    # embedding) would then run in the single scan task, and again after the
+    # exchange.  An identity Arrow map after the repartition is a barrier
+    # filters do not cross.
+    return df.repartition(2 * want).mapInArrow(_identity_batches, df.schema)
+
+
+def _identity_batches(batches):
+    yield from batches
 
 
 def running_offsets(df: DataFrame, order_cols: list[str], count_col: str,
