@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None,
+           barrier: bool = False) -> DataFrame:
     """Round-robin a DataFrame whose scan yields too few partitions.
 
     CPU-heavy row work (regexes over long texts, n-gram hashing) should use
@@ -18,11 +19,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
         return df
     # Twice the cores: row sizes vary a lot (texts of 1 to 20,000 words), so
     # more, smaller slices balance better.  Catalyst pushes deterministic
-    # filters through a repartition - an expensive predicate (say, on an
-    # embedding) would then run in the single scan task, and again after the
-    # exchange.  An identity Arrow map after the repartition is a barrier
-    # filters do not cross.
-    return df.repartition(2 * want).mapInArrow(_identity_batches, df.schema)
+    # filters through a repartition; when a caller will filter on an
+    # expensive deterministic expression, ``barrier`` adds an identity Arrow
+    # map that filters do not cross (the expensive UDFs of this package are
+    # declared non-deterministic, so their filters never move anyway).
+    out = df.repartition(2 * want)
+    return out.mapInArrow(_identity_batches, df.schema) if barrier else out
 
 
 def _identity_batches(batches):
