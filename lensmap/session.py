@@ -90,3 +90,20 @@ def materialize(df, what: str = "stage"):
     path = f"{ensure_checkpoint_dir(spark)}/lensmap-{what}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def release_materialized(spark: SparkSession, paths: list[str]) -> int:
+    """Delete materialized stage tables once nothing reads them any more
+    (returns how many existed).  Only paths under the checkpoint folder."""
+    base = ensure_checkpoint_dir(spark)
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    n = 0
+    for p in paths:
+        if not p.startswith(base + "/lensmap-"):
+            raise ValueError(f"not a materialized table: {p}")
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(jsc.hadoopConfiguration())
+        if fs.exists(hp):
+            fs.delete(hp, True)
+            n += 1
+    return n
