@@ -215,18 +215,22 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/lensmap-{what}-{uuid.uuid4().hex[:12]}"
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as feedback records: (doc_id, fb) with fb the T4 text."""
-    d = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+def _docs(spark: SparkSession, sf_dir: str, labelled_only: bool = False) -> DataFrame:
+    """Documents as feedback records: (doc_id, fb) with fb the T4 text.
+
+    ``labelled_only`` keeps the documents that have a ``labels`` row (a semi
+    join on the raw table, before any text work)."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    if labelled_only:
+        d = d.join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    d = spread(d)
     return TX.with_feedback_text(d, "text", F.lit(None).cast("string"), "fb").select("doc_id", "fb")
 
 
 def _seeded_cache(spark: SparkSession, sf_dir: str, embedder) -> EM.EmbeddingCache:
     """A cache that already holds the texts of the labelled documents."""
     cache = EM.EmbeddingCache(spark, scratch(spark, "cache"), embedder.model)
-    labelled = _docs(spark, sf_dir).join(
-        load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    seed = EM.embed_records(labelled, "fb", embedder)
+    seed = EM.embed_records(_docs(spark, sf_dir, labelled_only=True), "fb", embedder)
     cache.save(seed.fresh)
     return cache
 
@@ -380,9 +384,7 @@ def s8_cache_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two saves of the same entries; load keeps one (the latest) per hash."""
     emb = EM.HashEmbedder(TEXT_DIM)
     cache = _seeded_cache(spark, sf_dir, emb)
-    labelled = _docs(spark, sf_dir).join(load(spark, sf_dir, "labels").select("doc_id"),
-                                         "doc_id", "left_semi")
-    cache.save(EM.embed_records(labelled, "fb", emb).fresh)
+    cache.save(EM.embed_records(_docs(spark, sf_dir, labelled_only=True), "fb", emb).fresh)
     return cache.load().select("text_hash", F.size("embedding").alias("dim"))
 
 
