@@ -15,9 +15,12 @@ from pyspark.sql import SparkSession
 from ..sources.tables import TABLES
 
 
+STRICT = False   # True: compare floats exactly, as a value hash would
+
+
 def _norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        return None if math.isnan(v) else (v if STRICT else round(v, 6))
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
