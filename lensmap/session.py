@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 # Settings read from the session (``spark.conf``) with these defaults.
 KNN_BROADCAST_BYTES = "spark.lensmap.knn.broadcastBytes"
-KNN_BROADCAST_BYTES_DEFAULT = 256 * 1024 * 1024
+KNN_BROADCAST_BYTES_DEFAULT = 128 * 1024 * 1024
 KNN_QUERY_BLOCK = "spark.lensmap.knn.queryBlock"
 KNN_QUERY_BLOCK_DEFAULT = 2048
 KNN_CANDIDATE_TILE = "spark.lensmap.knn.candidateTile"
