@@ -440,8 +440,8 @@ def _orders_batch(spark: SparkSession, sf_dir: str, batch: str) -> DataFrame:
     """Two overlapping batches of orders as entities (batch A before 1996,
     batch B from 1995 on) - the same keys arrive twice."""
     o = load(spark, sf_dir, "orders")
-    cond = (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")) if batch == "A" \
-        else (F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp"))
+    cond = (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")) if batch == "A" \
+        else (F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz"))
     return o.where(cond).select(
         F.col("o_orderkey").cast("string").alias("id"),
         F.array(F.col("o_totalprice").cast("float")).alias("vector"),
