@@ -888,3 +888,26 @@ def s1_json_lines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (rec.select(F.lit(1).alias("_one"), g("doc_id", "bigint"), g("text", "string"),
                        g("lang", "string"), g("source", "string"), g("n_chars", "bigint"))
             .join(F.broadcast(n), "_one").drop("_one"))
+
+
+# ---------------------------------------------------------------------------
+# Searching the feedback collection (T5 feedback prefix, T11 feedback rows)
+# ---------------------------------------------------------------------------
+
+_QF_SRC = (f"SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS k, "
+           f"{S.query_text('text', S.q('feedback'))} AS t FROM conversations WHERE role = 'user'")
+
+
+@register("T11_feedback_projection", f"""
+SELECT r.qk AS query_id, r.rank, r.id, substring(d.text, 1, 60) || '...' AS raw_text,
+       5 AS match_count
+FROM ({_topk_sql(_QF_SRC, _FB_SRC)}) r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.id""")
+def t11_feedback_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents built, mapped and stored as feedback; every user turn
+    searches them (query prefix for a non-knowledge collection)."""
+    st = _knowledge_store(spark, sf_dir)
+    st.create("feedback", dim=TEXT_DIM)
+    st.upsert("feedback", _feedback(spark, sf_dir).entities)
+    hits = SE.semantic_search(_user_queries(spark, sf_dir), st, "feedback",
+                              EM.HashEmbedder(TEXT_DIM), top_k=5)
+    return SE.feedback_rows(hits).drop("score_text")
