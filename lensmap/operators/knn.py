@@ -4,13 +4,16 @@ and rank (V8).
 Plan shape
 ----------
 The candidate side (a knowledge catalogue, a collection) is filtered by the
-predicate, validated, then measured with one aggregate: rows, dimension and
-bytes.  When it fits the broadcast budget (``spark.lensmap.knn.broadcastBytes``)
-it is shipped once to every executor as a float32 matrix sorted by id, and the
-query side is scored by an Arrow UDF inside a plain ``select``: each Arrow
-batch of query vectors is multiplied block-wise against the matrix (BLAS) and
-only the running top-k per query survives.  The query side is never shuffled,
-never joined back, and no pair rows exist - each query emits at most k hits.
+predicate, validated, then measured with one grouped aggregate: rows,
+dimension and bytes.  When it fits the broadcast budget
+(``spark.lensmap.knn.broadcastBytes``) it is shipped once to every executor as
+a float32 matrix sorted by id, and the query side is scored by an Arrow UDF
+inside a plain ``select``: each Arrow batch of query vectors is multiplied
+block-wise against the matrix (float32 BLAS), a shortlist of k+16 per query
+survives, and the shortlist is rescored exactly in float64 (an error bound
+certifies the shortlist; uncertain rows are recomputed in float64).  The query
+side is never shuffled, never joined back, and no pair rows exist - each query
+emits at most k hits.
 
 When the candidates exceed the budget they are cut into hash tiles that each
 fit it.  Every tile is scored the same way in its own job and written to the
