@@ -557,6 +557,8 @@ def knn_join(queries: DataFrame, candidates: DataFrame, *, k: int | None = DEFAU
     ``score >= threshold`` after ranking (V7).  Because score is monotone in
     rank, the survivors are a prefix and keep their 1-based ranks (V8).
     """
+    if query_id == "id":
+        raise ValueError("name the query key something other than 'id' (the hit column)")
     plan = plan_knn(candidates, k=k, metric=metric, id_col=candidate_id,
                     vector_col=candidate_vector, predicate=predicate, payload=payload,
                     broadcast_bytes=broadcast_bytes, dim=dim)
@@ -590,12 +592,15 @@ def knn_arrays(queries: DataFrame, candidates: DataFrame, *, output_col: str = "
         return queries.withColumn(output_col, hits)
     if query_id is None:
         raise ValueError("query_id is required when candidates exceed the broadcast budget")
-    flat = plan.search_flat(queries, query_id, query_vector)
+    # Private names: the query key may itself be called "id".
+    qq = queries.select(F.col(query_id).alias("__qid"), F.col(query_vector).alias("__qvec"))
+    flat = plan.search_flat(qq, "__qid", "__qvec")
     if thr is not None:
         flat = flat.where(F.col("score") >= thr)
     fields = ["rank", "id", "distance", "score"] + plan.payload
-    grouped = (flat.groupBy(query_id)
-               .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(output_col)))
+    grouped = (flat.groupBy("__qid")
+               .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(output_col))
+               .withColumnRenamed("__qid", query_id))
     empty = F.array().cast(plan.out_type)
     return (queries.join(grouped, query_id, "left")
             .withColumn(output_col, F.coalesce(F.col(output_col), empty)))

@@ -15,8 +15,8 @@ MAPPING_K = 5                     # fixed value: the mapping always asks for 5
 
 def perspective_type() -> T.ArrayType:
     return T.ArrayType(T.StructType([
-        T.StructField("id", T.StringType(), False),
-        T.StructField("score", T.DoubleType(), False),
+        T.StructField("id", T.StringType(), True),
+        T.StructField("score", T.DoubleType(), True),
         T.StructField("insight", T.StringType(), True),
         T.StructField("aspect", T.StringType(), True),
     ]), containsNull=False)

@@ -163,3 +163,17 @@ def test_score_block_certified_equals_float64():
         b = knn._score_block_f64(q, m, metric, 10, 1024)
         assert (a[1] == b[1]).all()
         assert np.allclose(a[0], b[0], rtol=0, atol=1e-12)
+
+
+def test_mapping_plan_is_shuffle_free_and_tiled_arrays_agree(spark):
+    from lensmap.operators import records as R
+    cdf, qdf, *_ = frames(spark, n=120)
+    kn = cdf.withColumn("insight", F.concat(F.lit("i"), "id")).withColumn("aspect", F.col("tag"))
+    fb = qdf.withColumnRenamed("query_id", "id")
+    mapped = R.map_feedback(fb, kn)
+    plan = mapped._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    a = {r.id: [(m.id, round(m.score, 12)) for m in r.mapped_perspectives] for r in mapped.collect()}
+    tiled = R.map_feedback(fb, kn, broadcast_bytes=4000)
+    b = {r.id: [(m.id, round(m.score, 12)) for m in r.mapped_perspectives] for r in tiled.collect()}
+    assert a == b and all(len(v) == 5 for v in a.values())

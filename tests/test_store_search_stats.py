@@ -115,3 +115,13 @@ def test_stats(spark, tmp_path):
                                      "broken": lambda: spark.read.parquet(str(tmp_path / "no"))})
     assert {r.name: (r.row_count, r.status) for r in cs.collect()} == \
         {"ok": (4, "loaded"), "broken": (0, "error")}
+
+
+def test_upsert_writes_one_file_per_touched_bucket(spark, tmp_path):
+    st = CollectionStore(spark, str(tmp_path / "store"), num_buckets=4)
+    st.create("c", dim=1)
+    rows = ents(spark, [(str(i), [float(i)], "t", {}) for i in range(200)], dim=1).repartition(8)
+    st.upsert("c", rows)
+    v = st.manifest("c")["version"]
+    files = list((tmp_path / "store" / "c" / f"v={v}").rglob("*.parquet"))
+    assert len(files) == 4
