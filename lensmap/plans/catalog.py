@@ -746,15 +746,32 @@ def a2_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         kn.failed, allowMissingColumns=True), 0.0).drop("processing_seconds")
 
 
-@register("S7_run_stats_sink")
+_A2_SQL = f"""
+SELECT (SELECT count(*) FROM benchmark) AS knowledge_records,
+       (SELECT count(*) FROM documents WHERE {S.not_blank(FB_SQL)}) AS feedback_records,
+       CASE WHEN (SELECT count(*) FROM documents WHERE NOT {S.not_blank(FB_SQL)}) = 0
+            THEN '成功' ELSE '部分成功' END AS status,
+       (SELECT count(*) FROM documents WHERE NOT {S.not_blank(FB_SQL)}) AS error_count"""
+
+
+@register("S7_run_stats_sink", f"""
+SELECT knowledge_records, feedback_records, status, error_count,
+       'hash-3gram-{TEXT_DIM}' AS embedding_model, CAST({TEXT_DIM} AS BIGINT) AS vector_dim,
+       'COSINE' AS similarity_metric, 2 AS saved_files
+FROM ({_A2_SQL})""")
 def s7_run_stats_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run summary written as processing_stats.json and read back."""
     out = scratch(spark, "out")
     summ = a2_run_summary(spark, sf_dir)
     path = sinks.save_run_stats(summ, out, settings={"embedding_model": f"hash-3gram-{TEXT_DIM}",
                                                      "vector_dim": TEXT_DIM,
                                                      "similarity_metric": "COSINE"},
                                 saved_files=[sinks.KNOWLEDGE_JSON, sinks.FEEDBACK_JSON])
-    return spark.read.json(path)
+    back = spark.read.json(path)
+    return back.select("processing_stats.knowledge_records", "processing_stats.feedback_records",
+                       "processing_stats.status", "processing_stats.error_count",
+                       "settings.embedding_model", "settings.vector_dim",
+                       "settings.similarity_metric", F.size("saved_files").alias("saved_files"))
 
 
 # ---------------------------------------------------------------------------
