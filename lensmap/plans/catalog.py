@@ -421,15 +421,16 @@ def t6_default_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.min("gpos").alias("min_position"), F.max("gpos").alias("max_position"))
 
 
-@register("S2_bad_file_report")
+@register("S2_bad_file_report", """
+SELECT 'invalid JSON' AS error, count(*) AS n_files FROM pages WHERE NOT json_valid(html)""")
 def s2_bad_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw page HTML written as *.json files next to valid ones: the HTML
-    files are reported and skipped, the rest is read."""
+    """Raw page HTML written as one file per page next to the valid JSON
+    files: the HTML files are reported (and skipped), grouped by error."""
     out = _docs_as_json_dir(spark, sf_dir)
     load(spark, sf_dir, "pages").select("html").write.option("maxRecordsPerFile", 1) \
         .mode("append").text(out)
     files = json_dir.read_json_files(spark, out, glob="*.txt")
-    return json_dir.bad_files(files)
+    return json_dir.bad_files(files).groupBy("error").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 # ---------------------------------------------------------------------------
