@@ -686,10 +686,23 @@ def t12_result_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SE.detail_rows(_search(spark, sf_dir), "knowledge").drop("score_text", "distance_text")
 
 
-@register("T13_result_json")
+@register("T13_result_json", f"""
+SELECT r.qk AS query_id, c.text AS query, 'knowledge' AS collection,
+       CAST(count(*) AS INTEGER) AS total_results, CAST(0.0 AS DOUBLE) AS threshold,
+       string_agg(r.id, ',' ORDER BY r.rank) AS result_ids
+FROM ({_topk_sql(_Q_SRC, _KN_SRC)}) r
+JOIN conversations c ON CAST(c.conv_id AS VARCHAR) || '-' || CAST(c.turn AS VARCHAR) = r.qk
+GROUP BY r.qk, c.text""")
 def t13_result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON envelope per query, parsed back to check its content."""
     hits = _search(spark, sf_dir)
-    return SE.result_json(hits, _user_queries(spark, sf_dir), "knowledge", 0.0)
+    env = SE.result_json(hits, _user_queries(spark, sf_dir), "knowledge", 0.0)
+    schema = ("struct<query:string, collection:string, total_results:int, threshold:double, "
+              "results:array<struct<id:string, score:double>>>")
+    e = env.select("query_id", F.from_json("json", schema).alias("e"))
+    return e.select("query_id", "e.query", "e.collection", "e.total_results", "e.threshold",
+                    F.array_join(F.transform("e.results", lambda r: r["id"]), ",")
+                    .alias("result_ids"))
 
 
 @register("T14_json_path_access", """
