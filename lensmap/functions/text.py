@@ -86,13 +86,22 @@ def knowledge_text(aspect, insight, sentiment, description, examples, keywords,
     aspect if present, else ``未知内容`` (T3); an explicit JSON null prints as
     ``None`` there, as Python's ``str`` does.
     """
+    parts = knowledge_parts(aspect, insight, sentiment, description, examples, keywords,
+                            precleaned=precleaned)
+    return _knowledge_final(parts, insight, aspect, insight_present, aspect_present,
+                            insight_raw, aspect_raw)
+
+
+def knowledge_parts(aspect, insight, sentiment, description, examples, keywords,
+                    *, precleaned: bool = False) -> Column:
+    """The labelled parts of T2 joined by ' | ' ('' when none is left)."""
     ex = F.filter(F.slice(F.coalesce(_c(examples), F.array()), 1, MAX_EXAMPLES),
                   lambda e: e.isNotNull() & (e != ""))
     kw = F.filter(F.coalesce(_c(keywords), F.array()), lambda e: e.isNotNull() & (e != ""))
     ex_txt = F.array_join(F.transform(ex, clean_text), EXAMPLE_SEPARATOR)
     kw_txt = F.array_join(F.transform(kw, clean_text), KEYWORD_SEPARATOR)
     cl = (lambda c: _c(c)) if precleaned else clean_text
-    parts = F.concat_ws(
+    return F.concat_ws(
         PART_SEPARATOR,
         _labelled(LABEL_ASPECT, cl(aspect)),
         _labelled(LABEL_INSIGHT, cl(insight)),
@@ -101,6 +110,12 @@ def knowledge_text(aspect, insight, sentiment, description, examples, keywords,
         F.when(F.size(ex) > 0, F.concat(F.lit(LABEL_EXAMPLES), ex_txt)),
         F.when(F.size(kw) > 0, F.concat(F.lit(LABEL_KEYWORDS), kw_txt)),
     )
+
+
+def _knowledge_final(parts, insight, aspect, insight_present, aspect_present,
+                     insight_raw, aspect_raw) -> Column:
+    """The parts, or the fallback when they are empty."""
+    parts = _c(parts)
     ins_p = F.lit(True) if insight_present is None else _c(insight_present)
     asp_p = F.lit(True) if aspect_present is None else _c(aspect_present)
     ins_raw = _c(insight) if insight_raw is None else _c(insight_raw)
@@ -173,10 +188,9 @@ def with_knowledge_text(df, aspect, insight, sentiment, description, examples, k
     for i, c in enumerate((aspect, insight, sentiment, description)):
         t = t.withColumn(f"__k{i}", clean_text(c))
         names.append(f"__k{i}")
-    txt = knowledge_text(*[F.col(n) for n in names], examples, keywords,
-                         insight_raw=fallback.get("insight_raw", insight),
-                         aspect_raw=fallback.get("aspect_raw", aspect),
-                         insight_present=fallback.get("insight_present"),
-                         aspect_present=fallback.get("aspect_present"),
-                         precleaned=True)
-    return t.withColumn(out, txt).drop(*names)
+    t = t.withColumn("__parts", knowledge_parts(*[F.col(n) for n in names], examples, keywords,
+                                                precleaned=True))
+    txt = _knowledge_final("__parts", insight, aspect, fallback.get("insight_present"),
+                           fallback.get("aspect_present"),
+                           fallback.get("insight_raw", insight), fallback.get("aspect_raw", aspect))
+    return t.withColumn(out, txt).drop(*names, "__parts")
