@@ -220,10 +220,12 @@ def _docs(spark: SparkSession, sf_dir: str, labelled_only: bool = False) -> Data
 
     ``labelled_only`` keeps the documents that have a ``labels`` row (a semi
     join on the raw table, before any text work)."""
-    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
     if labelled_only:
-        d = d.join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    d = spread(d)
+        # Semi join against the (small, counted) label ids: documents are not
+        # shuffled, so the text work keeps the spread's parallelism.
+        ids = broadcast_if_small(load(spark, sf_dir, "labels").select("doc_id"), row_bytes=16)
+        d = d.join(ids, "doc_id", "left_semi")
     return TX.with_feedback_text(d, "text", F.lit(None).cast("string"), "fb").select("doc_id", "fb")
 
 
