@@ -177,3 +177,14 @@ def test_mapping_plan_is_shuffle_free_and_tiled_arrays_agree(spark):
     tiled = R.map_feedback(fb, kn, broadcast_bytes=4000)
     b = {r.id: [(m.id, round(m.score, 12)) for m in r.mapped_perspectives] for r in tiled.collect()}
     assert a == b and all(len(v) == 5 for v in a.values())
+
+
+def test_arrays_threshold_both_paths_and_key_name(spark):
+    cdf, qdf, *_ = frames(spark, n=150)
+    kw = dict(k=6, threshold=0.8, query_id="query_id")
+    a = {r.query_id: [(h.rank, h.id) for h in r.hits] for r in knn.knn_arrays(qdf, cdf, **kw).collect()}
+    b = {r.query_id: [(h.rank, h.id) for h in r.hits]
+         for r in knn.knn_arrays(qdf, cdf, broadcast_bytes=3000, **kw).collect()}
+    assert a == b and any(len(v) < 6 for v in a.values())
+    with pytest.raises(ValueError):
+        knn.knn_join(qdf.withColumnRenamed("query_id", "id"), cdf, query_id="id")
