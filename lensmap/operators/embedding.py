@@ -237,10 +237,13 @@ class EmbeddingCache:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(jsc.hadoopConfiguration()).exists(p)
 
-    def load(self) -> DataFrame:
+    def load(self, hashes: DataFrame | None = None) -> DataFrame:
         """Entries for this model, one per text_hash (the latest wins).
 
-        ``max_by`` is a partial aggregate, so duplicates collapse map-side.
+        ``hashes`` (a ``text_hash`` column) restricts the cache to the texts
+        at hand before the aggregation - a long-lived cache is much larger
+        than one batch.  ``max_by`` is a partial aggregate, so duplicates
+        collapse map-side.
         """
         empty = self.spark.createDataFrame([], CACHE_SCHEMA)
         if not self.enabled or not self._exists():
@@ -248,6 +251,8 @@ class EmbeddingCache:
         raw = (self.spark.read.parquet(self.path)
                .where((F.col("model_key") == model_key(self.model))
                       & (F.col("model") == self.model)))
+        if hashes is not None:
+            raw = raw.join(hashes.select("text_hash"), "text_hash", "left_semi")
         return (raw.groupBy("text_hash")
                 .agg(F.max_by("embedding", "ts").alias("embedding"), F.max("ts").alias("ts"))
                 .select("text_hash", "embedding", F.lit(self.model).alias("model"), "ts"))
@@ -295,7 +300,7 @@ def embed_records(records: DataFrame, text_col: str, embedder, *,
     distinct = (rec.where(F.col("text_hash").isNotNull())
                 .select("text_hash", F.col(text_col).alias("text"))
                 .dropDuplicates(["text_hash"]))                              # E4
-    cached = cache.load() if cache is not None else None
+    cached = cache.load(distinct.select("text_hash")) if cache is not None else None
     if cached is not None:
         hits = (cached.join(distinct.select("text_hash"), "text_hash", "left_semi")
                 .select("text_hash", "embedding", F.lit("cache").alias("source"),
