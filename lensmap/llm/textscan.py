@@ -8,6 +8,7 @@ Hash equality stands for word equality (2**-64 per pair).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,12 @@ LOWER[65:91] += 32
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
-_POW: dict[str, np.ndarray] = {}
+
+
+def process_cache() -> dict:
+    """A dict that lives as long as the Python worker (this package's functions
+    travel by value, so their module globals last for one task only)."""
+    return sys.__dict__.setdefault("_lensmap_llm_cache", {})
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,7 +43,8 @@ BYTE_VALUE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n (kept per process)."""
-    if "up" not in _POW or len(_POW["up"]) < n:
+    kept = process_cache()
+    if "up" not in kept or len(kept["up"]) < n:
         m = max(n, 1 << 16)
         for key, b in (("up", BASE), ("down", BASE_INV)):
             out = np.empty(m, dtype=U)
@@ -47,8 +54,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
                 k = min(have, m - have)
                 out[have:have + k] = out[:k] * U(step)
                 have, step = have + k, (step * step) & MASK
-            _POW[key] = out
-    return _POW["up"], _POW["down"]
+            kept[key] = out
+    return kept["up"], kept["down"]
 
 
 def to_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
