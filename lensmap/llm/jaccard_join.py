@@ -22,8 +22,8 @@ D shingles, so of D + 1 parts of the hash space one is the same in both, and its
 content (some nine shingles) is the key - hub first, then pairs of different
 components.  No level drops a pair that may link.
 
-Every key's share of the rows is small (a class has one row a key); counts have
-a map side; components are found by alternating large-star and small-star
+Every key's share of the rows is small (a class has one row a key, and a task
+gives a class's keys once however often the class is repeated); components are found by alternating large-star and small-star
 rounds over the links, written each round.
 
 Words are maximal runs of other than space and 0x09-0x0D, A-Z lowered.  Texts
@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lensmap.llm.textscan import LOWER, U, Words, distinct_per_doc, mix, shingle_hash, slices, span_hash, to_bytes
@@ -78,12 +78,15 @@ def _class_ids(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def _scan(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task gives the keys of a class once
         for b in slices(batches, max_bytes=2 << 20):
             h, offs = shingle_sets(b.column("text"), k)
             n = np.diff(offs)
-            p = np.where(n > 0, prefix_len(n, num, den), 0)
+            ids = _class_ids(h, offs).view(np.int64)
+            new = np.array([c not in seen and not seen.add(c) for c in ids.tolist()], dtype=bool)
+            p = np.where((n > 0) & new, prefix_len(n, num, den), 0)
             keys = h[_ranges(offs[:-1], p)].view(np.int64)
-            cid = pa.array(_class_ids(h, offs).view(np.int64), mask=n == 0)
+            cid = pa.array(ids, mask=n == 0)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("t"), pa.array(n), cid,
                  pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]), pa.int32()), pa.array(keys))],
@@ -249,10 +252,11 @@ class JaccardJoin:
         return n.groupBy("cid").agg(F.max(F.struct("c", "hub")).alias("m")).select(F.col("cid").alias("a"), F.col("m.hub").alias("b"))
 
     def run(self) -> "JaccardJoin":
-        keys = self.scan.select("cid", F.explode("keys").alias("key"))
-        shared = (keys.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("z"))
-                  .filter("hub <> z").select("key", "hub"))
-        rows = materialize(keys.join(shared, "key").distinct(), "jaccard-keys")
+        of = Window.partitionBy("key")
+        rows = (self.scan.select("cid", F.explode("keys").alias("key"))
+                .withColumn("hub", F.min("cid").over(of)).withColumn("z", F.max("cid").over(of))
+                .filter("hub <> z").drop("z"))
+        rows = materialize(rows.distinct(), "jaccard-keys")
         # whole sets and the prefixes of the other orders, for classes with a candidate only
         one = self.rows.filter("n > 0").groupBy("cid").agg(F.min("t").alias("t"))
         texts = self.src.join(one.join(rows.select("cid").distinct(), "cid").select("t"), "t")
@@ -311,10 +315,16 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     stay = (r.filter("n > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "t")).alias("m"))
             .select(F.col("m.doc_id").alias("i"), F.col("m.t").alias("h")))
     empty = r.filter("n = 0").select(F.col("doc_id").alias("i"), F.col("t").alias("h")).distinct()
+    rows = r.filter("n > 0").groupBy(F.col("doc_id").alias("i"), F.col("t").alias("h")).agg(F.count("*").alias("c"))
+    again = materialize(rows.filter("c > 1").select("i", "h"), "jaccard-again")  # repeated rows
     x = docs.select(F.struct("*").alias("d")).withColumn("t", F.xxhash64(F.coalesce("d.text", F.lit("")))).withColumn("id", F.col("d.doc_id").cast("long"))
     same = (F.col("t") == F.col("h")) & F.col("id").eqNullSafe(F.col("i"))
-    one = x.join(stay, same, "left_semi").groupBy("t", "id").agg(F.first("d").alias("d"))
-    return one.select("d.*").unionByName(x.join(empty, same, "left_semi").select("d.*"))
+    if again.isEmpty():
+        return x.join(stay.unionByName(empty), same, "left_semi").select("d.*")
+    twice = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("i", "h")]
+    once = stay.alias("a").join(again.alias("b"), twice, "left_anti").unionByName(empty)
+    first = x.join(stay.alias("a").join(again.alias("b"), twice, "left_semi"), same, "left_semi").groupBy("t", "id").agg(F.first("d").alias("d"))
+    return x.join(once, same, "left_semi").select("d.*").unionByName(first.select("d.*"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lensmap.llm import hmm, line_rules, mixing, suffix_repeats, templates, token_ids, token_rollup, warc
+from lensmap.llm import (hmm, jaccard_join, line_rules, mixing, rule_ensemble, suffix_repeats, templates, token_ids,
+                         token_rollup, warc)
 
 QUERIES = {
     "op1_warc_salvage": warc.op1,
     "op2_token_ids": token_ids.op2,
     "op3_token_counts": token_rollup.op3,
     "op4_suffix_repeats": suffix_repeats.op4,
+    "op5_rule_ensemble": rule_ensemble.op5,
     "op6_line_frequency": line_rules.op6,
+    "op7_jaccard_join": jaccard_join.op7,
     "op8_template_decontamination": templates.op8,
     "op9_source_mixing": mixing.op9,
     "op10_hidden_markov": hmm.op10,
