@@ -34,10 +34,10 @@ from lensmap.session import materialize
 WIDTH = 8
 BROADCAST_WINDOWS = 500_000  # benchmark windows: under 100 MB with their slots
 
-# Units of measure recognised as slots.
-UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "oz", "lb", "lbs", "ml", "l",
-         "s", "sec", "min", "h", "hr", "hrs", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb",
-         "w", "kw", "v", "a", "j", "kj", "cal", "kcal", "n", "pa", "k",
+# Units of measure recognised as slots (no one-letter units, and
+# none that are common words of some language, as "in", "mi" or "pa").
+UNITS = ("mm", "cm", "km", "ft", "yd", "mg", "kg", "oz", "lb", "lbs", "ml", "sec", "min", "hr", "hrs", "hz", "khz",
+         "mhz", "ghz", "kb", "mb", "gb", "tb", "kw", "kwh", "kj", "kcal", "mph", "kmh",
          "meter", "meters", "metre", "metres", "kilometer", "kilometers", "mile", "miles", "foot", "feet",
          "inch", "inches", "gram", "grams", "kilogram", "kilograms", "pound", "pounds", "liter", "liters",
          "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks",
