@@ -62,27 +62,43 @@ def _hash_vectors(texts: pa.Array, dim: int, n: int) -> pa.Array:
     A text shorter than n counts as one n-gram padded with code point 0.
     Blank/null texts give null (they are never embedded).
     """
-    powers = np.array([HASH_BASE ** (n - 1 - j) for j in range(n)], dtype=np.int64)
-    out_vals, valid = [], []
-    for t in texts.to_pylist():
-        if t is None or not t.strip():
-            valid.append(False)
-            out_vals.append(np.zeros(dim, dtype=np.float32))
-            continue
-        cps = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        if len(cps) < n:
-            cps = np.concatenate([cps, np.zeros(n - len(cps), dtype=np.int64)])
-        w = len(cps) - n + 1
-        g = np.zeros(w, dtype=np.int64)
-        for j in range(n):
-            g += cps[j:j + w] * powers[j]
-        cnt = np.bincount((g % HASH_MODULUS) % dim, minlength=dim).astype(np.float64)
-        out_vals.append((cnt / np.sqrt(np.dot(cnt, cnt))).astype(np.float32))
-        valid.append(True)
-    flat = pa.array(np.concatenate(out_vals) if out_vals else np.zeros(0, np.float32))
-    offsets = pa.array(np.arange(0, (len(out_vals) + 1) * dim, dim, dtype=np.int32))
-    mask = pa.array(~np.array(valid, dtype=bool)) if valid else None
-    return pa.ListArray.from_arrays(offsets, flat, mask=mask)
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    rows = len(texts)
+    if not rows:
+        return pa.ListArray.from_arrays(pa.array([0], pa.int32()), pa.array([], pa.float32()))
+    flat = np.zeros((rows, dim), dtype=np.float32)
+    valid = np.zeros(rows, dtype=bool)
+    step = max(1, (1 << 22) // dim)                     # rows per count matrix
+    for r0 in range(0, rows, step):
+        part = texts.slice(r0, step)
+        vec, ok = _hash_block(part.to_pylist(), dim, n)
+        flat[r0:r0 + len(part)], valid[r0:r0 + len(part)] = vec, ok
+    offsets = pa.array(np.arange(0, (rows + 1) * dim, dim, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()), mask=pa.array(~valid))
+
+
+def _hash_block(texts: list, dim: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, valid) of a block: all texts' code points as one array, one
+    bincount over row x bucket; grams that would cross two texts are masked."""
+    ok = np.array([t is not None and bool(t.strip()) for t in texts], dtype=bool)
+    size = np.array([len(t) if k else 0 for t, k in zip(texts, ok)], dtype=np.int64)
+    padded = np.where(ok, np.maximum(size, n), 0)       # short texts end in code point 0
+    cps = np.zeros(int(padded.sum()), dtype=np.int64)
+    row = np.repeat(np.arange(len(texts)), padded)
+    first = np.cumsum(padded) - padded
+    inside = np.arange(len(cps)) - first[row]
+    cps[inside < size[row]] = np.frombuffer(
+        "".join(t for t, k in zip(texts, ok) if k).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    w = max(0, len(cps) - n + 1)
+    g = np.zeros(w, dtype=np.int64)
+    for j in range(n):
+        g += cps[j:j + w] * HASH_BASE ** (n - 1 - j)
+    whole = inside[:w] <= padded[row[:w]] - n
+    cell = row[:w][whole] * dim + (g[whole] % HASH_MODULUS) % dim
+    cnt = np.bincount(cell, minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float64)
+    norm = np.sqrt(np.einsum("ij,ij->i", cnt, cnt))
+    return (cnt / np.where(norm > 0, norm, 1.0)[:, None]).astype(np.float32), ok
 
 
 class HashEmbedder:
@@ -104,8 +120,6 @@ class HashEmbedder:
         dim, n = self.dim, self.n
 
         def embed_arrow(texts: pa.Array) -> pa.Array:
-            if isinstance(texts, pa.ChunkedArray):
-                texts = texts.combine_chunks()
             return _hash_vectors(texts, dim, n)
 
         # The function is deterministic; declaring it otherwise stops Catalyst
@@ -131,26 +145,48 @@ class FunctionEmbedder:
 
     ``client_factory`` (optional) is called once per partition and its result
     passed as ``client=`` to the function - connections are opened per task,
-    not per row.  A failed batch is retried text by text, ``retries``
-    attempts each, waiting ``backoff * 2**attempt`` seconds in between; a
-    text that still fails gets a null embedding and its error (E5, E6).
+    not per row.  When a batch of several texts fails, its texts are tried one
+    by one, ``retries`` attempts each (the shared call is not an attempt of a
+    text alone); a batch of one text is that text's first attempt.  Before
+    attempt a + 1 the task waits ``backoff * 2**(a - 1)`` seconds; a text that
+    still fails gets a null embedding and its whole error (E5, E6).
+    ``dim`` is the length of the model's vectors (needed to create
+    collections); a vector of another length counts as a failed attempt.
     ``partitions`` sets how many tasks call the model at once.
     """
 
     def __init__(self, fn: Callable, model: str, *, batch_size: int = 32,
                  retries: int = DEFAULT_RETRIES, backoff: float = DEFAULT_BACKOFF,
-                 client_factory: Callable | None = None, partitions: int | None = None):
-        self.fn, self.model = fn, model
+                 client_factory: Callable | None = None, partitions: int | None = None,
+                 dim: int | None = None):
+        self.fn, self.model, self._dim = fn, model, dim
         self.batch_size, self.retries, self.backoff = batch_size, retries, backoff
         self.client_factory, self.partitions = client_factory, partitions
         self.expensive = True
 
+    @property
+    def dim(self) -> int:
+        """Vector length: as given, else that of one probe text's vector."""
+        if self._dim is None:
+            client = self.client_factory() if self.client_factory else None
+            vec = (self.fn(["dim"], client=client) if self.client_factory else self.fn(["dim"]))[0]
+            if vec is None:
+                raise ValueError("the model gave no vector for the probe text; pass dim")
+            self._dim = len(vec)
+        return self._dim
+
     def embed(self, texts: DataFrame) -> DataFrame:
         fn, bs, retries, backoff = self.fn, self.batch_size, self.retries, self.backoff
-        factory = self.client_factory
+        factory, dim = self.client_factory, self._dim
 
         def call(client, batch):
-            return fn(batch, client=client) if factory else fn(batch)
+            res = list(fn(batch, client=client) if factory else fn(batch))
+            if len(res) != len(batch):
+                raise ValueError("embedder returned a different number of vectors")
+            for v in res:
+                if dim is not None and v is not None and len(v) != dim:
+                    raise ValueError(f"vector length {len(v)} is not {dim}")
+            return res
 
         def run(batches):
             client = factory() if factory else None
@@ -161,23 +197,25 @@ class FunctionEmbedder:
                 for s in range(0, len(texts_), bs):
                     chunk = texts_[s:s + bs]
                     t0 = time.time()
+                    why = None
                     try:
-                        res = list(call(client, chunk))
-                        if len(res) != len(chunk):
-                            raise ValueError("embedder returned a different number of vectors")
-                    except Exception:  # whole batch failed: go text by text
-                        res = [None] * len(chunk)
+                        res = call(client, chunk)
+                    except Exception as ex:  # whole batch failed: go text by text
+                        res, why = [None] * len(chunk), f"{type(ex).__name__}: {ex}"
                     dt = time.time() - t0
+                    alone = len(chunk) == 1          # its batch call was the first attempt
                     for i, text in enumerate(chunk):
                         vec, a, e, sec, m = res[i], 1, 0, dt / len(chunk), None
                         if vec is None:
-                            a, e, sec = 0, 0, 0.0
-                            for attempt in range(retries):
+                            a = e = 1 if alone else 0
+                            sec, m = 0.0, (why or "ValueError: no vector returned") if alone else None
+                            while a < retries:
+                                if a and backoff > 0:
+                                    time.sleep(backoff * (2 ** (a - 1)))
                                 a += 1
                                 t1 = time.time()
                                 try:
-                                    out = call(client, [text])
-                                    vec = out[0] if out else None
+                                    vec = call(client, [text])[0]
                                     if vec is None:
                                         raise ValueError("no vector returned")
                                     sec += time.time() - t1
@@ -185,10 +223,8 @@ class FunctionEmbedder:
                                     break
                                 except Exception as ex:  # counted per failed attempt
                                     e += 1
-                                    m = f"{type(ex).__name__}: {ex}"[:500]
+                                    m = f"{type(ex).__name__}: {ex}"
                                     vec = None
-                                    if attempt < retries - 1 and backoff > 0:
-                                        time.sleep(backoff * (2 ** attempt))
                         emb.append(None if vec is None else np.asarray(vec, dtype=np.float32))
                         att.append(a)
                         errs.append(e)
@@ -248,7 +284,8 @@ class EmbeddingCache:
         empty = self.spark.createDataFrame([], CACHE_SCHEMA)
         if not self.enabled or not self._exists():
             return empty
-        raw = (self.spark.read.parquet(self.path)
+        schema = T.StructType([*CACHE_SCHEMA.fields, T.StructField("model_key", T.StringType(), True)])
+        raw = (self.spark.read.schema(schema).parquet(self.path)   # a folder without files is an empty cache
                .where((F.col("model_key") == model_key(self.model))
                       & (F.col("model") == self.model)))
         if hashes is not None:
@@ -297,19 +334,21 @@ def embed_records(records: DataFrame, text_col: str, embedder, *,
         return _embed_inline(rec, text_col, embedder, out_col)
     if materialize:
         rec = materialize_df(rec, "embed-records")
-    distinct = (rec.where(F.col("text_hash").isNotNull())
-                .select("text_hash", F.col(text_col).alias("text"))
-                .dropDuplicates(["text_hash"]))                              # E4
-    cached = cache.load(distinct.select("text_hash")) if cache is not None else None
-    if cached is not None:
-        hits = (cached.join(distinct.select("text_hash"), "text_hash", "left_semi")
-                .select("text_hash", "embedding", F.lit("cache").alias("source"),
-                        F.lit(0).alias("attempts"), F.lit(0).alias("errors"),
-                        F.lit(0.0).alias("seconds"), F.lit(None).cast("string").alias("error")))
-        misses = distinct.join(cached.select("text_hash"), "text_hash", "left_anti")  # E3
-    else:
+    known = rec.where(F.col("text_hash").isNotNull())
+    if cache is None:
         hits = None
-        misses = distinct
+        misses = known.select("text_hash", F.col(text_col).alias("text")).dropDuplicates(["text_hash"])   # E4
+    else:
+        # Hashes alone are made distinct and looked up, once; a text is
+        # fetched only for a hash that the cache does not hold.
+        hashes = materialize_df(known.select("text_hash").distinct(), "embed-hashes")
+        cached = materialize_df(cache.load(hashes), "embed-hits")
+        hits = cached.select("text_hash", "embedding", F.lit("cache").alias("source"),
+                             F.lit(0).alias("attempts"), F.lit(0).alias("errors"),
+                             F.lit(0.0).alias("seconds"), F.lit(None).cast("string").alias("error"))
+        missing = hashes.join(cached.select("text_hash"), "text_hash", "left_anti")
+        misses = (known.select("text_hash", F.col(text_col).alias("text"))
+                  .join(missing, "text_hash", "left_semi").dropDuplicates(["text_hash"]))
     fresh = embedder.embed(misses).withColumn("source", F.lit("model"))
     if getattr(embedder, "expensive", False):
         # A real model is called once: the join-back, the cache write and the

@@ -9,7 +9,7 @@ against the centroids).  The (query, cell) probes and the candidates then
 meet in groups keyed by (cell, sub-block, query-block):
 
 * a cell with many candidates is split into hash sub-blocks of about
-  ``block`` rows, and a cell probed by many queries into query blocks of
+  ``block`` rows (sized by bytes), and a cell probed by many queries into query blocks of
   about ``query_block`` probes - so no group grows with the data, however
   skewed the cells are (one cell may hold a third of everything);
 * each group is scored as one matrix product in ``applyInPandas`` (cogroup)
@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vector as V
+from ..session import materialize
 from . import knn
 
+BLOCK_BYTES = 32 * 1024 * 1024       # candidate vectors of one sub-block
+
 HIT_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType()),
     T.StructField("id", T.StringType()),
@@ -50,14 +53,17 @@ class IvfIndex:
 
 def build_ivf(candidates: DataFrame, *, nlist: int, metric: str = V.COSINE,
               id_col: str = "id", vector_col: str = "vector", seed: int = 7,
-              max_iter: int = 20) -> IvfIndex:
+              max_iter: int = 20, dim: int | None = None) -> IvfIndex:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     metric = V.normalize_metric(metric)
     cand = knn.prepare_candidates(candidates, id_col=id_col, vector_col=vector_col)
-    dim = knn.measure_candidates(cand)["dim"]
-    cand = cand.where(F.size("vector") == dim)
+    dim = dim or knn.measure_candidates(cand)["dim"]
+    # Vectors without a direction or with non-finite parts have no cell (and no score).
+    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    fine = (norm < float("inf")) & ((norm > 0) if metric == V.COSINE else ~F.isnan(norm))
+    cand = cand.where((F.size("vector") == dim) & fine)
     feats = cand.select(array_to_vector(
         F.transform("vector", lambda x: x.cast("double"))).alias("features"))
     km = KMeans(k=nlist, seed=seed, maxIter=max_iter,
@@ -72,6 +78,7 @@ def build_ivf(candidates: DataFrame, *, nlist: int, metric: str = V.COSINE,
     assigned = assigned.select("id", "vector",
                                F.col("_c")[0]["id"].cast("int").alias("cell")) \
         .where(F.col("cell").isNotNull())
+    assigned = materialize(assigned, "ivf-assigned")     # read twice by every search
     return IvfIndex(centroids, assigned, metric, nlist, dim)
 
 
@@ -101,7 +108,7 @@ def _score_group(metric: str, k: int):
 
 def ivf_search(queries: DataFrame, index: IvfIndex, *, k: int = knn.DEFAULT_K,
                nprobe: int = 8, query_id: str = "query_id", query_vector: str = "vector",
-               block: int = 4096, query_block: int = 2048) -> DataFrame:
+               block: int | None = None, query_block: int = 2048) -> DataFrame:
     """Top-k per query among the candidates of its ``nprobe`` nearest cells.
 
     Returns ``(query_id, rank, id, distance, score)`` like :func:`knn.knn_join`.
@@ -109,6 +116,7 @@ def ivf_search(queries: DataFrame, index: IvfIndex, *, k: int = knn.DEFAULT_K,
     k = knn.resolve_k(k)
     metric = index.metric
     nprobe = max(1, min(int(nprobe), index.nlist))
+    block = block or max(4096, BLOCK_BYTES // (4 * index.dim))
     cells = index.centroids.select(F.col("cell").cast("string").alias("id"), "vector")
     q = queries.select(F.col(query_id).cast("string").alias("query_id"),
                        F.col(query_vector).alias("vector"))
@@ -116,6 +124,7 @@ def ivf_search(queries: DataFrame, index: IvfIndex, *, k: int = knn.DEFAULT_K,
                              metric=V.L2 if metric == V.IP else metric, dim=index.dim)
               .select("query_id", "vector", F.explode("_p").alias("p"))
               .select("query_id", "vector", F.col("p.id").cast("int").alias("cell")))
+    probes = materialize(probes, "ivf-probes")           # sized, then joined
     # Per-cell sizes (nlist rows) decide how many sub-blocks / query blocks a cell gets.
     n_c = index.assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     q_c = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))

@@ -15,19 +15,19 @@ certifies the shortlist; uncertain rows are recomputed in float64).  The query
 side is never shuffled, never joined back, and no pair rows exist - each query
 emits at most k hits.
 
-When the candidates exceed the budget they are cut into hash tiles that each
-fit it.  Every tile is scored the same way in its own job and written to the
-shared checkpoint folder; a per-query top-k over the ``tiles * k`` partial hits
-gives the exact global answer (top-k of a union = top-k of the per-part top-k).
+When the candidates exceed the budget, blocks of candidates meet blocks of
+queries in cogroups of one job; every group is scored the same way and gives
+its top-k per query, and a per-query top-k over the partial hits is the exact
+global answer (top-k of a union = top-k of the per-part top-k).  Queries carry
+a row key of their own, so both paths answer alike whatever the query ids.
 
 Order: distance in the metric's direction, then id ascending - a total order,
-so results are deterministic and the tiled merge is exact.
+so results are deterministic and the blocked merge is exact.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,7 @@ from pyspark.sql import types as T
 from ..functions import vector as V
 from ..session import (KNN_BROADCAST_BYTES, KNN_BROADCAST_BYTES_DEFAULT,
                        KNN_CANDIDATE_TILE, KNN_CANDIDATE_TILE_DEFAULT,
-                       KNN_QUERY_BLOCK, KNN_QUERY_BLOCK_DEFAULT, conf_int,
-                       ensure_checkpoint_dir)
+                       KNN_QUERY_BLOCK, KNN_QUERY_BLOCK_DEFAULT, conf_int, materialize)
 
 DEFAULT_K = 5
 MAX_K = 100
@@ -87,10 +86,12 @@ def measure_candidates(cand: DataFrame, payload: list[str] | None = None,
                        dim: int | None = None) -> dict:
     """Row count, dimension and bytes to ship - one grouped aggregate.
 
-    ``dim`` is the declared dimension (a collection's manifest); without it
-    the most common vector length is used.  Rows of any other length cannot
-    be scored (C5) and are neither counted nor shipped.  The aggregate has
-    one row per distinct vector length, so collecting it is bounded.
+    ``dim`` is the declared dimension (a collection's manifest, an embedder's
+    ``dim``); rows of any other length cannot be scored (C5) and are neither
+    counted nor shipped.  Without it all candidates must have one length:
+    which of several is meant is not for this function to guess.  The
+    aggregate has one row per distinct vector length, so collecting it is
+    bounded.
     """
     per_row = F.octet_length("id") + F.size("vector") * 4
     for p in payload or []:
@@ -98,8 +99,11 @@ def measure_candidates(cand: DataFrame, payload: list[str] | None = None,
     by_len = (cand.groupBy(F.size("vector").alias("d"))
               .agg(F.count(F.lit(1)).alias("n"), F.sum(per_row.cast("long")).alias("bytes"))
               .collect())
+    if dim is None and len(by_len) > 1:
+        raise ValueError("candidate vectors have several lengths "
+                         f"({', '.join(str(r['d']) for r in sorted(by_len, key=lambda r: r['d']))}); pass dim")
     if dim is None and by_len:
-        dim = int(sorted(by_len, key=lambda r: (-r["n"], r["d"]))[0]["d"])
+        dim = int(by_len[0]["d"])
     row = next((r for r in by_len if r["d"] == dim), None)
     if dim is None or row is None:
         return {"n": 0, "dim": dim, "bytes": 0}
@@ -124,7 +128,11 @@ def _collect_matrix(cand: DataFrame, dim: int, metric: str,
     Rows with a different length than ``dim`` are not scoreable (C5) and are
     left out; for COSINE so are zero vectors (their similarity is undefined).
     """
-    tbl = cand.where(F.size("vector") == dim).toArrow()
+    return _arrow_matrix(cand.where(F.size("vector") == dim).toArrow(), dim, metric, payload)
+
+
+def _arrow_matrix(tbl: pa.Table, dim: int, metric: str, payload: list[str]) -> dict:
+    """The matrix of a table of candidates of one length, sorted by id."""
     ids = tbl.column("id").combine_chunks()
     if len(ids):
         order = pc.array_sort_indices(ids)          # code-point = byte order
@@ -184,9 +192,17 @@ def _score_block_f64(q: np.ndarray, m: dict, metric: str, k: int,
     best_key = np.full((b, 0), np.inf)
     best_idx = np.zeros((b, 0), dtype=np.int64)
     qn = _query_norms(q, metric)
+    if metric == V.L2:                              # differences, not |q|^2 + |c|^2 - 2 q.c
+        tile = max(1, min(tile, (1 << 22) // max(1, b * q.shape[1])))
     for s in range(0, n, tile):
         e = min(n, s + tile)
-        key = _keys(q @ m["mat"][s:e].astype(np.float64).T, qn, m["norms"][s:e], metric)
+        c = m["mat"][s:e].astype(np.float64)
+        if metric == V.L2:
+            diff = q[:, None, :] - c[None, :, :]
+            key = np.einsum("bnd,bnd->bn", diff, diff)
+            key[~np.isfinite(key)] = np.inf
+        else:
+            key = _keys(q @ c.T, qn, m["norms"][s:e], metric)
         idx = np.broadcast_to(np.arange(s, e, dtype=np.int64), key.shape)
         best_key, best_idx = _topk_merge(best_key, best_idx, key, idx, kk)
     return _sorted(best_key, best_idx)
@@ -316,9 +332,12 @@ def score_block(q: np.ndarray, m: dict, metric: str, k: int,
     else:
         bound = gamma * (qabs * cmax + 1.0)
     kth = best_key[:, kk - 1]
-    certain = ~np.isfinite(kth) | (k2 >= n) | (best_key[:, k2 - 1] > kth + 2.0 * bound)
+    # Only finite keys certify anything; products that could leave the float32
+    # range are left to float64.
+    fits = (qabs * cmax < 1e36) & (cmax * cmax < 1e36) & (qabs < 1e36)
     if metric == V.COSINE:
-        certain &= qabs > 0
+        fits = qabs > 0
+    certain = fits & ((k2 >= n) | (np.isfinite(kth) & (best_key[:, k2 - 1] > kth + 2.0 * bound)))
     # Exact rescoring of the shortlist in float64.
     out_key = np.full((b, kk), np.inf)
     out_idx = np.zeros((b, kk), dtype=np.int64)
@@ -328,14 +347,14 @@ def score_block(q: np.ndarray, m: dict, metric: str, k: int,
         rows = ok_rows[c0:c0 + 256]
         ids = best_idx[rows]
         cand = m["mat"][ids].astype(np.float64)                # (r, k2, d)
-        dots = np.einsum("rkd,rd->rk", cand, q[rows])
         with np.errstate(divide="ignore", invalid="ignore"):
             if metric == V.COSINE:
-                key = -(dots / (qn[rows][:, None] * m["norms"][ids]))
+                key = -(np.einsum("rkd,rd->rk", cand, q[rows]) / (qn[rows][:, None] * m["norms"][ids]))
             elif metric == V.L2:
-                key = np.maximum(qn[rows][:, None] + m["norms"][ids] - 2.0 * dots, 0.0)
+                cand -= q[rows][:, None, :]
+                key = np.einsum("rkd,rkd->rk", cand, cand)
             else:
-                key = -dots
+                key = -np.einsum("rkd,rd->rk", cand, q[rows])
         key[~np.isfinite(key) | ~np.isfinite(best_key[rows])] = np.inf
         key, ids = _sorted(key, ids)
         out_key[rows], out_idx[rows] = key[:, :kk], ids[:, :kk]
@@ -429,10 +448,42 @@ def _make_scorer(bc, dim: int, metric: str, k: int, payload_names: list[str],
     return F.arrow_udf(score_arrow, out_type).asNondeterministic()
 
 
+def _block_scorer(dim: int, metric: str, k: int, payload: list[str], qblock: int, tile: int):
+    """Top-k of one block of queries against one block of candidates (cogroup)."""
+
+    def run(qt: pa.Table, ct: pa.Table) -> pa.Table:
+        limit_blas_threads()
+        names = ["_qk", "id", "distance", "score", *payload]
+        types = [pa.int64(), pa.string(), pa.float64(), pa.float64(), *(ct.schema.field(p).type for p in payload)]
+        if not len(qt) or not len(ct):
+            return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
+        m = _arrow_matrix(ct, dim, metric, payload)
+        vec = qt.column("vector").combine_chunks()
+        q_all = pc.list_flatten(vec).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), dim)
+        qk = qt.column("_qk").to_numpy()
+        out_k, out_i, out_d = [], [], []
+        for s in range(0, len(q_all), qblock):
+            key, idx = score_block(q_all[s:s + qblock], m, metric, k, tile)
+            fin = np.isfinite(key)
+            out_k.append(np.repeat(qk[s:s + qblock], fin.sum(axis=1)))
+            out_d.append(key[fin])
+            out_i.append(idx[fin])
+        take = pa.array(np.concatenate(out_i), pa.int64())
+        dist, sc = _key_to_distance_score(np.concatenate(out_d), metric)
+        cols = [pa.array(np.concatenate(out_k), pa.int64()), m["ids"].take(take).cast(pa.string()),
+                pa.array(dist, pa.float64()), pa.array(sc, pa.float64())]
+        return pa.Table.from_arrays([*cols, *(m["payload"][p].take(take) for p in payload)], names=names)
+    return run
+
+
 # --------------------------------------------------------------------------
 # Public operators
 # --------------------------------------------------------------------------
 
+# Candidates (and queries) of one block beyond the broadcast budget.
+BLOCK_BYTES = 32 * 1024 * 1024
+
+
 class KnnPlan:
     """A candidate side prepared for searching.  Reusable across query sets."""
 
@@ -443,13 +494,11 @@ class KnnPlan:
         self.payload, self.payload_types = payload, payload_types
         self.stats, self.dim, self.budget = stats, dim, budget
         self.out_type = hit_type(payload_types)
-        n_tiles = max(1, math.ceil(stats["bytes"] / max(1, int(budget * 0.8))))
-        self.tiles = n_tiles if stats["n"] else 1
         self._broadcasts = []
 
     @property
     def broadcastable(self) -> bool:
-        return self.tiles == 1
+        return not self.stats["n"] or self.stats["bytes"] <= self.budget
 
     def _scorer(self, cand: DataFrame) -> Column:
         m = _collect_matrix(cand, self.dim, self.metric, self.payload)
@@ -470,20 +519,36 @@ class KnnPlan:
             return F.array().cast(self.out_type)
         return self._scorer(self.cand)(vector)
 
-    def _tile_plan(self) -> tuple[DataFrame, int]:
-        """Hash tiles that each pass the budget (re-measured, doubled if not)."""
-        tiles = self.tiles
-        while True:
-            tcol = F.pmod(F.xxhash64("id"), F.lit(tiles))
-            per_row = F.octet_length("id") + F.size("vector") * 4
-            for p in self.payload:
-                per_row = per_row + F.coalesce(F.octet_length(F.col(p).cast("string")), F.lit(0))
-            worst = (self.cand.groupBy(tcol.alias("tile"))
-                     .agg(F.sum(per_row.cast("long")).alias("b"))
-                     .agg(F.max("b")).first()[0]) or 0
-            if worst <= self.budget:
-                return self.cand.withColumn("tile", tcol), tiles
-            tiles *= 2
+    def search_blocks(self, queries: DataFrame, vector: str) -> tuple[DataFrame, DataFrame]:
+        """(hits, queries) beyond the broadcast budget: blocks of candidates
+        against blocks of queries, one group each, all in one job.
+
+        Queries and candidates are written once with a row key of their own,
+        so that repeated and null ids stay apart; blocks are cut by the row
+        key, hence of even size whatever the ids; a group is scored like a
+        broadcast matrix and gives its top-k per query; the best k of a
+        query's blocks are its hits.  ``hits`` carries ``_qk``, the row key.
+        """
+        q = materialize(queries.withColumn("_qk", F.monotonically_increasing_id()), "knn-queries")
+        c = materialize(self.cand.withColumn("_ck", F.monotonically_increasing_id()), "knn-candidates")
+        self.cand.unpersist()
+        n_q = q.count()
+        n_blocks = max(1, math.ceil(self.stats["bytes"] / max(1, min(self.budget, BLOCK_BYTES))))
+        q_blocks = max(1, math.ceil(n_q * (self.dim * 4 + 16) / BLOCK_BYTES))
+        qs = (q.where(F.size(vector) == self.dim).select("_qk", F.col(vector).alias("vector"))
+              .withColumn("qb", F.pmod(F.xxhash64("_qk"), F.lit(q_blocks)).cast("int"))
+              .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
+        cs = (c.withColumn("cb", F.pmod(F.xxhash64("_ck"), F.lit(n_blocks)).cast("int")).drop("_ck")
+              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+        tile = conf_int(self.spark, KNN_CANDIDATE_TILE, KNN_CANDIDATE_TILE_DEFAULT)
+        qblock = conf_int(self.spark, KNN_QUERY_BLOCK, KNN_QUERY_BLOCK_DEFAULT)
+        schema = T.StructType([T.StructField("_qk", T.LongType()), *self.out_type.elementType.fields[1:]])
+        part = (qs.groupBy("cb", "qb").cogroup(cs.groupBy("cb", "qb"))
+                .applyInArrow(_block_scorer(self.dim, self.metric, self.k, self.payload, qblock, tile), schema))
+        key = V.order_key(F.col("distance"), self.metric)
+        w = Window.partitionBy("_qk").orderBy(key.asc(), F.col("id").asc())
+        top = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
+        return top, q
 
     def search_flat(self, queries: DataFrame, query_id: str, vector: str,
                     keep: list[str] | None = None) -> DataFrame:
@@ -493,27 +558,9 @@ class KnnPlan:
             hits = self.hits_column(F.col(vector))
             return (queries.select(F.col(query_id), *keep, F.explode(hits).alias("h"))
                     .select(query_id, *keep, "h.*"))
-        ckpt = ensure_checkpoint_dir(self.spark)
-        tiled, n_tiles = self._tile_plan()
-        run_dir = f"{ckpt}/knn-{uuid.uuid4().hex}"
-        qsel = queries.select(query_id, vector)
-        for t in range(n_tiles):
-            scorer = self._scorer(tiled.where(F.col("tile") == t).drop("tile"))
-            (qsel.select(F.col(query_id), F.explode(scorer(F.col(vector))).alias("h"))
-             .select(query_id, "h.*").drop("rank")
-             .write.mode("overwrite").parquet(f"{run_dir}/tile={t}"))
-            self.release()
-        self.cand.unpersist()
-        parts = self.spark.read.parquet(run_dir).drop("tile")
-        key = V.order_key(F.col("distance"), self.metric)
-        w = Window.partitionBy(query_id).orderBy(key.asc(), F.col("id").asc())
-        top = (parts.withColumn("rank", F.row_number().over(w))
-               .where(F.col("rank") <= self.k))
-        cols = [query_id, "rank", "id", "distance", "score"] + self.payload
-        top = top.select(*cols)
-        if keep:
-            top = top.join(queries.select(query_id, *keep), query_id, "inner")
-        return top
+        top, q = self.search_blocks(queries.select(*dict.fromkeys([query_id, vector, *keep])), vector)
+        return (top.join(q.select("_qk", query_id, *keep), "_qk")
+                .select(query_id, *keep, "rank", "id", "distance", "score", *self.payload))
 
     def release(self):
         for bc in self._broadcasts:
@@ -578,8 +625,9 @@ def knn_arrays(queries: DataFrame, candidates: DataFrame, *, output_col: str = "
     """Every query row keeps its columns and gains an array of hits.
 
     Broadcast path: a single ``select`` over the queries (no shuffle, no
-    join).  Tiled path: flat tiled search, regrouped by ``query_id`` and
-    joined back (``query_id`` must then be a unique key of the queries).
+    join).  Beyond the budget: blocked search, regrouped and joined back on
+    a row key of its own, so both paths give every row the same hits
+    (``query_id`` is not needed; it is accepted for callers that name one).
     """
     plan = plan_knn(candidates, k=k, metric=metric, id_col=candidate_id,
                     vector_col=candidate_vector, predicate=predicate, payload=payload,
@@ -590,17 +638,13 @@ def knn_arrays(queries: DataFrame, candidates: DataFrame, *, output_col: str = "
         if thr is not None:
             hits = F.filter(hits, lambda h: h["score"] >= thr)
         return queries.withColumn(output_col, hits)
-    if query_id is None:
-        raise ValueError("query_id is required when candidates exceed the broadcast budget")
-    # Private names: the query key may itself be called "id".
-    qq = queries.select(F.col(query_id).alias("__qid"), F.col(query_vector).alias("__qvec"))
-    flat = plan.search_flat(qq, "__qid", "__qvec")
+    struct = F.struct("rank", "id", "distance", "score", *plan.payload)
+    top, q = plan.search_blocks(queries, query_vector)
     if thr is not None:
-        flat = flat.where(F.col("score") >= thr)
-    fields = ["rank", "id", "distance", "score"] + plan.payload
-    grouped = (flat.groupBy("__qid")
-               .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(output_col))
-               .withColumnRenamed("__qid", query_id))
-    empty = F.array().cast(plan.out_type)
-    return (queries.join(grouped, query_id, "left")
-            .withColumn(output_col, F.coalesce(F.col(output_col), empty)))
+        top = top.where(F.col("score") >= thr)
+    grouped = (top.groupBy("_qk")
+               .agg(F.array_sort(F.collect_list(struct)).alias("_hits"))     # k hits at most
+               .withColumnRenamed("_qk", "_hk"))
+    out = q.join(grouped, q["_qk"] == grouped["_hk"], "left")
+    return out.select(*[q[c] for c in queries.columns if c != output_col],
+                      F.coalesce("_hits", F.array().cast(plan.out_type)).alias(output_col))

@@ -31,32 +31,51 @@ def _identity_batches(batches):
     yield from batches
 
 
+def group_offsets(df: DataFrame, group_cols: list[str], count, out_col: str = "offset") -> DataFrame:
+    """Exclusive running sum over groups of rows: one row per group, in group order.
+
+    ``count`` is the column summed in each group.  Rows are not moved: a
+    partial aggregate gives one small row per group (a file, or a split of
+    one), and only those rows are put in order and summed.  The table is
+    written once, so every reader sees the same offsets.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from ..session import materialize
+    per = df.groupBy(*group_cols).agg(F.sum(count).alias("_n"))
+    before = Window.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
+    return materialize(per.select(
+        *group_cols, F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias(out_col)), "offsets")
+
+
 def running_offsets(df: DataFrame, order_cols: list[str], count_col: str,
                     out_col: str = "offset") -> DataFrame:
-    """Exclusive running sum of ``count_col`` in ``order_cols`` order.
+    """Exclusive running sum of ``count_col`` in ``order_cols`` order (a key of the rows)."""
+    off = group_offsets(df, order_cols, count_col, out_col)
+    return df.join(broadcast_if_small(off, 256), order_cols)
+
+
+def row_positions(df: DataFrame, split_cols: list[str], out_col: str) -> DataFrame:
+    """Position of every row in the order of (``split_cols``, row order inside the split).
 
-    Two-level prefix sum, so no task ever sees more than one range of rows:
-    range-partition by the order, sum each partition (one row per
-    partition), prefix-sum those few rows, then prefix-sum inside each
-    partition and add the partition's offset.
+    ``split_cols`` name the file and the start of the split a row was read
+    from.  Ids that increase by one along a task's rows give the order inside
+    a split; per split the least id and the number of rows are aggregated,
+    the counts are summed up in split order, and position = offset + id -
+    least id.  The rows themselves are neither shuffled nor sorted.
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    parted = (df.repartitionByRange(n, *order_cols)
-              .withColumn("_part", F.spark_partition_id()))
-    totals = parted.groupBy("_part").agg(F.sum(count_col).alias("_tot"))
-    # One row per partition: bounded by the partition count.
-    w_all = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_part", F.coalesce(F.sum("_tot").over(w_all), F.lit(0))
-                           .alias("_start"))
-    w_in = (Window.partitionBy("_part").orderBy(*order_cols)
-            .rowsBetween(Window.unboundedPreceding, -1))
-    local = parted.withColumn("_local", F.coalesce(F.sum(count_col).over(w_in), F.lit(0)))
-    return (local.join(F.broadcast(starts), "_part")
-            .withColumn(out_col, (F.col("_start") + F.col("_local")).cast("long"))
-            .drop("_part", "_start", "_local"))
+    from ..session import materialize
+    seq = df.withColumn("_seq", F.monotonically_increasing_id())
+    per = seq.groupBy(*split_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
+    before = Window.orderBy(*split_cols).rowsBetween(Window.unboundedPreceding, -1)
+    off = materialize(per.select(*split_cols, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+                                 .alias("_shift")), "offsets")
+    return (seq.join(broadcast_if_small(off, 256), split_cols)
+            .withColumn(out_col, (F.col("_seq") + F.col("_shift")).cast("long")).drop("_seq", "_shift"))
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, budget: int = 64 * 1024 * 1024) -> DataFrame:

@@ -41,21 +41,22 @@ def knowledge_for_mapping(knowledge: DataFrame) -> DataFrame:
 def map_feedback(feedback: DataFrame, knowledge: DataFrame | None, *,
                  vector_col: str = "vector", metric: str = V.COSINE,
                  output_col: str = MAPPED_COL, k: int = MAPPING_K,
-                 broadcast_bytes: int | None = None, feedback_id: str = "id") -> DataFrame:
+                 broadcast_bytes: int | None = None, dim: int | None = None) -> DataFrame:
     """R3 (flagship): attach the top-5 knowledge entries to every feedback row.
 
     ``mapped_perspectives`` is ``array<struct<id, score, insight, aspect>>`` in
     score order.  A missing knowledge collection (None) or no hits gives an
-    empty array and the row is kept (V9).  Knowledge is searched through the
-    broadcast kNN plan, so the feedback side is neither shuffled nor joined.
+    empty array and the row is kept (V9).  Knowledge within the broadcast
+    budget is searched inside a select, so the feedback side is neither
+    shuffled nor joined.  ``dim``: the collection's (or embedder's) dimension.
     """
     ptype = perspective_type()
     if knowledge is None:
         return feedback.withColumn(output_col, F.array().cast(ptype))
     kn = knowledge_for_mapping(knowledge)
     out = knn.knn_arrays(feedback, kn, output_col="_hits", k=k, metric=metric,
-                         query_vector=vector_col, query_id=feedback_id,
-                         payload=["insight", "aspect"], broadcast_bytes=broadcast_bytes)
+                         query_vector=vector_col, payload=["insight", "aspect"],
+                         broadcast_bytes=broadcast_bytes, dim=dim)
     mapped = F.transform(F.coalesce(F.col("_hits"), F.array()), lambda h: F.struct(
         h["id"].alias("id"), h["score"].alias("score"),
         h["insight"].alias("insight"), h["aspect"].alias("aspect")))
@@ -171,7 +172,7 @@ def build_knowledge(records: DataFrame, embedder, *, cache=None):
     texts = knowledge_texts(records)
     res = embed_records(texts, "text_for_embedding", embedder, cache=cache, out_col="vector")
     ent = res.embedded.select("id", "vector", "text_for_embedding",
-                              knowledge_metadata(embedder.model).alias("metadata"))
+                              knowledge_metadata(embedder.model).alias("metadata"), "gpos")
     res.entities = ent
     return res
 
@@ -183,10 +184,10 @@ def build_feedback(records: DataFrame, embedder, knowledge: DataFrame | None, *,
     from .embedding import embed_records
     texts = feedback_texts(records, id_prefix)
     res = embed_records(texts, "text_for_embedding", embedder, cache=cache, out_col="vector")
-    mapped = map_feedback(res.embedded.withColumn("_row", F.col("gpos")), knowledge,
-                          metric=metric, broadcast_bytes=broadcast_bytes, feedback_id="_row")
+    mapped = map_feedback(res.embedded, knowledge, metric=metric,
+                          broadcast_bytes=broadcast_bytes, dim=embedder.dim)
     ent = mapped.select("id", "vector", "text_for_embedding",
-                        feedback_metadata(embedder.model).alias("metadata"))
+                        feedback_metadata(embedder.model).alias("metadata"), "gpos")
     res.entities = ent
     return res
 

@@ -3,13 +3,16 @@
 Layout on shared storage::
 
     <root>/<name>/_manifest/<version>.json      tiny pointer files
-    <root>/<name>/v=<version>/bucket=<b>/*.parquet
+    <root>/<name>/v=<version>-<attempt>/bucket=<b>/*.parquet
 
-A manifest lists, per bucket, the versions whose files make up the bucket.
+A manifest lists, per bucket, the attempts whose files make up the bucket.
+Every write goes to a folder of its own, which only the committed manifest
+names: what a writer that died left behind is never read and never in the way
+(``vacuum`` removes it, together with versions no longer referred to).
 Append (C3) writes a new version holding only the new rows and adds it to
 the touched buckets.  Upsert (C4) rewrites only the touched buckets (old rows
 of those buckets + new rows, last write per id wins) into a new version and
-points them at it alone.  Readers take the highest manifest, so a write is
+points them at it alone; old rows are only anti-joined with the new ids.  Readers take the highest manifest, so a write is
 visible all at once or not at all; old versions stay readable until removed.
 Bucket = pmod(xxhash64(id), num_buckets), so an upsert's dedup is local to a
 bucket and untouched buckets are never read or rewritten.
@@ -19,13 +22,14 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vector as V
-from ..session import materialize
+from ..session import materialize, release
 
 ENTITY_SCHEMA = T.StructType([
     T.StructField("id", T.StringType(), False),
@@ -38,6 +42,7 @@ MAX_ID_BYTES = 100
 MAX_TEXT_BYTES = 65535
 DEFAULT_DIM = 1024
 DEFAULT_BUCKETS = 64
+ROWS_PER_FILE = 1_000_000
 
 
 class CollectionError(RuntimeError):
@@ -131,18 +136,21 @@ class CollectionStore:
 
     # -- S5 -----------------------------------------------------------------
     def read(self, name: str, columns: list[str] | None = None,
-             buckets: list[int] | None = None) -> DataFrame:
-        """Current rows of a collection (optionally only some buckets)."""
+             buckets: list[int] | None = None, row_key: str | None = None) -> DataFrame:
+        """Current rows of a collection (optionally only some buckets).
+
+        ``row_key`` adds a column that tells every stored row apart, repeated
+        ids included (a hash of its file and its place in it)."""
         m = self.manifest(name)
         paths = [f"{self.root}/{name}/v={v}/bucket={b}"
                  for b, vs in m["buckets"].items() for v in vs
                  if buckets is None or int(b) in buckets]
         if not paths:
-            df = self.spark.createDataFrame([], ENTITY_SCHEMA)
+            df, key = self.spark.createDataFrame([], ENTITY_SCHEMA), F.lit(0).cast("long")
         else:
-            df = (self.spark.read.option("basePath", f"{self.root}/{name}")
-                  .parquet(*paths).drop("v", "bucket"))
-        return df.select(*(columns or ENTITY_SCHEMA.fieldNames()))
+            df = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*paths)
+            key = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+        return df.select(*(columns or ENTITY_SCHEMA.fieldNames()), *([key.alias(row_key)] if row_key else []))
 
     # -- C5 -----------------------------------------------------------------
     @staticmethod
@@ -161,31 +169,38 @@ class CollectionStore:
     def _bucket(self, m: dict) -> Column:
         return F.pmod(F.xxhash64("id"), F.lit(m["num_buckets"])).cast("int")
 
-    def _written_buckets(self, name: str, version: int) -> list[str]:
-        d = self._path(name, f"v={version}")
+    def _written_buckets(self, name: str, attempt: str) -> list[str]:
+        d = self._path(name, f"v={attempt}")
         if not self._fs.exists(d):
             return []
         return [s.getPath().getName().split("=", 1)[1] for s in self._fs.listStatus(d)
                 if s.isDirectory() and s.getPath().getName().startswith("bucket=")]
 
-    def _conform(self, entities: DataFrame) -> DataFrame:
-        return entities.select(F.col("id").cast("string").alias("id"),
-                               F.col("vector").cast(ENTITY_SCHEMA["vector"].dataType),
-                               F.col("text_for_embedding").cast("string"), "metadata")
+    def _checked(self, m: dict, entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(written table, accepted, rejected): the batch is computed once.
+
+        ``_seq`` is the order of the records: the column ``gpos`` where the
+        entities carry one (T6), else the order in which rows arrive here."""
+        seq = F.col("gpos").cast("long") if "gpos" in entities.columns else F.monotonically_increasing_id()
+        ordered = entities.select(
+            F.col("id").cast("string").alias("id"), F.col("vector").cast(ENTITY_SCHEMA["vector"].dataType).alias("vector"),
+            F.col("text_for_embedding").cast("string").alias("text_for_embedding"), "metadata", seq.alias("_seq"))
+        table = materialize(ordered.withColumn("bucket", self._bucket(m)), "batch")
+        ok, bad = self.validate(table, m["dim"])
+        return table, ok, bad.drop("bucket", "_seq")
 
     # -- C3 -----------------------------------------------------------------
     def append(self, name: str, entities: DataFrame) -> tuple[bool, DataFrame]:
         """Insert as given (ids as strings); invalid rows are rejected and
         returned.  Returns (inserted_anything_or_empty_input, rejected)."""
         m = self.manifest(name)
-        ok, bad = self.validate(self._conform(entities), m["dim"])
+        _, ok, bad = self._checked(m, entities)
         v = m["version"] + 1
-        ok.withColumn("bucket", self._bucket(m)).write.partitionBy("bucket") \
-            .mode("errorifexists").parquet(f"{self.root}/{name}/v={v}")
-        touched = self._written_buckets(name, v)
+        attempt = f"{v}-{uuid.uuid4().hex[:12]}"
+        ok.drop("_seq").write.partitionBy("bucket").mode("errorifexists").parquet(f"{self.root}/{name}/v={attempt}")
         buckets = {b: list(vs) for b, vs in m["buckets"].items()}
-        for b in touched:
-            buckets.setdefault(b, []).append(v)
+        for b in self._written_buckets(name, attempt):
+            buckets.setdefault(b, []).append(attempt)
         self._commit({**m, "version": v, "buckets": buckets})
         return True, bad
 
@@ -193,31 +208,56 @@ class CollectionStore:
     def upsert(self, name: str, entities: DataFrame) -> tuple[bool, DataFrame]:
         """C4: one row per id, last write wins; only touched buckets are rewritten.
 
-        Within the incoming batch the last row per id (by input order) wins.
+        Within the incoming batch the last record per id (by ``gpos``, see
+        ``_checked``) wins.  Repeated ids collapse in a partial aggregate.
         """
         m = self.manifest(name)
-        ok, bad = self.validate(self._conform(entities), m["dim"])
+        _, ok, bad = self._checked(m, entities)
         v = m["version"] + 1
-        new = (ok.withColumn("bucket", self._bucket(m))
-               .withColumn("_seq", F.monotonically_increasing_id() + F.lit(1)))
-        new = materialize(new, "upsert")      # fixed input order, read twice below
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # <= num_buckets
-        old = (self.read(name, buckets=touched)
-               .withColumn("bucket", self._bucket(m)).withColumn("_seq", F.lit(0).cast("long")))
-        w = Window.partitionBy("id").orderBy(F.col("_seq").desc())
-        merged = (old.unionByName(new)
-                  .withColumn("_rn", F.row_number().over(w))
-                  .where(F.col("_rn") == 1).drop("_rn", "_seq"))
-        # Ids are unique now, so buckets are balanced: cluster by bucket and
-        # write about one file per bucket instead of one per task and bucket.
-        merged.repartition(max(1, len(touched)), "bucket").write.partitionBy("bucket") \
-            .mode("errorifexists").parquet(f"{self.root}/{name}/v={v}")
+        attempt = f"{v}-{uuid.uuid4().hex[:12]}"
+        row = F.struct("vector", "text_for_embedding", "metadata")
+        new = materialize(ok.groupBy("id", "bucket").agg(F.max_by(row, "_seq").alias("r"))
+                          .select("id", "r.*", "bucket"), "upsert")
+        sizes = new.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()   # <= num_buckets rows
+        touched = [r["bucket"] for r in sizes]
+        old = self.read(name, buckets=touched).withColumn("bucket", self._bucket(m))
+        merged = old.join(new.select("id"), "id", "left_anti").unionByName(new)
+        rows = sum(r["n"] for r in sizes) + (old.select("id").count() if touched else 0)
+        # Tasks by size: a large bucket is written by several.
+        parts = max(1, -(-rows // ROWS_PER_FILE) // max(1, len(touched)))
+        slot = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts))
+        merged.repartition(max(1, len(touched) * parts), "bucket", slot).write.partitionBy("bucket") \
+            .mode("errorifexists").parquet(f"{self.root}/{name}/v={attempt}")
         buckets = {b: list(vs) for b, vs in m["buckets"].items()}
         for b in touched:
-            buckets[str(b)] = [v]
+            buckets[str(b)] = [attempt]
         self._commit({**m, "version": v, "buckets": buckets})
+        release(new)
         return True, bad
 
+    def compact(self, name: str) -> dict:
+        """Rewrite buckets that consist of several appends into one folder."""
+        m = self.manifest(name)
+        many = [int(b) for b, vs in m["buckets"].items() if len(vs) > 1]
+        if not many:
+            return m
+        v = m["version"] + 1
+        attempt = f"{v}-{uuid.uuid4().hex[:12]}"
+        self.read(name, buckets=many).withColumn("bucket", self._bucket(m)).repartition(len(many), "bucket") \
+            .write.partitionBy("bucket").mode("errorifexists").parquet(f"{self.root}/{name}/v={attempt}")
+        buckets = {b: list(vs) for b, vs in m["buckets"].items()} | {str(b): [attempt] for b in many}
+        return self._commit({**m, "version": v, "buckets": buckets})
+
+    def vacuum(self, name: str) -> int:
+        """Remove data folders the current manifest does not name (returns how
+        many).  Only when no reader of an older version and no writer is active."""
+        used = {f"v={a}" for vs in self.manifest(name)["buckets"].values() for a in vs}
+        n = 0
+        for st in self._fs.listStatus(self._path(name)):
+            if st.getPath().getName().startswith("v=") and st.getPath().getName() not in used:
+                n += bool(self._fs.delete(st.getPath(), True))
+        return n
+
     # -- C8 -----------------------------------------------------------------
     def info(self, names: list[str] | None = None) -> DataFrame:
         """(name, row_count, status, dim, metric, num_buckets, version).

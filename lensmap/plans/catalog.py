@@ -256,6 +256,7 @@ def _nonzero_sql(source_sql: str, key: str) -> str:
             f"round(CAST(v AS DOUBLE), 6) AS weight FROM e_nv")
 
 
+_ALL_HASHES = f"SELECT DISTINCT md5({FB_SQL}) AS h FROM documents WHERE {S.not_blank(FB_SQL)}"
 _LABELLED_HASHES = (f"SELECT DISTINCT md5({FB_SQL}) AS h FROM documents "
                     f"JOIN labels USING (doc_id)")
 
@@ -327,9 +328,11 @@ def e8_embed_success_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "total_count", "success_count", "failure_count")
 
 
-def flaky_model(texts, dim: int = TEXT_DIM, _seen: dict = {}):  # noqa: B006
+def flaky_model(texts, client: dict, dim: int = TEXT_DIM):
     """Stand-in for a remote model: texts whose md5 starts with '0' always
-    fail, '1' fails once when sent alone; a batch fails if it holds either."""
+    fail, '1' fails on the first call that holds it alone; a batch fails if it
+    holds either.  ``client`` counts the calls of one task, so a task that is
+    run again sees the same failures."""
     import hashlib
 
     import pyarrow as pa
@@ -337,34 +340,47 @@ def flaky_model(texts, dim: int = TEXT_DIM, _seen: dict = {}):  # noqa: B006
     if len(texts) > 1 and any(h[0] in "01" for h in hs):
         raise RuntimeError("batch failed")
     if len(texts) == 1:
-        h = hs[0]
-        if h[0] == "0":
+        client[hs[0]] = client.get(hs[0], 0) + 1
+        if hs[0][0] == "0":
             raise RuntimeError("permanent failure")
-        if h[0] == "1" and not _seen.get(h):
-            _seen[h] = True
+        if hs[0][0] == "1" and client[hs[0]] == 1:
             raise RuntimeError("transient failure")
     return EM._hash_vectors(pa.array(texts, pa.string()), dim, 3).to_pylist()
 
 
-def _flaky_embed(spark: SparkSession, sf_dir: str):
-    emb = EM.FunctionEmbedder(flaky_model, "flaky-hash", batch_size=16, backoff=0.0)
+def _flaky_embed(spark: SparkSession, sf_dir: str, batch_size: int = 16):
+    emb = EM.FunctionEmbedder(flaky_model, "flaky-hash", batch_size=batch_size, backoff=0.0,
+                              client_factory=dict, dim=TEXT_DIM)
     return EM.embed_records(_docs(spark, sf_dir), "fb", emb)
 
 
-@register("E5_retry", f"""
+_RETRY_SQL = f"""
 SELECT DISTINCT md5({FB_SQL}) AS text_hash,
        CAST(CASE left(md5({FB_SQL}), 1) WHEN '0' THEN 3 WHEN '1' THEN 2 ELSE 1 END AS INTEGER)
          AS attempts,
        CAST(CASE left(md5({FB_SQL}), 1) WHEN '0' THEN 3 WHEN '1' THEN 1 ELSE 0 END AS INTEGER)
          AS errors,
        left(md5({FB_SQL}), 1) = '0' AS failed
-FROM documents WHERE {S.not_blank(FB_SQL)}""")
-def e5_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    res = _flaky_embed(spark, sf_dir)
+FROM documents WHERE {S.not_blank(FB_SQL)}"""
+
+
+def _attempts(spark: SparkSession, sf_dir: str, batch_size: int) -> DataFrame:
+    res = _flaky_embed(spark, sf_dir, batch_size)
     return res.vectors.select("text_hash", "attempts", "errors",
                               F.col("embedding").isNull().alias("failed"))
 
 
+@register("E5_retry", _RETRY_SQL)
+def e5_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attempts(spark, sf_dir, 16)
+
+
+@register("E5_retry_single", _RETRY_SQL)
+def e5_retry_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of one text: the batch call is the first of the three attempts."""
+    return _attempts(spark, sf_dir, 1)
+
+
 @register("E6_drop_failed", f"""
 SELECT doc_id, CASE WHEN NOT {S.not_blank(FB_SQL)} THEN 'blank text'
                     ELSE 'RuntimeError: permanent failure' END AS reason
@@ -374,19 +390,24 @@ def e6_drop_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flaky_embed(spark, sf_dir).failed.select("doc_id", "reason")
 
 
-@register("S9_cache_save", f"SELECT h AS text_hash FROM ({_LABELLED_HASHES})")
+@register("S9_cache_save", f"SELECT h AS text_hash FROM ({_ALL_HASHES})")
 def s9_cache_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text saved; an empty save before it changes nothing."""
     emb = EM.HashEmbedder(TEXT_DIM)
-    cache = _seeded_cache(spark, sf_dir, emb)
+    cache = EM.EmbeddingCache(spark, scratch(spark, "cache"), emb.model)
+    fresh = EM.embed_records(_docs(spark, sf_dir), "fb", emb).fresh
+    cache.save(fresh.where("false"))
+    cache.save(fresh)
     return spark.read.parquet(cache.path).select("text_hash")
 
 
-@register("S8_cache_load", f"SELECT h AS text_hash, {TEXT_DIM} AS dim FROM ({_LABELLED_HASHES})")
+@register("S8_cache_load", f"SELECT h AS text_hash, {TEXT_DIM} AS dim FROM ({_ALL_HASHES})")
 def s8_cache_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two saves of the same entries; load keeps one (the latest) per hash."""
+    """Two overlapping saves (labelled documents, all documents); load keeps
+    one entry, the latest, per hash."""
     emb = EM.HashEmbedder(TEXT_DIM)
     cache = _seeded_cache(spark, sf_dir, emb)
-    cache.save(EM.embed_records(_docs(spark, sf_dir, labelled_only=True), "fb", emb).fresh)
+    cache.save(EM.embed_records(_docs(spark, sf_dir), "fb", emb).fresh)
     return cache.load().select("text_hash", F.size("embedding").alias("dim"))
 
 
@@ -395,12 +416,14 @@ def s8_cache_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _docs_as_json_dir(spark: SparkSession, sf_dir: str) -> str:
-    """Write documents as JSON-array files (50 records each) and return the folder."""
+    """Write documents as JSON-array files (50 records each), in doc_id order by
+    file name and inside the files, and return the folder."""
     out = scratch(spark, "json")
     d = load(spark, sf_dir, "documents")
     packed = (d.groupBy(F.floor(F.col("doc_id") / 50).alias("f"))
-              .agg(F.to_json(F.collect_list(F.struct("doc_id", "text", "lang", "source",
-                                                     "n_chars"))).alias("value")))
+              .agg(F.to_json(F.array_sort(F.collect_list(F.struct("doc_id", "text", "lang", "source",
+                                                                  "n_chars")))).alias("value")))
+    packed = packed.repartitionByRange(8, "f").sortWithinPartitions("f")
     packed.select("value").write.option("maxRecordsPerFile", 1).text(out)
     return out
 
@@ -414,13 +437,12 @@ def s1_json_dir_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("T6_default_id", """
-SELECT count(*) AS records, count(*) AS distinct_positions, CAST(0 AS BIGINT) AS min_position,
-       count(*) - 1 AS max_position FROM documents""")
+SELECT 'record_' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS id, doc_id FROM documents""")
 def t6_default_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without an id get their position in the whole scan: every pair."""
     rec, _ = json_dir.scan_json_dir(spark, _docs_as_json_dir(spark, sf_dir), glob="*.txt")
-    return rec.agg(F.count(F.lit(1)).alias("records"),
-                   F.count_distinct("gpos").alias("distinct_positions"),
-                   F.min("gpos").alias("min_position"), F.max("gpos").alias("max_position"))
+    return rec.select(records.default_id("no_such_key", "record").alias("id"),
+                      F.try_variant_get("item", "$.doc_id", "bigint").alias("doc_id"))
 
 
 @register("S2_bad_file_report", """
@@ -500,6 +522,56 @@ def c5_validate_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(bad.select("id", F.lit(False).alias("accepted"), "reason"))
 
 
+def _regions(spark: SparkSession, sf_dir: str) -> CollectionStore:
+    """One collection per region, holding its customers."""
+    st = CollectionStore(spark, scratch(spark, "store"), num_buckets=4)
+    c = (load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+         .join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
+    c = c.select("r_name", F.col("c_custkey").cast("string").alias("id"),
+                 F.array(F.col("c_acctbal").cast("float")).alias("vector"),
+                 F.col("c_name").alias("text_for_embedding"), F.lit(None).cast("variant").alias("metadata"))
+    for r in load(spark, sf_dir, "region").select("r_name").collect():      # one row per region
+        st.create(r["r_name"], dim=1)
+        st.append(r["r_name"], c.where(F.col("r_name") == r["r_name"]).drop("r_name"))
+    return st
+
+
+_REGION_SQL = """SELECT r_name AS name, {rows} AS row_count, 'loaded' AS status
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+{where} GROUP BY r_name"""
+
+
+@register("C1_create_collection", _REGION_SQL.format(rows="count(*)", where=""))
+def c1_create_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creating a collection that exists keeps its rows."""
+    st = _regions(spark, sf_dir)
+    for name in st.list():
+        st.create(name, dim=1)
+    return st.info().select("name", "row_count", "status")
+
+
+@register("C2_force_recreate", _REGION_SQL.format(
+    rows="CASE WHEN r_name = 'ASIA' THEN 0 ELSE count(*) END", where=""))
+def c2_force_recreate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = _regions(spark, sf_dir)
+    st.create("ASIA", dim=1, force=True)
+    return st.info().select("name", "row_count", "status")
+
+
+@register("C6_drop_collection", _REGION_SQL.format(rows="count(*)", where="WHERE r_name <> 'EUROPE'"))
+def c6_drop_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = _regions(spark, sf_dir)
+    st.drop("EUROPE")
+    return st.info().select("name", "row_count", "status")
+
+
+@register("C7_list_collections", """SELECT DISTINCT r_name AS name FROM customer
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def c7_list_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = _regions(spark, sf_dir)
+    return spark.createDataFrame([(n,) for n in st.list()], "name string")
+
+
 def _embedding_collection(spark: SparkSession, sf_dir: str) -> tuple[CollectionStore, str]:
     st = CollectionStore(spark, scratch(spark, "store"), num_buckets=8)
     ent = embedding_entities(spark, sf_dir)
@@ -591,6 +663,75 @@ def t9_knowledge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
                       m("description", "variant").isNotNull().alias("has_description"))
 
 
+@register("S4_record_dispatch", f"""
+SELECT 'knowledge' AS kind, CAST(item_id AS VARCHAR) AS id, CAST({TEXT_DIM} AS INTEGER) AS dim FROM benchmark
+UNION ALL SELECT 'feedback', CAST(doc_id AS VARCHAR), CAST({TEXT_DIM} AS INTEGER)
+FROM documents WHERE {S.not_blank(FB_SQL)}""")
+def s4_record_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emb = EM.HashEmbedder(TEXT_DIM)
+    kn = records.build_dictionary("knowledge", _benchmark_items(spark, sf_dir), emb)
+    fb = records.build_dictionary("feedback", _document_items(spark, sf_dir), emb, knowledge=kn.entities)
+    out = None
+    for kind, res in (("knowledge", kn), ("feedback", fb)):
+        rows = res.entities.select(F.lit(kind).alias("kind"), "id", F.size("vector").alias("dim"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("T3_fallback_text", """
+SELECT CAST(doc_id AS VARCHAR) AS id,
+       CASE doc_id % 3 WHEN 0 THEN repeat('。', CAST(n_chars % 7 + 1 AS INTEGER))
+                       WHEN 1 THEN repeat('—', CAST(n_chars % 5 + 1 AS INTEGER)) ELSE '未知内容' END AS text_for_embedding
+FROM documents""")
+def t3_fallback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose fields clean to nothing: the raw insight, else the raw
+    aspect, else the fixed text."""
+    n = F.col("n_chars")
+    d = load(spark, sf_dir, "documents")
+    third = F.pmod("doc_id", F.lit(3))
+    item = F.when(third == 0, F.to_variant_object(F.struct(F.col("doc_id").alias("insight_id"),
+                                                           F.repeat(F.lit("。"), (n % 7 + 1).cast("int")).alias("insight"))))
+    item = item.when(third == 1, F.to_variant_object(F.struct(F.col("doc_id").alias("insight_id"),
+                                                              F.repeat(F.lit("—"), (n % 5 + 1).cast("int")).alias("aspect"))))
+    item = item.otherwise(F.to_variant_object(F.struct(F.col("doc_id").alias("insight_id"))))
+    return records.knowledge_texts(d.select(item.alias("item"), F.col("doc_id").alias("gpos"))).select("id", "text_for_embedding")
+
+
+@register("V9_missing_collection", """
+SELECT CAST(vec_id AS VARCHAR) AS id, 0 AS n_hits, true AS search_refused FROM embeddings""")
+def v9_missing_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapping without a knowledge collection keeps every row with no hits;
+    searching a collection that does not exist is refused."""
+    from ..operators.store import CollectionError
+    ent = embedding_entities(spark, sf_dir)
+    st = CollectionStore(spark, scratch(spark, "store"))
+    try:
+        SE.semantic_search(_turn_queries(spark, sf_dir), st, "knowledge", EM.HashEmbedder(TEXT_DIM))
+        refused = False
+    except CollectionError:
+        refused = True
+    return records.map_feedback(ent, None).select(
+        "id", F.size(records.MAPPED_COL).alias("n_hits"), F.lit(refused).alias("search_refused"))
+
+
+@register("S3_missing_or_empty_directory", """
+SELECT 'documents' AS directory, count(*) AS records, false AS missing FROM documents
+UNION ALL SELECT 'empty', 0, false UNION ALL SELECT 'absent', 0, true""")
+def s3_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of documents, a folder without JSON files and a folder that does not exist."""
+    base = scratch(spark, "dirs")
+    load(spark, sf_dir, "documents").write.json(f"{base}/documents")
+    load(spark, sf_dir, "documents").select("doc_id").write.parquet(f"{base}/empty")
+    rows = []
+    for name in ("documents", "empty", "absent"):
+        try:
+            rec, _ = json_dir.scan_json_lines(spark, f"{base}/{name}")
+            rows.append((name, rec.count(), False))
+        except json_dir.DirectoryNotFound:
+            rows.append((name, 0, True))
+    return spark.createDataFrame(rows, "directory string, records long, missing boolean")
+
+
 def _feedback(spark: SparkSession, sf_dir: str):
     from ..operators.records import build_feedback
     return build_feedback(_document_items(spark, sf_dir), EM.HashEmbedder(TEXT_DIM),
@@ -605,7 +746,8 @@ p AS (SELECT q.k AS qk, c.k AS id,
              list_cosine_similarity(CAST(q.vec AS DOUBLE[]), CAST(c.vec AS DOUBLE[])) AS d
       FROM qe_vec q, ke_vec c),
 r AS (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY -d, id) AS rank FROM p)
-SELECT qk, CAST(rank AS INTEGER) AS rank, id, round((d + 1) / 2, 6) AS score
+SELECT qk, CAST(rank AS INTEGER) AS rank, id, round((d + 1) / 2, 6) AS score,
+       printf('%.3f', (d + 1) / 2) AS score_text, printf('%.3f', d) AS distance_text
 FROM r WHERE rank <= {k}"""
 
 
@@ -648,9 +790,9 @@ def _knowledge_store(spark: SparkSession, sf_dir: str) -> CollectionStore:
     return st
 
 
-def _user_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn of every conversation is a search query."""
-    c = load(spark, sf_dir, "conversations").where(F.col("role") == "user")
+def _turn_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation is a search query."""
+    c = load(spark, sf_dir, "conversations")
     return c.select(F.concat_ws("-", F.col("conv_id").cast("string"),
                                 F.col("turn").cast("string")).alias("query_id"),
                     F.col("text").alias("query"))
@@ -658,12 +800,12 @@ def _user_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = _knowledge_store(spark, sf_dir)
-    return SE.semantic_search(_user_queries(spark, sf_dir), st, "knowledge",
+    return SE.semantic_search(_turn_queries(spark, sf_dir), st, "knowledge",
                               EM.HashEmbedder(TEXT_DIM), top_k=5, threshold=0.0)
 
 
 _Q_SRC = (f"SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS k, "
-          f"{S.query_text('text', S.q('knowledge'))} AS t FROM conversations WHERE role = 'user'")
+          f"{S.query_text('text', S.q('knowledge'))} AS t FROM conversations")
 
 
 @register("V10_semantic_search", f"""
@@ -673,19 +815,19 @@ def v10_semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("T11_result_projection", f"""
-SELECT r.qk AS query_id, r.rank, r.id, 'benchmark' AS aspect,
+SELECT r.qk AS query_id, r.rank, r.id, r.score_text, 'benchmark' AS aspect,
        substring(b.text, 1, 50) || '...' AS insight, 'neutral' AS sentiment
 FROM ({_topk_sql(_Q_SRC, _KN_SRC)}) r JOIN benchmark b ON CAST(b.item_id AS VARCHAR) = r.id""")
 def t11_result_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SE.knowledge_rows(_search(spark, sf_dir)).drop("score_text")
+    return SE.knowledge_rows(_search(spark, sf_dir))
 
 
 @register("T12_result_detail", f"""
-SELECT r.qk AS query_id, r.rank, r.id, 'benchmark' AS aspect, b.text AS insight,
+SELECT r.qk AS query_id, r.rank, r.id, r.score_text, r.distance_text, 'benchmark' AS aspect, b.text AS insight,
        'neutral' AS sentiment, CAST(NULL AS VARCHAR) AS description
 FROM ({_topk_sql(_Q_SRC, _KN_SRC, 3)}) r JOIN benchmark b ON CAST(b.item_id AS VARCHAR) = r.id""")
 def t12_result_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SE.detail_rows(_search(spark, sf_dir), "knowledge").drop("score_text", "distance_text")
+    return SE.detail_rows(_search(spark, sf_dir), "knowledge")
 
 
 @register("T13_result_json", f"""
@@ -698,7 +840,7 @@ GROUP BY r.qk, c.text""")
 def t13_result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON envelope per query, parsed back to check its content."""
     hits = _search(spark, sf_dir)
-    env = SE.result_json(hits, _user_queries(spark, sf_dir), "knowledge", 0.0)
+    env = SE.result_json(hits, _turn_queries(spark, sf_dir), "knowledge", 0.0)
     schema = ("struct<query:string, collection:string, total_results:int, threshold:double, "
               "results:array<struct<id:string, score:double>>>")
     e = env.select("query_id", F.from_json("json", schema).alias("e"))
@@ -749,12 +891,15 @@ def a1_collections_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.collections_summary(_table_collections(spark, sf_dir))
 
 
-@register("A2_run_summary", f"""
+_A2_SQL = f"""
 SELECT (SELECT count(*) FROM benchmark) AS knowledge_records,
        (SELECT count(*) FROM documents WHERE {S.not_blank(FB_SQL)}) AS feedback_records,
        CASE WHEN (SELECT count(*) FROM documents WHERE NOT {S.not_blank(FB_SQL)}) = 0
             THEN '成功' ELSE '部分成功' END AS status,
-       (SELECT count(*) FROM documents WHERE NOT {S.not_blank(FB_SQL)}) AS error_count""")
+       (SELECT count(*) FROM documents WHERE NOT {S.not_blank(FB_SQL)}) AS error_count"""
+
+
+@register("A2_run_summary", _A2_SQL)
 def a2_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     kn = _knowledge(spark, sf_dir)
     fb = _feedback(spark, sf_dir)
@@ -762,14 +907,6 @@ def a2_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         kn.failed, allowMissingColumns=True), 0.0).drop("processing_seconds")
 
 
-_A2_SQL = f"""
-SELECT (SELECT count(*) FROM benchmark) AS knowledge_records,
-       (SELECT count(*) FROM documents WHERE {S.not_blank(FB_SQL)}) AS feedback_records,
-       CASE WHEN (SELECT count(*) FROM documents WHERE NOT {S.not_blank(FB_SQL)}) = 0
-            THEN '成功' ELSE '部分成功' END AS status,
-       (SELECT count(*) FROM documents WHERE NOT {S.not_blank(FB_SQL)}) AS error_count"""
-
-
 @register("S7_run_stats_sink", f"""
 SELECT knowledge_records, feedback_records, status, error_count,
        'hash-3gram-{TEXT_DIM}' AS embedding_model, CAST({TEXT_DIM} AS BIGINT) AS vector_dim,
@@ -821,21 +958,42 @@ def x1_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # IVF cells (k-means) with probing
 # ---------------------------------------------------------------------------
 
-def _ivf_query(nprobe: int, nlist: int = 16):
+def _ivf(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
+    """Top-5 by IVF: about sqrt(rows) cells, the given share of them probed."""
+    from ..operators import ivf
+    ent = embedding_entities(spark, sf_dir)
+    n, dim = ent.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    nlist = max(1, round(n ** 0.5))
+    index = ivf.build_ivf(ent, nlist=nlist, metric=V.COSINE, dim=dim)
+    q = ent.select(F.col("id").alias("query_id"), "vector")
+    return ivf.ivf_search(q, index, k=5, nprobe=max(1, round(nlist * share)))
+
+
+def _ivf_query(share: float):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from ..operators import ivf
-        ent = embedding_entities(spark, sf_dir)
-        index = ivf.build_ivf(ent, nlist=nlist, metric=V.COSINE)
-        q = ent.select(F.col("id").alias("query_id"), "vector")
-        out = ivf.ivf_search(q, index, k=5, nprobe=nprobe)
-        return out.select("query_id", "rank", "id", r6("distance").alias("distance"),
-                          r6("score").alias("score"))
+        return _ivf(spark, sf_dir, share).select("query_id", "rank", "id", r6("distance").alias("distance"),
+                                                 r6("score").alias("score"))
     return run
 
 
 # Probing every cell is exact: same oracle as V1.
-register("V11_ivf_search", _knn_sql(V.COSINE, 5))(_ivf_query(nprobe=16))
-register("V11_ivf_partial_probe")(_ivf_query(nprobe=4))
+register("V11_ivf_search", _knn_sql(V.COSINE, 5))(_ivf_query(1.0))
+register("V11_ivf_partial_probe")(_ivf_query(0.5))
+
+
+@register("V11_ivf_partial_recall", """
+SELECT count(*) AS queries, true AS recall_reached, CAST(0 AS BIGINT) AS wrong_scores FROM embeddings""")
+def v11_ivf_partial_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the cells probed, held against the exact join: at least 0.9 of
+    the true top-5 are found, and every hit that both give has the same score."""
+    ent = embedding_entities(spark, sf_dir)
+    some = _ivf(spark, sf_dir, 0.5).select("query_id", "id", r6("score").alias("s"))
+    exact = knn.knn_join(ent.select(F.col("id").alias("query_id"), "vector"), ent, k=5, metric=V.COSINE)
+    j = (exact.select("query_id", "id", r6("score").alias("e")).join(some, ["query_id", "id"], "left")
+         .groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("s").alias("found"),
+                                  F.count_if(F.col("s") != F.col("e")).alias("wrong")))
+    return j.agg(F.count(F.lit(1)).alias("queries"), (F.sum("found") >= 0.9 * F.sum("n")).alias("recall_reached"),
+                 F.sum("wrong").alias("wrong_scores"))
 
 
 # ---------------------------------------------------------------------------
@@ -891,8 +1049,8 @@ def v4_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _knn_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V5 with a broadcast budget below the catalogue's size: the candidates
-    are cut into hash tiles, scored tile by tile, merged per query."""
+    """V5 with a broadcast budget below the catalogue's size: blocks of
+    candidates meet blocks of queries in one job, merged per query."""
     ent = embedding_entities(spark, sf_dir)
     queries = ent.select(F.col("id").alias("query_id"), "vector")
     out = knn.knn_join(queries, ent, k=10, metric=V.COSINE, broadcast_bytes=48 * 1024)
@@ -904,23 +1062,18 @@ register("V5_knn_join_tiled", _knn_sql(V.COSINE, 10))(_knn_tiled)
 
 
 @register("S1_json_lines_scan", """
-SELECT doc_id, text, lang, source, n_chars, CAST(count(*) OVER () AS BIGINT) AS records
+SELECT doc_id, text, lang, source, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS position
 FROM documents""")
 def s1_json_lines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as JSON lines (one record per line, splittable) and
-    read back with positions."""
+    """Documents written as JSON lines (one record per line, splittable, in
+    doc_id order over the files) and read back with their positions."""
     out = scratch(spark, "jsonl")
-    load(spark, sf_dir, "documents").write.json(out)
+    (load(spark, sf_dir, "documents").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+     .write.json(out))
     rec, _ = json_dir.scan_json_lines(spark, out)
     g = lambda k, t: F.try_variant_get("item", f"$.{k}", t).alias(k)
-    # One-row check that the positions are exactly 0..n-1, attached to every
-    # record by a broadcast equi-join on a constant (the small side is 1 row).
-    n = (rec.agg(F.count(F.lit(1)).alias("records"), F.max("gpos").alias("mx"))
-         .where(F.col("mx") == F.col("records") - 1)
-         .select(F.lit(1).alias("_one"), "records"))
-    return (rec.select(F.lit(1).alias("_one"), g("doc_id", "bigint"), g("text", "string"),
-                       g("lang", "string"), g("source", "string"), g("n_chars", "bigint"))
-            .join(F.broadcast(n), "_one").drop("_one"))
+    return rec.select(g("doc_id", "bigint"), g("text", "string"), g("lang", "string"),
+                      g("source", "string"), g("n_chars", "bigint"), F.col("gpos").alias("position"))
 
 
 # ---------------------------------------------------------------------------
@@ -928,19 +1081,19 @@ def s1_json_lines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 _QF_SRC = (f"SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS k, "
-           f"{S.query_text('text', S.q('feedback'))} AS t FROM conversations WHERE role = 'user'")
+           f"{S.query_text('text', S.q('feedback'))} AS t FROM conversations")
 
 
 @register("T11_feedback_projection", f"""
-SELECT r.qk AS query_id, r.rank, r.id, substring(d.text, 1, 60) || '...' AS raw_text,
+SELECT r.qk AS query_id, r.rank, r.id, r.score_text, substring(d.text, 1, 60) || '...' AS raw_text,
        5 AS match_count
 FROM ({_topk_sql(_QF_SRC, _FB_SRC)}) r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.id""")
 def t11_feedback_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents built, mapped and stored as feedback; every user turn
+    """Documents built, mapped and stored as feedback; every turn
     searches them (query prefix for a non-knowledge collection)."""
     st = _knowledge_store(spark, sf_dir)
     st.create("feedback", dim=TEXT_DIM)
     st.upsert("feedback", _feedback(spark, sf_dir).entities)
-    hits = SE.semantic_search(_user_queries(spark, sf_dir), st, "feedback",
+    hits = SE.semantic_search(_turn_queries(spark, sf_dir), st, "feedback",
                               EM.HashEmbedder(TEXT_DIM), top_k=5)
-    return SE.feedback_rows(hits).drop("score_text")
+    return SE.feedback_rows(hits)

@@ -57,14 +57,18 @@ def build_session(master: str | None = None, app: str = "lensmap",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there and we use it as is.  Only when it
-    is unset (local tests) do we make a scratch folder of our own.
+    A cluster names a shared folder there and we use it as is.  Only in local
+    mode, where driver and executors are one process, do we make a scratch
+    folder of our own; on a cluster an unset folder is an error, because
+    executors would each write to their own disks.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(d)
         return d.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="lensmap-ckpt-")
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -84,22 +88,33 @@ def materialize(df, what: str = "stage"):
     is on shared storage), and - unlike a checkpointed plan, whose inherited
     constraints can break later unions in Catalyst - reads back as a plain
     table scan with pruning and pushdown.
+
+    The owner of a table that nothing reads any more removes it with
+    ``release``.
     """
     import uuid
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/lensmap-{what}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lensmap_path = path
+    return out
+
+
+def release(*tables) -> int:
+    """Remove materialized tables that nothing reads any more."""
+    paths = [t._lensmap_path for t in tables if getattr(t, "_lensmap_path", None)]
+    return release_materialized(tables[0].sparkSession, paths) if paths else 0
 
 
 def release_materialized(spark: SparkSession, paths: list[str]) -> int:
-    """Delete materialized stage tables once nothing reads them any more
-    (returns how many existed).  Only paths under the checkpoint folder."""
+    """Delete materialized stage tables (returns how many existed).  Only
+    folders of this package directly under the checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     n = 0
     for p in paths:
-        if not p.startswith(base + "/lensmap-"):
+        if not p.startswith(base + "/lensmap-") or "/" in p[len(base) + 1:].rstrip("/"):
             raise ValueError(f"not a materialized table: {p}")
         hp = jvm.org.apache.hadoop.fs.Path(p)
         fs = hp.getFileSystem(jsc.hadoopConfiguration())

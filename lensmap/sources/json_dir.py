@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.partitioning import running_offsets
+from ..operators.partitioning import row_positions, running_offsets
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("file", T.StringType(), False),
@@ -123,12 +123,10 @@ def scan_json_lines(spark: SparkSession, directory: str) -> tuple[DataFrame, Dat
         raise DirectoryNotFound(f"directory does not exist: {directory}")
     lines = (spark.read.option("pathGlobFilter", "*.json*").text(directory)
              .select(F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("blk"), "value",
-                     F.monotonically_increasing_id().alias("_seq"))
+                     F.col("_metadata.file_block_start").alias("blk"), "value")
              .where(F.trim("value") != "")
              .withColumn("item", F.try_parse_json("value")))
     bad = lines.where(F.col("item").isNull()).select("file", F.lit("invalid JSON line").alias("error"))
-    good = lines.where(F.col("item").isNotNull()).withColumn("one", F.lit(1).cast("long"))
-    ordered = running_offsets(good, ["file", "blk", "_seq"], "one", "gpos")
-    rec = ordered.select("file", F.lit(0).alias("pos"), "item", "gpos")
-    return rec, bad
+    good = lines.where(F.col("item").isNotNull()).drop("value")
+    rec = row_positions(good, ["file", "blk"], "gpos")
+    return rec.select("file", F.lit(0).alias("pos"), "item", "gpos"), bad

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import vector as V
+from ..operators.embedding import EmbeddingCache
 from ..operators.records import build_feedback
 from ..operators.store import CollectionStore
 from ..sources import json_dir
@@ -36,23 +38,35 @@ def feedback_stream(spark: SparkSession, feedback_dir: str, glob: str = "*.json"
 
 def ingest_feedback(spark: SparkSession, feedback_dir: str, *, store: CollectionStore,
                     knowledge: DataFrame | None, embedder, checkpoint_location: str,
-                    quarantine_path: str | None = None, glob: str = "*.json",
-                    available_now: bool = True, processing_time: str | None = None,
+                    quarantine_path: str | None = None, failed_path: str | None = None,
+                    metric: str = V.COSINE, cache_path: str | None = None,
+                    glob: str = "*.json", available_now: bool = True, processing_time: str | None = None,
                     max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the ingest; with ``available_now`` it stops when caught up."""
+    """Start the ingest; with ``available_now`` it stops when caught up.
+
+    ``metric`` is the knowledge collection's (feedback is scored by it, as in
+    the batch run).  Bad files go to ``quarantine_path``, records that could
+    not be embedded or stored to ``failed_path``, each in a folder per batch
+    that a replay overwrites.
+    """
+    metric = V.normalize_metric(metric)
     if not store.exists(FEEDBACK):
-        store.create(FEEDBACK, dim=embedder.dim)
-    metric = store.manifest(FEEDBACK)["metric"]
+        store.create(FEEDBACK, dim=embedder.dim, metric=metric)
+    cache = EmbeddingCache(spark, cache_path, embedder.model) if cache_path else None
 
     def process(batch: DataFrame, batch_id: int) -> None:
         files = batch.withColumn("doc", F.try_parse_json("value"))
         rec = json_dir.explode_records(files)
-        res = build_feedback(rec, embedder, knowledge, metric=metric,
+        res = build_feedback(rec, embedder, knowledge, metric=metric, cache=cache,
                              id_prefix=f"feedback_b{batch_id}")
-        store.upsert(FEEDBACK, res.entities)
+        if cache is not None:
+            cache.save(res.fresh)
+        _, rejected = store.upsert(FEEDBACK, res.entities)
         if quarantine_path:
-            json_dir.bad_files(files).withColumn("batch_id", F.lit(batch_id)) \
-                .write.mode("append").parquet(quarantine_path)
+            json_dir.bad_files(files).write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
+        if failed_path:
+            (res.failed.select("id", "reason").unionByName(rejected.select("id", "reason"))
+             .write.mode("overwrite").parquet(f"{failed_path}/batch_id={batch_id}"))
 
     w = (feedback_stream(spark, feedback_dir, glob, max_files_per_trigger).writeStream
          .foreachBatch(process).option("checkpointLocation", checkpoint_location))

@@ -98,9 +98,11 @@ def test_ties_break_by_id_and_bad_vectors(spark):
         ("n", None)], "id string, vector array<float>")
     q = spark.createDataFrame([("q", [3.0, 0.0]), ("zero", [0.0, 0.0]), ("bad", [1.0])],
                               "query_id string, vector array<float>")
-    rows = knn.knn_join(q, cand, k=3).orderBy("query_id", "rank").collect()
+    with pytest.raises(ValueError, match="several lengths"):   # which one is meant is the caller's to say
+        knn.knn_join(q, cand, k=3)
+    rows = knn.knn_join(q, cand, k=3, dim=2).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.id) for r in rows] == [("q", 1, "a"), ("q", 2, "b"), ("q", 3, "c")]
-    arr = knn.knn_arrays(q, cand, k=3).orderBy("query_id").collect()
+    arr = knn.knn_arrays(q, cand, k=3, dim=2).orderBy("query_id").collect()
     assert {r.query_id: len(r.hits) for r in arr} == {"bad": 0, "q": 3, "zero": 0}
 
 
