@@ -15,6 +15,8 @@ meeting of stock phrases is not.
 At scale: the documents are scanned once in the JVM; every window becomes a row
 that meets the benchmark's windows in a join, broadcast only when their counted
 number stays under ``BROADCAST_WINDOWS``; beyond that an equi-join on the hash.
+The hashes of texts with a match are counted, and broadcast to the texts while
+they take a few MB, so that texts are not shuffled.
 Item windows that are slots for more than a half are not used: they would match
 anything of the same shape.
 
@@ -29,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lensmap.operators.partitioning import broadcast_if_small
 from lensmap.session import materialize
 
 WIDTH = 8
@@ -109,13 +112,15 @@ def template_hits(docs: DataFrame, bench: DataFrame, width: int = WIDTH, min_cov
              .join(keys, "hash", "left_semi").distinct())
     found = materialize(found, "template-found")
     # the words of the texts that had a match, to compare tokens and slots
-    texts = (docs.select(h.alias("h"), "text").join(found.select("h").distinct(), "h", "left_semi")
+    hit = broadcast_if_small(materialize(found.select("h").distinct(), "template-texts"), 16)
+    texts = (docs.select(h.alias("h"), "text").join(hit, "h", "left_semi")
              .groupBy("h").agg(F.first("text").alias("text"))
              .select("h", marked_words(F.col("text")).alias("w")).withColumn("t", template(F.col("w"))))
     pairs = found.join(items, "hash").join(texts, "h").withColumn("dw", F.slice("w", F.col("pos"), F.col("len")))
     pairs = (pairs.filter(F.slice("t", F.col("pos"), F.col("len")) == F.col("tw"))
              .withColumn("diag", F.col("pos") - F.col("ipos"))
              .select("h", "item_id", "diag", "n", "len", "ipos", "tw", "iw", "dw"))
+    pairs = materialize(pairs, "template-pairs")
     key = ["h", "item_id", "diag"]
     run = pairs.groupBy(*key).agg(F.first("n").alias("n"), F.countDistinct("ipos").alias("n_windows"))
     slot = (pairs.select(*key, "ipos", F.posexplode(F.arrays_zip("tw", "iw", "dw")).alias("k", "s"))
@@ -146,7 +151,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
 
 def decontaminate(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item, with their columns."""
-    bad = template_hits(docs, bench, **how).select("h").distinct()
+    bad = broadcast_if_small(materialize(template_hits(docs, bench, **how).select("h").distinct(), "template-bad"), 16)
     x = docs.select(F.struct("*").alias("d")).withColumn("h", F.xxhash64(F.coalesce("d.text", F.lit(""))))
     return x.join(bad, "h", "left_anti").select("d.*")
 
