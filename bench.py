@@ -35,6 +35,11 @@ HEADLINE = [
     "V10_semantic_search",   # user turns searched against the knowledge collection
     "C4_upsert_entities",
     "S1_json_dir_scan",
+    "V5_knn_join_tiled",     # the paths that take over at scale
+    "V11_ivf_search",
+    "T11_feedback_projection",
+    "S7_run_stats_sink",
+    "X1_stream_ingest",
 ]
 
 
