@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,7 @@ EMBED_SCHEMA = T.StructType([
 # Fixed values for the built-in hashing embedder.
 HASH_BASE = 1_000_003          # polynomial base over code points
 HASH_MODULUS = 2_147_483_647   # prime 2^31-1; bucket = (g mod M) mod dim
+BLOCK_BYTES = 1 << 20          # text hashed at once
 DEFAULT_RETRIES = 3            # attempts per text (E5)
 DEFAULT_BACKOFF = 1.0          # seconds; waits 1 s, 2 s between attempts
 
@@ -69,11 +71,14 @@ def _hash_vectors(texts: pa.Array, dim: int, n: int) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array([0], pa.int32()), pa.array([], pa.float32()))
     flat = np.zeros((rows, dim), dtype=np.float32)
     valid = np.zeros(rows, dtype=bool)
-    step = max(1, (1 << 22) // dim)                     # rows per count matrix
-    for r0 in range(0, rows, step):
-        part = texts.slice(r0, step)
-        vec, ok = _hash_block(part.to_pylist(), dim, n)
-        flat[r0:r0 + len(part)], valid[r0:r0 + len(part)] = vec, ok
+    # Blocks of bounded text and count matrix (a longer text stands alone).
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    r0, step = 0, max(1, (1 << 22) // dim)
+    while r0 < rows:
+        done = size[r0 - 1] if r0 else 0
+        r1 = min(r0 + step, max(r0 + 1, int(np.searchsorted(size, done + BLOCK_BYTES, side="right"))))
+        flat[r0:r1], valid[r0:r1] = _hash_block(texts.slice(r0, r1 - r0).to_pylist(), dim, n)
+        r0 = r1
     offsets = pa.array(np.arange(0, (rows + 1) * dim, dim, dtype=np.int32))
     return pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()), mask=pa.array(~valid))
 
