@@ -3,18 +3,27 @@
 Texts are sets of ``k``-word shingles (64-bit hashes); two link when their
 Jaccard similarity is at least ``num / den``.  Under any global order of the
 shingles, two linked sets share one of their first n - ceil(n num / den) + 1.
-Three orders are used, each the order of a differently seeded hash:
-
-1. Equal sets are one class.  Each class's prefix under order 1 becomes key
-   rows; keys with two classes or more make candidates.
+Three orders are used.  Orders 2 and 3 are those of differently seeded hashes.
+Order 1 puts shingles that many texts have last, and is else the order of the
+hash: a first pass counts, task by task, the shingles near the front of the hash
+order, and the most frequent (at most COMMON of them, broadcast) are the ones
+put last.  Which are chosen decides how many candidates there are, never which
+links are found.
+
+1. Equal sets are one class.  Each class's prefix under order 1, lengthened by
+   a third, becomes key rows; keys with two classes or more make candidates.  In
+   the lengthened prefix a linked pair shares not one but some quarter of the
+   shingles (``shared_least``), so a class with fewer shared keys has no link
+   and is done with.
 2. Candidates must also share prefix shingles under orders 2 and 3, and under
    each of them the part of both sets below the nearer prefix end may differ by
    no more shingles than linked sets can.  What is left is verified on the
    whole sets.
 
 Candidates without all pairs.  What counts is the component.  First every class
-is paired with one hub (the least class of its keys, the one it shares most
-keys with); links found join into components.  Then only keys that still hold
+is paired with one hub (the most central class of a key, the one whose keys
+others share most - of the hubs the one it shares most keys with); links found
+join into components.  Then only keys that still hold
 more than one component are looked at: pairs of different components for keys
 of up to SMALL classes.  The classes of larger keys (a passage that very many
 texts share) are joined by partition signatures: linked sets differ in at most
@@ -45,9 +54,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lensmap.llm.textscan import LOWER, U, Words, distinct_per_doc, mix, shingle_hash, slices, span_hash, to_bytes
+from lensmap.operators.partitioning import broadcast_if_small
 from lensmap.session import materialize
 
 SMALL = 8
+COMMON = 1 << 20   # shingles put last in order 1: 8 MB at most
+OFTEN = 16         # and found in more texts than this
 SEEDS = (0x51ED270B0B5D1A77, 0xC2B2AE3D27D4EB4F)  # of orders 2 and 3; order 1 is that of the hashes
 
 
@@ -65,6 +77,27 @@ def prefix_len(n, num: int, den: int):
     return n - (n * num + den - 1) // den + 1
 
 
+def front_len(n, num: int, den: int):
+    """The prefix and a third of it more."""
+    p = prefix_len(n, num, den)
+    return np.minimum(n, p + (p + 2) // 3)
+
+
+def shared_least(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Fewest lengthened-prefix shingles a set of n shares with any set it links with.
+
+    Of two linked sets let A be the one whose prefix ends first: a shingle of
+    A's prefix that is in B is in B's prefix, and A has at most |A| - i shingles
+    that are not in B, where i = ceil(num (|A| + |B|) / (num + den)) is the
+    least intersection.  Sizes range from n num / den to n den / num, and the
+    bound is least at the ends of the range (one is taken off for rounding)."""
+    low, high = -(-n * num // den), n * den // num
+    i = lambda m: -(-num * (n + m) // (num + den))
+    mine = front_len(n, num, den) - n + i(low)
+    other = front_len(high, num, den) - high + i(high)
+    return np.maximum(np.minimum(mine, other) - 1, 1)
+
+
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indices of all [first[i], first[i] + size[i])."""
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -77,6 +110,37 @@ def _class_ids(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _scan(k: int, num: int, den: int):
+    """A row per text (kind 0); at the end of a task the shingles it met more than once near
+    the front of the hash order, with their counts (kind 1, in ``keys`` and ``counts``)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a class counts once in a task
+        front: list[np.ndarray] = []
+        for b in slices(batches, max_bytes=2 << 20):
+            h, offs = shingle_sets(b.column("text"), k)
+            n = np.diff(offs)
+            ids = _class_ids(h, offs).view(np.int64)
+            new = np.array([c not in seen and not seen.add(c) for c in ids.tolist()], dtype=bool)
+            p = np.where((n > 0) & new, np.minimum(n, front_len(n, num, den) * 4 // 3 + 4), 0)
+            front.append(h[_ranges(offs[:-1], p)])
+            rows = len(n)
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(rows + 1), pa.int32()), pa.array([], pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(rows), pa.int32()), b.column("doc_id"), b.column("t"), pa.array(n),
+                 pa.array(ids, mask=n == 0), none, none], names=["kind", "doc_id", "t", "n", "cid", "keys", "counts"])
+        key, count = np.unique(np.concatenate(front) if front else np.zeros(0, U), return_counts=True)
+        key, count = key[count > 1].view(np.int64), count[count > 1]
+        for i in range(0, len(key), 50_000):
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([1], pa.int32()), *(pa.array([None], pa.int64()) for _ in range(4)),
+                 one(key[i:i + 50_000]), one(count[i:i + 50_000])],
+                names=["kind", "doc_id", "t", "n", "cid", "keys", "counts"])
+    return run
+
+
+def _prefixes(k: int, num: int, den: int, last: np.ndarray):
+    """cid, the keys of its lengthened prefix under order 1 (``last``: the ascending hashes put
+    last), and how many of them it must share with others to have a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task gives the keys of a class once
         for b in slices(batches, max_bytes=2 << 20):
@@ -84,13 +148,15 @@ def _scan(k: int, num: int, den: int):
             n = np.diff(offs)
             ids = _class_ids(h, offs).view(np.int64)
             new = np.array([c not in seen and not seen.add(c) for c in ids.tolist()], dtype=bool)
-            p = np.where((n > 0) & new, prefix_len(n, num, den), 0)
+            common = np.zeros(len(h), dtype=bool)
+            if len(last):
+                common = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
+            h = h[np.lexsort((h, common, np.repeat(np.arange(len(n)), n)))]
+            p = np.where((n > 0) & new, front_len(n, num, den), 0)
             keys = h[_ranges(offs[:-1], p)].view(np.int64)
-            cid = pa.array(ids, mask=n == 0)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("t"), pa.array(n), cid,
-                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]), pa.int32()), pa.array(keys))],
-                names=["doc_id", "t", "n", "cid", "keys"])
+            need = np.repeat(shared_least(n, num, den), p).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, p)), pa.array(keys), pa.array(need),
+                                              pa.array(np.repeat(p, p).astype(np.int32))], names=["cid", "key", "need", "front"])
     return run
 
 
@@ -221,8 +287,19 @@ class JaccardJoin:
         self.src = docs.select(F.xxhash64(text).alias("t"), text.alias("text"))
         scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
         self.scan = materialize(scanned.mapInArrow(
-            _scan(k, num, den), "doc_id long, t long, n long, cid long, keys array<long>"), "jaccard-scan")
-        self.rows = self.scan.select("doc_id", "t", "n", "cid")
+            _scan(k, num, den), "kind int, doc_id long, t long, n long, cid long, keys array<long>, counts array<long>"), "jaccard-scan")
+        self.rows = self.scan.filter("kind = 0").select("doc_id", "t", "n", "cid")
+
+    def _common_shingles(self) -> np.ndarray:
+        """Ascending hashes of the shingles put last in order 1, COMMON at most."""
+        often = (self.scan.filter("kind = 1").select(F.explode(F.arrays_zip("keys", "counts")).alias("x"))
+                 .groupBy("x.keys").agg(F.sum("x.counts").alias("c")).filter(F.col("c") > OFTEN))
+        often = materialize(often.select(F.col("keys").alias("key"), "c"), "jaccard-often")
+        least = OFTEN
+        while often.filter(F.col("c") > least).count() > COMMON:
+            least *= 2
+        got = often.filter(F.col("c") > least).select("key").toArrow().column("key").to_numpy()
+        return np.sort(got.astype(np.int64).view(U))
 
     def _found(self, pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs (a, b)."""
@@ -253,13 +330,21 @@ class JaccardJoin:
 
     def run(self) -> "JaccardJoin":
         of = Window.partitionBy("key")
-        rows = (self.scan.select("cid", F.explode("keys").alias("key"))
-                .withColumn("hub", F.min("cid").over(of)).withColumn("z", F.max("cid").over(of))
-                .filter("hub <> z").drop("z"))
+        last = self._common_shingles()
+        rows = (self.src.mapInArrow(_prefixes(self.k, self.num, self.den, last), "cid long, key long, need int, front int")
+                .withColumn("a", F.min("cid").over(of)).withColumn("z", F.max("cid").over(of))
+                .filter("a <> z").drop("a", "z"))
         rows = materialize(rows.distinct(), "jaccard-keys")
+        # share of a class's keys that others have: most of all for the text that copies were made of
+        self.central = materialize(rows.groupBy("cid").agg(F.count("*").alias("c"), F.first("need").alias("m"), F.first("front").alias("f"))
+                                   .filter("c >= m").select("cid", (F.col("c") / F.col("f")).alias("share")), "jaccard-central")
+        rows = rows.select("key", "cid").join(self.central, "cid")
+        hub = F.max(F.struct("share", "cid")).over(of)["cid"]
+        rows = materialize(rows.withColumn("hub", hub).select("key", "cid", "hub"), "jaccard-keys")
         # whole sets and the prefixes of the other orders, for classes with a candidate only
         one = self.rows.filter("n > 0").groupBy("cid").agg(F.min("t").alias("t"))
-        texts = self.src.join(one.join(rows.select("cid").distinct(), "cid").select("t"), "t")
+        mine = materialize(one.join(rows.select("cid").distinct(), "cid").select("t"), "jaccard-texts")
+        texts = self.src.join(broadcast_if_small(mine, 16), "t")  # so that the other texts are not shuffled
         self.sets = materialize(texts.dropDuplicates(["t"]).mapInArrow(
             _sets(self.k, self.num, self.den), "cid long, n long, p2 binary, p3 binary, whole binary"), "jaccard-sets")
         links = self._found(self._hubs(rows))
@@ -270,7 +355,7 @@ class JaccardJoin:
                  .filter("a <> z").select("key", "size"))
         left = at.join(mixed, "key")
         few = left.filter(F.col("size") <= SMALL).select("key", "cid", "comp")
-        pairs = few.alias("x").join(few.alias("y"), "key").filter("x.cid < y.cid and x.comp <> y.comp")
+        pairs = few.alias("x").join(few.alias("y"), "key").filter("x.cid < y.cid and x.comp <> y.comp")  # SMALL classes a key
         more = self._found(pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
         links = links.unionByName(more)
         crowd = materialize(left.filter(F.col("size") > SMALL).select("cid").distinct(), "jaccard-crowd")
@@ -284,8 +369,10 @@ class JaccardJoin:
         """Links among the classes of large keys, by partition signatures."""
         sig = (self.sets.join(crowd, "cid", "left_semi").select("cid", "n", "whole")
                .mapInArrow(_signatures(self.num, self.den), "key long, cid long"))
-        shared = sig.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("z")).filter("hub <> z").select("key", "hub")
-        rows = materialize(sig.join(shared, "key"), "jaccard-parts")
+        sig = materialize(sig.join(self.central, "cid"), "jaccard-parts")
+        shared = (sig.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.max(F.struct("share", "cid")).alias("m"))
+                  .filter("a <> z").select("key", F.col("m.cid").alias("hub")))
+        rows = materialize(sig.drop("share").join(shared, "key"), "jaccard-parts")
         at = self._label(rows, comps)
         hub = self._label(rows.select(F.col("hub").alias("cid")).distinct(), comps).select(F.col("cid").alias("hub"), F.col("comp").alias("hub_comp"))
         first = self._found(self._hubs(at.join(hub, "hub").filter("comp <> hub_comp")))
@@ -312,19 +399,21 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     """The rows of ``docs`` with one row of each component (its smallest doc_id; of equal rows one), and all wordless texts."""
     j = JaccardJoin(docs, k, num, den).run()
     r = j._label(j.rows, j.comps.withColumnRenamed("cid", "node"))
-    stay = (r.filter("n > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "t")).alias("m"))
-            .select(F.col("m.doc_id").alias("i"), F.col("m.t").alias("h")))
-    empty = r.filter("n = 0").select(F.col("doc_id").alias("i"), F.col("t").alias("h")).distinct()
-    rows = r.filter("n > 0").groupBy(F.col("doc_id").alias("i"), F.col("t").alias("h")).agg(F.count("*").alias("c"))
-    again = materialize(rows.filter("c > 1").select("i", "h"), "jaccard-again")  # repeated rows
+    name = [F.col("doc_id").isNull().alias("x"), "doc_id", "t"]
+    best = r.filter("n > 0").groupBy("comp").agg(F.min(F.struct(*name)).alias("m"))
+    rows = (r.filter("n > 0").groupBy("comp", "doc_id", "t").agg(F.count("*").alias("c"))
+            .join(best, "comp").withColumn("stays", F.struct(*name) == F.col("m")))
+    rows = materialize(rows.select(F.col("doc_id").alias("i"), F.col("t").alias("h"), "stays", "c"), "jaccard-verdicts")
     x = docs.select(F.struct("*").alias("d")).withColumn("t", F.xxhash64(F.coalesce("d.text", F.lit("")))).withColumn("id", F.col("d.doc_id").cast("long"))
     same = (F.col("t") == F.col("h")) & F.col("id").eqNullSafe(F.col("i"))
+    # documents that go, and those that are there several times, are named; the others are not touched
+    named = broadcast_if_small(materialize(rows.filter("not stays or c > 1").select("i", "h"), "jaccard-named"), 32)
+    out = x.join(named, same, "left_anti").select("d.*")
+    again = materialize(rows.filter("stays and c > 1").select("i", "h"), "jaccard-again")
     if again.isEmpty():
-        return x.join(stay.unionByName(empty), same, "left_semi").select("d.*")
-    twice = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("i", "h")]
-    once = stay.alias("a").join(again.alias("b"), twice, "left_anti").unionByName(empty)
-    first = x.join(stay.alias("a").join(again.alias("b"), twice, "left_semi"), same, "left_semi").groupBy("t", "id").agg(F.first("d").alias("d"))
-    return x.join(once, same, "left_semi").select("d.*").unionByName(first.select("d.*"))
+        return out
+    first = x.join(broadcast_if_small(again, 32), same, "left_semi").groupBy("t", "id").agg(F.first("d").alias("d"))
+    return out.unionByName(first.select("d.*"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
