@@ -28,8 +28,9 @@ more than one component are looked at: pairs of different components for keys
 of up to SMALL classes.  The classes of larger keys (a passage that very many
 texts share) are joined by partition signatures: linked sets differ in at most
 D shingles, so of D + 1 parts of the hash space one is the same in both, and its
-content (some nine shingles) is the key - hub first, then pairs of different
-components.  No level drops a pair that may link.
+content (some nine shingles) is the key.  There a class first tries a few classes
+of other components, round by round; what is then left in different components
+is compared pair by pair.  No level drops a pair that may link.
 
 Every key's share of the rows is small (a class has one row a key, and a task
 gives a class's keys once however often the class is repeated); components are found by alternating large-star and small-star
@@ -59,6 +60,8 @@ from lensmap.session import materialize
 
 SMALL = 8
 COMMON = 1 << 20   # shingles put last in order 1: 8 MB at most
+ROUNDS = 6         # of trying other components before their pairs are listed
+TRIES = 8          # classes tried by a class in such a round
 OFTEN = 16         # and found in more texts than this
 SEEDS = (0x51ED270B0B5D1A77, 0xC2B2AE3D27D4EB4F)  # of orders 2 and 3; order 1 is that of the hashes
 
@@ -373,16 +376,25 @@ class JaccardJoin:
         shared = (sig.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.max(F.struct("share", "cid")).alias("m"))
                   .filter("a <> z").select("key", F.col("m.cid").alias("hub")))
         rows = materialize(sig.drop("share").join(shared, "key"), "jaccard-parts")
-        at = self._label(rows, comps)
-        hub = self._label(rows.select(F.col("hub").alias("cid")).distinct(), comps).select(F.col("cid").alias("hub"), F.col("comp").alias("hub_comp"))
-        first = self._found(self._hubs(at.join(hub, "hub").filter("comp <> hub_comp")))
-        comps = components(links.unionByName(first))
+        found = None
+        for r in range(ROUNDS):  # a class tries a few classes of other components, others each round
+            at = self._label(rows.select("key", "cid"), comps)
+            any_ = F.max(F.struct(F.xxhash64("cid", "key", F.lit(r)).alias("x"), "cid", "comp")).alias("m")
+            hubs = at.groupBy("key").agg(any_).select("key", F.col("m.cid").alias("hub"), F.col("m.comp").alias("hub_comp"))
+            n = (at.join(hubs, "key").filter("comp <> hub_comp").groupBy("cid", "hub").agg(F.count("*").alias("c")))
+            rank = F.row_number().over(Window.partitionBy("cid").orderBy(F.col("c").desc(), "hub"))
+            new = self._found(n.withColumn("rank", rank).filter(F.col("rank") <= TRIES).select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+            if new.isEmpty():
+                break
+            found = new if found is None else found.unionByName(new)
+            comps = components(links.unionByName(found))
         at = self._label(rows, comps)
         hub = self._label(rows.select(F.col("hub").alias("cid")).distinct(), comps).select(F.col("cid").alias("hub"), F.col("comp").alias("hub_comp"))
         at = materialize(at.join(hub, "hub").select("key", "cid", "comp", "hub_comp"), "jaccard-parts")
         odd = at.filter("comp <> hub_comp")
         pairs = odd.alias("x").join(at.alias("y"), "key").filter("x.comp <> y.comp")
-        return first.unionByName(self._found(pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))))
+        rest = self._found(pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
+        return rest if found is None else found.unionByName(rest)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
