@@ -33,7 +33,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensmap.session import ensure_checkpoint_dir
+from lensmap.session import ensure_checkpoint_dir, materialize
 
 KEY = ["doc_id", "tokenizer_version"]
 GROUP = ["source", "lang", "tokenizer_version"]
@@ -45,6 +45,8 @@ TOKENIZERS = {
     "pieces-1": r"[A-Za-z\x{80}-\x{10FFFF}]+|[0-9]|[!-/:-@\[-`{-~]",
 }
 
+SYMBOLS = r"[#*$%&|<>!]"  # left out of a recount
+
 
 def count_tokens(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
@@ -113,13 +115,17 @@ class TokenRollup:
         return True
 
 
-def changes_of(docs: DataFrame, op: str, text: Column | None = None) -> DataFrame:
-    """One change per document and tokenizer version."""
-    t = F.col("text") if text is None else text
-    counts = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer_version"),
-                                          (F.lit(0).cast("long") if op == "delete" else count_tokens(t, p)).alias("n_tokens"))
-                                 for v, p in TOKENIZERS.items()]))
-    return (docs.select("doc_id", "source", "lang", counts.alias("c"))
+def counts_of(text: Column) -> Column:
+    """array<struct<tokenizer_version, n_tokens>>: the text's count under every tokenizer."""
+    return F.array(*[F.struct(F.lit(v).alias("tokenizer_version"), count_tokens(text, p).alias("n_tokens"))
+                     for v, p in TOKENIZERS.items()])
+
+
+def changes_of(counted: DataFrame, op: str, counts: str = "counts") -> DataFrame:
+    """One change per document and tokenizer version, from rows with a column of counts (``counts_of``).
+
+    Texts are counted before anything is joined, so that only ids and counts are shuffled."""
+    return (counted.select("doc_id", "source", "lang", F.explode(counts).alias("c"))
             .select(F.lit(op).alias("op"), "doc_id", "source", "lang", "c.tokenizer_version", "c.n_tokens"))
 
 
@@ -128,12 +134,16 @@ def op3(spark, sf_dir: str) -> DataFrame:
     ones without symbols, replay the take-down; totals of what is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    plain = F.regexp_replace("text", SYMBOLS, "")
+    counted = docs.select("doc_id", "source", "lang", counts_of(F.col("text")).alias("counts"),
+                          F.when(F.col("text").rlike(SYMBOLS), counts_of(plain)).alias("changed"))
+    counted = materialize(counted.withColumn("plain", F.coalesce("changed", "counts")).drop("changed"), "rollup-counts")
     r = TokenRollup(spark, f"{ensure_checkpoint_dir(spark)}/lensmap-rollup-{uuid.uuid4().hex}")
-    r.commit("load", changes_of(docs, "insert"))
-    toxic = docs.join(labels.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    r.commit("load", changes_of(counted, "insert"))
+    toxic = counted.join(labels.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
     r.commit("takedown", changes_of(toxic, "delete"))
-    low = docs.join(labels.filter("quality = 0 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
-    r.commit("recount", changes_of(low, "revise", F.regexp_replace("text", r"[#*$%&|<>!]", "")))
+    low = counted.join(labels.filter("quality = 0 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
+    r.commit("recount", changes_of(low, "revise", "plain"))
     r.commit("takedown", changes_of(toxic, "delete"))
     return r.totals()
 

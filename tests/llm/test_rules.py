@@ -144,7 +144,8 @@ def test_rollup_batches(spark, tmp_path):
 def test_rollup_of_documents(odd, odd_rows, spark, tmp_path):
     r = token_rollup.TokenRollup(spark, str(tmp_path / "roll"))
     rows = [x for x in odd_rows if x[0] is not None]
-    r.commit("all", token_rollup.changes_of(odd.filter("doc_id is not null").dropDuplicates(["doc_id"]), "insert"))
+    counted = odd.filter("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("counts", token_rollup.counts_of(odd["text"]))
+    r.commit("all", token_rollup.changes_of(counted, "insert"))
     want = Counter()
     for x in {x[0]: x for x in rows}.values():
         want[x[3], x[2]] += len(words(x[1]))
