@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensmap.llm.textscan import LOWER, Words, slices, span_hash, to_bytes
+from lensmap.llm.textscan import LOWER, Words, mix, slices, span_hash, to_bytes
 from lensmap.session import materialize
 
 STATES = 8
@@ -53,6 +53,7 @@ CLASSES = 2048      # class 0 is the end token
 WINDOW = 64
 ROUNDS = 2          # Baum-Welch rounds over all training texts
 INIT_DOCS = 400     # texts of the starting point, and its rounds
+INIT_TOKENS = 2_500 # tokens of such a text at most
 INIT_ROUNDS = 20
 END = np.uint64(0)  # hash of the end token (word hashes of 0 are moved to 1)
 
@@ -234,22 +235,35 @@ def _add(t: pa.Table) -> pa.Table:
     return pa.table({"g": t.column("g")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def starting_model(slices_: DataFrame) -> Model:
-    """Fitted on the driver to INIT_DOCS training texts of moderate length (least hashes of their ids)."""
-    def pick(batches):
+def _doc_key(ids: list) -> np.ndarray:
+    """Hash of each doc_id, 0 .. 2**63 - 1."""
+    return (mix(np.array(ids, dtype=np.int64).view(np.uint64)) >> np.uint64(1)).astype(np.int64)
+
+
+def _pick(below: int):
+    """key and classes of the slice's short training texts whose key is under ``below``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, w, i, held, n in zip(*(b.column(c) for c in ("doc_id", "words", "idx", "held", "n_tokens"))):
-                n, held = _np(n).astype(np.int64), _np(held).astype(bool)
-                cls = word_class(_np(w).view(np.uint64))[unpack_idx(i.as_py())].astype("<u2")
-                offs = np.concatenate([[0], np.cumsum(n)])
-                ids = ids.as_py()
-                good = [k for k in np.flatnonzero(~held & (n <= 4 * WINDOW * 10)) if ids[k] is not None]
-                # the least keys of the slice are enough: the driver takes the least of all
-                key = pd.util.hash_array(np.array([ids[k] for k in good], dtype=np.int64)) >> 1 if good else []
-                for x, k in sorted(zip(np.asarray(key).tolist(), good))[:INIT_DOCS]:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()), pa.array([cls[offs[k]:offs[k + 1]].tobytes()], pa.binary())],
-                                                     names=["key", "cls"])
-    rows = slices_.mapInArrow(pick, "key long, cls binary").orderBy("key", "cls").limit(INIT_DOCS).collect()
+                n, held, ids = _np(n).astype(np.int64), _np(held).astype(bool), ids.as_py()
+                good = [k for k in np.flatnonzero(~held & (n <= INIT_TOKENS)) if ids[k] is not None]
+                key = _doc_key([ids[k] for k in good])
+                chosen = [(x, k) for x, k in zip(key.tolist(), good) if x < below]
+                if chosen:
+                    cls = word_class(_np(w).view(np.uint64))[unpack_idx(i.as_py())].astype("<u2")
+                    offs = np.concatenate([[0], np.cumsum(n)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x for x, _ in chosen], pa.int64()),
+                         pa.array([cls[offs[k]:offs[k + 1]].tobytes() for _, k in chosen], pa.binary())], names=["key", "cls"])
+    return run
+
+
+def starting_model(slices_: DataFrame) -> Model:
+    """Fitted on the driver to about INIT_DOCS short training texts, those with the least hashes of their ids."""
+    short = F.expr(f"aggregate(zip_with(held, n_tokens, (h, n) -> not h and n <= {INIT_TOKENS}), 0L, (a, x) -> a + int(x))")
+    n = slices_.agg(F.sum(short)).first()[0] or 0
+    below = int(min(1.0, 2.0 * INIT_DOCS / max(n, 1)) * (1 << 63)) - 1  # about twice as many as are wanted
+    rows = slices_.mapInArrow(_pick(below), "key long, cls binary").orderBy("key", "cls").limit(INIT_DOCS).collect()
     if not rows:
         return Model.untrained()
     seqs = [np.frombuffer(r["cls"], "<u2").astype(np.int64) for r in rows]
