@@ -386,6 +386,7 @@ def _levels(texts: DataFrame, length: int) -> Iterator[tuple[DataFrame, int]]:
         again = (keys.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("z"), F.max("n").alias("n"),
                                          F.count("*").alias("texts"))
                  .filter("a <> z or n > 1").select("key", many.alias("many")))
+        again = materialize(again, "repeat-again")  # so that the join's sides are plain, and a frequent key can be split
         mine = (keys.join(again, "key").groupBy("t").agg(
             F.collect_set(F.when(~F.col("many"), F.col("key"))).alias("want"),
             F.collect_set(F.when(F.col("many"), F.col("key"))).alias("hot_next")))
