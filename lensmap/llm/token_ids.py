@@ -178,7 +178,7 @@ def _packer(path: str | None, end_id: int):
         enc = _encoder(path)
         width = 2 if max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], dtype=np.uint32)
-        for b in slices(batches, max_bytes=2 << 20):
+        for b in slices(batches, max_bytes=1 << 20):
             ids = enc.encode([t or "" for t in b.column("text").to_pylist()])
             block = pack_block(b.column("doc_id").to_pylist(), [np.concatenate([x, end]) for x in ids], width)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["value"])
