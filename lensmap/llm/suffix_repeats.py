@@ -53,6 +53,7 @@ PIECE = 2 << 20
 WIDTHS = (1 << 30, 8, 1)   # windows per key at each level
 HOT = 3000                 # texts per key that one task gathers
 BATCH = 3 << 20            # bytes of contexts under one suffix array
+KEYS = "key long, t long, piece long, n int"
 
 
 # ---- windows, anchors, runs ------------------------------------------------------------------
@@ -145,8 +146,9 @@ def _level_runs(b, buf, offs, limit, length, level, parents):
 
 
 def _keys(length: int, level: int):
+    """key, t, piece (its start in a long text) and n, the runs with the key in that piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, buf, offs, _, limit in _pieces(batches):
+        for b, buf, offs, base, limit in _pieces(batches):
             r = _level_runs(b, buf, offs, limit, length, level, "hot" if level else None)
             if not len(r["h"]):
                 continue
@@ -156,8 +158,9 @@ def _keys(length: int, level: int):
             n = np.diff(np.concatenate([first, [len(h)]]))
             t = b.column("t").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[first].view(np.int64)), pa.array(t[d[first]]), pa.array(n.astype(np.int32))],
-                names=["key", "t", "n"])
+                [pa.array(h[first].view(np.int64)), pa.array(t[d[first]]), pa.array(np.full(len(first), base, np.int64)),
+                 pa.array(n.astype(np.int32))],
+                names=["key", "t", "piece", "n"])
     return run
 
 
@@ -380,12 +383,14 @@ def _groups(length: int):
 
 def _levels(texts: DataFrame, length: int) -> Iterator[tuple[DataFrame, int]]:
     """(candidates, level): texts with the keys (``want``) whose contexts are compared at that level."""
-    cand, keys = None, materialize(texts.mapInArrow(_keys(length, 0), "key long, t long, n int"), "repeat-keys")
+    cand, keys = None, materialize(texts.mapInArrow(_keys(length, 0), KEYS), "repeat-keys")
     for level in range(len(WIDTHS)):
         many = F.lit(False) if level == len(WIDTHS) - 1 else F.col("texts") > HOT
+        # equal texts repeat their rows, so n is not summed; two pieces of one text are two places
         again = (keys.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("z"), F.max("n").alias("n"),
+                                         F.min("piece").alias("p"), F.max("piece").alias("q"),
                                          F.count("*").alias("texts"))
-                 .filter("a <> z or n > 1").select("key", many.alias("many")))
+                 .filter("a <> z or n > 1 or p <> q").select("key", many.alias("many")))
         again = materialize(again, "repeat-again")  # so that the join's sides are plain, and a frequent key can be split
         mine = (keys.join(again, "key").groupBy("t").agg(
             F.collect_set(F.when(~F.col("many"), F.col("key"))).alias("want"),
@@ -400,7 +405,7 @@ def _levels(texts: DataFrame, length: int) -> Iterator[tuple[DataFrame, int]]:
         cand = src.filter(F.size("hot_next") > 0).select("t", "text", F.col("hot_next").alias("hot"))
         if level == len(WIDTHS) - 1 or cand.isEmpty():
             return
-        keys = materialize(cand.mapInArrow(_keys(length, level + 1), "key long, t long, n int").distinct(), "repeat-keys")
+        keys = materialize(cand.mapInArrow(_keys(length, level + 1), KEYS).distinct(), "repeat-keys")
 
 
 def _texts(docs: DataFrame, length: int) -> DataFrame:

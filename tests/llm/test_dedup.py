@@ -31,6 +31,20 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     assert got == dict(enumerate(repeats(texts)))
 
 
+@pytest.mark.parametrize("hot", [3000, 0])
+def test_long_text_repeats_itself_across_pieces(spark, hot, monkeypatch):
+    rng = np.random.default_rng(2)
+    a = "".join(chr(97 + x) for x in rng.integers(0, 26, 30_000))
+    s = "".join(chr(97 + x) for x in rng.integers(0, 26, 260))
+    texts = [a[:1_000] + s + a[1_000:20_000] + s + a[20_000:], "z" * 700]
+    monkeypatch.setattr(suffix_repeats, "PIECE", 4096)
+    monkeypatch.setattr(suffix_repeats, "HOT", hot)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_repeats.remove_repeats(docs).collect()}
+    assert got == dict(enumerate(repeats(texts)))
+    assert got[0][1] >= 2 * len(s)
+
+
 def test_repeat_groups_hold_all_occurrences(spark):
     s = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(230))
     texts = ["A" + s + "1", "B" + s + "2", "C" + s + "3" + "x" * 50]
