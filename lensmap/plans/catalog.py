@@ -978,17 +978,19 @@ def _ivf_query(share: float):
 
 # Probing every cell is exact: same oracle as V1.
 register("V11_ivf_search", _knn_sql(V.COSINE, 5))(_ivf_query(1.0))
-register("V11_ivf_partial_probe")(_ivf_query(0.5))
+# Three quarters of the cells: half of them lose about one neighbour in nine.
+PARTIAL_PROBE = 0.75
+register("V11_ivf_partial_probe")(_ivf_query(PARTIAL_PROBE))
 
 
 @register("V11_ivf_partial_recall", """
 SELECT count(*) AS queries, true AS recall_reached, CAST(0 AS BIGINT) AS wrong_scores FROM embeddings""")
 def v11_ivf_partial_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three quarters of the cells probed, held against the exact join: at least
+    """The rows of ``V11_ivf_partial_probe`` held against the exact join: at least
     0.9 of the true top-5 are found (0.96 measured; half of the cells give
     0.89), and every hit that both give has the same score."""
     ent = embedding_entities(spark, sf_dir)
-    some = _ivf(spark, sf_dir, 0.75).select("query_id", "id", r6("score").alias("s"))
+    some = QUERIES["V11_ivf_partial_probe"](spark, sf_dir).select("query_id", "id", F.col("score").alias("s"))
     exact = knn.knn_join(ent.select(F.col("id").alias("query_id"), "vector"), ent, k=5, metric=V.COSINE)
     j = (exact.select("query_id", "id", r6("score").alias("e")).join(some, ["query_id", "id"], "left")
          .groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("s").alias("found"),

@@ -2,7 +2,10 @@
 
 import numpy as np
 
+import pytest
+
 from lensmap.operators import ivf, knn
+from lensmap.plans import catalog
 
 
 def test_ivf_all_cells_equals_exact(spark):
@@ -25,3 +28,12 @@ def test_ivf_all_cells_equals_exact(spark):
         ex = {(q, i) for q, _, i in exact}
         assert len(got & ex) / len(ex) > 0.5           # recall of a partial probe
         assert some.groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 5
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_partial_probe_query_reaches_the_recall(spark, sf):
+    path = f"/root/testdata/{sf}"
+    rows = lambda name: {(r.query_id, r.id) for r in catalog.QUERIES[name](spark, path).collect()}
+    exact, some = rows("V11_ivf_search"), rows("V11_ivf_partial_probe")
+    recall = len(exact & some) / len(exact)
+    assert recall >= 0.9
