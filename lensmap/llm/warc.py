@@ -15,7 +15,8 @@ version line where it is not compressed.  Every record must inflate with a
 right checksum, have a version line, headers, a length that fits, the closing
 blank lines and matching digests.  After a failed check it searches for the
 next valid member or version line and goes on there; the bytes between are
-logged as a gap with the reason.  One file is one row of ``binaryFile``, so a
+logged as a gap with the reason.  Of a damaged member the records that inflate
+before the damage are read - before a cut all, else those with a block digest.  One file is one row of ``binaryFile``, so a
 file has to fit a task (Spark's limit is 2 GB; ours are far smaller).
 
 Defined cases: a null payload is empty; a null url is left out; a null page_id
@@ -148,18 +149,56 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
             "payload": payload}, hi + 4
 
 
-def _unit(data: bytes, at: int) -> tuple[list[dict], list[tuple[int, int, str]], int]:
-    """(records, gaps, end) of the member or plain record at ``at``; ValueError if it is not valid."""
+def _inflated(data: bytes, at: int) -> Iterator[tuple[int, bytes]]:
+    """(end, bytes) for each byte of the damaged member at ``at``, up to the damage."""
+    z = zlib.decompressobj(31)
+    for i in range(at, len(data)):
+        try:
+            yield i + 1, z.decompress(data[i:i + 1])
+        except zlib.error:
+            return
+
+
+def _before_damage(data: bytes, at: int, digests: bool) -> tuple[list[dict], list[tuple[int, int, str]], int]:
+    """(records, gaps, end) of what inflates before the damage of the member at ``at``.
+
+    No checksum covers these records: with ``digests``, those without a block digest are gaps."""
+    body = b"".join(x for _, x in _inflated(data, at))
+    found, lost, reach, n_lost = [], [], 0, 0
+    for kind, lo, hi, x in salvage(body):
+        head = body[lo:body.find(b"\r\n\r\n", lo)]
+        if kind == "record" and (not digests or re.search(rb"(?im)^warc-block-digest[ \t]*:[ \t]*sha256:", head)):
+            found.append(x)
+            reach, n_lost = hi, len(lost)
+        else:
+            lost.append((lo, hi, "no block digest in a damaged member" if kind == "record" else x))
+    end = size = 0
+    for end, x in _inflated(data, at):
+        size += len(x)
+        if size >= reach:
+            break
+    return found, [(at, end, f"in the member, bytes {lo}-{hi}: {x}") for lo, hi, x in lost[:n_lost]], end
+
+
+def _unit(data: bytes, at: int) -> tuple[list[dict], list[tuple[int, int, str]], int, str | None]:
+    """(records, gaps, end, damage) of the member or plain record at ``at``; ValueError if nothing is valid.
+
+    ``damage`` is the reason why a member holds no more after ``end``."""
     if data[at:at + 3] != b"\x1f\x8b\x08":
         r, end = _parse(data, at)
-        return [r], [], end
-    z = zlib.decompressobj(31)
+        return [r], [], end, None
+    z, damage, cut = zlib.decompressobj(31), None, False
     try:
         body = z.decompress(memoryview(data)[at:])
+        if not z.eof:
+            damage, cut = "member is cut off", True
     except zlib.error as e:
-        raise ValueError(f"member: {e}") from None
-    if not z.eof:
-        raise ValueError("member is cut off")
+        damage = f"member: {e}"
+    if damage:
+        found, lost, end = _before_damage(data, at, not cut)
+        if not found:
+            raise ValueError(damage)
+        return found, lost, end, damage
     end = len(data) - len(z.unused_data)
     found, lost = [], []
     for kind, lo, hi, x in salvage(body):
@@ -169,25 +208,28 @@ def _unit(data: bytes, at: int) -> tuple[list[dict], list[tuple[int, int, str]],
             lost.append((at, end, f"in the member, bytes {lo}-{hi}: {x}"))
     if body and not found:
         raise ValueError(lost[0][2] if lost else "no record")
-    return found, lost, end
+    return found, lost, end, None
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     """('record', start, end, fields) and ('gap', start, end, reason) in file order."""
-    at = 0
+    at, damage = 0, None
     while at < len(data):
         try:
-            found, lost, end = _unit(data, at)
+            if damage:
+                raise ValueError(damage)
+            found, lost, end, damage = _unit(data, at)
         except ValueError as e:
-            reason, begin = str(e), at
+            reason, begin, seek = str(e), at, at if damage else at + 1
             while True:  # the next place where a record is valid
-                m = _NEXT.search(data, at + 1)
+                m = _NEXT.search(data, seek)
                 if not m:
                     yield "gap", begin, len(data), reason
                     return
                 at = m.start()
+                seek = at + 1
                 try:
-                    found, lost, end = _unit(data, at)
+                    found, lost, end, damage = _unit(data, at)
                     break
                 except ValueError:
                     continue

@@ -97,6 +97,30 @@ def test_salvage_odd_files():
     assert [k for k, *_ in got] == ["gap", "record"]
 
 
+def test_salvage_keeps_what_inflates_before_the_damage():
+    """Several records in one member, cut off or broken near its end; the next member is whole."""
+    rng = random.Random(8)
+    rows = [warc.record_bytes(i, f"http://x/{i}", b, hashlib.sha256(b).hexdigest(), None, len(b))
+            for i, b in enumerate(rng.randbytes(3_000) for _ in range(6))]
+    one, after = warc.member(b"".join(rows)), warc.member(record(9))
+    want = [x["record_id"] for r in rows[:5] for k, _, _, x in warc.salvage(r)]
+    ids = lambda got: [x["record_id"] for k, _, _, x in got if k == "record"]
+    cut = one[:-1_500]
+    assert ids(warc.salvage(cut)) == want
+    assert [(k, hi) for k, _, hi, _ in warc.salvage(cut)][-1] == ("gap", len(cut))
+    broken = bytearray(one)
+    broken[-1_500:-1_400] = b"\xff" * 100
+    got = list(warc.salvage(bytes(broken) + after))
+    assert ids(got)[:5] == want and len(ids(got)) == 6
+    (gap,) = [(lo, hi) for k, lo, hi, _ in got if k == "gap"]
+    assert gap[1] == len(one) and gap[0] > 10_000
+    got = list(warc.salvage(cut + after))
+    assert ids(got)[:5] == want and len(ids(got)) == 6
+    plain = warc.member(b"".join(r.replace(b"WARC-Block-Digest", b"X-Digest") for r in rows))
+    broken = plain[:-8] + b"\0" * 8  # nothing vouches for these records
+    assert ids(warc.salvage(broken)) == []
+
+
 @given(st.lists(st.integers(0, 5000), max_size=300), st.integers(0, 4))
 @settings(max_examples=60, deadline=None)
 def test_elias_fano(gaps, scale):
