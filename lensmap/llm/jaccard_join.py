@@ -282,7 +282,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class JaccardJoin:
-    """One join: ``rows`` (doc_id, t, n, cid), ``links`` and, after ``run``, ``comps`` (cid, comp)."""
+    """One join: ``rows`` (doc_id, t, n, cid) and, after ``run``, ``links`` (a, b) and ``comps`` (cid, comp).
+
+    ``links`` is a connecting subset of the links between classes: pairs already in one
+    component are not compared, so links cannot be counted per document.  ``comps`` is whole."""
 
     def __init__(self, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100):
         self.k, self.num, self.den = k, num, den
