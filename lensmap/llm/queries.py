@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lensmap.llm import (hmm, jaccard_join, line_rules, mixing, rule_ensemble, suffix_repeats, templates, token_ids,
+from lensmap.llm import (filter_audit, hmm, jaccard_join, line_rules, mixing, rule_ensemble, suffix_repeats, templates, token_ids,
                          token_rollup, warc)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_template_decontamination": templates.op8,
     "op9_source_mixing": mixing.op9,
     "op10_hidden_markov": hmm.op10,
+    "op11_filter_audit": filter_audit.op11,
 }
 ORACLES = {
     "op1_warc_salvage": warc.SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_line_frequency": line_rules.SQL,
     "op8_template_decontamination": templates.SQL,
     "op9_source_mixing": mixing.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }
