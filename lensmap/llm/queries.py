@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lensmap.llm import (filter_audit, hmm, jaccard_join, line_rules, mixing, rule_ensemble, suffix_repeats, templates, token_ids,
+from lensmap.llm import (filter_audit, hmm, jaccard_join, line_rules, merkle, mixing, rule_ensemble, suffix_repeats, templates, token_ids,
                          token_rollup, warc)
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_source_mixing": mixing.op9,
     "op10_hidden_markov": hmm.op10,
     "op11_filter_audit": filter_audit.op11,
+    "op12_merkle_manifest": merkle.op12,
 }
 ORACLES = {
     "op1_warc_salvage": warc.SQL,
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_template_decontamination": templates.SQL,
     "op9_source_mixing": mixing.SQL,
     "op11_filter_audit": filter_audit.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }
