@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lensmap.llm import (filter_audit, hmm, jaccard_join, line_rules, merkle, mixing, rule_ensemble, suffix_repeats, templates, token_ids,
-                         token_rollup, warc)
+from lensmap.llm import (filter_audit, hmm, jaccard_join, line_rules, merkle, mixing, pii, rule_ensemble, suffix_repeats,
+                         templates, token_ids, token_rollup, warc)
 
 QUERIES = {
     "op1_warc_salvage": warc.op1,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_hidden_markov": hmm.op10,
     "op11_filter_audit": filter_audit.op11,
     "op12_merkle_manifest": merkle.op12,
+    "op13_personal_data": pii.op13,
 }
 ORACLES = {
     "op1_warc_salvage": warc.SQL,
