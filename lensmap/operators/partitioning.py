@@ -56,26 +56,42 @@ def running_offsets(df: DataFrame, order_cols: list[str], count_col: str,
     return df.join(broadcast_if_small(off, 256), order_cols)
 
 
-def row_positions(df: DataFrame, split_cols: list[str], out_col: str) -> DataFrame:
-    """Position of every row in the order of (``split_cols``, row order inside the split).
-
-    ``split_cols`` name the file and the start of the split a row was read
-    from.  Ids that increase by one along a task's rows give the order inside
-    a split; per split the least id and the number of rows are aggregated,
-    the counts are summed up in split order, and position = offset + id -
-    least id.  The rows themselves are neither shuffled nor sorted.
+def number_rows(df: DataFrame, split_cols: list[str], counters: dict, within: dict | None = None) -> DataFrame:
+    """``df`` written once, with a running number from 0 for each of ``counters``.
+
+    ``counters`` maps a new column to the condition of the rows it counts (null
+    on the others); the order is (``split_cols``, row order inside the split),
+    where ``split_cols`` name the file and the start of the split a row was read
+    from.  ``within`` maps a counter to the columns in which it starts anew.
+
+    Rows and numbers come out of one pass: ids that increase along a task's rows
+    are written beside the rows they number, and the offsets of the splits are
+    sums over that table.  Nothing is scanned a second time, so it does not
+    matter whether the session would cut the input into other splits by then.
+    The rows are neither shuffled nor sorted; one row a split is.
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     from ..session import materialize
-    seq = df.withColumn("_seq", F.monotonically_increasing_id())
-    per = seq.groupBy(*split_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
-    before = Window.orderBy(*split_cols).rowsBetween(Window.unboundedPreceding, -1)
-    off = materialize(per.select(*split_cols, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
-                                 .alias("_shift")), "offsets")
-    return (seq.join(broadcast_if_small(off, 256), split_cols)
-            .withColumn(out_col, (F.col("_seq") + F.col("_shift")).cast("long")).drop("_seq", "_shift"))
+    rows = materialize(df.select("*", *(F.when(cond, F.monotonically_increasing_id()).alias(f"_seq_{name}")
+                                        for name, cond in counters.items())), "numbered")
+    per = rows.groupBy(*split_cols).agg(*(x for name in counters for x in (
+        F.count(f"_seq_{name}").alias(f"_n_{name}"), F.min(f"_seq_{name}").alias(f"_first_{name}"))))
+    shifts = []
+    for name in counters:
+        w = Window.partitionBy(*(within or {}).get(name, [])).orderBy(*split_cols).rowsBetween(Window.unboundedPreceding, -1)
+        shifts.append((F.coalesce(F.sum(f"_n_{name}").over(w), F.lit(0)) - F.col(f"_first_{name}")).alias(f"_shift_{name}"))
+    off = materialize(per.select(*(F.col(c).alias(f"_k_{c}") for c in split_cols), *shifts), "offsets")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in split_cols]
+    out = rows.join(broadcast_if_small(off, 256), same, "left")
+    return out.select(*df.columns, *((F.col(f"_seq_{name}") + F.col(f"_shift_{name}")).cast("long").alias(name) for name in counters))
+
+
+def row_positions(df: DataFrame, split_cols: list[str], out_col: str) -> DataFrame:
+    """Position of every row in the order of (``split_cols``, row order inside the split)."""
+    from pyspark.sql import functions as F
+    return number_rows(df, split_cols, {out_col: F.lit(True)})
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, budget: int = 64 * 1024 * 1024) -> DataFrame:

@@ -1079,6 +1079,26 @@ def s1_json_lines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                       g("source", "string"), g("n_chars", "bigint"), F.col("gpos").alias("position"))
 
 
+@register("S2_bad_line_report", """
+WITH l AS (SELECT doc_id AS k, 0 AS bad FROM documents UNION ALL SELECT doc_id, 1 FROM documents WHERE text LIKE '% the %'
+           UNION ALL SELECT doc_id, 2 FROM documents WHERE lang = 'de'),
+n AS (SELECT bad, row_number() OVER (ORDER BY k, bad) AS line FROM l)
+SELECT line, 'invalid JSON line' AS error FROM n WHERE bad = 1""")
+def s2_bad_line_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON lines of one file in doc_id order, some followed by
+    their raw text's first line or by a blank line: the report names the lines
+    that do not parse by their place in the file."""
+    out = scratch(spark, "badlines")
+    d = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    lines = (d.select("doc_id", F.lit(0).alias("bad"), F.to_json(F.struct("doc_id", "text")).alias("value"))
+             .unionByName(d.where(F.col("text").contains(" the ")).select(
+                 "doc_id", F.lit(1).alias("bad"), F.concat(F.lit("not JSON: "), F.substring_index("text", "\n", 1)).alias("value")))
+             .unionByName(d.where("lang = 'de'").select("doc_id", F.lit(2).alias("bad"), F.lit("  ").alias("value"))))
+    lines.coalesce(1).sortWithinPartitions("doc_id", "bad").select("value").write.text(out)
+    _, bad = json_dir.scan_json_lines(spark, out)
+    return bad.select("line", "error")
+
+
 # ---------------------------------------------------------------------------
 # Searching the feedback collection (T5 feedback prefix, T11 feedback rows)
 # ---------------------------------------------------------------------------

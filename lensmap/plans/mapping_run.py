@@ -42,13 +42,14 @@ class RunResult:
     saved_files: list[str] = field(default_factory=list)
 
 
-def _balance(spark: SparkSession, kind: str, records: DataFrame, res, rejected: DataFrame,
+def _balance(spark: SparkSession, kind: str, in_files: int, res, rejected: DataFrame,
              stored: DataFrame) -> DataFrame:
-    """What became of every scanned record: scanned = failed + rejected +
-    replaced (by a later record of the same id) + stored + lost."""
+    """What became of every record of the input: scanned = failed + rejected +
+    replaced (by a later record of the same id) + stored + lost.  ``in_files``
+    is counted in the input files themselves, not in the scan's result."""
     ids = res.entities.select("id")
     bad = rejected.select("id")
-    n = {"scanned": records.count(), "failed": res.failed.count(), "rejected": bad.count()}
+    n = {"scanned": in_files, "failed": res.failed.count(), "rejected": bad.count()}
     accepted = ids.count() - n["rejected"]
     found = (ids.distinct().join(stored.select("id").distinct(), "id", "left_semi")).count()
     distinct = ids.join(bad, "id", "left_anti").distinct().count()
@@ -101,8 +102,11 @@ def run_mapping(spark: SparkSession, knowledge_dir: str, feedback_dir: str, *,
     f_rej = keep(FEEDBACK, f_res)
     feedback = store.read(FEEDBACK)
 
-    balance = (_balance(spark, KNOWLEDGE, k_rec, k_res, k_rej, knowledge)
-               .unionByName(_balance(spark, FEEDBACK, f_rec, f_res, f_rej, feedback)))
+    def in_files(directory, bad):
+        return json_dir.count_records(spark, directory, json_lines, strict) - (bad.count() if json_lines else 0)
+
+    balance = (_balance(spark, KNOWLEDGE, in_files(knowledge_dir, k_bad), k_res, k_rej, knowledge)
+               .unionByName(_balance(spark, FEEDBACK, in_files(feedback_dir, f_bad), f_res, f_rej, feedback)))
     embed = None
     for kind, res in ((KNOWLEDGE, k_res), (FEEDBACK, f_res)):
         row = embed_stats(res.records, res.vectors, "vector").withColumn("kind", F.lit(kind))

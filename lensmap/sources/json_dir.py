@@ -1,4 +1,4 @@
-"""Directory-of-JSON scan (S1-S3) and positional default ids.
+"""Directory-of-JSON scan (S1-S3), error reports (S2) and positional default ids.
 
 A file holds either a top-level array (many records) or anything else (one
 record).  Files that do not parse are skipped whole and reported (S2).
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.partitioning import row_positions, running_offsets
+from ..operators.partitioning import number_rows, running_offsets
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("file", T.StringType(), False),
@@ -113,20 +113,37 @@ def scan_json_dir(spark: SparkSession, directory: str, glob: str = "*.json",
     return explode_records(files), bad_files(files)
 
 
+def _lines(spark: SparkSession, directory: str) -> DataFrame:
+    """Every line of the directory's files: (file, blk = start of its split, value)."""
+    if not _exists(spark, directory):
+        raise DirectoryNotFound(f"directory does not exist: {directory}")
+    return (spark.read.option("pathGlobFilter", "*.json*").text(directory)
+            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"), "value"))
+
+
 def scan_json_lines(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    """Splittable variant for very large inputs: one JSON record per line.
+    """Splittable variant for very large inputs, one JSON record per line: (records, bad lines).
 
-    Each line is a record; lines that do not parse are reported with their
-    file and line position.  gpos follows file name, then split start, then line order.
+    Blank lines are skipped; lines that do not parse are reported as (file,
+    line, error), lines counted from 1 in their file, blank ones included.
+    gpos is the position among the records in the order of file name and line.
+    The input is read once: records, line numbers and positions come from one
+    written table (``number_rows``).
     """
-    if not _exists(spark, directory):
-        raise DirectoryNotFound(f"directory does not exist: {directory}")
-    lines = (spark.read.option("pathGlobFilter", "*.json*").text(directory)
-             .select(F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("blk"), "value")
-             .where(F.trim("value") != "")
-             .withColumn("item", F.try_parse_json("value")))
-    bad = lines.where(F.col("item").isNull()).select("file", F.lit("invalid JSON line").alias("error"))
-    good = lines.where(F.col("item").isNotNull()).drop("value")
-    rec = row_positions(good, ["file", "blk"], "gpos")
-    return rec.select("file", F.lit(0).alias("pos"), "item", "gpos"), bad
+    blank = F.trim("value") == ""
+    parsed = _lines(spark, directory).select("file", "blk", blank.alias("blank"), F.try_parse_json("value").alias("item"))
+    ok = ~F.col("blank") & F.col("item").isNotNull()
+    rows = number_rows(parsed, ["file", "blk"], {"line": F.lit(True), "gpos": ok}, within={"line": ["file"]})
+    bad = rows.where(~F.col("blank") & F.col("item").isNull()).select(
+        "file", (F.col("line") + 1).alias("line"), F.lit("invalid JSON line").alias("error"))
+    return rows.where(F.col("gpos").isNotNull()).select("file", F.lit(0).alias("pos"), "item", "gpos"), bad
+
+
+def count_records(spark: SparkSession, directory: str, json_lines: bool = False, strict: bool = False) -> int:
+    """Records and bad lines (``json_lines``) or records of good files of a directory, by a count of
+    its own that takes nothing from a scan: the other side of a run's balance."""
+    if json_lines:
+        return _lines(spark, directory).where(F.trim("value") != "").count()
+    files = read_json_files(spark, directory, strict=strict)
+    n = F.coalesce(F.size(F.try_variant_get("doc", "$", "array<variant>")), F.lit(1))
+    return files.where(F.col("doc").isNotNull()).agg(F.sum(n)).first()[0] or 0

@@ -49,6 +49,65 @@ def test_row_positions_with_filtered_splits(spark, tmp_path):
     assert [(r.file, r.value) for r in sorted(got, key=lambda r: r["at"])] == sorted((r.file, r.value) for r in got)
 
 
+@pytest.mark.parametrize("then", ["6 cores", "128k"])
+def test_no_record_is_lost_when_the_splits_change(spark, tmp_path, monkeypatch, then):
+    """Splits follow from cores and settings, and both may change while a job runs."""
+    path = tmp_path / "lines"
+    path.mkdir()
+    n = 40_000
+    with open(path / "a.json", "w") as f:
+        for i in range(n):
+            f.write(json.dumps({"k": i, "p": "payload " * (i % 13)}) + "\n")
+            if i % 1000 == 7:
+                f.write("broken {\n" if i % 2000 == 7 else "\n")
+    bytes_key, cores_key = "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum"
+    old = spark.conf.get(bytes_key)
+    try:
+        rec, bad = json_dir.scan_json_lines(spark, str(path))
+        if then == "128k":
+            spark.conf.set(bytes_key, then)
+        else:
+            spark.conf.set(cores_key, "6")
+        got = rec.select(F.try_variant_get("item", "$.k", "bigint").alias("k"), "gpos").collect()
+        assert sorted((r.k, r.gpos) for r in got) == [(i, i) for i in range(n)]
+        want, line = [], 0
+        for i in range(n):
+            line += 1
+            if i % 1000 == 7:
+                line += 1
+                if i % 2000 == 7:
+                    want.append(line)
+        assert sorted(r.line for r in bad.collect()) == want
+        assert json_dir.count_records(spark, str(path), json_lines=True) == n + len(want)
+    finally:
+        spark.conf.set(bytes_key, old)
+        spark.conf.unset(cores_key)
+
+
+def test_line_numbers_over_many_splits_and_files(spark, tmp_path):
+    d = tmp_path / "many"
+    d.mkdir()
+    want, order = [], []
+    for f in range(3):
+        with open(d / f"f{f}.json", "w") as out:
+            for i in range(3000):
+                text = "" if i % 17 == 3 else "nope" if i % 29 == 5 else json.dumps({"f": f, "i": i, "p": "x" * (i % 50)})
+                out.write(text + "\n")
+                if text == "nope":
+                    want.append((f"f{f}.json", i + 1))
+                elif text:
+                    order.append((f, i))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rec, bad = json_dir.scan_json_lines(spark, str(d))
+        assert sorted((r.file.rsplit("/", 1)[1], r.line) for r in bad.collect()) == want
+        got = rec.select(F.try_variant_get("item", "$.f", "int").alias("f"), F.try_variant_get("item", "$.i", "int").alias("i"), "gpos").collect()
+        assert [(r.f, r.i) for r in sorted(got, key=lambda r: r.gpos)] == order
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def model(texts):
     """A remote model of 16 dimensions; plain function of the text."""
     return EM._hash_vectors(pa.array(texts, pa.string()), 16, 3).to_pylist()
