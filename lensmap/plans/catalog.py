@@ -1095,7 +1095,7 @@ def s2_bad_line_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                  "doc_id", F.lit(1).alias("bad"), F.concat(F.lit("not JSON: "), F.substring_index("text", "\n", 1)).alias("value")))
              .unionByName(d.where("lang = 'de'").select("doc_id", F.lit(2).alias("bad"), F.lit("  ").alias("value"))))
     lines.coalesce(1).sortWithinPartitions("doc_id", "bad").select("value").write.text(out)
-    _, bad = json_dir.scan_json_lines(spark, out)
+    _, bad = json_dir.scan_json_lines(spark, out, glob="*.txt")
     return bad.select("line", "error")
 
 

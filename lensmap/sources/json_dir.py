@@ -113,15 +113,15 @@ def scan_json_dir(spark: SparkSession, directory: str, glob: str = "*.json",
     return explode_records(files), bad_files(files)
 
 
-def _lines(spark: SparkSession, directory: str) -> DataFrame:
+def _lines(spark: SparkSession, directory: str, glob: str = "*.json*") -> DataFrame:
     """Every line of the directory's files: (file, blk = start of its split, value)."""
     if not _exists(spark, directory):
         raise DirectoryNotFound(f"directory does not exist: {directory}")
-    return (spark.read.option("pathGlobFilter", "*.json*").text(directory)
+    return (spark.read.option("pathGlobFilter", glob).text(directory)
             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"), "value"))
 
 
-def scan_json_lines(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+def scan_json_lines(spark: SparkSession, directory: str, glob: str = "*.json*") -> tuple[DataFrame, DataFrame]:
     """Splittable variant for very large inputs, one JSON record per line: (records, bad lines).
 
     Blank lines are skipped; lines that do not parse are reported as (file,
@@ -131,7 +131,7 @@ def scan_json_lines(spark: SparkSession, directory: str) -> tuple[DataFrame, Dat
     written table (``number_rows``).
     """
     blank = F.trim("value") == ""
-    parsed = _lines(spark, directory).select("file", "blk", blank.alias("blank"), F.try_parse_json("value").alias("item"))
+    parsed = _lines(spark, directory, glob).select("file", "blk", blank.alias("blank"), F.try_parse_json("value").alias("item"))
     ok = ~F.col("blank") & F.col("item").isNotNull()
     rows = number_rows(parsed, ["file", "blk"], {"line": F.lit(True), "gpos": ok}, within={"line": ["file"]})
     bad = rows.where(~F.col("blank") & F.col("item").isNull()).select(
