@@ -3,19 +3,29 @@
 Layout on shared storage::
 
     <root>/<name>/_manifest/<version>.json      tiny pointer files
-    <root>/<name>/v=<version>-<attempt>/bucket=<b>/*.parquet
-
-A manifest lists, per bucket, the attempts whose files make up the bucket.
-Every write goes to a folder of its own, which only the committed manifest
-names: what a writer that died left behind is never read and never in the way
-(``vacuum`` removes it, together with versions no longer referred to).
-Append (C3) writes a new version holding only the new rows and adds it to
-the touched buckets.  Upsert (C4) rewrites only the touched buckets (old rows
-of those buckets + new rows, last write per id wins) into a new version and
-points them at it alone; old rows are only anti-joined with the new ids.  Readers take the highest manifest, so a write is
-visible all at once or not at all; old versions stay readable until removed.
-Bucket = pmod(xxhash64(id), num_buckets), so an upsert's dedup is local to a
-bucket and untouched buckets are never read or rewritten.
+    <root>/<name>/v=<attempt>/bucket=<b>/*.parquet
+
+A manifest lists, per bucket, the attempts whose files make up the bucket, in
+the order of their commits.  Every write goes to a folder of its own, which only
+the committed manifest names: what a writer that died left behind is never read
+and never in the way (``vacuum`` removes it).
+
+*Commits.*  A manifest is written under a temporary name and renamed to the next
+version; the rename fails if that version exists.  A writer that comes second
+takes the newer manifest, applies its change to it and tries again, so that two
+writers never undo each other; a writer whose collection was recreated or dropped
+in the meantime is refused.  Recreating (C2) is a version without rows.  The
+file system has to rename atomically (HDFS and its like).
+
+*Appends and upserts.*  Both write only the batch.  The rows of an upsert hide
+the rows of the same ids in earlier attempts (merge on read): ``read`` drops a
+row if a later upsert of its bucket holds its id.  ``compact`` folds the attempts
+of a bucket into one; an upsert does so by itself once a bucket has MAX_ATTEMPTS.
+
+*Counts.*  A manifest carries the visible rows of every bucket; a commit adds
+what it appended and subtracts what it hid, so ``info`` reads manifests alone.
+
+Bucket = pmod(xxhash64(id), num_buckets): everything about an id is in one bucket.
 """
 
 from __future__ import annotations
@@ -24,12 +34,13 @@ import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vector as V
-from ..session import materialize, release
+from ..session import materialize
 
 ENTITY_SCHEMA = T.StructType([
     T.StructField("id", T.StringType(), False),
@@ -43,12 +54,18 @@ MAX_TEXT_BYTES = 65535
 DEFAULT_DIM = 1024
 DEFAULT_BUCKETS = 64
 ROWS_PER_FILE = 1_000_000
+MAX_ATTEMPTS = 16               # attempts of a bucket beyond which an upsert folds it
+COMMIT_TRIES = 100
 
 
 class CollectionError(RuntimeError):
     pass
 
 
+class VersionTaken(CollectionError):
+    """Another writer committed this version first."""
+
+
 class CollectionStore:
     def __init__(self, spark: SparkSession, root: str, num_buckets: int = DEFAULT_BUCKETS):
         self.spark, self.root, self.num_buckets = spark, root.rstrip("/"), num_buckets
@@ -74,57 +91,109 @@ class CollectionStore:
             stream.close()
 
     def _write_new(self, p, text: str) -> None:
-        out = self._fs.create(p, False)      # fails if another writer got there first
+        """The file appears whole or not at all; VersionTaken if it exists."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        tmp = self._Path(p.getParent(), f".{p.getName()}.{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(tmp, False)
         try:
             out.write(bytearray(text.encode("utf-8")))
         finally:
             out.close()
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = gateway.new_array(rename, 1)
+        how[0] = rename.NONE                 # refuses an existing target
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            if self._fs.exists(p):
+                raise VersionTaken(str(p))
+            files.rename(tmp, p, how)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise VersionTaken(str(p)) from e
+            raise
+        finally:
+            self._fs.delete(tmp, False)
 
     def _versions(self, name: str) -> list[int]:
         d = self._path(name, "_manifest")
         if not self._fs.exists(d):
             return []
-        return sorted(int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(d)
-                      if s.getPath().getName().endswith(".json"))
+        names = (s.getPath().getName() for s in self._fs.listStatus(d))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _latest(self, name: str) -> dict | None:
+        """The newest readable manifest, dropped or not.  A manifest that does not
+        parse (a torn file of a writer without rename) is passed over; ``next``
+        is the number after all files, readable or not."""
+        versions = self._versions(name)
+        for v in reversed(versions):
+            try:
+                return json.loads(self._read_text(self._path(name, "_manifest", f"{v}.json"))) | {"next": versions[-1] + 1}
+            except ValueError:
+                continue
+        return None
 
     def manifest(self, name: str) -> dict:
-        vs = self._versions(name)
-        if not vs:
+        m = self._latest(name)
+        if m is None or m.get("dropped"):
             raise CollectionError(f"collection {name} does not exist")
-        return json.loads(self._read_text(self._path(name, "_manifest", f"{vs[-1]}.json")))
+        return m
 
     def _commit(self, m: dict) -> dict:
+        """Write a manifest as version ``next``."""
+        m = {k: v for k, v in m.items() if k != "next"} | {"version": m["next"]}
         self._write_new(self._path(m["name"], "_manifest", f"{m['version']}.json"), json.dumps(m))
         return m
 
+    def _change(self, base: dict, change) -> dict:
+        """Commit ``change(manifest)``, on the newest manifest again if another writer was first."""
+        for _ in range(COMMIT_TRIES):
+            m = self.manifest(base["name"])
+            if m["epoch"] != base["epoch"]:
+                raise CollectionError(f"collection {base['name']} was recreated while it was written to")
+            try:
+                return self._commit(change(m))
+            except VersionTaken:
+                continue
+        raise CollectionError(f"collection {base['name']}: {COMMIT_TRIES} commits lost to other writers")
+
     # -- C1/C2/C6/C7 --------------------------------------------------------
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
+        m = self._latest(name)
+        return m is not None and not m.get("dropped")
 
     def create(self, name: str, dim: int = DEFAULT_DIM, metric: str = V.COSINE,
                force: bool = False) -> dict:
         """C1 (+C2 with ``force``): an existing collection is kept as is unless
-        forced; unlike the reference we refuse a different dim/metric."""
+        forced; unlike the reference we refuse a different dim/metric.
+
+        A forced recreate is one commit: readers see the old rows or none, and a
+        crash before it leaves the old collection."""
         metric = V.normalize_metric(metric)
-        if self.exists(name):
-            if force:
-                self.drop(name)
-            else:
-                m = self.manifest(name)
+        for _ in range(COMMIT_TRIES):
+            m = self._latest(name)
+            if m is not None and not m.get("dropped") and not force:
                 if m["dim"] != dim or m["metric"] != metric:
                     raise CollectionError(
                         f"collection {name} exists with dim={m['dim']} metric={m['metric']}")
                 return m
-        return self._commit({"name": name, "dim": int(dim), "metric": metric,
-                             "num_buckets": self.num_buckets, "version": 0, "buckets": {},
-                             "created": time.time()})
+            try:
+                return self._commit({"name": name, "dim": int(dim), "metric": metric, "num_buckets": self.num_buckets,
+                                     "next": max([-1, *self._versions(name)]) + 1, "epoch": uuid.uuid4().hex, "buckets": {},
+                                     "attempts": {}, "live": {}, "created": time.time()})
+            except VersionTaken:
+                continue
+        raise CollectionError(f"collection {name}: {COMMIT_TRIES} commits lost to other writers")
 
     def drop(self, name: str) -> bool:
-        """True if it existed."""
-        p = self._path(name)
-        if not self._fs.exists(p):
+        """True if it existed.  The collection is gone with one commit, its files after that."""
+        m = self._latest(name)
+        if m is None or m.get("dropped"):
             return False
-        return bool(self._fs.delete(p, True))
+        self._change(m, lambda cur: cur | {"dropped": True, "buckets": {}, "attempts": {}, "live": {}})
+        self._fs.delete(self._path(name), True)
+        return True
 
     def list(self) -> list[str]:
         """Collection names."""
@@ -135,22 +204,50 @@ class CollectionStore:
                       if s.isDirectory() and self.exists(s.getPath().getName()))
 
     # -- S5 -----------------------------------------------------------------
-    def read(self, name: str, columns: list[str] | None = None,
-             buckets: list[int] | None = None, row_key: str | None = None) -> DataFrame:
+    def _paths(self, m: dict, keep) -> list[str]:
+        return [f"{self.root}/{m['name']}/v={a}/bucket={b}" for b, vs in m["buckets"].items() for i, a in enumerate(vs) if keep(b, i, a)]
+
+    def _files(self, m: dict, paths: list[str]) -> DataFrame:
+        """Rows of bucket folders, with the attempt's commit number and a key of the row."""
+        order = F.create_map(*(x for a, about in m["attempts"].items() for x in (F.lit(a), F.lit(about["seq"]))))
+        schema = T.StructType([*ENTITY_SCHEMA.fields, T.StructField("v", T.StringType()), T.StructField("bucket", T.IntegerType())])
+        return (self.spark.read.schema(schema).option("basePath", f"{self.root}/{m['name']}").parquet(*paths)
+                .withColumn("_seq", F.element_at(order, F.col("v")))
+                .withColumn("_key", F.xxhash64("_metadata.file_path", "_metadata.row_index")).drop("v"))
+
+    def _visible(self, m: dict, buckets: list[int] | None = None) -> DataFrame | None:
+        """Current rows (ENTITY_SCHEMA, bucket, _key); None if there are none.
+
+        Buckets without an upsert after their first attempt are scanned as they
+        are.  In the others a row is hidden by a later upsert of its id: the ids
+        of those upserts, with their last commit number, are anti-joined (and
+        broadcast if the manifest's counts prove them small)."""
+        wanted = [b for b in m["buckets"] if buckets is None or int(b) in buckets]
+        deltas = {b: [a for a in m["buckets"][b][1:] if m["attempts"][a]["upsert"]] for b in wanted}
+        plain = self._paths(m, lambda b, i, a: b in deltas and not deltas[b])
+        merged = self._paths(m, lambda b, i, a: bool(deltas.get(b)))
+        parts = [self._files(m, plain).drop("_seq")] if plain else []
+        if merged:
+            later = self._files(m, self._paths(m, lambda b, i, a: a in deltas.get(b, ())))
+            last = later.groupBy("id").agg(F.max("_seq").alias("_last")).withColumnRenamed("id", "_id")
+            rows = sum(m["attempts"][a]["rows"].get(b, 0) for b, some in deltas.items() for a in some)
+            if rows * (MAX_ID_BYTES + 32) <= 32 << 20:
+                last = F.broadcast(last)
+            parts.append(self._files(m, merged).join(last, (F.col("id") == F.col("_id")) & (F.col("_seq") < F.col("_last")),
+                                                     "left_anti").drop("_seq"))
+        return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])) if parts else None
+
+    def read(self, name: str, columns: list[str] | None = None, buckets: list[int] | None = None,
+             row_key: str | None = None, manifest: dict | None = None) -> DataFrame:
         """Current rows of a collection (optionally only some buckets).
 
         ``row_key`` adds a column that tells every stored row apart, repeated
-        ids included (a hash of its file and its place in it)."""
-        m = self.manifest(name)
-        paths = [f"{self.root}/{name}/v={v}/bucket={b}"
-                 for b, vs in m["buckets"].items() for v in vs
-                 if buckets is None or int(b) in buckets]
-        if not paths:
-            df, key = self.spark.createDataFrame([], ENTITY_SCHEMA), F.lit(0).cast("long")
-        else:
-            df = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*paths)
-            key = F.xxhash64("_metadata.file_path", "_metadata.row_index")
-        return df.select(*(columns or ENTITY_SCHEMA.fieldNames()), *([key.alias(row_key)] if row_key else []))
+        ids included (a hash of its file and its place in it); ``manifest`` reads
+        that version, so that two reads see the same rows."""
+        df = self._visible(manifest or self.manifest(name), buckets)
+        if df is None:
+            df = self.spark.createDataFrame([], ENTITY_SCHEMA).withColumn("_key", F.lit(0).cast("long"))
+        return df.select(*(columns or ENTITY_SCHEMA.fieldNames()), *([F.col("_key").alias(row_key)] if row_key else []))
 
     # -- C5 -----------------------------------------------------------------
     @staticmethod
@@ -189,64 +286,91 @@ class CollectionStore:
         ok, bad = self.validate(table, m["dim"])
         return table, ok, bad.drop("bucket", "_seq")
 
+    def _write(self, name: str, rows: DataFrame) -> tuple[str, dict[str, int]]:
+        """Write rows (with ``bucket``) as an attempt of their own: (attempt, rows per bucket).
+
+        Tasks by size: a large bucket is written by several, small ones share."""
+        attempt = f"a{uuid.uuid4().hex[:16]}"
+        path = f"{self.root}/{name}/v={attempt}"
+        rows.hint("rebalance", "bucket").write.partitionBy("bucket").option("maxRecordsPerFile", ROWS_PER_FILE) \
+            .mode("errorifexists").parquet(path)
+        if not self._written_buckets(name, attempt):
+            return attempt, {}
+        written = self.spark.read.schema("id string, bucket int").parquet(path).groupBy("bucket").count()
+        return attempt, {str(r["bucket"]): r["count"] for r in written.collect()}      # <= num_buckets rows
+
+    @staticmethod
+    def _added(m: dict, attempt: str, rows: dict[str, int], hidden: dict[str, int], upsert: bool) -> dict:
+        """The manifest with an attempt after all others."""
+        buckets = {b: list(vs) for b, vs in m["buckets"].items()}
+        live = dict(m["live"])
+        for b, n in rows.items():
+            buckets.setdefault(b, []).append(attempt)
+            live[b] = live.get(b, 0) + n - hidden.get(b, 0)
+        about = {"seq": m["next"], "upsert": upsert, "rows": rows}
+        return m | {"buckets": buckets, "live": live, "attempts": m["attempts"] | {attempt: about}}
+
     # -- C3 -----------------------------------------------------------------
     def append(self, name: str, entities: DataFrame) -> tuple[bool, DataFrame]:
         """Insert as given (ids as strings); invalid rows are rejected and
         returned.  Returns (inserted_anything_or_empty_input, rejected)."""
         m = self.manifest(name)
         _, ok, bad = self._checked(m, entities)
-        v = m["version"] + 1
-        attempt = f"{v}-{uuid.uuid4().hex[:12]}"
-        ok.drop("_seq").write.partitionBy("bucket").mode("errorifexists").parquet(f"{self.root}/{name}/v={attempt}")
-        buckets = {b: list(vs) for b, vs in m["buckets"].items()}
-        for b in self._written_buckets(name, attempt):
-            buckets.setdefault(b, []).append(attempt)
-        self._commit({**m, "version": v, "buckets": buckets})
+        attempt, rows = self._write(name, ok.drop("_seq"))
+        self._change(m, lambda cur: self._added(cur, attempt, rows, {}, False))
         return True, bad
 
     # -- C4 -----------------------------------------------------------------
     def upsert(self, name: str, entities: DataFrame) -> tuple[bool, DataFrame]:
-        """C4: one row per id, last write wins; only touched buckets are rewritten.
+        """C4: one row per id, last write wins; only the batch is written.
 
         Within the incoming batch the last record per id (by ``gpos``, see
-        ``_checked``) wins.  Repeated ids collapse in a partial aggregate.
+        ``_checked``) wins; repeated ids collapse in a partial aggregate.
         """
         m = self.manifest(name)
         _, ok, bad = self._checked(m, entities)
-        v = m["version"] + 1
-        attempt = f"{v}-{uuid.uuid4().hex[:12]}"
         row = F.struct("vector", "text_for_embedding", "metadata")
-        new = materialize(ok.groupBy("id", "bucket").agg(F.max_by(row, "_seq").alias("r"))
-                          .select("id", "r.*", "bucket"), "upsert")
-        sizes = new.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()   # <= num_buckets rows
-        touched = [r["bucket"] for r in sizes]
-        old = self.read(name, buckets=touched).withColumn("bucket", self._bucket(m))
-        merged = old.join(new.select("id"), "id", "left_anti").unionByName(new)
-        rows = sum(r["n"] for r in sizes) + (old.select("id").count() if touched else 0)
-        # Tasks by size: a large bucket is written by several.
-        parts = max(1, -(-rows // ROWS_PER_FILE) // max(1, len(touched)))
-        slot = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts))
-        merged.repartition(max(1, len(touched) * parts), "bucket", slot).write.partitionBy("bucket") \
-            .mode("errorifexists").parquet(f"{self.root}/{name}/v={attempt}")
-        buckets = {b: list(vs) for b, vs in m["buckets"].items()}
-        for b in touched:
-            buckets[str(b)] = [attempt]
-        self._commit({**m, "version": v, "buckets": buckets})
-        release(new)
+        new = ok.groupBy("id", "bucket").agg(F.max_by(row, "_seq").alias("r")).select("id", "r.*", "bucket")
+        attempt, rows = self._write(name, new)
+
+        def change(cur: dict) -> dict:
+            return self._added(cur, attempt, rows, self._hidden(cur, name, attempt, rows), True)
+        done = self._change(m, change)
+        if any(len(vs) > MAX_ATTEMPTS for vs in done["buckets"].values()):
+            self.compact(name, MAX_ATTEMPTS)
         return True, bad
 
-    def compact(self, name: str) -> dict:
-        """Rewrite buckets that consist of several appends into one folder."""
+    def _hidden(self, m: dict, name: str, attempt: str, rows: dict[str, int]) -> dict[str, int]:
+        """Rows per bucket that the upsert hides: ids alone are read, of touched buckets."""
+        old = self._visible(m, [int(b) for b in rows])
+        if old is None or not rows:
+            return {}
+        ids = self.spark.read.schema("id string").parquet(f"{self.root}/{name}/v={attempt}").select("id")
+        if sum(rows.values()) * (MAX_ID_BYTES + 32) <= 32 << 20:
+            ids = F.broadcast(ids)
+        found = old.select("id", "bucket").join(ids, "id", "left_semi").groupBy("bucket").count()
+        return {str(r["bucket"]): r["count"] for r in found.collect()}                   # <= num_buckets rows
+
+    def compact(self, name: str, more_than: int = 1) -> dict:
+        """Fold buckets of more than ``more_than`` attempts into one attempt each.
+
+        What other writers add meanwhile stays after it; a bucket whose folded
+        attempts were changed meanwhile is left as it is."""
         m = self.manifest(name)
-        many = [int(b) for b, vs in m["buckets"].items() if len(vs) > 1]
+        many = [b for b, vs in m["buckets"].items() if len(vs) > more_than]
         if not many:
             return m
-        v = m["version"] + 1
-        attempt = f"{v}-{uuid.uuid4().hex[:12]}"
-        self.read(name, buckets=many).withColumn("bucket", self._bucket(m)).repartition(len(many), "bucket") \
-            .write.partitionBy("bucket").mode("errorifexists").parquet(f"{self.root}/{name}/v={attempt}")
-        buckets = {b: list(vs) for b, vs in m["buckets"].items()} | {str(b): [attempt] for b in many}
-        return self._commit({**m, "version": v, "buckets": buckets})
+        attempt, rows = self._write(name, self._visible(m, [int(b) for b in many]).drop("_key"))
+
+        def change(cur: dict) -> dict:
+            buckets = {b: list(vs) for b, vs in cur["buckets"].items()}
+            for b in many:
+                if buckets.get(b, [])[:len(m["buckets"][b])] == m["buckets"][b]:
+                    buckets[b][:len(m["buckets"][b])] = [attempt] if b in rows else []
+            used = {a for vs in buckets.values() for a in vs}
+            attempts = cur["attempts"] | {attempt: {"seq": m["version"], "upsert": False, "rows": rows}}
+            return cur | {"buckets": buckets, "attempts": {a: x for a, x in attempts.items() if a in used}}
+        return self._change(m, change)
 
     def vacuum(self, name: str) -> int:
         """Remove data folders the current manifest does not name (returns how
@@ -262,15 +386,15 @@ class CollectionStore:
     def info(self, names: list[str] | None = None) -> DataFrame:
         """(name, row_count, status, dim, metric, num_buckets, version).
 
-        A collection that cannot be read is reported with status 'error' and
-        row_count 0 instead of failing the whole report.
+        The counts are those of the manifests; no data file is read.  A collection
+        that cannot be read is reported with status 'error' and row_count 0
+        instead of failing the whole report.
         """
         rows = []
         for n in names if names is not None else self.list():
             try:
                 m = self.manifest(n)
-                cnt = self.read(n, ["id"]).count()
-                rows.append((n, int(cnt), "loaded", m["dim"], m["metric"],
+                rows.append((n, sum(m["live"].values()), "loaded", m["dim"], m["metric"],
                              m["num_buckets"], m["version"]))
             except Exception:
                 rows.append((n, 0, "error", None, None, None, None))
