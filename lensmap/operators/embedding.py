@@ -4,7 +4,7 @@ Flow for a record set (E2)::
 
     records --md5--> distinct non-blank (text_hash, text)          E4
             --anti join cache(text_hash, model)--> misses           E3
-            --embedder (Arrow / mapInPandas, retried)--> vectors    E1, E5
+            --embedder, in waves that are saved--> vectors          E1, E5
             --union cache hits--> join back on text_hash            E2
             --embedding IS NULL--> dropped + reported               E6
 
@@ -16,7 +16,10 @@ record side; the vector side holds one row per hash).
 
 from __future__ import annotations
 
+import hashlib
+import math
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
+from ..session import ensure_checkpoint_dir
 from ..session import materialize as materialize_df
+from .partitioning import spread
 
 VECTOR_TYPE = T.ArrayType(T.FloatType(), containsNull=False)
 EMBED_SCHEMA = T.StructType([
@@ -45,6 +50,8 @@ EMBED_SCHEMA = T.StructType([
 HASH_BASE = 1_000_003          # polynomial base over code points
 HASH_MODULUS = 2_147_483_647   # prime 2^31-1; bucket = (g mod M) mod dim
 BLOCK_BYTES = 1 << 20          # text hashed at once
+CACHE_BUCKETS = 32             # buckets of a new cache (more for one of many GB)
+TEXTS_PER_WAVE = 50_000        # texts a real model embeds between two saves of the cache
 DEFAULT_RETRIES = 3            # attempts per text (E5)
 DEFAULT_BACKOFF = 1.0          # seconds; waits 1 s, 2 s between attempts
 
@@ -262,52 +269,103 @@ def model_key(model: str) -> str:
 
 
 class EmbeddingCache:
-    """Hash-keyed cache of embeddings on shared storage.
-
-    Layout: ``<path>/model_key=<escaped model>/part-*.parquet`` with columns
-    ``(text_hash, embedding, model, ts)``.  Reading prunes to one model;
-    writing appends only new hashes.  ``enabled=False`` turns both off.
+    """Hash-keyed cache of embeddings on shared storage, bucketed by hash.
+
+    Layout: ``<path>/model_key=<escaped model>/gen=<n>-<buckets>/*.parquet`` with
+    columns ``(text_hash, embedding, model, ts)``, an external Spark table
+    clustered by ``text_hash``.  Joins and aggregates by hash therefore move the
+    batch's hashes only, never the cache.  Saving writes hashes that are not
+    there yet, one file a bucket; ``compact`` rewrites the entries as the next
+    generation, which takes over once it is complete.  ``enabled=False`` turns
+    the cache off.
     """
 
-    def __init__(self, spark: SparkSession, path: str, model: str, enabled: bool = True):
+    def __init__(self, spark: SparkSession, path: str, model: str, enabled: bool = True, num_buckets: int = CACHE_BUCKETS):
         self.spark, self.path, self.model, self.enabled = spark, path.rstrip("/"), model, enabled
-
-    def _exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        jsc = self.spark.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(jsc.hadoopConfiguration()).exists(p)
+        self.num_buckets = num_buckets
+        self._Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _generations(self) -> list[tuple[int, int]]:
+        """Complete generations as (number, buckets), oldest first."""
+        home = self._Path(f"{self.path}/model_key={model_key(self.model)}")
+        if not self._fs.exists(home):
+            return []
+        found = []
+        for st in self._fs.listStatus(home):
+            name = st.getPath().getName()
+            if name.startswith("gen=") and self._fs.exists(self._Path(st.getPath(), "_SUCCESS")):
+                found.append(tuple(int(x) for x in name[4:].split("-")))
+        return sorted(found)
+
+    def _table(self, generation: int, buckets: int) -> str:
+        """Name of the external table over a generation, known to this session."""
+        where = f"{self.path}/model_key={model_key(self.model)}/gen={generation}-{buckets}"
+        name = "lensmap_cache_" + hashlib.md5(where.encode("utf-8")).hexdigest()[:16]
+        place = where.replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (text_hash STRING, embedding ARRAY<FLOAT>, model STRING, ts DOUBLE) "
+                       f"USING parquet CLUSTERED BY (text_hash) SORTED BY (text_hash) INTO {buckets} BUCKETS LOCATION '{place}'")
+        self.spark.catalog.refreshTable(name)
+        return name
+
+    def _entries(self) -> DataFrame | None:
+        """Saved rows of this model (a hash may stand twice after two saves at once); None without a cache."""
+        have = self._generations() if self.enabled else []
+        return self.spark.table(self._table(*have[-1])).where(F.col("model") == self.model) if have else None
 
     def load(self, hashes: DataFrame | None = None) -> DataFrame:
         """Entries for this model, one per text_hash (the latest wins).
 
-        ``hashes`` (a ``text_hash`` column) restricts the cache to the texts
-        at hand before the aggregation - a long-lived cache is much larger
-        than one batch.  ``max_by`` is a partial aggregate, so duplicates
-        collapse map-side.
+        ``hashes`` (a ``text_hash`` column) restricts the cache to the texts at
+        hand: they are dealt into the cache's buckets (or broadcast, if small),
+        and the latest entry is taken inside a bucket.
         """
-        empty = self.spark.createDataFrame([], CACHE_SCHEMA)
-        if not self.enabled or not self._exists():
-            return empty
-        schema = T.StructType([*CACHE_SCHEMA.fields, T.StructField("model_key", T.StringType(), True)])
-        raw = (self.spark.read.schema(schema).parquet(self.path)   # a folder without files is an empty cache
-               .where((F.col("model_key") == model_key(self.model))
-                      & (F.col("model") == self.model)))
+        raw = self._entries()
+        if raw is None:
+            return self.spark.createDataFrame([], CACHE_SCHEMA)
         if hashes is not None:
             raw = raw.join(hashes.select("text_hash"), "text_hash", "left_semi")
         return (raw.groupBy("text_hash")
                 .agg(F.max_by("embedding", "ts").alias("embedding"), F.max("ts").alias("ts"))
                 .select("text_hash", "embedding", F.lit(self.model).alias("model"), "ts"))
 
+    def _insert(self, rows: DataFrame, generation: int, buckets: int) -> None:
+        """Append (text_hash, embedding, ts) rows, a file per bucket."""
+        (rows.select("text_hash", "embedding", F.lit(self.model).alias("model"), "ts")
+         .repartition(buckets, "text_hash").sortWithinPartitions("text_hash").write.insertInto(self._table(generation, buckets)))
+
     def save(self, fresh: DataFrame) -> None:
-        """Append new successful entries; a no-op when disabled or empty."""
+        """Add successful entries whose hash is not in the cache; a no-op
+        when disabled.  Saving the same rows again changes nothing."""
         if not self.enabled:
             return
-        rows = (fresh.where(F.col("embedding").isNotNull())
-                .select("text_hash", "embedding", F.lit(self.model).alias("model"),
-                        (F.unix_micros(F.current_timestamp()) / 1e6).alias("ts"),
-                        F.lit(model_key(self.model)).alias("model_key")))
-        rows.write.mode("append").partitionBy("model_key").parquet(self.path)
+        have = self._generations()
+        generation, buckets = have[-1] if have else (0, self.num_buckets)
+        rows = (fresh.where(F.col("embedding").isNotNull()).select("text_hash", "embedding")
+                .withColumn("ts", F.unix_micros(F.current_timestamp()) / 1e6))
+        if have:
+            known = self.spark.table(self._table(generation, buckets)).where(F.col("model") == self.model)
+            rows = rows.join(known.select("text_hash"), "text_hash", "left_anti")
+        self._insert(rows.dropDuplicates(["text_hash"]), generation, buckets)
+
+    def compact(self, num_buckets: int | None = None) -> None:
+        """Rewrite the cache as a new generation: one entry per hash, one file per
+        bucket (and another number of buckets, if given); older ones are removed.
+        No other writer may be active."""
+        have = self._generations()
+        if not have:
+            return
+        buckets = num_buckets or have[-1][1]
+        rows = (self.spark.table(self._table(*have[-1])).groupBy("text_hash", "model")
+                .agg(F.max_by("embedding", "ts").alias("embedding"), F.max("ts").alias("ts")))
+        generation = have[-1][0] + 1
+        target = self._Path(f"{self.path}/model_key={model_key(self.model)}/gen={generation}-{buckets}")
+        self._fs.delete(target, True)            # of a run that died
+        (rows.select("text_hash", "embedding", "model", "ts").repartition(buckets, "text_hash").sortWithinPartitions("text_hash")
+         .write.insertInto(self._table(generation, buckets)))
+        for old in have:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(*old)}")
+            self._fs.delete(self._Path(f"{self.path}/model_key={model_key(self.model)}/gen={old[0]}-{old[1]}"), True)
 
 
 # ---------------------------------------------------------------------------
@@ -324,11 +382,37 @@ class EmbedResult:
     out_col: str = "embedding"
 
 
+def _in_waves(misses: DataFrame, n: int, embedder, cache: EmbeddingCache, per_wave: int) -> DataFrame:
+    """``n`` texts embedded in waves of about ``per_wave``, each written and saved
+    to the cache before the next begins.  A job that dies loses the calls of one
+    wave at most; run again, it finds the finished waves in the cache.  Texts are
+    dealt to waves by their hash and written by wave once, so a wave reads its own.
+    """
+    waves = max(1, math.ceil(n / max(1, per_wave)))
+    spark = misses.sparkSession
+    base = f"{ensure_checkpoint_dir(spark)}/lensmap-embed-waves-{uuid.uuid4().hex}"
+    todo, done = f"{base}/texts", f"{base}/vectors"
+    (misses.withColumn("wave", F.pmod(F.xxhash64("text_hash"), F.lit(waves)).cast("int"))
+     .write.partitionBy("wave").parquet(todo))
+    texts = spark.read.schema("text_hash string, text string, wave int").parquet(todo)
+    for w in range(waves):
+        some = texts.where(F.col("wave") == w).drop("wave")
+        if not getattr(embedder, "partitions", None):
+            some = spread(some)
+        embedder.embed(some).write.parquet(f"{done}/wave={w}")
+        cache.save(spark.read.schema(EMBED_SCHEMA).parquet(f"{done}/wave={w}"))
+    return spark.read.schema(EMBED_SCHEMA).parquet(done)
+
+
 def embed_records(records: DataFrame, text_col: str, embedder, *,
                   cache: EmbeddingCache | None = None,
-                  out_col: str = "embedding", materialize: bool = True) -> EmbedResult:
+                  out_col: str = "embedding", materialize: bool = True,
+                  texts_per_wave: int = TEXTS_PER_WAVE) -> EmbedResult:
     """Embed every record's text once per distinct text, cache first.
 
+    With a cache, a real model works in waves of ``texts_per_wave`` whose results
+    are saved at once (``_in_waves``).
+
     ``materialize`` writes the records with their text and hash once to a
     table in the shared checkpoint folder: the dedup, the join back and the statistics
     read it instead of re-running the text expressions (and Catalyst cannot
@@ -352,13 +436,19 @@ def embed_records(records: DataFrame, text_col: str, embedder, *,
                              F.lit(0).alias("attempts"), F.lit(0).alias("errors"),
                              F.lit(0.0).alias("seconds"), F.lit(None).cast("string").alias("error"))
         missing = hashes.join(cached.select("text_hash"), "text_hash", "left_anti")
+        if getattr(embedder, "expensive", False):
+            missing = materialize_df(missing, "embed-missing")
         misses = (known.select("text_hash", F.col(text_col).alias("text"))
                   .join(missing, "text_hash", "left_semi").dropDuplicates(["text_hash"]))
-    fresh = embedder.embed(misses).withColumn("source", F.lit("model"))
-    if getattr(embedder, "expensive", False):
-        # A real model is called once: the join-back, the cache write and the
-        # statistics all read this reliable checkpoint (shared storage).
-        fresh = materialize_df(fresh, "embed-fresh")
+    # A real model is called once: the join-back, the cache write and the
+    # statistics all read written tables (shared storage).
+    if not getattr(embedder, "expensive", False):
+        fresh = embedder.embed(misses)
+    elif cache is None or not cache.enabled:
+        fresh = materialize_df(embedder.embed(misses), "embed-fresh")
+    else:
+        fresh = _in_waves(misses, missing.count(), embedder, cache, texts_per_wave)
+    fresh = fresh.withColumn("source", F.lit("model"))
     vectors = fresh.select("text_hash", "embedding", "source", "attempts", "errors",
                            "seconds", "error")
     if hits is not None:

@@ -90,3 +90,72 @@ def test_function_embedder_retries_and_drops(spark):
 def test_checkpoint_dir_from_session(spark):
     d = ensure_checkpoint_dir(spark)
     assert d and spark.conf.get("spark.checkpoint.dir") == d
+
+
+def test_cache_lookup_moves_only_the_batch(spark, tmp_path):
+    """Bucketed by hash: no exchange between the cache's scan, the join and the aggregate."""
+    cache = EM.EmbeddingCache(spark, str(tmp_path / "cache"), "m", num_buckets=6)
+    cache.save(spark.range(500).select(F.md5(F.col("id").cast("string")).alias("text_hash"),
+                                       F.array(F.col("id").cast("float")).alias("embedding")))
+    batch = spark.range(490, 510).select(F.md5(F.col("id").cast("string")).alias("text_hash"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = EM.EmbeddingCache(spark, str(tmp_path / "cache"), "m").load(batch)     # buckets are found in the folder's name
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+        assert got.count() == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_saving_twice_keeps_one_entry(spark, tmp_path):
+    path = str(tmp_path / "it's a cache")
+    cache = EM.EmbeddingCache(spark, path, "org/model", num_buckets=3)
+    rows = recs(spark, ["a", "b", "c"]).select(F.md5("t").alias("text_hash"), F.array(F.col("rid").cast("float")).alias("embedding"))
+    cache.save(rows)
+    cache.save(rows.unionByName(rows))
+    cache.save(rows.withColumn("embedding", F.lit(None).cast("array<float>")))
+    stored = lambda: sorted((r.text_hash, list(r.embedding)) for r in spark.read.parquet(path).collect())
+    assert stored() == sorted((r.text_hash, list(r.embedding)) for r in rows.collect())
+    before = stored()
+    cache.compact(num_buckets=5)
+    assert stored() == before and cache.load().count() == 3
+    cache.save(rows)
+    assert stored() == before
+    cache.save(recs(spark, ["d"]).select(F.md5("t").alias("text_hash"), F.array(F.lit(9.0).cast("float")).alias("embedding")))
+    assert cache.load().count() == 4
+    # a generation that a dying compaction left behind is not read
+    (tmp_path / "it's a cache" / "model_key=org_model" / "gen=7-2").mkdir()
+    assert cache.load().count() == 4
+
+
+def test_a_second_run_calls_the_model_only_for_unfinished_waves(spark, tmp_path):
+    log, flag = tmp_path / "calls", tmp_path / "die"
+
+    def fn(texts):
+        import os
+        with open(str(log), "a") as f:
+            f.write("".join(t + "\n" for t in texts))
+        if os.path.exists(str(flag)) and sum(1 for _ in open(str(log))) > 60:
+            raise KeyboardInterrupt("executor lost")          # not an error of a text: the task dies
+        return [[float(len(t)), 1.0] for t in texts]
+    emb = EM.FunctionEmbedder(fn, "m", batch_size=5, dim=2, partitions=1)
+    texts = [f"text {i}" for i in range(120)]
+    flag.write_text("")
+    cache = EM.EmbeddingCache(spark, str(tmp_path / "cache"), "m", num_buckets=2)
+    with pytest.raises(Exception):
+        EM.embed_records(recs(spark, texts * 2), "t", emb, cache=cache, texts_per_wave=20)
+    kept = cache.load().count()
+    assert 20 <= kept < 120
+    flag.unlink()
+    log.write_text("")
+    res = EM.embed_records(recs(spark, texts * 2), "t", emb, cache=cache, texts_per_wave=20)
+    called = log.read_text().splitlines()
+    assert len(called) == len(set(called)) == 120 - kept
+    assert res.embedded.count() == 240 and cache.load().count() == 120
+    s = EM.embed_stats(res.records, res.vectors).first()
+    assert (s.cache_misses, s.cache_hits, s.embeddings_generated) == (120 - kept, 120 + kept, 120 - kept)
+    log.write_text("")
+    again = EM.embed_records(recs(spark, texts), "t", emb, cache=cache)
+    assert again.embedded.count() == 120 and log.read_text() == ""
