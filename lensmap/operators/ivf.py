@@ -1,51 +1,39 @@
-"""IVF search (V11): coarse cells from k-means, probe the nearest cells.
+"""IVF search (V11): inverted lists of k-means cells, probed until nothing can win.
 
-Build: ``pyspark.ml`` KMeans over the candidate vectors gives ``nlist``
-centroids (a table of nlist rows); every candidate is assigned to its
-nearest centroid with the broadcast kNN scorer (k=1 against the centroids).
+Build: k-means centres (fitted on a bounded sample, see ``cells``), every
+candidate in the list of its nearest centre, count and radius of every list.
 
-Search: each query picks its ``nprobe`` nearest centroids (again k=nprobe
-against the centroids).  The (query, cell) probes and the candidates then
-meet in groups keyed by (cell, sub-block, query-block):
+Search: by default a query's cells are probed until the bound of every other
+cell is behind its k-th hit, so the result equals the exact join (V5); how many
+candidates were scored is reported.  ``nprobe`` fixes the number of probed cells
+instead and trades recall for work.  Cells and queries meet in groups of bounded
+size (``cells.score_probes``), however skewed the lists are.
 
-* a cell with many candidates is split into hash sub-blocks of about
-  ``block`` rows (sized by bytes), and a cell probed by many queries into query blocks of
-  about ``query_block`` probes - so no group grows with the data, however
-  skewed the cells are (one cell may hold a third of everything);
-* each group is scored as one matrix product in ``applyInPandas`` (cogroup)
-  and emits only its top-k per query; a window keeps the global top-k.
-
-With ``nprobe = nlist`` every candidate is scored and the result equals the
-exact join (V5); smaller ``nprobe`` trades recall for work.
+An index of a collection is kept beside it by version: ``collection_index``
+builds it once per version and number of lists, and reads it afterwards.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import vector as V
 from ..session import materialize
+from . import cells as C
 from . import knn
 
-BLOCK_BYTES = 32 * 1024 * 1024       # candidate vectors of one sub-block
-
-HIT_SCHEMA = T.StructType([
-    T.StructField("query_id", T.StringType()),
-    T.StructField("id", T.StringType()),
-    T.StructField("distance", T.DoubleType()),
-])
+KEPT = "_index"                 # folder of a collection's indexes
 
 
 @dataclass
 class IvfIndex:
-    centroids: DataFrame      # (cell int, vector array<float>)
-    assigned: DataFrame       # (id, vector, cell)
+    assigned: DataFrame       # (id, vector, cell, off = distance from the centre, _ck = row key)
+    cells: C.Cells            # centres, counts, radii
     metric: str
     nlist: int
     dim: int
@@ -54,98 +42,61 @@ class IvfIndex:
 def build_ivf(candidates: DataFrame, *, nlist: int, metric: str = V.COSINE,
               id_col: str = "id", vector_col: str = "vector", seed: int = 7,
               max_iter: int = 20, dim: int | None = None) -> IvfIndex:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
+    """Candidates without a direction (COSINE) or with non-finite parts have no cell and no score."""
     metric = V.normalize_metric(metric)
     cand = knn.prepare_candidates(candidates, id_col=id_col, vector_col=vector_col)
-    dim = dim or knn.measure_candidates(cand)["dim"]
-    # Vectors without a direction or with non-finite parts have no cell (and no score).
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    fine = (norm < float("inf")) & ((norm > 0) if metric == V.COSINE else ~F.isnan(norm))
-    cand = cand.where((F.size("vector") == dim) & fine)
-    feats = cand.select(array_to_vector(
-        F.transform("vector", lambda x: x.cast("double"))).alias("features"))
-    km = KMeans(k=nlist, seed=seed, maxIter=max_iter,
-                distanceMeasure="cosine" if metric == V.COSINE else "euclidean")
-    model = km.fit(feats)
-    centroids = (model.summary.cluster.sparkSession.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "cell int, vector array<float>"))            # nlist rows: bounded by nlist
-    cells = centroids.select(F.col("cell").cast("string").alias("id"), "vector")
-    assigned = knn.knn_arrays(cand, cells, output_col="_c", k=1,
-                              metric=V.L2 if metric == V.IP else metric, dim=dim)
-    assigned = assigned.select("id", "vector",
-                               F.col("_c")[0]["id"].cast("int").alias("cell")) \
-        .where(F.col("cell").isNotNull())
-    assigned = materialize(assigned, "ivf-assigned")     # read twice by every search
-    return IvfIndex(centroids, assigned, metric, nlist, dim)
-
-
-def _score_group(metric: str, k: int):
-    def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        knn.limit_blas_threads()
-        if qpdf.empty or cpdf.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        cpdf = cpdf.sort_values("id", kind="stable")
-        mat = np.stack(cpdf["vector"].to_numpy()).astype(np.float32)
-        m64 = mat.astype(np.float64)
-        norms = np.sqrt(np.einsum("ij,ij->i", m64, m64))
-        if metric == V.L2:
-            norms = norms * norms
-        keep = np.isfinite(norms) & ((norms > 0) if metric == V.COSINE else True)
-        ids = cpdf["id"].to_numpy()[keep]
-        m = knn._matrix(ids, np.ascontiguousarray(mat[keep]), norms[keep], {})
-        q = np.stack(qpdf["vector"].to_numpy()).astype(np.float64)
-        key, idx = knn.score_block(q, m, metric, k, 4096)
-        fin = np.isfinite(key)
-        rows = np.repeat(np.arange(len(q)), fin.sum(axis=1))
-        dist = key[fin] if metric == V.L2 else -key[fin]
-        return pd.DataFrame({"query_id": qpdf["query_id"].to_numpy()[rows],
-                             "id": ids[idx[fin]], "distance": dist})
-    return fn
-
-
-def ivf_search(queries: DataFrame, index: IvfIndex, *, k: int = knn.DEFAULT_K,
-               nprobe: int = 8, query_id: str = "query_id", query_vector: str = "vector",
-               block: int | None = None, query_block: int = 2048) -> DataFrame:
-    """Top-k per query among the candidates of its ``nprobe`` nearest cells.
+    stats = knn.measure_candidates(cand, dim=dim)
+    dim = dim or stats["dim"]
+    if not dim:
+        raise ValueError("an index needs candidates, or dim")
+    assigned, made = C.build(cand, n=stats["n"], dim=dim, metric=metric, n_cells=nlist, seed=seed, max_iter=max_iter)
+    return IvfIndex(assigned, made, metric, len(made.centers), dim)
+
+
+def ivf_search(queries: DataFrame, index: IvfIndex, *, k: int = knn.DEFAULT_K, nprobe: int | None = None,
+               query_id: str = "query_id", query_vector: str = "vector", block: int | None = None,
+               query_block: int | None = None, report: dict | None = None) -> DataFrame:
+    """Top-k per query, exact unless ``nprobe`` limits the probed cells.
 
     Returns ``(query_id, rank, id, distance, score)`` like :func:`knn.knn_join`.
+    ``report`` (a dict) receives ``scored`` and ``pairs``, see ``cells.search``.
     """
     k = knn.resolve_k(k)
-    metric = index.metric
-    nprobe = max(1, min(int(nprobe), index.nlist))
-    block = block or max(4096, BLOCK_BYTES // (4 * index.dim))
-    cells = index.centroids.select(F.col("cell").cast("string").alias("id"), "vector")
-    q = queries.select(F.col(query_id).cast("string").alias("query_id"),
-                       F.col(query_vector).alias("vector"))
-    probes = (knn.knn_arrays(q, cells, output_col="_p", k=nprobe,
-                             metric=V.L2 if metric == V.IP else metric, dim=index.dim)
-              .select("query_id", "vector", F.explode("_p").alias("p"))
-              .select("query_id", "vector", F.col("p.id").cast("int").alias("cell")))
-    probes = materialize(probes, "ivf-probes")           # sized, then joined
-    # Per-cell sizes (nlist rows) decide how many sub-blocks / query blocks a cell gets.
-    n_c = index.assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    q_c = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
-    plan = (n_c.join(q_c, "cell", "inner")
-            .select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int").alias("subs"),
-                    F.greatest(F.lit(1), F.ceil(F.col("nq") / query_block)).cast("int")
-                    .alias("qblocks")))
-    plan = F.broadcast(plan)          # one row per cell: bounded by nlist
-    cand = (index.assigned.join(plan, "cell")
-            .withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
-            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)))
-            .select("cell", "sub", "qb", "id", "vector"))
-    prb = (probes.join(plan, "cell")
-           .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qblocks")).cast("int"))
-           .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-           .select("cell", "sub", "qb", "query_id", "vector"))
-    part = (prb.groupBy("cell", "sub", "qb")
-            .cogroup(cand.groupBy("cell", "sub", "qb"))
-            .applyInPandas(_score_group(metric, k), HIT_SCHEMA))
-    key = V.order_key(F.col("distance"), metric)
-    w = Window.partitionBy("query_id").orderBy(key.asc(), F.col("id").asc())
-    top = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select(F.col("query_id").alias(query_id), "rank", "id", "distance",
-                      V.score(F.col("distance"), metric).alias("score"))
+    q = materialize(queries.select(F.col(query_id).cast("string").alias(query_id), F.col(query_vector).alias("vector"),
+                                   F.monotonically_increasing_id().alias("_qk")), "ivf-queries")
+    nprobe = None if nprobe is None else max(1, min(int(nprobe), index.nlist))
+    hits = C.search(q.select("_qk", "vector"), index.assigned, index.cells, k=k, dim=index.dim, block=block,
+                    query_block=query_block, nprobe=nprobe, report=report)
+    return hits.join(q.select("_qk", query_id), "_qk").select(query_id, "rank", "id", "distance", "score")
+
+
+def save_ivf(index: IvfIndex, path: str) -> None:
+    """Write an index; it is complete once its cells, written last, are."""
+    spark = index.assigned.sparkSession
+    index.assigned.write.parquet(f"{path}/lists")
+    c = index.cells
+    rows = [(i, index.metric, [float(x) for x in c.centers[i]], int(c.count[i]), float(c.radius[i])) for i in range(len(c.centers))]
+    spark.createDataFrame(rows, "cell int, metric string, center array<double>, n long, radius double").coalesce(1) \
+        .write.parquet(f"{path}/cells")
+
+
+def load_ivf(spark: SparkSession, path: str) -> IvfIndex:
+    rows = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()      # one row a cell
+    centers = np.array([r["center"] for r in rows])
+    made = C.Cells(rows[0]["metric"], centers, np.array([r["n"] for r in rows]), np.array([r["radius"] for r in rows]))
+    return IvfIndex(spark.read.parquet(f"{path}/lists"), made, made.metric, len(rows), centers.shape[1])
+
+
+def collection_index(store, name: str, nlist: int) -> IvfIndex:
+    """The index of a collection's current version, built and kept if it is not there yet."""
+    m = store.manifest(name)
+    home = store._path(name, KEPT)
+    prefix = f"{m['version']}-{nlist}-"
+    for st in store._fs.listStatus(home) if store._fs.exists(home) else []:
+        found = st.getPath()
+        if found.getName().startswith(prefix) and store._fs.exists(store._Path(found, "cells/_SUCCESS")):
+            return load_ivf(store.spark, found.toString())
+    index = build_ivf(store.read(name, ["id", "vector"], manifest=m), nlist=nlist, metric=m["metric"], dim=m["dim"])
+    path = f"{store.root}/{name}/{KEPT}/{prefix}{uuid.uuid4().hex[:12]}"
+    save_ivf(index, path)
+    return load_ivf(store.spark, path)

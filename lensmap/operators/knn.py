@@ -15,11 +15,13 @@ certifies the shortlist; uncertain rows are recomputed in float64).  The query
 side is never shuffled, never joined back, and no pair rows exist - each query
 emits at most k hits.
 
-When the candidates exceed the budget, blocks of candidates meet blocks of
-queries in cogroups of one job; every group is scored the same way and gives
-its top-k per query, and a per-query top-k over the partial hits is the exact
-global answer (top-k of a union = top-k of the per-part top-k).  Queries carry
-a row key of their own, so both paths answer alike whatever the query ids.
+When the candidates exceed the budget, they are put into cells, and blocks of
+queries meet blocks of those cells that can still hold one of their hits
+(``cells.search``: a first pass bounds the k-th hit, the triangle inequality
+rules cells out); every group is scored the same way and gives its top-k per
+query, and a per-query top-k over the partial hits is the exact global answer
+(top-k of a union = top-k of the per-part top-k).  Queries carry a row key of
+their own, so both paths answer alike whatever the query ids.
 
 Order: distance in the metric's direction, then id ascending - a total order,
 so results are deterministic and the blocked merge is exact.
@@ -27,8 +29,6 @@ so results are deterministic and the blocked merge is exact.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -480,9 +480,6 @@ def _block_scorer(dim: int, metric: str, k: int, payload: list[str], qblock: int
 # Public operators
 # --------------------------------------------------------------------------
 
-# Candidates (and queries) of one block beyond the broadcast budget.
-BLOCK_BYTES = 32 * 1024 * 1024
-
 
 class KnnPlan:
     """A candidate side prepared for searching.  Reusable across query sets."""
@@ -495,6 +492,7 @@ class KnnPlan:
         self.stats, self.dim, self.budget = stats, dim, budget
         self.out_type = hit_type(payload_types)
         self._broadcasts = []
+        self.report: dict | None = None     # set to a dict: how many pairs a blocked search scored
 
     @property
     def broadcastable(self) -> bool:
@@ -520,35 +518,22 @@ class KnnPlan:
         return self._scorer(self.cand)(vector)
 
     def search_blocks(self, queries: DataFrame, vector: str) -> tuple[DataFrame, DataFrame]:
-        """(hits, queries) beyond the broadcast budget: blocks of candidates
-        against blocks of queries, one group each, all in one job.
-
-        Queries and candidates are written once with a row key of their own,
-        so that repeated and null ids stay apart; blocks are cut by the row
-        key, hence of even size whatever the ids; a group is scored like a
-        broadcast matrix and gives its top-k per query; the best k of a
-        query's blocks are its hits.  ``hits`` carries ``_qk``, the row key.
+        """(hits, queries) beyond the broadcast budget: candidates in cells, each
+        query against the cells that can hold one of its hits (``cells.search``).
+
+        Queries and candidates are written once with a row key of their own, so
+        that repeated and null ids stay apart.  ``hits`` carries ``_qk``, the
+        row key of the query.
         """
+        from . import cells
         q = materialize(queries.withColumn("_qk", F.monotonically_increasing_id()), "knn-queries")
-        c = materialize(self.cand.withColumn("_ck", F.monotonically_increasing_id()), "knn-candidates")
+        assigned, made = cells.build(self.cand, n=self.stats["n"], dim=self.dim, metric=self.metric)
         self.cand.unpersist()
-        n_q = q.count()
-        n_blocks = max(1, math.ceil(self.stats["bytes"] / max(1, min(self.budget, BLOCK_BYTES))))
-        q_blocks = max(1, math.ceil(n_q * (self.dim * 4 + 16) / BLOCK_BYTES))
-        qs = (q.where(F.size(vector) == self.dim).select("_qk", F.col(vector).alias("vector"))
-              .withColumn("qb", F.pmod(F.xxhash64("_qk"), F.lit(q_blocks)).cast("int"))
-              .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-        cs = (c.withColumn("cb", F.pmod(F.xxhash64("_ck"), F.lit(n_blocks)).cast("int")).drop("_ck")
-              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
-        tile = conf_int(self.spark, KNN_CANDIDATE_TILE, KNN_CANDIDATE_TILE_DEFAULT)
-        qblock = conf_int(self.spark, KNN_QUERY_BLOCK, KNN_QUERY_BLOCK_DEFAULT)
-        schema = T.StructType([T.StructField("_qk", T.LongType()), *self.out_type.elementType.fields[1:]])
-        part = (qs.groupBy("cb", "qb").cogroup(cs.groupBy("cb", "qb"))
-                .applyInArrow(_block_scorer(self.dim, self.metric, self.k, self.payload, qblock, tile), schema))
-        key = V.order_key(F.col("distance"), self.metric)
-        w = Window.partitionBy("_qk").orderBy(key.asc(), F.col("id").asc())
-        top = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
-        return top, q
+        per_row = self.stats["bytes"] / max(1, self.stats["n"])
+        hits = cells.search(q.select("_qk", F.col(vector).alias("vector")), assigned, made, k=self.k, dim=self.dim,
+                            payload=self.payload, payload_types=self.payload_types, report=self.report,
+                            block=max(1, int(min(self.budget, cells.BLOCK_BYTES) / per_row)))
+        return hits, q
 
     def search_flat(self, queries: DataFrame, query_id: str, vector: str,
                     keep: list[str] | None = None) -> DataFrame:

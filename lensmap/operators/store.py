@@ -373,9 +373,15 @@ class CollectionStore:
         return self._change(m, change)
 
     def vacuum(self, name: str) -> int:
-        """Remove data folders the current manifest does not name (returns how
-        many).  Only when no reader of an older version and no writer is active."""
-        used = {f"v={a}" for vs in self.manifest(name)["buckets"].values() for a in vs}
+        """Remove data folders the current manifest does not name, and indexes of
+        older versions (returns how many data folders).  Only when no reader of
+        an older version and no writer is active."""
+        m = self.manifest(name)
+        used = {f"v={a}" for vs in m["buckets"].values() for a in vs}
+        home = self._path(name, "_index")
+        for st in self._fs.listStatus(home) if self._fs.exists(home) else []:
+            if not st.getPath().getName().startswith(f"{m['version']}-"):
+                self._fs.delete(st.getPath(), True)
         n = 0
         for st in self._fs.listStatus(self._path(name)):
             if st.getPath().getName().startswith("v=") and st.getPath().getName() not in used:

@@ -958,31 +958,43 @@ def x1_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # IVF cells (k-means) with probing
 # ---------------------------------------------------------------------------
 
-def _ivf(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
-    """Top-5 by IVF: about sqrt(rows) cells, the given share of them probed."""
+def _ivf(spark: SparkSession, sf_dir: str, share: float | None) -> DataFrame:
+    """Top-5 by IVF: about sqrt(rows) cells, probed until nothing can win, or the given share of them."""
     from ..operators import ivf
     ent = embedding_entities(spark, sf_dir)
     n, dim = ent.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     nlist = max(1, round(n ** 0.5))
     index = ivf.build_ivf(ent, nlist=nlist, metric=V.COSINE, dim=dim)
     q = ent.select(F.col("id").alias("query_id"), "vector")
-    return ivf.ivf_search(q, index, k=5, nprobe=max(1, round(nlist * share)))
+    return ivf.ivf_search(q, index, k=5, nprobe=None if share is None else max(1, round(nlist * share)))
 
 
-def _ivf_query(share: float):
+def _ivf_query(share: float | None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _ivf(spark, sf_dir, share).select("query_id", "rank", "id", r6("distance").alias("distance"),
                                                  r6("score").alias("score"))
     return run
 
 
-# Probing every cell is exact: same oracle as V1.
-register("V11_ivf_search", _knn_sql(V.COSINE, 5))(_ivf_query(1.0))
+# Certified: exact whatever the cells, hence the oracle of V1.
+register("V11_ivf_search", _knn_sql(V.COSINE, 5))(_ivf_query(None))
 # Three quarters of the cells: half of them lose about one neighbour in nine.
 PARTIAL_PROBE = 0.75
 register("V11_ivf_partial_probe")(_ivf_query(PARTIAL_PROBE))
 
 
+@register("V11_ivf_collection", _knn_sql(V.COSINE, 5))
+def v11_ivf_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored collection searched by the index that is kept with its version."""
+    from ..operators import ivf
+    st, name = _embedding_collection(spark, sf_dir)
+    n = st.info([name]).first().row_count
+    for _ in range(2):              # built, then read back
+        index = ivf.collection_index(st, name, max(1, round(n ** 0.5)))
+    q = embedding_entities(spark, sf_dir).select(F.col("id").alias("query_id"), "vector")
+    return ivf.ivf_search(q, index, k=5).select("query_id", "rank", "id", r6("distance").alias("distance"), r6("score").alias("score"))
+
+
 @register("V11_ivf_partial_recall", """
 SELECT count(*) AS queries, true AS recall_reached, CAST(0 AS BIGINT) AS wrong_scores FROM embeddings""")
 def v11_ivf_partial_recall(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,33 +1,124 @@
-"""Probing every cell equals the exact join; fewer probes stay sane."""
+"""V11 and the cell search beyond the broadcast budget: exact whatever the cells, and cheap on clustered vectors."""
 
 import numpy as np
-
 import pytest
+from pyspark.sql import functions as F
 
-from lensmap.operators import ivf, knn
+from lensmap.operators import cells, ivf, knn
+from lensmap.operators.store import CollectionStore
 from lensmap.plans import catalog
 
 
-def test_ivf_all_cells_equals_exact(spark):
+def frame(spark, vectors, name="c", key="id"):
+    return spark.createDataFrame([(f"{name}{i:05d}", [float(x) for x in v]) for i, v in enumerate(vectors)],
+                                 f"{key} string, vector array<float>")
+
+
+def hits(df):
+    return sorted((r.query_id, r["rank"], r.id, round(r.distance, 9)) for r in df.collect())
+
+
+def clustered(rng, n, dim, groups=40, spread=0.03):
+    centre = rng.normal(size=(groups, dim))
+    return (centre[rng.integers(0, groups, n)] + spread * rng.normal(size=(n, dim))).astype(np.float32)
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "L2", "IP"])
+def test_certified_equals_exact(spark, metric):
     rng = np.random.default_rng(3)
     c = rng.normal(size=(300, 8)).astype(np.float32)
     c[:120] += 4.0                                     # one dense, hot region
-    cdf = spark.createDataFrame([(f"c{i:04d}", v.tolist()) for i, v in enumerate(c)],
-                                "id string, vector array<float>")
-    qdf = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(c[::15])],
-                                "query_id string, vector array<float>")
-    for metric in ("COSINE", "L2"):
-        index = ivf.build_ivf(cdf, nlist=6, metric=metric)
-        exact = sorted((r.query_id, r.rank, r.id) for r in
-                       knn.knn_join(qdf, cdf, k=5, metric=metric).collect())
-        full = sorted((r.query_id, r.rank, r.id) for r in
-                      ivf.ivf_search(qdf, index, k=5, nprobe=6, block=16, query_block=4).collect())
-        assert full == exact
-        some = ivf.ivf_search(qdf, index, k=5, nprobe=2, block=16, query_block=4)
-        got = {(r.query_id, r.id) for r in some.collect()}
-        ex = {(q, i) for q, _, i in exact}
-        assert len(got & ex) / len(ex) > 0.5           # recall of a partial probe
-        assert some.groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 5
+    c[120:150] = c[150]                                # many equal vectors: ties by id
+    c[200] = 0.0
+    c[201, 0] = np.nan
+    cdf, qdf = frame(spark, c), frame(spark, c[::15], "q", "query_id")
+    index = ivf.build_ivf(cdf, nlist=6, metric=metric)
+    exact = hits(knn.knn_join(qdf, cdf, k=5, metric=metric))
+    assert hits(ivf.ivf_search(qdf, index, k=5, block=16, query_block=4)) == exact
+    assert hits(ivf.ivf_search(qdf, index, k=5, nprobe=6, block=16, query_block=4)) == exact
+    some = ivf.ivf_search(qdf, index, k=5, nprobe=2, block=16, query_block=4)
+    got, ex = {(r.query_id, r.id) for r in some.collect()}, {(q, i) for q, _, i, _ in exact}
+    assert len(got & ex) / len(ex) > 0.4               # recall of a partial probe
+    assert some.groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 5
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "L2"])
+def test_clustered_vectors_score_a_small_share(spark, metric):
+    rng = np.random.default_rng(8)
+    c = clustered(rng, 2000, 16)
+    cdf, qdf = frame(spark, c), frame(spark, c[::10], "q", "query_id")
+    index, report = ivf.build_ivf(cdf, nlist=45, metric=metric), {}
+    got = hits(ivf.ivf_search(qdf, index, k=5, report=report))
+    assert got == hits(knn.knn_join(qdf, cdf, k=5, metric=metric))
+    assert report["pairs"] == 200 * 2000 and report["scored"] < 0.25 * report["pairs"]
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "L2", "IP"])
+def test_bounds_hold(metric):
+    """No candidate is better than its cell's bound; the first cells hold k candidates."""
+    rng = np.random.default_rng(1)
+    for scale, shift in ((1.0, 0.0), (1e-3, 50.0), (1e6, 1e6)):
+        x = (shift + scale * rng.normal(size=(400, 6))).astype(np.float32).astype(np.float64)
+        centers = (shift + scale * rng.normal(size=(12, 6)))
+        made = cells.Cells(metric, cells._unit(centers) if metric == "COSINE" else centers, np.zeros(12, int), np.zeros(12))
+        placed = made.place(x)
+        cell = cells._distances(placed, made.centers).argmin(1)
+        off = np.sqrt(((placed - made.centers[cell]) ** 2).sum(1))
+        made.count = np.bincount(cell, minlength=12)
+        made.radius = np.array([off[cell == i].max() if (cell == i).any() else 0.0 for i in range(12)])
+        q = (shift + scale * rng.normal(size=(50, 6)))
+        far, least = made.bounds(made.place(q))
+        if metric == "L2":
+            key = ((q[:, None] - x[None]) ** 2).sum(2)
+        elif metric == "IP":
+            key = -(q @ x.T)
+        else:
+            key = -(cells._unit(q) @ cells._unit(x).T)
+        for i in range(12):
+            if (cell == i).any():
+                assert (least[:, i] <= key[:, cell == i].min(1)).all()
+        for k in (1, 5, 399, 400, 500):
+            mask = made.first(far, k)
+            assert (mask @ made.count >= min(k, 400)).all() and not mask[:, made.count == 0].any()
+
+
+def test_search_beyond_the_budget_skips_blocks(spark):
+    """Same hits as the broadcast; a small share of all pairs is scored; ids may repeat, payload travels."""
+    rng = np.random.default_rng(4)
+    c = clustered(rng, 3000, 12, groups=60)
+    cand = frame(spark, c).withColumn("id", F.when(F.col("id") < "c00900", F.lit("hot")).otherwise(F.col("id"))) \
+        .withColumn("tag", F.md5("id"))
+    q = frame(spark, c[::25], "q", "query_id")
+    plan = knn.plan_knn(cand, k=5, metric="COSINE", payload=["tag"], broadcast_bytes=20_000)
+    plan.report = {}
+    assert not plan.broadcastable
+    got = sorted((r.query_id, r["rank"], r.id, round(r.distance, 9), r.tag) for r in plan.search_flat(q, "query_id", "vector").collect())
+    whole = knn.knn_join(q, cand, k=5, metric="COSINE", payload=["tag"])
+    assert got == sorted((r.query_id, r["rank"], r.id, round(r.distance, 9), r.tag) for r in whole.collect())
+    assert plan.report["scored"] < 0.25 * plan.report["pairs"]
+
+
+def test_index_of_a_collection_is_kept_by_version(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    st = CollectionStore(spark, str(tmp_path / "s"), num_buckets=2)
+    st.create("c", dim=6)
+    rows = lambda v, name="c": frame(spark, v, name).select("id", "vector", F.lit("t").alias("text_for_embedding"),
+                                                            F.lit(None).cast("variant").alias("metadata"))
+    a, b = rng.normal(size=(150, 6)).astype(np.float32), rng.normal(size=(40, 6)).astype(np.float32)
+    st.upsert("c", rows(a))
+    q = frame(spark, a[::10], "q", "query_id")
+    kept = lambda: sorted(p.name for p in (tmp_path / "s" / "c" / "_index").iterdir())
+    one = ivf.collection_index(st, "c", 5)
+    names = kept()
+    again = ivf.collection_index(st, "c", 5)
+    assert kept() == names and len(names) == 1
+    exact = lambda: hits(knn.knn_join(q, st.read("c"), k=3))
+    assert hits(ivf.ivf_search(q, one, k=3)) == hits(ivf.ivf_search(q, again, k=3)) == exact()
+    st.upsert("c", rows(b))                            # a new version: a new index
+    assert hits(ivf.ivf_search(q, ivf.collection_index(st, "c", 5), k=3)) == exact()
+    assert len(kept()) == 2
+    st.vacuum("c")
+    assert len(kept()) == 1 and st.list() == ["c"]
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
