@@ -176,6 +176,63 @@ def test_templates(spark):
     assert templates.contaminated(d.limit(0), b).collect() == []
 
 
+SLOT_HEAVY = ["Find 3 + 4 * 2 - 7", "What Is The Capital Of The Northern Province Of Old Carinthia", "Solve 12 + 5 = 17 and 8 + 9 = 17 for 3 numbers",
+              "Der Hund Fritz jagt die Katze Mimi durch den Garten von Frau Schulze", "12 34 56 78 90 12", "Alice Bob Carol Dave Eve Mallory Trent"]
+
+
+def template_tables(spark):
+    stock = "this passage is often quoted by people who like to quote"          # five windows of every item below
+    items = [(i, t) for i, t in enumerate(SLOT_HEAVY)]
+    items += [(100 + i, f"question {chr(97 + i)}x asks why {stock} when nobody {chr(97 + i)}y was there to hear the bell ring {chr(97 + i)}z") for i in range(20)]
+    items += [(200, "Yes"), (201, "Paris, France"), (202, "the red door"), (203, "Opening words stand here without a name"), (204, ""), (205, None)]
+    filler = "some plain words come first and then a little more of them "
+    texts = [filler + t + " and on it goes." for t in SLOT_HEAVY] + [t + "\n" + filler for t in SLOT_HEAVY]
+    texts += [f"{filler}{chr(97 + i % 26)}{chr(97 + i // 26)} {stock} {filler}" for i in range(60)]
+    texts += [filler + items[8][1], "he said Yes to Paris, France and to the red door", "one line\n  paris france!\nthe Red Door.", "YES",
+              "spliced in after a comma, Opening words stand here without a name", "Then. " + items[-3][1], "3 4 2 7", None, "", "5 * 5"]
+    texts += ["Find 9 + 8 * 7 - 6", "What Is The Name Of The Southern District Of New Slavonia"]           # other contents of the same shape
+    docs = [(i, t) for i, t in enumerate(texts)]
+    return docs, items
+
+
+def test_templates_against_sql(spark):
+    import duckdb
+    import pandas as pd
+    docs, items = template_tables(spark)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    want = sorted(con.execute(templates.SQL).fetchall())
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = templates.contaminated(d, b)
+    assert got.columns == ["doc_id", "item_id", "n_windows", "n_slots"]
+    assert sorted(tuple(r) for r in got.collect()) == want
+    found = {(x[0], x[1]) for x in want}
+    n = len(SLOT_HEAVY)
+    assert {(i, i) for i in range(n)} | {(n + i, i) for i in range(n)} <= found        # verbatim copies, in prose and as lines
+    at = 2 * n + 60
+    assert {(at, items[8][0]), (at + 2, 201), (at + 2, 202), (at + 3, 200), (at + 4, 203), (at + 5, 203)} <= found
+    assert not {x[0] for x in want} & {at + 1, at + 6, at + 7, at + 8, at + 9, at + 10, at + 11, *range(2 * n, at)}
+
+
+def test_a_stock_phrase_pairs_nothing(spark):
+    """Texts and items that only share a phrase of fewer windows than a hit needs do not meet."""
+    docs, items = template_tables(spark)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    made = templates.materialize(templates._items(spark.createDataFrame(items, "item_id long, text string"), 8, 0.5, 6), "t")
+    found = templates._found(d, made)
+    seen = []
+    keep = templates.materialize
+    try:
+        templates.materialize = lambda df, what: seen.append((what, df.count())) or keep(df, what)
+        templates._diagonals(found, made)
+    finally:
+        templates.materialize = keep
+    shared = found.join(made, "hash").select("h", "item_id").distinct().count()
+    assert shared >= 60 * 20 and dict(seen)["template-anchored"] < 60
+
+
 def test_rule_ensemble_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
