@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,7 +112,27 @@ class TokenRollup:
          .agg(F.sum(F.col("sign").cast("long")).alias("docs"), F.sum("tokens").alias("tokens"))
          .write.parquet(f"{at}/totals"))
         mark = self.spark.createDataFrame([(batch, attempt)], "batch string, attempt string").coalesce(1)
-        mark.write.mode("errorifexists").parquet(f"{self.root}/commits/{batch}")
+        mark.write.parquet(f"{at}/mark")
+        return self._publish(f"{at}/mark", batch)
+
+    def _publish(self, mark: str, batch: str) -> bool:
+        """Make a whole marker the batch's by one rename; False if another attempt was first."""
+        jvm = self.spark.sparkContext._jvm
+        fs, source = self._fs(mark)
+        target = self._fs(f"{self.root}/commits/{batch}")[1]
+        fs.mkdirs(target.getParent())
+        if fs.exists(target):
+            return False
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.NONE                 # refuses an existing target
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            files.rename(source, target, how)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
         return True
 
 

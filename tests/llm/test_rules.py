@@ -153,6 +153,24 @@ def test_rollup_of_documents(odd, odd_rows, spark, tmp_path):
     assert got == dict(want)
 
 
+def test_rollup_dies_while_it_marks_a_batch(spark, tmp_path, monkeypatch):
+    r = token_rollup.TokenRollup(spark, str(tmp_path / "roll"))
+    rows = [("insert", i, "s", "en", "words-1", 10) for i in range(5)]
+    batch = spark.createDataFrame(rows, "op string, doc_id long, source string, lang string, tokenizer_version string, n_tokens long")
+    with monkeypatch.context() as m:
+        m.setattr(token_rollup.TokenRollup, "_publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            r.commit("one", batch)
+    assert r.committed() == {} and r.totals().collect() == []
+    assert r.commit("one", batch) is True and r.commit("one", batch) is False
+    # a second writer whose work overlapped the first one's
+    late = token_rollup.TokenRollup(spark, str(tmp_path / "roll"))
+    with monkeypatch.context() as m:
+        m.setattr(token_rollup.TokenRollup, "committed", lambda self: {})
+        assert late.commit("one", batch) is False
+    assert [(x.n_docs, x.n_tokens) for x in r.totals().collect()] == [(5, 50)]
+
+
 QUESTION = "A train leaves Boston with 40 cars and travels 300 miles in 5 hours while Alice waits for 40 minutes near the old station"
 
 
