@@ -7,7 +7,9 @@ left is rejected.  The host is ``source``.  Exact copies count as one document:
 a document is known by the hash of its text, so that a page published many
 times is left to the duplicate stages and does not wear itself out.
 
-The limit of a host is max(``min_docs``, ``share`` of its distinct documents).
+The limit of a host is ``share`` of its distinct documents, but ``min_docs`` at
+least and ``max_docs`` at most: a line found in more than ``max_docs`` documents
+goes however large the host is.
 A document is depleted when removal leaves it under ``keep_share`` of its
 words, or under ``min_words`` of them.
 
@@ -111,14 +113,14 @@ def line_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_quality(docs: DataFrame, min_docs: int = 20, share: float = 0.01, keep_share: float = 0.5,
-                 min_words: int = 25, gone: bool = False) -> DataFrame:
+                 min_words: int = 25, gone: bool = False, max_docs: int = 100) -> DataFrame:
     """One row per document: row, statistics, removed_words, base_failed, kept;
     with ``gone`` also the hashes of its removed lines."""
     stats = materialize(docs.select(
         "doc_id", F.col("source").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
         "text").mapInArrow(line_scan, STATS), "lines")
     limits = (stats.groupBy("host", "text_hash").agg(F.lit(1).alias("one"))
-              .groupBy("host").agg(F.greatest(F.lit(min_docs), F.count("*") * share).alias("limit")))
+              .groupBy("host").agg(F.greatest(F.lit(min_docs), F.least(F.lit(max_docs), F.count("*") * share)).alias("limit")))
     lines = stats.select("row", "host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select(
         "row", "host", "text_hash", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     # (host, line) as one hash, so that the keys of a hot host spread
@@ -187,7 +189,7 @@ rep AS (SELECT rid, count(DISTINCT p) AS n FROM (
 ln AS (SELECT rid, source, t, len(lw) AS n, translate(array_to_string(lw, ' '),
               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l
        FROM (SELECT rid, source, t, regexp_extract_all(unnest(ls), '[^\x20\x09-\x0D]+') AS lw FROM d)),
-lim AS (SELECT source, greatest(20, count(DISTINCT t) * 0.01) AS lim FROM d GROUP BY source),
+lim AS (SELECT source, greatest(20, least(100, count(DISTINCT t) * 0.01)) AS lim FROM d GROUP BY source),
 often AS (SELECT ln.source, l FROM ln JOIN lim ON ln.source IS NOT DISTINCT FROM lim.source
           GROUP BY ln.source, l, lim HAVING count(DISTINCT t) > lim),
 rem AS (SELECT rid, sum(n) AS n FROM ln JOIN often o ON ln.l = o.l AND ln.source IS NOT DISTINCT FROM o.source GROUP BY rid),

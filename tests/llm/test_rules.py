@@ -48,6 +48,14 @@ def test_line_rules(odd, odd_rows):
     assert any(k[7] for k in got) and any(k[8] for k in got)
 
 
+def test_line_limit_does_not_grow_with_the_host(spark):
+    text = lambda i, line: "\n".join([line, " ".join(f"w{i}x{j}" for j in range(60))])
+    rows = [(i, text(i, "seen in thirty of them" if i < 30 else f"own line {i}"), "big") for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    gone = lambda **how: line_rules.line_quality(d, **how).filter("removed_words > 0").count()
+    assert gone(min_docs=5, max_docs=25) == 30 and gone(min_docs=5, max_docs=40) == 0
+
+
 def test_keep_quality_strips_lines(odd, odd_rows):
     how = {"min_docs": 2, "share": 0.1, "keep_share": 0.3, "min_words": 25}
     out = line_rules.keep_quality(odd, **how)
