@@ -10,6 +10,7 @@ other text is given to the library whole.  The ids are the same either way.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,7 @@ class PieceEncoder:
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.map = str.maketrans({chr(b): c for b, c in _alphabet().items()})
         self.cache: dict[int, tuple[int, ...]] = {}
+        self.old: dict[int, tuple[int, ...]] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -75,16 +77,16 @@ class PieceEncoder:
         where = np.empty(len(distinct), dtype=np.int64)
         where[code[::-1]] = np.arange(len(code))[::-1]
         lo, hi = start[where].tolist(), end[where].tolist()
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        ids, cache, piece = [], self.cache, self.piece
+        if len(self.cache) > CACHE_PIECES // 2:      # what was used since the last turn stays, the rest goes with the next
+            self.old, self.cache = self.cache, {}
+        ids, cache, old, piece = [], self.cache, self.old, self.piece
         for k, h in enumerate(distinct.tolist()):
             got = cache.get(h)
             if got is None:
-                cache[h] = got = piece(big[lo[k]:hi[k]])
+                cache[h] = got = old.get(h) or piece(big[lo[k]:hi[k]])
             ids.append(got)
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        pool = np.fromiter((i for t in ids for i in t), dtype=np.uint32, count=int(size.sum()))
+        pool = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum()))
         at = np.concatenate([[0], np.cumsum(size)])[:-1]
         n = size[code]
         run = np.concatenate([[0], np.cumsum(n)])
