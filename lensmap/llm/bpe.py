@@ -26,7 +26,7 @@ _CLASS[65:91] = _CLASS[97:123] = LETTER
 _CLASS[0xC0:0x250] = LETTER
 _CLASS[[0xD7, 0xF7]] = OTHER
 _VALUE = mix(np.arange(1, 0x20AE, dtype=U) * U(0x9E3779B97F4A7C15))
-CACHE_PIECES = 100_000
+CACHE_PIECES = 240_000
 
 
 def _alphabet() -> dict[int, str]:
