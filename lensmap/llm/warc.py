@@ -149,6 +149,9 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
             "payload": payload}, hi + 4
 
 
+CHUNK = 1 << 14      # bytes inflated at once
+
+
 def _inflated(data: bytes, at: int) -> Iterator[tuple[int, bytes]]:
     """(end, bytes) for each byte of the damaged member at ``at``, up to the damage."""
     z = zlib.decompressobj(31)
@@ -187,9 +190,11 @@ def _unit(data: bytes, at: int) -> tuple[list[dict], list[tuple[int, int, str]],
     if data[at:at + 3] != b"\x1f\x8b\x08":
         r, end = _parse(data, at)
         return [r], [], end, None
-    z, damage, cut = zlib.decompressobj(31), None, False
+    z, damage, cut, parts, end = zlib.decompressobj(31), None, False, [], at
     try:
-        body = z.decompress(memoryview(data)[at:])
+        while not z.eof and end < len(data):        # zlib copies what it does not use: never hand it the rest of the file
+            parts.append(z.decompress(memoryview(data)[end:end + CHUNK]))
+            end = min(end + CHUNK, len(data))
         if not z.eof:
             damage, cut = "member is cut off", True
     except zlib.error as e:
@@ -199,7 +204,7 @@ def _unit(data: bytes, at: int) -> tuple[list[dict], list[tuple[int, int, str]],
         if not found:
             raise ValueError(damage)
         return found, lost, end, damage
-    end = len(data) - len(z.unused_data)
+    body, end = b"".join(parts), end - len(z.unused_data)
     found, lost = [], []
     for kind, lo, hi, x in salvage(body):
         if kind == "record":

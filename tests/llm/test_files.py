@@ -170,3 +170,21 @@ def test_piece_encoder(texts):
         test_piece_encoder.e = PieceEncoder(public.path("byte_bpe_50k.json"))
     e = test_piece_encoder.e
     assert [x.tolist() for x in e.encode(texts)] == [e.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_reading_time_grows_with_the_file():
+    """Members cost what they hold, wherever they stand in the file."""
+    import gzip
+    import time
+    block = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3000\r\n\r\n" + bytes(range(97, 122)) * 120 + b"\r\n\r\n"
+    member = gzip.compress(block)
+
+    def seconds(n):
+        data, best = member * n, 1e9
+        for _ in range(2):
+            t = time.process_time()
+            assert sum(1 for x in warc.salvage(data)) == n
+            best = min(best, time.process_time() - t)
+        return best
+    filler = 16_000_000 // len(member)
+    assert seconds(filler) < 6 * seconds(filler // 4)
