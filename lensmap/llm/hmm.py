@@ -14,16 +14,19 @@ stays a distributed table.
 
 1. ``encode``: one numpy pass turns slices of a few MB of text into index
    sequences over the slice's distinct words (written once).
-2. ``word_counts``: (slice, word) rows are shuffled by word, summed, and go back
-   to their slices; a word has one row per slice, so a frequent word is no
-   heavier than the number of slices.
-3. ``train``: expected counts of every training token's windows are summed inside
-   each partition, then over groups of partitions; the driver sees a bounded
-   number of states x classes tables.  A window is ``WINDOW`` tokens; windows of
-   one text are trained as sequences of their own (with a start distribution of
-   their own), which keeps all texts and makes the recursion a matrix operation.
-   The rounds over all data start from a model fitted to ``INIT_DOCS`` texts
-   (a starting point only: its counts do not enter the result).
+2. ``word_totals``: (slice, word) counts are summed in their tasks, then by word;
+   ``word_counts`` joins them back to the slices, where a word has one row per
+   slice and the join may split a frequent one.
+3. ``train``: Baum-Welch on whole texts.  A text is cut into windows only to make
+   the recursion a matrix operation: the product of each window's transition and
+   emission matrices carries the exact forward message to its first token and the
+   exact backward message to its last, and the transitions between windows are
+   counted, so the counts are those of the uncut text.  Expected counts are summed
+   inside each partition, then over groups of partitions; the driver sees a bounded
+   number of states x classes tables.  The start is the training texts' class counts,
+   unevenly shared among the states.  The first pass takes the slices in ``PARTS``
+   hashed parts and re-estimates after each (stepwise EM); then rounds over all
+   slices run until the likelihood of a token settles (``TOL``) or ``ROUNDS`` are done.
 4. ``score``: the scaled forward recursion runs over whole texts, from first word
    to end, so the log probability is exact under the model.
 
@@ -42,19 +45,20 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensmap.llm.textscan import LOWER, Words, mix, slices, span_hash, to_bytes
+from lensmap.llm.textscan import LOWER, Words, slices, span_hash, to_bytes
 from lensmap.session import materialize
 
 STATES = 8
 CLASSES = 2048      # class 0 is the end token
-WINDOW = 64
-ROUNDS = 2          # Baum-Welch rounds over all training texts
-INIT_DOCS = 400     # texts of the starting point, and its rounds
-INIT_TOKENS = 2_500 # tokens of such a text at most
-INIT_ROUNDS = 20
+WINDOW = 512        # tokens of a window
+BLOCK = 400_000     # tokens whose messages are held at once (a window at least)
+PARTS = 8           # parts of the stepwise pass
+STEP = 0.7          # part k's counts enter with weight (k + 2) ** -STEP
+ROUNDS = 6          # Baum-Welch rounds over all training texts at most
+TOL = 0.002         # nats of a token's likelihood under which it has settled
 END = np.uint64(0)  # hash of the end token (word hashes of 0 are moved to 1)
 
 SLICE = ("slice long, doc_id array<long>, held array<boolean>, n_tokens array<int>, words array<long>, "
@@ -122,86 +126,151 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=["slice", "i", "word", "tf"])
 
 
-def word_counts(slices_: DataFrame) -> DataFrame:
-    """slice, i (index of the word in its slice), word, tf, c (its training count), lead (one row per word)."""
-    rows = slices_.select("slice", "words", "tf").mapInArrow(_explode, "slice long, i int, word long, tf int")
-    by = Window.partitionBy("word")
-    return (rows.withColumn("c", F.sum("tf").over(by))
-            .withColumn("lead", F.row_number().over(by.orderBy("slice")) == 1))
+def _word_rows(slices_: DataFrame) -> DataFrame:
+    return slices_.select("slice", "words", "tf").mapInArrow(_explode, "slice long, i int, word long, tf int")
+
+
+def word_totals(slices_: DataFrame) -> DataFrame:
+    """word, c: its count in the training texts (0 where only held-out texts have it)."""
+    return _word_rows(slices_).groupBy("word").agg(F.sum("tf").alias("c"))
+
+
+def word_counts(slices_: DataFrame, totals: DataFrame) -> DataFrame:
+    """slice, i (index of the word in its slice), word, c."""
+    return _word_rows(slices_).select("slice", "i", "word").join(totals, "word").select("slice", "i", "word", "c")
 
 
 class Model:
-    """start, mid (K), A (K x K), B (K x classes); rows are distributions."""
+    """start (K), A (K x K), B (K x classes); rows are distributions."""
 
-    def __init__(self, start, mid, A, B):
-        self.start, self.mid, self.A, self.B = start, mid, A, B
+    def __init__(self, start, A, B):
+        self.start, self.A, self.B = start, A, B
 
     @classmethod
     def untrained(cls, k: int = STATES, classes: int = CLASSES):
-        return cls(np.full(k, 1 / k), np.full(k, 1 / k), np.full((k, k), 1 / k), np.full((k, classes), 1 / classes))
+        return cls(np.full(k, 1 / k), np.full((k, k), 1 / k), np.full((k, classes), 1 / classes))
+
+    @classmethod
+    def begin(cls, n_class: np.ndarray, k: int = STATES):
+        """States that tend to stay, each with its own uneven share of the class counts."""
+        base = (n_class + 0.5) * np.random.default_rng(7).uniform(0.5, 1.5, size=(k, len(n_class)))
+        A = np.full((k, k), 0.1 / (k - 1)) + np.eye(k) * (0.9 - 0.1 / (k - 1))
+        return cls(np.full(k, 1 / k), A, base / base.sum(axis=1, keepdims=True))
 
     @classmethod
     def of(cls, counts: np.ndarray, k: int = STATES, classes: int = CLASSES):
         """Maximisation step, with a little mass on everything."""
-        start, mid = counts[:k], counts[k:2 * k]
-        A = counts[2 * k:2 * k + k * k].reshape(k, k)
-        B = counts[2 * k + k * k:].reshape(k, classes)
+        start, A = counts[:k], counts[k:k + k * k].reshape(k, k)
+        B = counts[k + k * k:k + k * k + k * classes].reshape(k, classes)
         every = B.sum(axis=0) + 1.0
         B = B + every / every.sum() * 10.0
         norm = lambda x: x / x.sum(axis=-1, keepdims=True)
-        return cls(norm(start + 0.1), norm(mid + 0.1), norm(A + 0.1), norm(B))
-
-
-def expected_counts(m: Model, cls: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
-    """Baum-Welch counts (start, mid, A, B flattened) of texts laid end to end."""
+        return cls(norm(start + 0.1), norm(A + 0.1), norm(B))
+
+
+TINY = np.float32(1e-30)
+
+
+def _unit(x: np.ndarray, axis) -> np.ndarray:
+    return x / np.maximum(x.sum(axis=axis, keepdims=True), TINY)
+
+
+def _messages(A, Bt, start, cls, lo, size, nth, last) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per window: forward message of the token before it, prior of its first token's state, backward message of its last token.
+
+    ``nth`` is a window's place in its text, ``last`` whether it ends the text."""
+    S, K = len(lo), len(A)
+    before, prior, after = np.zeros((S, K), dtype=np.float32), np.tile(start, (S, 1)), np.ones((S, K), dtype=np.float32)
+    cut = np.flatnonzero((nth > 0) | ~last)  # windows of texts with more than one
+    if not len(cut):
+        return before, prior, after
+    full = cut[np.argsort(-size[cut], kind="stable")]
+    live = np.searchsorted(-size[full], -np.arange(1, int(size[full[0]]) + 1), side="right")
+    P = np.tile(np.eye(K, dtype=np.float32), (len(full), 1, 1))
+    for t, n in enumerate(live.tolist()):
+        e = Bt[cls[lo[full[:n]] + t]]
+        e = e / np.maximum(e.max(axis=1, keepdims=True), TINY)
+        Q = (P[:n].reshape(-1, K) @ A).reshape(n, K, K) if t else P[:n]
+        Q = Q * e[:, None, :]
+        P[:n] = Q / np.maximum(Q.max(axis=(1, 2), keepdims=True), TINY) if t % 4 == 3 else Q
+    P /= np.maximum(P.max(axis=(1, 2), keepdims=True), TINY)
+    at = np.empty(S, dtype=np.int64)
+    at[full] = np.arange(len(full))
+    by_place = cut[np.argsort(nth[cut], kind="stable")]
+    ends = np.cumsum(np.bincount(nth[by_place]))
+    groups = np.split(by_place, ends[:-1])
+    for g in groups[1:]:
+        before[g] = _unit(np.einsum("ni,nij->nj", prior[g - 1], P[at[g - 1]]), 1)
+        prior[g] = before[g] @ A
+    for g in groups[:0:-1]:
+        after[g - 1] = _unit(np.einsum("nij,nj->ni", P[at[g]], after[g]), 1) @ A.T
+    return before, prior, after
+
+
+def expected_counts(m: Model, cls: np.ndarray, n_tokens: np.ndarray, window: int = WINDOW, block: int = BLOCK) -> np.ndarray:
+    """Baum-Welch counts of texts laid end to end: start, A, B flattened, then log likelihood and tokens."""
     K, C = m.B.shape
-    offs = np.concatenate([[0], np.cumsum(n_tokens)])
-    per = (n_tokens + WINDOW - 1) // WINDOW
-    doc = np.repeat(np.arange(len(n_tokens)), per)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-    lo = offs[doc] + k * WINDOW
-    size = np.minimum(offs[doc + 1] - lo, WINDOW)
-    order = np.argsort(-size, kind="stable")
-    lo, size, opening = lo[order], size[order], (k == 0)[order]
-    S, T = len(lo), int(size.max()) if len(size) else 0
-    out_a, out_b = np.zeros((K, K)), np.zeros((K, C))
-    start, mid = np.zeros(K), np.zeros(K)
-    if not S:
-        return np.concatenate([start, mid, out_a.ravel(), out_b.ravel()])
-    live = np.searchsorted(-size, -np.arange(1, T + 1), side="right")  # windows longer than t
-    Bt = np.ascontiguousarray(m.B.T.astype(np.float32))
-    A = m.A.astype(np.float32)
+    out_start, out_a, out_b, loglik = np.zeros(K), np.zeros((K, K)), np.zeros((K, C)), 0.0
+    n_tokens = n_tokens[n_tokens > 0]
+    if len(n_tokens):
+        offs = np.concatenate([[0], np.cumsum(n_tokens)])
+        per = (n_tokens + window - 1) // window
+        doc = np.repeat(np.arange(len(n_tokens)), per)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+        lo = offs[doc] + nth * window
+        size = np.minimum(offs[doc + 1] - lo, window)
+        last = nth == per[doc] - 1
+        Bt = np.ascontiguousarray(m.B.T.astype(np.float32))
+        A, start = m.A.astype(np.float32), m.start.astype(np.float32)
+        before, prior, after = _messages(A, Bt, start, cls, lo, size, nth, last)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // block)) + 1
+        for w in np.split(np.arange(len(lo)), cuts):
+            w = w[np.argsort(-size[w], kind="stable")]
+            loglik += _window_counts(A, Bt, cls, lo[w], size[w], before[w], prior[w], after[w], nth[w] == 0, out_start, out_a, out_b)
+    return np.concatenate([out_start, (out_a * m.A).ravel(), out_b.ravel(), [loglik, float(n_tokens.sum())]])
+
+
+def _window_counts(A, Bt, cls, lo, size, before, prior, after, opens, out_start, out_a, out_b) -> float:
+    """Adds the counts of windows (longest first) given their messages; returns their log likelihood.
+
+    The transition between two windows is counted in the second."""
+    K, T, loglik = len(A), int(size[0]), 0.0
     At = np.ascontiguousarray(A.T)
+    live = np.searchsorted(-size, -np.arange(1, T + 1), side="right")
     alphas, emis = [], []
-    a = np.where(opening[:, None], m.start, m.mid).astype(np.float32)
+    a = prior
     for t in range(T):
         n = live[t]
         e = Bt[cls[lo[:n] + t]]
         a = (a[:n] @ A if t else a[:n]) * e
-        s = np.maximum(a.sum(axis=1, keepdims=True), 1e-30)
+        s = np.maximum(a.sum(axis=1, keepdims=True), TINY)
+        loglik += float(np.log(s, dtype=np.float64).sum())
         a = a / s
         alphas.append(a)
         emis.append(e / s)
+    end = np.concatenate([alphas[t][(live[t + 1] if t + 1 < T else 0):live[t]] for t in range(T - 1, -1, -1)])
+    tail = after / np.maximum((end * after).sum(axis=1, keepdims=True), TINY)  # so that end . tail is 1
     g_all, o_all = [], []
     beta = np.ones((0, K), dtype=np.float32)
     for t in range(T - 1, -1, -1):
         n = live[t]
         if len(beta) < n:
-            beta = np.concatenate([beta, np.ones((n - len(beta), K), dtype=np.float32)])
-        g = alphas[t] * beta
-        g /= np.maximum(g.sum(axis=1, keepdims=True), 1e-30)
+            beta = np.concatenate([beta, tail[len(beta):n]])
+        g = _unit(alphas[t] * beta, 1)
         g_all.append(g)
         o_all.append(cls[lo[:n] + t])
+        eb = emis[t] * beta
         if t:
-            eb = emis[t] * beta
             out_a += alphas[t - 1][:n].T @ eb
             beta = eb @ At
         else:
-            start, mid = g[opening].sum(axis=0), g[~opening].sum(axis=0)
+            out_start += g[opens].sum(axis=0)
+            eb /= np.maximum((prior * eb).sum(axis=1, keepdims=True), TINY)
+            out_a += before[~opens].T @ eb[~opens]
     g, o = np.concatenate(g_all), np.concatenate(o_all)
     for j in range(K):
-        out_b[j] = np.bincount(o, weights=g[:, j], minlength=C)
-    return np.concatenate([start, mid, (out_a * m.A).ravel(), out_b.ravel()])
+        out_b[j] += np.bincount(o, weights=g[:, j], minlength=out_b.shape[1])
+    return loglik
 
 
 def _training(row_words, row_idx, row_held, row_n) -> tuple[np.ndarray, np.ndarray]:
@@ -235,63 +304,36 @@ def _add(t: pa.Table) -> pa.Table:
     return pa.table({"g": t.column("g")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _doc_key(ids: list) -> np.ndarray:
-    """Hash of each doc_id, 0 .. 2**63 - 1."""
-    return (mix(np.array(ids, dtype=np.int64).view(np.uint64)) >> np.uint64(1)).astype(np.int64)
-
+def _counts(src: DataFrame, m: Model, groups: int) -> np.ndarray | None:
+    """Expected counts of the slices (see ``expected_counts``), None without training tokens."""
+    rows = (src.mapInArrow(_estep(m, groups), "g long, counts binary").groupBy("g")
+            .applyInArrow(_add, "g long, counts binary").orderBy("g").collect())
+    total = sum(np.frombuffer(r["counts"]) for r in rows) if rows else np.zeros(1)
+    return total if total[-1] else None
 
-def _pick(below: int):
-    """key and classes of the slice's short training texts whose key is under ``below``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, w, i, held, n in zip(*(b.column(c) for c in ("doc_id", "words", "idx", "held", "n_tokens"))):
-                n, held, ids = _np(n).astype(np.int64), _np(held).astype(bool), ids.as_py()
-                good = [k for k in np.flatnonzero(~held & (n <= INIT_TOKENS)) if ids[k] is not None]
-                key = _doc_key([ids[k] for k in good])
-                chosen = [(x, k) for x, k in zip(key.tolist(), good) if x < below]
-                if chosen:
-                    cls = word_class(_np(w).view(np.uint64))[unpack_idx(i.as_py())].astype("<u2")
-                    offs = np.concatenate([[0], np.cumsum(n)])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x for x, _ in chosen], pa.int64()),
-                         pa.array([cls[offs[k]:offs[k + 1]].tobytes() for _, k in chosen], pa.binary())], names=["key", "cls"])
-    return run
 
-
-def starting_model(slices_: DataFrame) -> Model:
-    """Fitted on the driver to about INIT_DOCS short training texts, those with the least hashes of their ids."""
-    short = F.expr(f"aggregate(zip_with(held, n_tokens, (h, n) -> not h and n <= {INIT_TOKENS}), 0L, (a, x) -> a + int(x))")
-    n = slices_.agg(F.sum(short)).first()[0] or 0
-    below = int(min(1.0, 2.0 * INIT_DOCS / max(n, 1)) * (1 << 63)) - 1  # about twice as many as are wanted
-    rows = slices_.mapInArrow(_pick(below), "key long, cls binary").orderBy("key", "cls").limit(INIT_DOCS).collect()
-    if not rows:
+def train(slices_: DataFrame, n_class: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """``n_class``: training tokens per class."""
+    if not n_class.any():
         return Model.untrained()
-    seqs = [np.frombuffer(r["cls"], "<u2").astype(np.int64) for r in rows]
-    cls, n = np.concatenate(seqs), np.array([len(s) for s in seqs])
-    rng = np.random.default_rng(7)
-    base = np.bincount(cls, minlength=CLASSES) + 0.5
-    m = Model.untrained()
-    m.A = np.full((STATES, STATES), 0.1 / (STATES - 1)) + np.eye(STATES) * (0.9 - 0.1 / (STATES - 1))
-    m.B = base * rng.uniform(0.5, 1.5, size=(STATES, CLASSES))
-    m.B /= m.B.sum(axis=1, keepdims=True)
-    for _ in range(INIT_ROUNDS):
-        m = Model.of(expected_counts(m, cls, n))
-    return m
-
-
-def train(slices_: DataFrame, rounds: int = ROUNDS) -> Model:
-    m = starting_model(slices_)
-    src = slices_.select("words", "idx", "held", "n_tokens")
+    src = slices_.select("slice", "words", "idx", "held", "n_tokens")
     groups = int(src.rdd.getNumPartitions() ** 0.5) + 1
+    m, stats, k = Model.begin(n_class), None, 0
+    total = float(n_class.sum())
+    for part in range(PARTS):  # counts of a part stand for all tokens
+        got = _counts(src.filter(F.pmod(F.xxhash64("slice"), F.lit(PARTS)) == part), m, groups)
+        if got is not None:
+            got = got * (total / got[-1])
+            weight = (k + 2) ** -STEP if k else 1.0
+            stats, k = got if stats is None else (1 - weight) * stats + weight * got, k + 1
+            m = Model.of(stats)
+    seen = -np.inf
     for _ in range(rounds):
-        rows = (src.mapInArrow(_estep(m, groups), "g long, counts binary").groupBy("g")
-                .applyInArrow(_add, "g long, counts binary").orderBy("g").collect())
-        if not rows:
+        got = _counts(src, m, groups)
+        m, settled = Model.of(got), got[-2] / got[-1] - seen < TOL
+        if settled:
             break
-        total = sum(np.frombuffer(r["counts"]) for r in rows)
-        if not total.any():
-            return Model.untrained()
-        m = Model.of(total)
+        seen = got[-2] / got[-1]
     return m
 
 
@@ -341,21 +383,25 @@ def _scorer(m: Model, N: int, V: int, n_class: np.ndarray, v_class: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, mod: int = 7, fold: int = 2, rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: see SCORE; ``score`` and ``base_score`` are log10 probabilities."""
+def class_column(word):
+    """``word_class`` of a signed 64-bit hash column."""
+    unsigned = word.cast("decimal(20)") + F.when(word < 0, F.lit(str(1 << 64)).cast("decimal(20)")).otherwise(0)
+    return F.when(word == 0, 0).otherwise((unsigned % (CLASSES - 1)).cast("int") + 1)
+
+
+def score(docs: DataFrame, mod: int = 7, fold: int = 2, rounds: int = ROUNDS, model: Model | None = None) -> DataFrame:
+    """One row per document: see SCORE; ``score`` and ``base_score`` are log10 probabilities (of ``model``, if given)."""
     enc = materialize(encode(docs, mod, fold), "hmm-slices")
-    counts = materialize(word_counts(enc).select("slice", "i", "word", "tf", "c", "lead"), "hmm-counts")
-    cls = F.when(F.col("word") == 0, 0).otherwise(F.expr(f"cast(pmod(cast(word as decimal(20)) + if(word < 0, 18446744073709551616, 0), {CLASSES - 1}) as int) + 1"))
-    per = (counts.groupBy(cls.alias("cls")).agg(F.sum("tf").alias("n"), F.sum((F.col("lead") & (F.col("c") > 0)).cast("long")).alias("v"))
-           .collect())  # CLASSES rows
+    totals = materialize(word_totals(enc), "hmm-words")
+    per = (totals.filter("c > 0").groupBy(class_column(F.col("word")).alias("cls"))
+           .agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect())  # CLASSES rows
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in per:
         n_class[r["cls"]], v_class[r["cls"]] = r["n"], r["v"]
-    N, V = int(n_class.sum()), int(v_class.sum())
-    m = train(enc, rounds)
+    m = model or train(enc, n_class, rounds)
     return (enc.select("slice", "doc_id", "held", "n_tokens", "idx").groupBy("slice")
-            .cogroup(counts.select("slice", "i", "word", "c").groupBy("slice"))
-            .applyInArrow(_scorer(m, N, V, n_class, v_class), SCORE))
+            .cogroup(word_counts(enc, totals).groupBy("slice"))
+            .applyInArrow(_scorer(m, int(n_class.sum()), int(v_class.sum()), n_class, v_class), SCORE))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -304,7 +304,7 @@ def test_language_model_empty(none):
 
 def test_forward_is_exact_and_training_raises_likelihood():
     rng = np.random.default_rng(0)
-    m = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3))
+    m = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3))
     seqs = [rng.integers(0, 5, n) for n in (1, 4, 6)]
     got = hmm.forward(m, np.concatenate(seqs), np.array([1, 4, 6]))
     import itertools
@@ -314,18 +314,55 @@ def test_forward_is_exact_and_training_raises_likelihood():
         assert math.isclose(math.log(p), g, rel_tol=1e-9)
     long = rng.integers(0, 5, 50_000)  # no underflow
     assert np.isfinite(hmm.forward(m, long, np.array([50_000]))).all()
-    # counts of one window equal the posterior sums of all paths
-    s = seqs[2]
-    c = hmm.expected_counts(m, s, np.array([6]))
-    paths = {z: m.start[z[0]] * m.B[z[0], s[0]] * math.prod(m.A[a, b] * m.B[b, o] for a, b, o in zip(z, z[1:], s[1:]))
-             for z in itertools.product(range(3), repeat=6)}
-    total, A, B = sum(paths.values()), np.zeros((3, 3)), np.zeros((3, 5))
-    for z, p in paths.items():
-        for a, b in zip(z, z[1:]):
-            A[a, b] += p / total
-        for a, o in zip(z, s):
-            B[a, o] += p / total
-    assert np.allclose(c[6:15].reshape(3, 3), A, atol=1e-4) and np.allclose(c[15:].reshape(3, 5), B, atol=1e-4)
+    # counts equal the posterior sums of all paths, however a text is cut into windows
+    for window, block in ((6, 100), (4, 100), (2, 100), (2, 3), (1, 1)):
+        start, A, B, lik = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5)), 0.0
+        for s in seqs:
+            paths = {z: m.start[z[0]] * m.B[z[0], s[0]] * math.prod(m.A[a, b] * m.B[b, o] for a, b, o in zip(z, z[1:], s[1:]))
+                     for z in itertools.product(range(3), repeat=len(s))}
+            total = sum(paths.values())
+            lik += math.log(total)
+            for z, p in paths.items():
+                start[z[0]] += p / total
+                for a, b in zip(z, z[1:]):
+                    A[a, b] += p / total
+                for a, o in zip(z, s):
+                    B[a, o] += p / total
+        c = hmm.expected_counts(m, np.concatenate(seqs), np.array([1, 4, 6]), window, block)
+        assert np.allclose(c, np.concatenate([start, A.ravel(), B.ravel(), [lik, 11]]), atol=1e-4)
+
+
+def test_language_model_score(spark, odd, odd_rows):
+    """Scores of a given model equal plain Python over whole texts; words without training count included."""
+    from lensmap.llm.textscan import span_hash
+    rng = np.random.default_rng(3)
+    k, classes = hmm.STATES, hmm.CLASSES
+    m = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(classes), k))
+    tok = lambda t: [*(t or "").encode().translate(LOW).split(), None]
+    held = lambda i: i is not None and crc(i) % 7 == 2
+
+    def cls(w):
+        buf = np.frombuffer(w or b"", np.uint8)
+        return 0 if w is None else max(int(span_hash(buf, np.array([0]), np.array([len(buf)]))[0]), 1) % (classes - 1) + 1
+
+    c = Counter(w for r in odd_rows if not held(r[0]) for w in tok(r[1]))
+    n_class, v_class = Counter(), Counter()
+    for w, x in c.items():
+        n_class[cls(w)] += x
+        v_class[cls(w)] += 1
+
+    def plain(t):
+        out, a = 0.0, None
+        for w in tok(t):
+            j = cls(w)
+            a = (m.start if a is None else a @ m.A) * m.B[:, j]
+            lex = 1.0 if w is None else (c[w] + 1) / (n_class[j] + v_class[j] + 1)
+            out += math.log10(a.sum()) + math.log10(lex)
+            a = a / a.sum()
+        return round(out, 5)
+
+    want = Counter((r[0], plain(r[1])) for r in odd_rows)
+    assert Counter((r.doc_id, round(r.score, 5)) for r in hmm.score(odd, model=m).collect()) == want
 
 
 def test_pipeline(spark, odd, tmp_path):
