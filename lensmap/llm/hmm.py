@@ -24,8 +24,8 @@ stays a distributed table.
    counted, so the counts are those of the uncut text.  Expected counts are summed
    inside each partition, then over groups of partitions; the driver sees a bounded
    number of states x classes tables.  The start is the training texts' class counts,
-   unevenly shared among the states.  The first pass takes the slices in ``PARTS``
-   hashed parts and re-estimates after each (stepwise EM); then rounds over all
+   unevenly shared among the states.  ``PASSES`` passes take the slices in ``PARTS``
+   hashed parts and re-estimate after each (stepwise EM); then rounds over all
    slices run until the likelihood of a token settles (``TOL``) or ``ROUNDS`` are done.
 4. ``score``: the scaled forward recursion runs over whole texts, from first word
    to end, so the log probability is exact under the model.
@@ -55,10 +55,13 @@ STATES = 8
 CLASSES = 2048      # class 0 is the end token
 WINDOW = 512        # tokens of a window
 BLOCK = 400_000     # tokens whose messages are held at once (a window at least)
-PARTS = 8           # parts of the stepwise pass
+PARTS = 8           # parts of a stepwise pass
+PASSES = 2          # stepwise passes
 STEP = 0.7          # part k's counts enter with weight (k + 2) ** -STEP
 ROUNDS = 6          # Baum-Welch rounds over all training texts at most
-TOL = 0.002         # nats of a token's likelihood under which it has settled
+FLOOR = 1e-4        # share of a distribution that is spread over everything
+SCALE = 4           # steps between two scalings of a message
+TOL = 0.01          # nats of a token's likelihood under which it has settled
 END = np.uint64(0)  # hash of the end token (word hashes of 0 are moved to 1)
 
 SLICE = ("slice long, doc_id array<long>, held array<boolean>, n_tokens array<int>, words array<long>, "
@@ -137,7 +140,7 @@ def word_totals(slices_: DataFrame) -> DataFrame:
 
 def word_counts(slices_: DataFrame, totals: DataFrame) -> DataFrame:
     """slice, i (index of the word in its slice), word, c."""
-    return _word_rows(slices_).select("slice", "i", "word").join(totals, "word").select("slice", "i", "word", "c")
+    return _word_rows(slices_).select("slice", "i", "word").join(totals.hint("shuffle_hash"), "word").select("slice", "i", "word", "c")
 
 
 class Model:
@@ -159,13 +162,13 @@ class Model:
 
     @classmethod
     def of(cls, counts: np.ndarray, k: int = STATES, classes: int = CLASSES):
-        """Maximisation step, with a little mass on everything."""
+        """Maximisation step; every state and class keeps a share of ``FLOOR`` at least, whatever the corpus' size."""
         start, A = counts[:k], counts[k:k + k * k].reshape(k, k)
         B = counts[k + k * k:k + k * k + k * classes].reshape(k, classes)
         every = B.sum(axis=0) + 1.0
         B = B + every / every.sum() * 10.0
-        norm = lambda x: x / x.sum(axis=-1, keepdims=True)
-        return cls(norm(start + 0.1), norm(A + 0.1), norm(B))
+        norm = lambda x, low: (1 - FLOOR) * x / x.sum(axis=-1, keepdims=True) + FLOOR * low
+        return cls(norm(start + 0.1, 1 / k), norm(A + 0.1, 1 / k), norm(B, every / every.sum()))
 
 
 TINY = np.float32(1e-30)
@@ -188,11 +191,10 @@ def _messages(A, Bt, start, cls, lo, size, nth, last) -> tuple[np.ndarray, np.nd
     live = np.searchsorted(-size[full], -np.arange(1, int(size[full[0]]) + 1), side="right")
     P = np.tile(np.eye(K, dtype=np.float32), (len(full), 1, 1))
     for t, n in enumerate(live.tolist()):
-        e = Bt[cls[lo[full[:n]] + t]]
-        e = e / np.maximum(e.max(axis=1, keepdims=True), TINY)
         Q = (P[:n].reshape(-1, K) @ A).reshape(n, K, K) if t else P[:n]
-        Q = Q * e[:, None, :]
-        P[:n] = Q / np.maximum(Q.max(axis=(1, 2), keepdims=True), TINY) if t % 4 == 3 else Q
+        np.multiply(Q, Bt[cls[lo[full[:n]] + t]][:, None, :], out=P[:n])
+        if t % SCALE == SCALE - 1:
+            P[:n] /= np.maximum(P[:n].max(axis=(1, 2), keepdims=True), TINY)
     P /= np.maximum(P.max(axis=(1, 2), keepdims=True), TINY)
     at = np.empty(S, dtype=np.int64)
     at[full] = np.arange(len(full))
@@ -220,56 +222,60 @@ def expected_counts(m: Model, cls: np.ndarray, n_tokens: np.ndarray, window: int
         lo = offs[doc] + nth * window
         size = np.minimum(offs[doc + 1] - lo, window)
         last = nth == per[doc] - 1
-        Bt = np.ascontiguousarray(m.B.T.astype(np.float32))
+        mean = m.B.mean(axis=0)  # emissions are used as ratios to it, so that messages need scaling now and then only
+        Bt = np.ascontiguousarray((m.B / mean).T.astype(np.float32))
+        loglik = float(np.bincount(cls, minlength=C) @ np.log(mean))
         A, start = m.A.astype(np.float32), m.start.astype(np.float32)
         before, prior, after = _messages(A, Bt, start, cls, lo, size, nth, last)
         cuts = np.flatnonzero(np.diff(np.cumsum(size) // block)) + 1
         for w in np.split(np.arange(len(lo)), cuts):
             w = w[np.argsort(-size[w], kind="stable")]
-            loglik += _window_counts(A, Bt, cls, lo[w], size[w], before[w], prior[w], after[w], nth[w] == 0, out_start, out_a, out_b)
+            loglik += _window_counts(A, Bt, cls, lo[w], size[w], before[w], prior[w], after[w], out_start, out_a, out_b)
     return np.concatenate([out_start, (out_a * m.A).ravel(), out_b.ravel(), [loglik, float(n_tokens.sum())]])
 
 
-def _window_counts(A, Bt, cls, lo, size, before, prior, after, opens, out_start, out_a, out_b) -> float:
+def _window_counts(A, Bt, cls, lo, size, before, prior, after, out_start, out_a, out_b) -> float:
     """Adds the counts of windows (longest first) given their messages; returns their log likelihood.
 
     The transition between two windows is counted in the second."""
     K, T, loglik = len(A), int(size[0]), 0.0
     At = np.ascontiguousarray(A.T)
-    live = np.searchsorted(-size, -np.arange(1, T + 1), side="right")
-    alphas, emis = [], []
+    live = np.searchsorted(-size, -np.arange(1, T + 1), side="right").tolist()
+    alphas, emis, seen = [], [], []
     a = prior
-    for t in range(T):
-        n = live[t]
-        e = Bt[cls[lo[:n] + t]]
+    for t, n in enumerate(live):
+        o = cls[lo[:n] + t]
+        e = Bt[o]
         a = (a[:n] @ A if t else a[:n]) * e
-        s = np.maximum(a.sum(axis=1, keepdims=True), TINY)
-        loglik += float(np.log(s, dtype=np.float64).sum())
-        a = a / s
+        if t % SCALE == SCALE - 1:
+            s = np.maximum(a.sum(axis=1, keepdims=True), TINY)
+            loglik += float(np.log(s).sum(dtype=np.float64))
+            a /= s
+            e /= s
         alphas.append(a)
-        emis.append(e / s)
+        emis.append(e)
+        seen.append(o)
     end = np.concatenate([alphas[t][(live[t + 1] if t + 1 < T else 0):live[t]] for t in range(T - 1, -1, -1)])
-    tail = after / np.maximum((end * after).sum(axis=1, keepdims=True), TINY)  # so that end . tail is 1
-    g_all, o_all = [], []
-    beta = np.ones((0, K), dtype=np.float32)
+    loglik += float(np.log(np.maximum(end.sum(axis=1), TINY)).sum(dtype=np.float64))
+    tail = after / np.maximum((end * after).sum(axis=1, keepdims=True), TINY)  # so that forward . backward is 1 everywhere
+    beta = tail[:0]
     for t in range(T - 1, -1, -1):
         n = live[t]
         if len(beta) < n:
             beta = np.concatenate([beta, tail[len(beta):n]])
-        g = _unit(alphas[t] * beta, 1)
-        g_all.append(g)
-        o_all.append(cls[lo[:n] + t])
         eb = emis[t] * beta
         if t:
             out_a += alphas[t - 1][:n].T @ eb
-            beta = eb @ At
         else:
-            out_start += g[opens].sum(axis=0)
-            eb /= np.maximum((prior * eb).sum(axis=1, keepdims=True), TINY)
-            out_a += before[~opens].T @ eb[~opens]
-    g, o = np.concatenate(g_all), np.concatenate(o_all)
+            inner = before.any(axis=1)
+            first = eb / np.maximum((prior * eb).sum(axis=1, keepdims=True), TINY)
+            out_start += (prior * first)[~inner].sum(axis=0)
+            out_a += before[inner].T @ first[inner]
+        np.multiply(alphas[t], beta, out=emis[t])
+        beta = eb @ At
+    g, o = np.concatenate(emis).T.astype(np.float64, order="C"), np.concatenate(seen)
     for j in range(K):
-        out_b[j] += np.bincount(o, weights=g[:, j], minlength=out_b.shape[1])
+        out_b[j] += np.bincount(o, weights=g[j], minlength=out_b.shape[1])
     return loglik
 
 
@@ -320,7 +326,7 @@ def train(slices_: DataFrame, n_class: np.ndarray, rounds: int = ROUNDS) -> Mode
     groups = int(src.rdd.getNumPartitions() ** 0.5) + 1
     m, stats, k = Model.begin(n_class), None, 0
     total = float(n_class.sum())
-    for part in range(PARTS):  # counts of a part stand for all tokens
+    for part in [*range(PARTS)] * PASSES:  # counts of a part stand for all tokens
         got = _counts(src.filter(F.pmod(F.xxhash64("slice"), F.lit(PARTS)) == part), m, groups)
         if got is not None:
             got = got * (total / got[-1])
@@ -343,14 +349,19 @@ def forward(m: Model, cls: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
     order = np.argsort(-n_tokens, kind="stable")
     lo, size = offs[order], n_tokens[order]
     live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right").tolist() if len(size) else []
-    Bt = np.ascontiguousarray(m.B.T)
-    out = np.zeros(len(size))
+    mean = m.B.mean(axis=0)  # as in expected_counts
+    Bt = np.ascontiguousarray((m.B / mean).T)
+    out = np.add.reduceat(np.log(mean)[cls], offs)[order] if len(size) else np.zeros(0)
     a = np.tile(m.start, (len(size), 1))
     for t, n in enumerate(live):
+        if len(a) > n:  # texts that ended
+            out[n:len(a)] += np.log(a[n:].sum(axis=1))
         a = (a[:n] @ m.A if t else a[:n]) * Bt[cls[lo[:n] + t]]
-        s = a.sum(axis=1)
-        a /= s[:, None]
-        out[:n] += np.log(s)
+        if t % SCALE == SCALE - 1:
+            s = a.sum(axis=1)
+            a /= s[:, None]
+            out[:n] += np.log(s)
+    out[:len(a)] += np.log(a.sum(axis=1))
     back = np.empty(len(size))
     back[order] = out
     return back
