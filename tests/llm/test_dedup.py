@@ -45,6 +45,21 @@ def test_long_text_repeats_itself_across_pieces(spark, hot, monkeypatch):
     assert got[0][1] >= 2 * len(s)
 
 
+def test_frequent_key_inside_one_text_is_split(spark, monkeypatch):
+    """A string that stands often in one text only, each time in another context, goes to the finer levels."""
+    rng = np.random.default_rng(5)
+    some = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    s = some(230)
+    texts = ["".join(s + some(60) for _ in range(60)), some(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    levels = lambda: [level for _, level in suffix_repeats._levels(suffix_repeats._texts(docs, 200), 200)]
+    assert levels() == [0]
+    monkeypatch.setattr(suffix_repeats, "HOT", 50)
+    assert levels() == [0, 1, 2]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_repeats.remove_repeats(docs).collect()}
+    assert got == dict(enumerate(repeats(texts)))
+
+
 def test_repeat_groups_hold_all_occurrences(spark):
     s = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(230))
     texts = ["A" + s + "1", "B" + s + "2", "C" + s + "3" + "x" * 50]
