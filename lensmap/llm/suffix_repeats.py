@@ -21,8 +21,8 @@ neighbours.  Runs of suffixes whose left bytes all agree hold no maximal repeat
 and are skipped at once.  The union of the maximal repeats' occurrences is the
 union of all repeated windows.
 
-Hot buckets.  A bucket found in more than HOT places, of one text or many, is
-not gathered: its contexts are cut into pieces of 8 windows, keyed by the bytes all 8 share, and
+Hot buckets.  A bucket found in more than HOT texts, or more than HOT times in
+a text (or a piece of a long one), is not gathered: its contexts are cut into pieces of 8 windows, keyed by the bytes all 8 share, and
 buckets still as large into single windows, whose buckets hold one distinct
 string each.  Nothing is capped; every level is exact.
 
@@ -51,7 +51,7 @@ from lensmap.session import materialize
 GRAM = 48
 PIECE = 2 << 20
 WIDTHS = (1 << 30, 8, 1)   # windows per key at each level
-HOT = 3000                 # places per key that one task gathers
+HOT = 3000                 # texts with a key, or its places in one text, that one task gathers
 BATCH = 3 << 20            # bytes of contexts under one suffix array
 KEYS = "key long, t long, piece long, n int"
 
@@ -386,10 +386,10 @@ def _levels(texts: DataFrame, length: int) -> Iterator[tuple[DataFrame, int]]:
     cand, keys = None, materialize(texts.mapInArrow(_keys(length, 0), KEYS), "repeat-keys")
     for level in range(len(WIDTHS)):
         many = F.lit(False) if level == len(WIDTHS) - 1 else F.col("places") > HOT
-        # equal texts repeat their rows, so the sum is a bound only; two pieces of one text are two places
+        # equal texts repeat their rows, so n is not summed; two pieces of one text are two places
         again = (keys.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("z"), F.max("n").alias("n"),
                                          F.min("piece").alias("p"), F.max("piece").alias("q"),
-                                         F.sum("n").alias("places"))
+                                         F.greatest(F.count("*"), F.max("n")).alias("places"))
                  .filter("a <> z or n > 1 or p <> q").select("key", many.alias("many")))
         again = materialize(again, "repeat-again")  # so that the join's sides are plain, and a frequent key can be split
         mine = (keys.join(again, "key").groupBy("t").agg(
