@@ -128,3 +128,33 @@ def test_partial_probe_query_reaches_the_recall(spark, sf):
     exact, some = rows("V11_ivf_search"), rows("V11_ivf_partial_probe")
     recall = len(exact & some) / len(exact)
     assert recall >= 0.9
+
+
+def test_a_query_is_sent_once_to_a_block_of_cells():
+    """Probes grow with the blocks, not with the cells: one row a query and block, with bits for its cells."""
+    import pyarrow as pa
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(64, 8))
+    made = cells.Cells("L2", centers, np.full(64, 10), np.full(64, 100.0))     # no bound rules a cell out
+    layout = cells._layout(made, 160)                                         # 16 cells a block
+    assert layout.first.tolist() == [0, 16, 32, 48] and layout.place[17] == 1
+    q = rng.normal(size=(500, 8)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(q.tolist(), pa.list_(pa.float32())),
+                                        pa.array([None] * 500, pa.float64())], names=["_qk", "vector", "bound"])
+    first = pa.Table.from_batches(cells._probes(made, layout, 5, 8)([batch]))
+    rest = pa.Table.from_batches(cells._probes(made, layout, 5, 8, rest=True)([batch]))
+    assert len(rest) == 4 * 500 and set(zip(rest["_qk"].to_pylist(), rest["block"].to_pylist())) == {(i, b) for i in range(500) for b in range(4)}
+    assert sum(first["n"].to_pylist()) + sum(rest["n"].to_pylist()) == 500 * 640
+    bits = sum(np.unpackbits(np.frombuffer(x, np.uint8)).sum() for t in (first, rest) for x in t["want"].to_pylist())
+    assert bits == 500 * 64
+
+
+def test_large_cells_and_many_queries_make_bounded_groups(spark):
+    """A cell above the block size is cut, blocks of many queries too: same hits, repeated ids kept."""
+    rng = np.random.default_rng(7)
+    c = np.concatenate([np.full((150, 4), 1.0), rng.normal(size=(100, 4))]).astype(np.float32)
+    cdf = frame(spark, c).withColumn("id", F.when(F.col("id") < "c00010", F.lit("same")).otherwise(F.col("id")))
+    qdf = frame(spark, c[::5], "q", "query_id")
+    index = ivf.build_ivf(cdf, nlist=8, metric="L2")
+    got = hits(ivf.ivf_search(qdf, index, k=12, block=30, query_block=7))
+    assert got == hits(knn.knn_join(qdf, cdf, k=12, metric="L2"))

@@ -190,3 +190,42 @@ def test_arrays_threshold_both_paths_and_key_name(spark):
     assert a == b and any(len(v) < 6 for v in a.values())
     with pytest.raises(ValueError):
         knn.knn_join(qdf.withColumnRenamed("query_id", "id"), cdf, query_id="id")
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "L2", "IP"])
+def test_score_block_against_some_parts(metric):
+    """Each query meets the parts it wants and no others; ties go by row, also across parts."""
+    rng = np.random.default_rng(12)
+    mat = rng.normal(size=(400, 6)).astype(np.float32)
+    mat[200:260] = mat[0]
+    m64 = mat.astype(np.float64)
+    norms = (m64 * m64).sum(1) if metric == "L2" else np.sqrt((m64 * m64).sum(1))
+    m = knn._matrix(None, mat, norms, {})
+    part = rng.integers(0, 9, 400)
+    want = rng.random((50, 9)) < 0.4
+    want[0], want[1] = False, True
+    q = np.concatenate([rng.normal(size=(49, 6)), m64[:1]])
+    key, idx = knn.score_block(q, m, metric, 7, 64, knn.Parts(part, want))
+    full, rows = knn._score_block_f64(q, m, metric, 400, 64)
+    for i in range(50):
+        keep = want[i][part[rows[i]]]
+        right = rows[i][keep][:7]
+        found = idx[i][np.isfinite(key[i])]
+        assert found.tolist() == right.tolist()
+        assert np.allclose(key[i][:len(right)], full[i][keep][:7])
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "L2", "IP"])
+def test_scoring_holds_a_bounded_part_of_the_scores(metric):
+    """Neither the scores of a block nor a float64 copy of all candidates is ever held whole."""
+    import tracemalloc
+    rng = np.random.default_rng(13)
+    mat = rng.normal(size=(120_000, 16)).astype(np.float32)
+    lengths = knn._lengths(mat)
+    m = knn._matrix(None, mat, lengths * lengths if metric == "L2" else lengths, {})
+    q = rng.normal(size=(600, 16))
+    tracemalloc.start()
+    knn.score_block(q, m, metric, 5, 16384)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < mat.nbytes * 1.1 + 24 * knn.BLOCK_SCORES
