@@ -1083,7 +1083,7 @@ def s1_json_lines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON lines (one record per line, splittable, in
     doc_id order over the files) and read back with their positions."""
     out = scratch(spark, "jsonl")
-    (load(spark, sf_dir, "documents").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+    (load(spark, sf_dir, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
      .write.json(out))
     rec, _ = json_dir.scan_json_lines(spark, out)
     g = lambda k, t: F.try_variant_get("item", f"$.{k}", t).alias(k)
@@ -1099,15 +1099,16 @@ SELECT line, 'invalid JSON line' AS error FROM n WHERE bad = 1""")
 def s2_bad_line_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as JSON lines of one file in doc_id order, some followed by
     their raw text's first line or by a blank line: the report names the lines
-    that do not parse by their place in the file."""
+    that do not parse by their place in the file.  The file is written in parts,
+    one a task, and its lines are counted through them."""
     out = scratch(spark, "badlines")
     d = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     lines = (d.select("doc_id", F.lit(0).alias("bad"), F.to_json(F.struct("doc_id", "text")).alias("value"))
              .unionByName(d.where(F.col("text").contains(" the ")).select(
                  "doc_id", F.lit(1).alias("bad"), F.concat(F.lit("not JSON: "), F.substring_index("text", "\n", 1)).alias("value")))
              .unionByName(d.where("lang = 'de'").select("doc_id", F.lit(2).alias("bad"), F.lit("  ").alias("value"))))
-    lines.coalesce(1).sortWithinPartitions("doc_id", "bad").select("value").write.text(out)
-    _, bad = json_dir.scan_json_lines(spark, out, glob="*.txt")
+    lines.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "bad").select("value").write.text(out)
+    _, bad = json_dir.scan_json_lines(spark, out, glob="*.txt", parts=True)
     return bad.select("line", "error")
 
 

@@ -121,11 +121,14 @@ def _lines(spark: SparkSession, directory: str, glob: str = "*.json*") -> DataFr
             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"), "value"))
 
 
-def scan_json_lines(spark: SparkSession, directory: str, glob: str = "*.json*") -> tuple[DataFrame, DataFrame]:
+def scan_json_lines(spark: SparkSession, directory: str, glob: str = "*.json*",
+                    parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """Splittable variant for very large inputs, one JSON record per line: (records, bad lines).
 
     Blank lines are skipped; lines that do not parse are reported as (file,
-    line, error), lines counted from 1 in their file, blank ones included.
+    line, error), lines counted from 1 in their file, blank ones included; with
+    ``parts`` the files are parts of one file, which Spark writes and reads by
+    many tasks, and lines are counted through all of them in name order.
     gpos is the position among the records in the order of file name and line.
     The input is read once: records, line numbers and positions come from one
     written table (``number_rows``).
@@ -133,7 +136,7 @@ def scan_json_lines(spark: SparkSession, directory: str, glob: str = "*.json*")
     blank = F.trim("value") == ""
     parsed = _lines(spark, directory, glob).select("file", "blk", blank.alias("blank"), F.try_parse_json("value").alias("item"))
     ok = ~F.col("blank") & F.col("item").isNotNull()
-    rows = number_rows(parsed, ["file", "blk"], {"line": F.lit(True), "gpos": ok}, within={"line": ["file"]})
+    rows = number_rows(parsed, ["file", "blk"], {"line": F.lit(True), "gpos": ok}, within={"line": [] if parts else ["file"]})
     bad = rows.where(~F.col("blank") & F.col("item").isNull()).select(
         "file", (F.col("line") + 1).alias("line"), F.lit("invalid JSON line").alias("error"))
     return rows.where(F.col("gpos").isNotNull()).select("file", F.lit(0).alias("pos"), "item", "gpos"), bad

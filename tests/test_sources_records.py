@@ -155,3 +155,39 @@ def test_strict_json_and_dispatch(spark, tmp_path):
         R.build_dictionary("other", strict_rec, HashEmbedder(dim=4))
     empty = spark.createDataFrame([], json_dir.RECORD_SCHEMA)
     assert R.build_dictionary("knowledge", empty, HashEmbedder(dim=4)).entities.count() == 0
+
+
+def test_json_lines_of_one_file_in_parts(spark, tmp_path):
+    """Lines and positions count through the parts, blank lines and an empty part included."""
+    d = tmp_path / "parts"
+    write(d, "part-0.json", '{"a": 1}\n\nnot json\n', raw=True)
+    write(d, "part-1.json", '', raw=True)
+    write(d, "part-2.json", 'bad\n{"a": 2}\nworse\n', raw=True)
+    rec, bad = json_dir.scan_json_lines(spark, str(d), parts=True)
+    assert sorted(r.line for r in bad.collect()) == [3, 4, 6]
+    assert sorted((r.gpos, r.a) for r in rec.select("gpos", F.try_variant_get("item", "$.a", "int").alias("a")).collect()) == [(0, 1), (1, 2)]
+    _, per_file = json_dir.scan_json_lines(spark, str(d))
+    assert sorted(r.line for r in per_file.collect()) == [1, 3, 3]
+
+
+def _tables(spark, path, docs, pages=()):
+    spark.createDataFrame([(i, t, "en", "s", 0 if t is None else len(t)) for i, t in docs],
+                          "doc_id long, text string, lang string, source string, n_chars int").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string").coalesce(1) \
+        .write.parquet(f"{path}/pages.parquet")
+
+
+def test_bad_line_report_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Every task writes its part of the file; lines are those of the whole."""
+    from lensmap.plans import catalog
+    _tables(spark, tmp_path / "t", [(i, f"on the way {i}" if i % 3 == 0 else f"text {i}") for i in range(900)])
+    out = tmp_path / "written"
+    monkeypatch.setattr(catalog, "scratch", lambda s, what: str(out))
+    keep = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(r.line for r in catalog.QUERIES["S2_bad_line_report"](spark, str(tmp_path / "t")).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", keep)
+    assert got == [i + i // 3 + 2 for i in range(0, 900, 3)]
+    assert len(list(out.glob("part-*.txt"))) > 1
