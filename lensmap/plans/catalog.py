@@ -415,6 +415,18 @@ def s8_cache_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 # JSON directory scan (S1, S2, T6) and entity sinks
 # ---------------------------------------------------------------------------
 
+# Files that one task writes, at most: they grow with the input, and file names
+# have three digits for a task's files, so that more of them leave the name order.
+FILES_PER_TASK = 500
+
+
+def _write_files(values: DataFrame, out: str) -> None:
+    """One text file per row.  Tasks move their own files into place; by default
+    the driver moves all of them, one after the other."""
+    (values.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+     .mode("append").text(out))
+
+
 def _docs_as_json_dir(spark: SparkSession, sf_dir: str) -> str:
     """Write documents as JSON-array files (50 records each), in doc_id order by
     file name and inside the files, and return the folder."""
@@ -423,8 +435,10 @@ def _docs_as_json_dir(spark: SparkSession, sf_dir: str) -> str:
     packed = (d.groupBy(F.floor(F.col("doc_id") / 50).alias("f"))
               .agg(F.to_json(F.array_sort(F.collect_list(F.struct("doc_id", "text", "lang", "source",
                                                                   "n_chars")))).alias("value")))
-    packed = packed.repartitionByRange(8, "f").sortWithinPartitions("f")
-    packed.select("value").write.option("maxRecordsPerFile", 1).text(out)
+    n = d.agg(F.count_distinct(F.floor(F.col("doc_id") / 50))).first()[0] + 1
+    # Ranges come from a sample: twice the tasks, so that none exceeds FILES_PER_TASK by much.
+    packed = packed.repartitionByRange(max(8, -(-2 * n // FILES_PER_TASK)), "f").sortWithinPartitions("f")
+    _write_files(packed.select("value"), out)
     return out
 
 
@@ -451,8 +465,9 @@ def s2_bad_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw page HTML written as one file per page next to the valid JSON
     files: the HTML files are reported (and skipped), grouped by error."""
     out = _docs_as_json_dir(spark, sf_dir)
-    load(spark, sf_dir, "pages").select("html").write.option("maxRecordsPerFile", 1) \
-        .mode("append").text(out)
+    pages = load(spark, sf_dir, "pages").select("html")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-pages.count() // FILES_PER_TASK))
+    _write_files(pages.repartition(tasks), out)
     files = json_dir.read_json_files(spark, out, glob="*.txt")
     return json_dir.bad_files(files).groupBy("error").agg(F.count(F.lit(1)).alias("n_files"))
 

@@ -191,3 +191,16 @@ def test_bad_line_report_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", keep)
     assert got == [i + i // 3 + 2 for i in range(0, 900, 3)]
     assert len(list(out.glob("part-*.txt"))) > 1
+
+
+def test_json_files_of_a_task_stay_in_name_order(spark, tmp_path, monkeypatch):
+    """Tasks grow with the files, so positions in name order are those of the documents."""
+    from lensmap.plans import catalog
+    monkeypatch.setattr(catalog, "FILES_PER_TASK", 4)
+    _tables(spark, tmp_path / "t", [(i, f"text {i}") for i in range(3000)], [(i, "<p>") for i in range(30)])
+    out = tmp_path / "written"
+    monkeypatch.setattr(catalog, "scratch", lambda s, what: str(out))
+    rows = catalog.QUERIES["T6_default_id"](spark, str(tmp_path / "t")).collect()
+    assert sorted((r.doc_id, r.id) for r in rows) == [(i, f"record_{i}") for i in range(3000)]
+    names = sorted(p.name for p in out.glob("part-*.txt"))
+    assert len(names) == 60 and len({n.split("-")[1] for n in names}) > 8
