@@ -63,6 +63,7 @@ COMMON = 1 << 20   # shingles put last in order 1: 8 MB at most
 ROUNDS = 6         # of trying other components before their pairs are listed
 TRIES = 8          # classes tried by a class in such a round
 OFTEN = 16         # and found in more texts than this
+SCAN_BYTES = 1 << 19  # of text hashed at once; its arrays take some forty times that
 SEEDS = (0x51ED270B0B5D1A77, 0xC2B2AE3D27D4EB4F)  # of orders 2 and 3; order 1 is that of the hashes
 
 
@@ -118,7 +119,7 @@ def _scan(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a class counts once in a task
         front: list[np.ndarray] = []
-        for b in slices(batches, max_bytes=2 << 20):
+        for b in slices(batches, max_bytes=SCAN_BYTES):
             h, offs = shingle_sets(b.column("text"), k)
             n = np.diff(offs)
             ids = _class_ids(h, offs).view(np.int64)
@@ -146,7 +147,7 @@ def _prefixes(k: int, num: int, den: int, last: np.ndarray):
     last), and how many of them it must share with others to have a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task gives the keys of a class once
-        for b in slices(batches, max_bytes=2 << 20):
+        for b in slices(batches, max_bytes=SCAN_BYTES):
             h, offs = shingle_sets(b.column("text"), k)
             n = np.diff(offs)
             ids = _class_ids(h, offs).view(np.int64)
@@ -165,7 +166,7 @@ def _prefixes(k: int, num: int, den: int, last: np.ndarray):
 
 def _sets(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, max_bytes=2 << 20):
+        for b in slices(batches, max_bytes=SCAN_BYTES):
             h, offs = shingle_sets(b.column("text"), k)
             n = np.diff(offs)
             p = prefix_len(n, num, den)

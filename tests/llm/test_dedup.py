@@ -142,3 +142,26 @@ def test_chain_of_links_is_one_component(spark):
     groups = jaccard_groups(texts, 3, 90)
     for i, g in enumerate(groups):
         assert got[100 - i] == min(100 - k for k, x in enumerate(groups) if x == g)
+
+
+def test_jaccard_scans_hold_a_slice_of_a_batch():
+    """The arrays of a scan belong to one small slice of its batch, and slices change no row."""
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    words = np.array([f"w{i:05d}" for i in range(3000)])
+    texts = [" ".join(words[rng.integers(0, 3000, 400)]) for _ in range(2000)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(range(2000), pa.int64()), pa.array(texts)],
+                                   names=["doc_id", "t", "text"])
+    scans = jaccard_join._prefixes(5, 80, 100, np.zeros(0, np.uint64)), jaccard_join._sets(5, 80, 100)
+    for scan in scans:
+        whole = pa.Table.from_batches(scan([b]))
+        parts = pa.Table.from_batches(scan(b.slice(i, 50) for i in range(0, 2000, 50)))
+        assert whole.combine_chunks().equals(parts.combine_chunks())
+        tracemalloc.start()
+        for _ in scan([b]):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 25 << 20
