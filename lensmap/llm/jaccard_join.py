@@ -1,36 +1,33 @@
-"""N-gram Jaccard join with prefix filters under several global orders.
+"""N-gram Jaccard join by prefix filters over partition signatures.
 
 Texts are sets of ``k``-word shingles (64-bit hashes); two link when their
-Jaccard similarity is at least ``num / den``.  Under any global order of the
-shingles, two linked sets share one of their first n - ceil(n num / den) + 1.
-Three orders are used.  Orders 2 and 3 are those of differently seeded hashes.
-Order 1 puts shingles that many texts have last, and is else the order of the
-hash: a first pass counts, task by task, the shingles near the front of the hash
-order, and the most frequent (at most COMMON of them, broadcast) are the ones
-put last.  Which are chosen decides how many candidates there are, never which
+Jaccard similarity is at least ``num / den``.  Equal sets are one class.
+
+Keys.  Two linked sets of known sizes differ in at most D shingles, so of P
+parts of the hash space at least P - D have the same content in both.  Those
+contents are put in a global order (rich in uncommon shingles first, empty ones
+last), and a set's first D + 1 of them are its keys: linked sets share one
+(prefix filter).  A key stands for several shingles, so texts that share a few
+stock phrases do not meet.  P and the hash seed belong to a size class, and a
+set has keys for its own class and, if it may link with a smaller set of the
+class below, for that one.  A set with content in D parts or fewer (only such
+sets can have nothing but empty parts in common) has the shingles of its plain
+prefix as keys, too.  Shingles that many texts have ("common") are those that a
+first pass counts most often near the front of the hash order (at most COMMON,
+broadcast).  Which they are decides how many candidates there are, never which
 links are found.
 
-1. Equal sets are one class.  Each class's prefix under order 1, lengthened by
-   a third, becomes key rows; keys with two classes or more make candidates.  In
-   the lengthened prefix a linked pair shares not one but some quarter of the
-   shingles (``shared_least``), so a class with fewer shared keys has no link
-   and is done with.
-2. Candidates must also share prefix shingles under orders 2 and 3, and under
-   each of them the part of both sets below the nearer prefix end may differ by
-   no more shingles than linked sets can.  What is left is verified on the
-   whole sets.
-
 Candidates without all pairs.  What counts is the component.  First every class
-is paired with one hub (the most central class of a key, the one whose keys
+is compared with one hub (the most central class of a key, the one whose keys
 others share most - of the hubs the one it shares most keys with); links found
-join into components.  Then only keys that still hold
-more than one component are looked at: pairs of different components for keys
-of up to SMALL classes.  The classes of larger keys (a passage that very many
-texts share) are joined by partition signatures: linked sets differ in at most
-D shingles, so of D + 1 parts of the hash space one is the same in both, and its
-content (some nine shingles) is the key.  There a class first tries a few classes
-of other components, round by round; what is then left in different components
-is compared pair by pair.  No level drops a pair that may link.
+join into components.  Then only keys that still hold more than one component
+are looked at.  Their classes meet in blocks of at most BLOCK of a key (two
+blocks at a time, so memory is bounded however large the key) with sketches:
+the parities of the shingles hashed to some n bits, whose distance is at most
+that of the sets.  Pairs of different components whose sketches are near enough
+are verified on the whole sets - for ROUNDS rounds only TRIES of a class in a
+block, as links found spare the others, then all.  No level drops a pair that
+may link.
 
 Every key's share of the rows is small (a class has one row a key, and a task
 gives a class's keys once however often the class is repeated); components are found by alternating large-star and small-star
@@ -58,13 +55,14 @@ from lensmap.llm.textscan import LOWER, U, Words, distinct_per_doc, mix, shingle
 from lensmap.operators.partitioning import broadcast_if_small
 from lensmap.session import materialize
 
-SMALL = 8
-COMMON = 1 << 20   # shingles put last in order 1: 8 MB at most
-ROUNDS = 6         # of trying other components before their pairs are listed
-TRIES = 8          # classes tried by a class in such a round
+SMALL = 8          # keys of so many classes or fewer give all their pairs at once
+BLOCK = 256        # classes of a key that meet at a time
+COMMON = 1 << 20   # shingles that count as common: 8 MB at most
+ROUNDS = 4         # of trying other components before all their pairs are listed
+TRIES = 16         # classes tried by a class in such a round
 OFTEN = 16         # and found in more texts than this
 SCAN_BYTES = 1 << 19  # of text hashed at once; its arrays take some forty times that
-SEEDS = (0x51ED270B0B5D1A77, 0xC2B2AE3D27D4EB4F)  # of orders 2 and 3; order 1 is that of the hashes
+PART_SEED, SKETCH_SEED = 0xA5A5A5A5, 0x51ED270B0B5D1A77
 
 
 def shingle_sets(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,21 +85,6 @@ def front_len(n, num: int, den: int):
     return np.minimum(n, p + (p + 2) // 3)
 
 
-def shared_least(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Fewest lengthened-prefix shingles a set of n shares with any set it links with.
-
-    Of two linked sets let A be the one whose prefix ends first: a shingle of
-    A's prefix that is in B is in B's prefix, and A has at most |A| - i shingles
-    that are not in B, where i = ceil(num (|A| + |B|) / (num + den)) is the
-    least intersection.  Sizes range from n num / den to n den / num, and the
-    bound is least at the ends of the range (one is taken off for rounding)."""
-    low, high = -(-n * num // den), n * den // num
-    i = lambda m: -(-num * (n + m) // (num + den))
-    mine = front_len(n, num, den) - n + i(low)
-    other = front_len(high, num, den) - high + i(high)
-    return np.maximum(np.minimum(mine, other) - 1, 1)
-
-
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indices of all [first[i], first[i] + size[i])."""
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -142,44 +125,116 @@ def _scan(k: int, num: int, den: int):
     return run
 
 
+def size_classes(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each size and the first size of every class; linked sizes are in the same or neighbouring classes."""
+    firsts, most = [1], (int(n.max()) if len(n) else 1) * den // num * 2 + 4
+    while len(firsts) < 3 or firsts[-3] <= most:
+        firsts.append(max(firsts[-1] * den // num, firsts[-1] * 5 // 4) + 1)
+    f = np.array(firsts)
+    return np.searchsorted(f, n, side="right") - 1, f
+
+
+def _differ(a, b, num: int, den: int):
+    """Most shingles by which linked sets of these sizes differ."""
+    return (a + b) * (den - num) // (den + num)
+
+
+def _roles(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """doc, class, parts and ``most``, one for each size and each class it has keys for.
+
+    ``most``: the shingles by which a set of this size differs at most from one
+    it links with by the keys of that class (those of its own class and the next;
+    a set of the next class has them for sets of this class)."""
+    own, f = size_classes(n, num, den)
+    top, above = f[own + 1] - 1, f[np.minimum(own + 2, len(f) - 1)] - 1
+    down = np.flatnonzero((own > 0) & (n * num <= (f[own] - 1) * den))
+    up = np.flatnonzero(n > 0)
+    doc = np.concatenate([up, down])
+    g = np.concatenate([own[up], own[down] - 1])
+    mine = np.concatenate([_differ(n[up], np.minimum(n[up] * den // num, above[up]), num, den),
+                           _differ(n[down], f[own[down]] - 1, num, den)])
+    low = f[g + 1] - 1  # the largest of class g, and what it may link with in the next
+    parts = _differ(low, np.minimum(low * den // num, f[g + 2] - 1), num, den) + 1
+    return doc, g, parts + 2 + parts // 8, mine  # some parts more than needed, so that the poorest are not used
+
+
+def _keys(h: np.ndarray, offs: np.ndarray, common: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """doc and key of every key of the sets."""
+    n = np.diff(offs)
+    doc, g, parts, most = _roles(n, num, den)
+    size = n[doc]
+    at = _ranges(offs[:-1][doc], size)
+    base = np.concatenate([[0], np.cumsum(parts)])
+    place = np.repeat(base[:-1], size) + (mix(h[at] ^ U(PART_SEED)) % np.repeat(parts, size).astype(U)).astype(np.int64)
+    value = mix(h[at] + U(7))
+    count = np.bincount(place, minlength=base[-1])
+    rare = np.bincount(place[~common[at]], minlength=base[-1])
+    half = lambda x: np.bincount(place, weights=x.astype(np.float64), minlength=base[-1]).astype(U)  # noqa: E731  exact: under 2**53
+    total = half(value & U(0xFFFFFFFF)) + (half(value >> U(32)) << U(32))
+    owner = np.repeat(np.arange(len(doc)), parts)
+    part = (np.arange(base[-1]) - np.repeat(base[:-1], parts)).astype(U)
+    sig = mix(total ^ mix(part + (g.astype(U) << U(32))[owner]))
+    least = lambda x: U(255) - np.minimum(x, 255).astype(U)
+    order = np.argsort((owner.astype(U) << U(32)) | (least(rare) << U(24)) | (least(count) << U(16)) | (sig >> U(48)), kind="stable")
+    first = (np.arange(base[-1]) - np.repeat(base[:-1], parts) <= most[owner]) & (count[order] > 0)
+    docs, keys = [doc[owner[first]]], [sig[order[first]]]
+    poor = np.flatnonzero(np.bincount(owner[count > 0], minlength=len(doc)) <= most)
+    if len(poor):  # these may have only empty parts in common with a set they link with
+        at = _ranges(offs[:-1][doc[poor]], size[poor])
+        v, c, who = h[at], common[at], np.repeat(np.arange(len(poor)), size[poor])
+        v = v[np.lexsort((v, c, who))]
+        p = prefix_len(size[poor], num, den)
+        keys.append(mix(v[_ranges(np.cumsum(size[poor]) - size[poor], p)] ^ mix(np.repeat(g[poor].astype(U) + U(1 << 63), p))))
+        docs.append(np.repeat(doc[poor], p))
+    return np.concatenate(docs), np.concatenate(keys)
+
+
 def _prefixes(k: int, num: int, den: int, last: np.ndarray):
-    """cid, the keys of its lengthened prefix under order 1 (``last``: the ascending hashes put
-    last), and how many of them it must share with others to have a link."""
+    """cid and keys of every set, once a task (``last``: the ascending hashes of common shingles, put last)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a task gives the keys of a class once
+        seen: set[int] = set()
         for b in slices(batches, max_bytes=SCAN_BYTES):
             h, offs = shingle_sets(b.column("text"), k)
-            n = np.diff(offs)
             ids = _class_ids(h, offs).view(np.int64)
             new = np.array([c not in seen and not seen.add(c) for c in ids.tolist()], dtype=bool)
+            n = np.diff(offs)
+            h, ids, n = h[np.repeat(new, n)], ids[new], n[new]
             common = np.zeros(len(h), dtype=bool)
             if len(last):
                 common = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
-            h = h[np.lexsort((h, common, np.repeat(np.arange(len(n)), n)))]
-            p = np.where((n > 0) & new, front_len(n, num, den), 0)
-            keys = h[_ranges(offs[:-1], p)].view(np.int64)
-            need = np.repeat(shared_least(n, num, den), p).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, p)), pa.array(keys), pa.array(need),
-                                              pa.array(np.repeat(p, p).astype(np.int32))], names=["cid", "key", "need", "front"])
+            doc, keys = _keys(h, np.concatenate([[0], np.cumsum(n)]), common, num, den)
+            # a set's keys together, as they come
+            o = np.argsort(doc, kind="stable")
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[o]]), pa.array(keys[o].view(np.int64))], names=["cid", "key"])
     return run
 
 
+def _sketches(h: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """Parities of each set's shingles hashed to 64 * 2**x bits, 512 and a bit a shingle at least.
+
+    The halves of a sketch, taken together, are the sketch of half the bits."""
+    n = np.diff(offs)
+    words = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64))
+    out: list[bytes] = [b""] * len(n)
+    for w in np.unique(words).tolist():
+        mine, bits = np.flatnonzero(words == w), 64 * w
+        at = np.repeat(np.arange(len(mine)) * bits, n[mine]) + (
+            mix(h[_ranges(offs[:-1][mine], n[mine])] ^ U(SKETCH_SEED)) % U(bits)).astype(np.int64)
+        odd = (np.bincount(at, minlength=len(mine) * bits) & 1).astype(np.uint8)
+        for i, row in zip(mine.tolist(), np.packbits(odd.reshape(-1, bits), axis=1)):
+            out[i] = row.tobytes()
+    return out
+
+
 def _sets(k: int, num: int, den: int):
+    """cid, n, sketch and the whole set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, max_bytes=SCAN_BYTES):
             h, offs = shingle_sets(b.column("text"), k)
-            n = np.diff(offs)
-            p = prefix_len(n, num, den)
-            owner = np.repeat(np.arange(len(n)), n)
-            orders = []
-            for seed in SEEDS:
-                v = mix(h ^ U(seed))
-                v = v[np.lexsort((v, owner))]
-                orders.append([v[o:o + m].tobytes() for o, m in zip(offs[:-1].tolist(), p.tolist())])
             whole = [h[o:e].tobytes() for o, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_class_ids(h, offs).view(np.int64)), pa.array(n), pa.array(orders[0], pa.binary()),
-                 pa.array(orders[1], pa.binary()), pa.array(whole, pa.binary())], names=["cid", "n", "p2", "p3", "whole"])
+                [pa.array(_class_ids(h, offs).view(np.int64)), pa.array(np.diff(offs)), pa.array(_sketches(h, offs), pa.binary()),
+                 pa.array(whole, pa.binary())], names=["cid", "n", "sketch", "whole"])
     return run
 
 
@@ -191,28 +246,6 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(i, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def _may_link(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """Whether two prefixes of one order share a shingle and differ little enough below the nearer end."""
-    end = min(a[-1], b[-1])
-    x, y = a[:np.searchsorted(a, end, side="right")], b[:np.searchsorted(b, end, side="right")]
-    both = _common(x, y)
-    return both > 0 and len(x) + len(y) - 2 * both <= most
-
-
-def _filter(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            most = (na + nb) * (den - num) // (den + num)
-            keep = np.zeros(b.num_rows, dtype=bool)
-            cols = [b.column(c) for c in ("p2a", "p2b", "p3a", "p3b")]
-            for i in range(b.num_rows):
-                a2, b2, a3, b3 = (np.frombuffer(c[i].as_buffer(), U) for c in cols)
-                keep[i] = _may_link(a2, b2, most[i]) and _may_link(a3, b3, most[i])
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep))
-    return run
-
-
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,38 +259,72 @@ def _verify(num: int, den: int):
     return run
 
 
-def _size_class(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each size and the first size of every class; linked sizes are in the same or neighbouring classes."""
-    firsts = [1]
-    while firsts[-1] <= (int(n.max()) if len(n) else 1) * den // num + 2:
-        firsts.append(max(firsts[-1] + 1, firsts[-1] * den // num + 1))
-    f = np.array(firsts)
-    return np.searchsorted(f, n, side="right") - 1, f
+def _fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[:len(sketch) // 2] ^ sketch[len(sketch) // 2:]
+    return sketch
+
+
+def _near_pairs(side, cid, comp, n, sketch, num: int, den: int, tries: int, turn: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a block (row numbers) that may link and are of different components, and whether
+    any was left out.  ``side``: pairs of one side are met in another block, if there are two sides.
+    ``tries`` (0: all): so many of a row, the nearest at turn 0, others later."""
+    m = len(n)
+    words = min(len(x) for x in sketch)
+    s = np.stack([_fold(x, words) for x in sketch])
+    ok, far = np.zeros((m, m), dtype=bool), np.zeros((m, m), dtype=np.int64)
+    step = max(1, (1 << 21) // (m * words))
+    for i in range(0, m, step):
+        far[i:i + step] = np.bitwise_count(s[i:i + step, None, :] ^ s[None, :, :]).sum(axis=2, dtype=np.int64)
+    a, b = n[:, None], n[None, :]
+    ok = (far <= _differ(a, b, num, den)) & (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (comp[:, None] != comp[None, :])
+    if side.any() and not side.all():
+        ok &= side[:, None] != side[None, :]
+    x, y = np.nonzero(np.triu(ok, 1))
+    if not tries or m <= SMALL or len(x) <= tries:
+        return x, y, False
+    if turn:
+        c = cid.view(U)
+        far = (mix(c[:, None] ^ c[None, :] ^ U(turn)) >> U(1)).astype(np.int64)
+    far[~ok] = np.iinfo(np.int64).max
+    best = np.argpartition(far, min(tries, m) - 1, axis=1)[:, :tries]
+    chosen = np.zeros((m, m), dtype=bool)
+    np.put_along_axis(chosen, best, True, axis=1)
+    chosen &= ok
+    kept = chosen[x, y] | chosen[y, x]
+    return x[kept], y[kept], not kept.all()
+
+
+def _meet(num: int, den: int, tries: int, turn: int):
+    """Candidate pairs (a, b, left: others were left out) of rows that stand block by block (key, i, j)."""
+    def pairs(t: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+        side, cid, comp, n = (t.column(c).to_numpy(zero_copy_only=False) for c in ("side", "cid", "comp", "n"))
+        sketch = t.column("sketch")
+        out_a, out_b, out_left = [], [], []
+        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+            if hi - lo > 1 and (comp[lo:hi] != comp[lo]).any():
+                rows = [np.frombuffer(sketch[i].as_buffer(), U) for i in range(lo, hi)]
+                x, y, left = _near_pairs(side[lo:hi], cid[lo:hi], comp[lo:hi], n[lo:hi], rows, num, den, tries, turn)
+                out_a.append(cid[lo:hi][x])
+                out_b.append(cid[lo:hi][y])
+                out_left.append(np.full(len(x), left))
+        a, b, left = (np.concatenate([*x, np.zeros(0, kind)]) for x, kind in ((out_a, np.int64), (out_b, np.int64), (out_left, bool)))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(left.astype(bool))],
+                                          names=["a", "b", "left"])
 
-
-def _signatures(num: int, den: int):
-    """key, cid: the content of each part of a set, for its own size class and the one below."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last block, which the next batch may go on with
         for b in batches:
-            n = b.column("n").to_numpy()
-            own, first = _size_class(n, num, den)
-            keys, cids = [], []
-            for i, (c, w) in enumerate(zip(b.column("cid").to_pylist(), b.column("whole"))):
-                h = np.frombuffer(w.as_buffer(), U)
-                for g in {int(own[i]), max(int(own[i]) - 1, 0)}:
-                    # a pair of classes g and g + 1: sizes below first[g + 2]
-                    low = int(first[g + 1]) - 1
-                    parts = (low + min(low * den // num, int(first[g + 2]) - 1 if g + 2 < len(first) else 1 << 60)) * (den - num) // (den + num) + 1
-                    part = (mix(h ^ U(0xA5A5A5A5)) % U(parts)).astype(np.int64)
-                    order = np.argsort(part, kind="stable")
-                    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(h[order] + U(7)), dtype=U)])
-                    cut = np.searchsorted(part[order], np.arange(parts + 1))
-                    sig = total[cut[1:]] - total[cut[:-1]]
-                    keys.append(mix(sig ^ mix(np.arange(parts, dtype=U) + U(g << 32))).view(np.int64))
-                    cids.append(np.full(parts, c))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(cids), pa.int64())],
-                                                 names=["key", "cid"])
+            t = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            if t.num_rows == 0:
+                continue
+            key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+            new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            if len(new):
+                yield pairs(t, np.concatenate([[0], new]))
+            held = t.slice(int(new[-1]) if len(new) else 0)
+        if held is not None:
+            yield pairs(held, np.array([0, held.num_rows]))
     return run
 
 
@@ -282,6 +349,16 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def stars(links: DataFrame) -> DataFrame:
+    """(node, comp) for every node of the links: comp is the least node at most two links away.
+
+    One round, for labels that need not be whole: nodes of one label are connected."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+    return materialize(both.join(least, "b").groupBy("a").agg(F.min("m").alias("m")).select(
+        F.col("a").alias("node"), F.col("m").alias("comp")), "links")
+
+
 class JaccardJoin:
     """One join: ``rows`` (doc_id, t, n, cid) and, after ``run``, ``links`` (a, b) and ``comps`` (cid, comp).
 
@@ -310,15 +387,9 @@ class JaccardJoin:
 
     def _found(self, pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs (a, b)."""
-        s = self.sets
-        side = lambda x: s.select(F.col("cid").alias(x), F.col("n").alias("n" + x), F.col("p2").alias("p2" + x), F.col("p3").alias("p3" + x))
-        near = (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-                .join(side("a"), "a").join(side("b"), "b")
-                .filter(F.least("na", "nb") * self.den >= F.greatest("na", "nb") * self.num)
-                .mapInArrow(_filter(self.num, self.den), "a long, b long"))
-        near = materialize(near, "jaccard-near")
-        whole = lambda x: s.select(F.col("cid").alias(x), F.col("whole").alias("w" + x))
-        return materialize(near.join(whole("a"), "a").join(whole("b"), "b").mapInArrow(
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+        whole = lambda x: self.sets.select(F.col("cid").alias(x), F.col("whole").alias("w" + x))
+        return materialize(pairs.join(whole("a"), "a").join(whole("b"), "b").mapInArrow(
             _verify(self.num, self.den), "a long, b long"), "jaccard-links")
 
     @staticmethod
@@ -337,68 +408,48 @@ class JaccardJoin:
 
     def run(self) -> "JaccardJoin":
         of = Window.partitionBy("key")
-        last = self._common_shingles()
-        rows = (self.src.mapInArrow(_prefixes(self.k, self.num, self.den, last), "cid long, key long, need int, front int")
+        rows = (self.src.mapInArrow(_prefixes(self.k, self.num, self.den, self._common_shingles()), "cid long, key long")
                 .withColumn("a", F.min("cid").over(of)).withColumn("z", F.max("cid").over(of))
                 .filter("a <> z").drop("a", "z"))
         rows = materialize(rows.distinct(), "jaccard-keys")
         # share of a class's keys that others have: most of all for the text that copies were made of
-        self.central = materialize(rows.groupBy("cid").agg(F.count("*").alias("c"), F.first("need").alias("m"), F.first("front").alias("f"))
-                                   .filter("c >= m").select("cid", (F.col("c") / F.col("f")).alias("share")), "jaccard-central")
-        rows = rows.select("key", "cid").join(self.central, "cid")
+        one = self.rows.filter("n > 0").groupBy("cid").agg(F.min("t").alias("t"), F.max("n").alias("n"))
+        central = materialize(rows.groupBy("cid").agg(F.count("*").alias("c")).join(one, "cid")
+                              .select("cid", "t", (F.col("c") / F.col("n")).alias("share")), "jaccard-central")
+        # whole sets and sketches, for classes with a candidate only
+        mine = broadcast_if_small(central.select("t"), 16)  # so that the other texts are not shuffled
+        self.sets = materialize(self.src.join(mine, "t").dropDuplicates(["t"]).mapInArrow(
+            _sets(self.k, self.num, self.den), "cid long, n long, sketch binary, whole binary"), "jaccard-sets")
         hub = F.max(F.struct("share", "cid")).over(of)["cid"]
-        rows = materialize(rows.withColumn("hub", hub).select("key", "cid", "hub"), "jaccard-keys")
-        # whole sets and the prefixes of the other orders, for classes with a candidate only
-        one = self.rows.filter("n > 0").groupBy("cid").agg(F.min("t").alias("t"))
-        mine = materialize(one.join(rows.select("cid").distinct(), "cid").select("t"), "jaccard-texts")
-        texts = self.src.join(broadcast_if_small(mine, 16), "t")  # so that the other texts are not shuffled
-        self.sets = materialize(texts.dropDuplicates(["t"]).mapInArrow(
-            _sets(self.k, self.num, self.den), "cid long, n long, p2 binary, p3 binary, whole binary"), "jaccard-sets")
-        links = self._found(self._hubs(rows))
-        comps = components(links)
-        # keys that still hold several components
-        at = materialize(self._label(rows, comps).select("key", "cid", "comp"), "jaccard-keys")
-        mixed = (at.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count("*").alias("size"))
-                 .filter("a <> z").select("key", "size"))
-        left = at.join(mixed, "key")
-        few = left.filter(F.col("size") <= SMALL).select("key", "cid", "comp")
-        pairs = few.alias("x").join(few.alias("y"), "key").filter("x.cid < y.cid and x.comp <> y.comp")  # SMALL classes a key
-        more = self._found(pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
-        links = links.unionByName(more)
-        crowd = materialize(left.filter(F.col("size") > SMALL).select("cid").distinct(), "jaccard-crowd")
-        if not crowd.isEmpty():
-            links = links.unionByName(self._crowd(crowd, components(links), links))
+        links = self._found(self._hubs(rows.join(central.select("cid", "share"), "cid").withColumn("hub", hub)))
+        comps = stars(links)  # most groups are stars, and the others are only tried again
+        for turn in range(ROUNDS + 1):
+            pairs = self._candidates(rows, comps, TRIES if turn < ROUNDS else 0, turn)
+            n, left = pairs.agg(F.count("*"), F.max("left")).first()
+            if n:
+                links = links.unionByName(self._found(pairs))
+            if not left:  # these were all
+                break
+            comps = components(links)
         self.links = links
         self.comps = components(links).withColumnRenamed("node", "cid")
         return self
 
-    def _crowd(self, crowd: DataFrame, comps: DataFrame, links: DataFrame) -> DataFrame:
-        """Links among the classes of large keys, by partition signatures."""
-        sig = (self.sets.join(crowd, "cid", "left_semi").select("cid", "n", "whole")
-               .mapInArrow(_signatures(self.num, self.den), "key long, cid long"))
-        sig = materialize(sig.join(self.central, "cid"), "jaccard-parts")
-        shared = (sig.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.max(F.struct("share", "cid")).alias("m"))
-                  .filter("a <> z").select("key", F.col("m.cid").alias("hub")))
-        rows = materialize(sig.drop("share").join(shared, "key"), "jaccard-parts")
-        found = None
-        for r in range(ROUNDS):  # a class tries a few classes of other components, others each round
-            at = self._label(rows.select("key", "cid"), comps)
-            any_ = F.max(F.struct(F.xxhash64("cid", "key", F.lit(r)).alias("x"), "cid", "comp")).alias("m")
-            hubs = at.groupBy("key").agg(any_).select("key", F.col("m.cid").alias("hub"), F.col("m.comp").alias("hub_comp"))
-            n = (at.join(hubs, "key").filter("comp <> hub_comp").groupBy("cid", "hub").agg(F.count("*").alias("c")))
-            rank = F.row_number().over(Window.partitionBy("cid").orderBy(F.col("c").desc(), "hub"))
-            new = self._found(n.withColumn("rank", rank).filter(F.col("rank") <= TRIES).select(F.col("cid").alias("a"), F.col("hub").alias("b")))
-            if new.isEmpty():
-                break
-            found = new if found is None else found.unionByName(new)
-            comps = components(links.unionByName(found))
+    def _candidates(self, rows: DataFrame, comps: DataFrame, tries: int, turn: int) -> DataFrame:
+        """Written pairs (a, b) of different components that share a key and may link by their sketches.
+
+        A key's classes are dealt to blocks, and each two blocks meet once."""
         at = self._label(rows, comps)
-        hub = self._label(rows.select(F.col("hub").alias("cid")).distinct(), comps).select(F.col("cid").alias("hub"), F.col("comp").alias("hub_comp"))
-        at = materialize(at.join(hub, "hub").select("key", "cid", "comp", "hub_comp"), "jaccard-parts")
-        odd = at.filter("comp <> hub_comp")
-        pairs = odd.alias("x").join(at.alias("y"), "key").filter("x.comp <> y.comp")
-        rest = self._found(pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
-        return rest if found is None else found.unionByName(rest)
+        mixed = (at.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count("*").alias("size"))
+                 .filter("a <> z").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+        at = (at.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+              .join(self.sets.select("cid", "n", "sketch"), "cid")
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+                      (F.col("mine") > F.col("other")).alias("side"), "cid", "comp", "n", "sketch"))
+        at = at.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        pairs = at.mapInArrow(_meet(self.num, self.den, tries, turn), "a long, b long, left boolean")
+        return materialize(pairs.groupBy("a", "b").agg(F.max("left").alias("left")), "jaccard-near")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -37,6 +37,9 @@ never found; empty tables give no hits.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +60,7 @@ UNITS = ("mm", "cm", "km", "ft", "yd", "mg", "kg", "oz", "lb", "lbs", "ml", "sec
          "percent", "degree", "degrees")
 
 
-NAME = r"([\p{Ll}\p{N},;] )(\p{Lu}\p{L}*)"
+NAME = r"([\p{Ll}\p{N},;] )(?=\p{Lu})"  # only what stands before a name, so one pass marks a name that follows a name, too
 DROP = r"[^\p{L}\p{N}\x01\x20\x09-\x0D]+"
 SPLIT = r"[\x20\x09-\x0D]+"
 SHORTEST = 5      # items with fewer words are searched for as whole lines
@@ -65,23 +68,32 @@ SHORTEST = 5      # items with fewer words are searched for as whole lines
 
 def marked_words(text: Column) -> Column:
     """Words without punctuation; names carry a leading \x01.  Null and empty texts: none."""
-    t = F.coalesce(text, F.lit(""))
-    for _ in range(2):  # the second time for a name that follows a name
-        t = F.regexp_replace(t, NAME, "$1\x01$2")
-    return F.filter(F.split(F.regexp_replace(t, DROP, ""), SPLIT), lambda x: x != "")
+    return F.array_remove(F.split(_clean(text), SPLIT), "")
+
+
+def _clean(text: Column) -> Column:
+    """The text without punctuation, names marked."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), NAME, "$1\x01"), DROP, "")
 
 
 def template(words: Column) -> Column:
     """Template token of each marked word."""
-    def one(x):
-        return (F.when(x.startswith("\x01"), F.lit("<name>")).when(x.rlike(r"^\p{N}"), F.lit("<num>"))
-                .when(F.lower(x).isin(*UNITS), F.lit("<unit>")).otherwise(F.lower(x)))
-    return F.transform(words, one)
+    return F.transform(words, lambda x: _token(x, F.lower(x)))
+
+
+def _token(x: Column, low: Column) -> Column:
+    """Template token of a marked word; ``low`` is it in lower case.  What begins with a to z is no number."""
+    return (F.when(x.startswith("\x01"), F.lit("<name>")).when(~low.between("a", "{") & x.rlike(r"^\p{N}"), F.lit("<num>"))
+            .when(low.isin(*UNITS), F.lit("<unit>")).otherwise(low))
 
 
 def plain(words: Column) -> Column:
     """Lower-cased words without marks, as they stand in windows compared word by word."""
-    return F.transform(words, lambda x: F.concat(F.lit("="), F.lower(F.replace(x, F.lit("\x01"), F.lit("")))))
+    return F.transform(words, lambda x: _plain(F.lower(x)))
+
+
+def _plain(low: Column) -> Column:
+    return F.concat(F.lit("="), F.replace(low, F.lit("\x01"), F.lit("")))
 
 
 def _window(t: Column, p: Column, i: Column, width) -> Column:
@@ -90,12 +102,65 @@ def _window(t: Column, p: Column, i: Column, width) -> Column:
     return F.when(F.size(F.filter(w, lambda x: x.startswith("<"))) * 2 > width, F.slice(p, i, width)).otherwise(w)
 
 
-def windows(t: Column, p: Column, width: int) -> Column:
-    """Hashes of all windows of ``width`` tokens of a non-empty token array."""
-    n = F.size(t)
-    return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - (width - 1)),
-                                          lambda i: F.xxhash64(_window(t, p, i, F.lit(width)), F.lit(width)))
-                  ).otherwise(F.array().cast("array<long>"))
+def _rolled(df: DataFrame, hashes: str, lengths: list[int], name: str, combine) -> DataFrame:
+    """``df`` with an array ``name{k}`` for every length k: the tokens' values of each window of k
+    combined, at its start.  Windows double, so a token is combined some log2(k) times."""
+    one = lambda x: F.col(f"{name}{x}")
+    ahead = lambda x, k: F.slice(one(x), k + 1, F.size(one(x)))
+    df, k = df.withColumn(f"{name}1", F.col(hashes)), 1
+    while 2 * k <= max(lengths):
+        df, k = df.withColumn(f"{name}{2 * k}", F.zip_with(one(k), ahead(k, k), combine)), 2 * k
+    for n in lengths:
+        k = 1 << (n.bit_length() - 1)
+        whole = one(k)
+        at = k
+        while at < n:
+            k = 1 << ((n - at).bit_length() - 1)
+            whole, at = F.zip_with(whole, ahead(k, at), combine), at + k
+        if f"{name}{n}" not in df.columns:
+            df = df.withColumn(f"{name}{n}", whole)
+    return df
+
+
+def window_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """``df`` (with ``c``, a clean text) and an array ``hash{k}`` for each length k: the hashes of all windows of k tokens.
+
+    A word is hashed once as a template token and counted as a slot or not;
+    windows combine the hashes of their words.  Plain words are hashed only in
+    texts with a window that is slots for more than a half."""
+    df = df.withColumn("w", F.array_remove(F.split(F.lower("c"), SPLIT), ""))
+    slots = F.array(*(F.xxhash64(F.lit(x)) for x in ("<name>", "<num>", "<unit>")))
+    df = df.withColumn("ht", F.transform("w", lambda x: F.xxhash64(_token(x, x)))).withColumn("n", F.size("w"))
+    df = df.withColumn("s", F.transform("ht", lambda x: F.when(F.array_contains(slots, x), F.lit(1)).otherwise(F.lit(0))))
+    df = _rolled(df, "ht", lengths, "t", lambda x, y: F.xxhash64(x, y))
+    df = _rolled(df, "s", lengths, "s", lambda x, y: x + y)
+    many = lambda k: F.exists(f"s{k}", lambda x: F.coalesce(x, F.lit(0)) * 2 > k)
+    df = df.withColumn("hp", F.when(reduce(or_, [many(k) for k in lengths]), F.transform("w", lambda x: F.xxhash64(_plain(x)))))
+    df = _rolled(df, "hp", lengths, "p", lambda x, y: F.xxhash64(x, y))
+    for k in lengths:
+        heavy = F.zip_with(f"s{k}", f"p{k}", lambda x, y: F.when(x * 2 > k, y))
+        every = F.when(F.col("hp").isNull(), F.col(f"t{k}")).otherwise(F.zip_with(f"t{k}", heavy, lambda x, y: F.coalesce(y, x)))
+        df = df.withColumn(f"hash{k}", F.slice(every, 1, F.greatest(F.col("n") - (k - 1), F.lit(0))))
+    return df
+
+
+def token_hash(tokens: Column, length: Column, lengths: list[int]) -> Column:
+    """The hash that a window of these tokens has in ``window_hashes``; ``length`` is one of ``lengths``."""
+    def fold(lo: int, n: int) -> Column:
+        if n == 1:
+            return F.xxhash64(F.get(tokens, F.lit(lo)))
+        k = 1 << (n.bit_length() - 1)
+        if k == n:
+            return F.xxhash64(fold(lo, n // 2), fold(lo + n // 2, n // 2))
+        whole, at = fold(lo, k), k
+        while at < n:
+            k = 1 << ((n - at).bit_length() - 1)
+            whole, at = F.xxhash64(whole, fold(lo + at, k)), at + k
+        return whole
+    out = F.lit(None).cast("long")
+    for n in lengths:
+        out = F.when(length == n, fold(0, n)).otherwise(out)
+    return out
 
 
 def _items(bench: DataFrame, width: int, min_cover: float, min_windows: int) -> DataFrame:
@@ -110,7 +175,7 @@ def _items(bench: DataFrame, width: int, min_cover: float, min_windows: int) ->
     need = F.least(F.lit(min_windows), F.greatest(F.lit(1), F.ceil(F.col("n") * min_cover))).cast("int")
     return (b.withColumn("tw", _window(F.col("t"), F.col("p"), F.col("ipos"), F.col("len")))
             .select("item_id", "len", "n", need.alias("need"), "ipos", "tw", F.slice("w", F.col("ipos"), F.col("len")).alias("iw"),
-                    F.xxhash64("tw", F.col("len")).alias("hash")).distinct())
+                    token_hash(F.col("tw"), F.col("len"), list(range(1, width + 1))).alias("hash")).distinct())
 
 
 def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -119,15 +184,16 @@ def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
     keys = items.select("hash").distinct()
     if n <= BROADCAST_WINDOWS:
         keys = F.broadcast(keys)
-    t = (docs.select(text_hash(F.col("text")).alias("h"), marked_words(F.col("text")).alias("w"))
-         .select("h", template(F.col("w")).alias("t"), plain(F.col("w")).alias("p")))
-    # one element per window: (length, position) follow from the index in the concatenated arrays
-    every = F.arrays_zip(
-        F.concat(*[windows(F.col("t"), F.col("p"), k) for k in lengths or [WIDTH]]).alias("hash"),
-        F.concat(*[F.when(F.size("t") >= k, F.sequence(F.lit(1), F.size("t") - (k - 1)))
-                   .otherwise(F.array().cast("array<int>")) for k in lengths or [WIDTH]]).alias("pos"))
-    found = (t.select("h", F.explode(every).alias("x")).select("h", F.col("x.hash").alias("hash"), F.col("x.pos").alias("pos"))
-             .join(keys, "hash", "left_semi").distinct())
+    lengths = lengths or [WIDTH]
+    t = window_hashes(docs.select(text_hash(F.col("text")).alias("h"), _clean(F.col("text")).alias("c")), lengths)
+    # one element per window: its position follows from the index in the concatenated arrays
+    # (outer: else Spark filters by the arrays' size first, and computes them twice)
+    t = t.select("h", "n", F.posexplode_outer(F.concat(*[F.col(f"hash{k}") for k in lengths])).alias("i", "hash"))
+    pos, before = F.col("i") + 1, F.lit(0)
+    for k in lengths[:-1]:
+        before = before + F.greatest(F.col("n") - (k - 1), F.lit(0))
+        pos = F.when(F.col("i") >= before, F.col("i") + 1 - before).otherwise(pos)
+    found = t.select("h", "hash", pos.alias("pos")).join(keys, "hash", "left_semi").distinct()
     return materialize(found, "template-found")
 
 

@@ -165,3 +165,60 @@ def test_jaccard_scans_hold_a_slice_of_a_batch():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 25 << 20
+
+
+def test_texts_of_stock_phrases_share_no_keys():
+    """Keys are met by near copies, not by every two texts that share shingles; linked sets always share one."""
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    phrases = [" ".join(f"p{i}w{j}" for j in range(4)) for i in range(400)]
+    texts = [" ".join(phrases[i] for i in rng.integers(0, 400, 60)) for _ in range(300)]
+    b = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    keys = pa.Table.from_batches(jaccard_join._prefixes(3, 90, 100, np.zeros(0, np.uint64))([b]))
+    holders = {}
+    for c, x in zip(keys.column("cid").to_pylist(), keys.column("key").to_pylist()):
+        holders.setdefault(x, set()).add(c)
+    assert sum(len(x) * (len(x) - 1) // 2 for x in holders.values()) < 30
+
+
+@pytest.mark.parametrize("num", [90, 80, 60])
+def test_linked_sets_share_a_key(num):
+    rng = np.random.default_rng(num)
+    sets = []
+    for n in [1, 2, 3, 4, 5, 6, 7, 9, 12, 17, 25, 40, 90, 300] * 6:
+        s = list(rng.integers(0, 1 << 62, n))
+        sets.append(s)
+        for _ in range(4):  # copies with as many shingles gone or new as a link allows, or nearly
+            gone = int(rng.integers(0, n * (100 - num) // 100 + 2))
+            new = int(rng.integers(0, max(1, n * (100 - num) // num + 2 - gone)))
+            sets.append(list(rng.permutation(s)[:max(1, n - gone)]) + list(rng.integers(0, 1 << 62, new)))
+    sets = [np.unique(np.array(s, dtype=np.uint64)) for s in sets]
+    h, offs = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets])
+    doc, key = jaccard_join._keys(h, offs, h % np.uint64(5) == 0, num, 100)
+    mine = [set(key[doc == i].tolist()) for i in range(len(sets))]
+    sketches = [np.frombuffer(x, np.uint64) for x in jaccard_join._sketches(h, offs)]
+    linked = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                assert mine[i] & mine[j]
+                w = min(len(sketches[i]), len(sketches[j]))
+                far = np.bitwise_count(jaccard_join._fold(sketches[i], w) ^ jaccard_join._fold(sketches[j], w)).sum()
+                assert far <= len(sets[i]) + len(sets[j]) - 2 * both
+                linked += 1
+    assert linked > 100
+
+
+def test_components_block_by_block(odd, odd_rows, monkeypatch):
+    """Keys of several blocks and rounds in which a class tries one other give the same components."""
+    for name, value in {"SMALL": 1, "BLOCK": 2, "TRIES": 1, "ROUNDS": 1}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    monkeypatch.setattr(jaccard_join.JaccardJoin, "_hubs", staticmethod(lambda rows: rows.limit(0).selectExpr("cid a", "hub b")))
+    groups = jaccard_groups([r[1] for r in odd_rows], 3, 60)
+    least = {}
+    for r, g in zip(odd_rows, groups):
+        if r[0] is not None:
+            least[g] = min(least.get(g, r[0]), r[0])
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(odd, 3, 60, 100).collect() if r.n_shingles}
+    assert got == {(r[0], least.get(g)) for r, g in zip(odd_rows, groups) if (r[1] or "").encode().split()}
