@@ -384,3 +384,21 @@ def test_pipeline(spark, odd, tmp_path):
 def test_pipeline_run(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 0
+
+
+def test_window_hashes_are_those_of_the_windows(spark):
+    """Hashes put together from those of words are the hashes of each window's tokens."""
+    from pyspark.sql import functions as F
+    docs, _ = template_tables(spark)
+    docs += [(900, "They met John Mary Ann Smith, Bob; 4 Ada in New York and Old Rome 3 km on"), (901, "a b c d e f"), (902, "ΑΣ ΟΔΟΣ said Émile to Ñandú Ⅷ times İn ①x 3")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = templates.window_hashes(d.select("doc_id", templates._clean(F.col("text")).alias("c")), [5, 6, 7, 8])
+    w = d.select("doc_id", templates.marked_words(F.col("text")).alias("w"))
+    w = w.withColumn("t", templates.template(F.col("w"))).withColumn("p", templates.plain(F.col("w")))
+    want = w
+    for k in (5, 6, 7, 8):
+        each = F.transform(F.sequence(F.lit(1), F.size("t") - (k - 1)), lambda i: templates.token_hash(
+            templates._window(F.col("t"), F.col("p"), i, F.lit(k)), F.lit(k), [k]))  # noqa: B023
+        want = want.withColumn(f"hash{k}", F.when(F.size("t") >= k, each).otherwise(F.array().cast("array<long>")))
+    names = ["doc_id", "hash5", "hash6", "hash7", "hash8"]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect()))
