@@ -21,13 +21,16 @@ Candidates without all pairs.  What counts is the component.  First every class
 is compared with one hub (the most central class of a key, the one whose keys
 others share most - of the hubs the one it shares most keys with); links found
 join into components.  Then only keys that still hold more than one component
-are looked at.  Their classes meet in blocks of at most BLOCK of a key (two
-blocks at a time, so memory is bounded however large the key) with sketches:
-the parities of the shingles hashed to some n bits, whose distance is at most
-that of the sets.  Pairs of different components whose sketches are near enough
-are verified on the whole sets - for ROUNDS rounds only TRIES of a class in a
-block, as links found spare the others, then all.  No level drops a pair that
-may link.
+are looked at.  Long texts share hundreds of keys with the same few others, so
+the classes of all keys with one hub are a group (where that takes no more rows
+than the keys one by one; else each key is one): a class and its sketch stand
+there once, not once a key.  The classes of a group meet in blocks of at most
+BLOCK (two blocks at a time, so memory is bounded however large the group) with
+sketches: the parities of the shingles hashed to four bits a shingle and more,
+whose distance is at most that of the sets.  Pairs of different components whose
+sketches are near enough are verified on the whole sets - for ROUNDS rounds only
+TRIES of a class in a block, as links found spare the others, then all.  No
+level drops a pair that may link.
 
 Every key's share of the rows is small (a class has one row a key, and a task
 gives a class's keys once however often the class is repeated); components are found by alternating large-star and small-star
@@ -56,7 +59,8 @@ from lensmap.operators.partitioning import broadcast_if_small
 from lensmap.session import materialize
 
 SMALL = 8          # keys of so many classes or fewer give all their pairs at once
-BLOCK = 256        # classes of a key that meet at a time
+BLOCK = 256        # classes of a group that meet at a time
+BLOCK_SHINGLES = 1 << 22  # and the shingles they have together on average: a byte of sketch each at most
 COMMON = 1 << 20   # shingles that count as common: 8 MB at most
 ROUNDS = 4         # of trying other components before all their pairs are listed
 TRIES = 16         # classes tried by a class in such a round
@@ -210,11 +214,12 @@ def _prefixes(k: int, num: int, den: int, last: np.ndarray):
 
 
 def _sketches(h: np.ndarray, offs: np.ndarray) -> list[bytes]:
-    """Parities of each set's shingles hashed to 64 * 2**x bits, 512 and a bit a shingle at least.
+    """Parities of each set's shingles hashed to 64 * 2**x bits, 512 and four bits a shingle at least.
 
+    With fewer bits so many shingles cancel out that sets well under the threshold look near.
     The halves of a sketch, taken together, are the sketch of half the bits."""
     n = np.diff(offs)
-    words = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64))
+    words = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(n, 64) / 16)).astype(np.int64))
     out: list[bytes] = [b""] * len(n)
     for w in np.unique(words).tolist():
         mine, bits = np.flatnonzero(words == w), 64 * w
@@ -270,12 +275,16 @@ def _near_pairs(side, cid, comp, n, sketch, num: int, den: int, tries: int, turn
     any was left out.  ``side``: pairs of one side are met in another block, if there are two sides.
     ``tries`` (0: all): so many of a row, the nearest at turn 0, others later."""
     m = len(n)
-    words = min(len(x) for x in sketch)
-    s = np.stack([_fold(x, words) for x in sketch])
-    ok, far = np.zeros((m, m), dtype=bool), np.zeros((m, m), dtype=np.int64)
-    step = max(1, (1 << 21) // (m * words))
-    for i in range(0, m, step):
-        far[i:i + step] = np.bitwise_count(s[i:i + step, None, :] ^ s[None, :, :]).sum(axis=2, dtype=np.int64)
+    far, size = np.zeros((m, m), dtype=np.int64), np.array([len(x) for x in sketch])
+    for words in np.unique(size).tolist():  # of the shorter sketch of a pair
+        at, mine = np.flatnonzero(size >= words), np.flatnonzero(size == words)
+        s = np.stack([_fold(sketch[i], words) for i in at])
+        short = s[size[at] == words]
+        step = max(1, (1 << 20) // (len(at) * words))
+        for i in range(0, len(mine), step):
+            d = np.bitwise_count(short[i:i + step, None, :] ^ s[None, :, :]).sum(axis=2, dtype=np.int64)
+            far[np.ix_(mine[i:i + step], at)] = d
+            far[np.ix_(at, mine[i:i + step])] = d.T
     a, b = n[:, None], n[None, :]
     ok = (far <= _differ(a, b, num, den)) & (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (comp[:, None] != comp[None, :])
     if side.any() and not side.all():
@@ -296,7 +305,7 @@ def _near_pairs(side, cid, comp, n, sketch, num: int, den: int, tries: int, turn
 
 
 def _meet(num: int, den: int, tries: int, turn: int):
-    """Candidate pairs (a, b, left: others were left out) of rows that stand block by block (key, i, j)."""
+    """Candidate pairs (a, b, left: others were left out) of rows that stand block by block (group, i, j)."""
     def pairs(t: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
         side, cid, comp, n = (t.column(c).to_numpy(zero_copy_only=False) for c in ("side", "cid", "comp", "n"))
         sketch = t.column("sketch")
@@ -318,8 +327,8 @@ def _meet(num: int, den: int, tries: int, turn: int):
             t = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
             if t.num_rows == 0:
                 continue
-            key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
-            new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            group, i, j = (t.column(c).to_numpy() for c in ("group", "i", "j"))
+            new = np.flatnonzero((group[1:] != group[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             if len(new):
                 yield pairs(t, np.concatenate([[0], new]))
             held = t.slice(int(new[-1]) if len(new) else 0)
@@ -423,8 +432,9 @@ class JaccardJoin:
         hub = F.max(F.struct("share", "cid")).over(of)["cid"]
         links = self._found(self._hubs(rows.join(central.select("cid", "share"), "cid").withColumn("hub", hub)))
         comps = stars(links)  # most groups are stars, and the others are only tried again
+        groups = self._groups(rows, central, comps)
         for turn in range(ROUNDS + 1):
-            pairs = self._candidates(rows, comps, TRIES if turn < ROUNDS else 0, turn)
+            pairs = self._candidates(groups, comps, TRIES if turn < ROUNDS else 0, turn)
             n, left = pairs.agg(F.count("*"), F.max("left")).first()
             if n:
                 links = links.unionByName(self._found(pairs))
@@ -435,19 +445,39 @@ class JaccardJoin:
         self.comps = components(links).withColumnRenamed("node", "cid")
         return self
 
-    def _candidates(self, rows: DataFrame, comps: DataFrame, tries: int, turn: int) -> DataFrame:
-        """Written pairs (a, b) of different components that share a key and may link by their sketches.
-
-        A key's classes are dealt to blocks, and each two blocks meet once."""
-        at = self._label(rows, comps)
-        mixed = (at.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count("*").alias("size"))
-                 .filter("a <> z").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-        at = (at.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
-              .join(self.sets.select("cid", "n", "sketch"), "cid")
+    def _groups(self, rows: DataFrame, central: DataFrame, comps: DataFrame) -> DataFrame:
+        """Written (group, cid, n): classes that share a key which holds several components share a group.
+
+        A group is all keys of one hub, or one key where the blocks of the hub's keys have fewer rows."""
+        at = self._label(rows.join(central.select("cid", "share"), "cid"), comps)
+        mixed = materialize(
+            at.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count("*").alias("size"),
+                                  F.max(F.struct("share", "cid"))["cid"].alias("hub"))
+            .filter("a <> z").select("key", "hub", "size"), "jaccard-mixed")
+        cost = lambda n: n * F.ceil(n / BLOCK)
+        joint = rows.join(mixed, "key").select("hub", "cid").distinct().groupBy("hub").agg(F.count("*").alias("n"))
+        apart = mixed.groupBy("hub").agg(F.sum(cost(F.col("size"))).alias("cost"))
+        joint = materialize(joint.join(apart, "hub").filter(cost(F.col("n")) <= F.col("cost"))
+                            .select("hub", F.lit(True).alias("joint")), "jaccard-hubs")
+        group = F.when(F.col("joint"), F.xxhash64(F.lit("hub"), F.col("hub"))).otherwise(F.col("key"))
+        group = mixed.join(broadcast_if_small(joint, 16), "hub", "left").select("key", group.alias("group"))
+        return materialize(rows.join(group, "key").select("group", "cid").distinct()
+                           .join(self.sets.select("cid", "n"), "cid"), "jaccard-groups")
+
+    def _candidates(self, groups: DataFrame, comps: DataFrame, tries: int, turn: int) -> DataFrame:
+        """Written pairs (a, b) of different components that share a group and may link by their sketches.
+
+        A group's classes are dealt to blocks, and each two blocks meet once."""
+        at = self._label(groups, comps)
+        blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+        mixed = (at.groupBy("group").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), blocks.alias("blocks"))
+                 .filter("a <> z").select("group", "blocks"))
+        at = (at.join(mixed, "group").withColumn("mine", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+              .join(self.sets.select("cid", "sketch"), "cid")
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+              .select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
                       (F.col("mine") > F.col("other")).alias("side"), "cid", "comp", "n", "sketch"))
-        at = at.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        at = at.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
         pairs = at.mapInArrow(_meet(self.num, self.den, tries, turn), "a long, b long, left boolean")
         return materialize(pairs.groupBy("a", "b").agg(F.max("left").alias("left")), "jaccard-near")
 

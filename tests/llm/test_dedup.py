@@ -222,3 +222,79 @@ def test_components_block_by_block(odd, odd_rows, monkeypatch):
             least[g] = min(least.get(g, r[0]), r[0])
     got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(odd, 3, 60, 100).collect() if r.n_shingles}
     assert got == {(r[0], least.get(g)) for r, g in zip(odd_rows, groups) if (r[1] or "").encode().split()}
+
+
+def test_near_copies_under_the_threshold_are_told_by_their_sketches():
+    """Sets somewhat under the threshold are no candidates, also where a much smaller set is in their block."""
+    rng = np.random.default_rng(8)
+    core = rng.integers(0, 1 << 62, 863)  # similarity of any two: 863 / 1137
+    sets = [np.unique(np.concatenate([core, rng.integers(0, 1 << 62, 137)]).astype(np.uint64)) for _ in range(60)]
+    sets.append(np.unique(np.concatenate([sets[0][:-40], rng.integers(0, 1 << 62, 40).astype(np.uint64)])))  # links with the first
+    sets.append(np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64)))
+    n = np.array([len(x) for x in sets])
+    rows = [np.frombuffer(x, np.uint64) for x in jaccard_join._sketches(np.concatenate(sets), np.cumsum([0, *n]))]
+    at = np.arange(len(sets))
+    x, y, left = jaccard_join._near_pairs(at < 0, at, at, n, rows, 80, 100, 0, 0)
+    assert (0, 60) in set(zip(x.tolist(), y.tolist())) and not left
+    assert len(x) < 60
+
+
+def test_long_texts_meet_once_a_group(spark, tmp_path, monkeypatch):
+    """Texts that share hundreds of keys and do not link are listed a few times each, not once a key."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(1500)]
+
+    def edited(words, count):
+        out = list(words)
+        for i in rng.permutation(len(out))[:count]:
+            out[i] = f"n{rng.integers(1 << 40)}"
+        return out
+
+    texts = [edited(base, 60) for _ in range(12)]
+    texts = [" ".join(t) for t in texts + [edited(texts[0], 8), edited(texts[5], 8)]]
+    real = jaccard_join._meet
+
+    def counted(*args):
+        run = real(*args)
+
+        def tee(batches):
+            for b in batches:
+                with open(tmp_path / "rows", "a") as f:
+                    f.write(f"{b.num_rows}\n")
+                yield b
+        return lambda batches: run(tee(batches))
+
+    monkeypatch.setattr(jaccard_join, "_meet", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, 3, 80, 100).collect()}
+    groups = jaccard_groups(texts, 3, 80)
+    assert got == {i: groups.index(g) for i, g in enumerate(groups)} and len(set(got.values())) == 12
+    met = sum(map(int, (tmp_path / "rows").read_text().split()))
+    assert 0 < met <= 10 * len(texts)
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_components_of_groups_in_blocks(spark, apart, monkeypatch):
+    """Hubs' groups dealt to many blocks, and keys left as groups of their own, find the same components."""
+    for name, value in {"SMALL": 1, "BLOCK": 3, "BLOCK_SHINGLES": 200, "TRIES": 1, "ROUNDS": 2}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = np.random.default_rng(10)
+    texts = []
+    for f in range(3):
+        cur = [f"f{f}w{i}" for i in range(120)]
+        for i in range(14):  # some links, some pairs little under the threshold
+            nxt = list(cur)
+            for j in rng.permutation(120)[:int(rng.integers(1, 9))]:
+                nxt[j] = f"n{rng.integers(1 << 40)}"
+            texts.append(" ".join(nxt))
+            if i % 3 == 0:
+                cur = nxt
+    if apart:
+        real = jaccard_join.broadcast_if_small
+        monkeypatch.setattr(jaccard_join, "broadcast_if_small",
+                            lambda df, *a: real(df.limit(0) if "joint" in df.columns else df, *a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, 3, 70, 100).collect()}
+    groups = jaccard_groups(texts, 3, 70)
+    assert got == {i: groups.index(g) for i, g in enumerate(groups)}
+    assert 3 <= len(set(got.values())) < len(texts)
