@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensmap.llm.textscan import LOWER, U, Words, distinct_per_doc, mix, shingle_hash, slices, span_hash, to_bytes
+from lensmap.llm.textscan import LOWER, U, Words, distinct_per_doc, fresh_worker, mix, shingle_hash, slices, span_hash, to_bytes
 from lensmap.operators.partitioning import broadcast_if_small
 from lensmap.session import materialize
 
@@ -104,6 +104,7 @@ def _scan(k: int, num: int, den: int):
     """A row per text (kind 0); at the end of a task the shingles it met more than once near
     the front of the hash order, with their counts (kind 1, in ``keys`` and ``counts``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         seen: set[int] = set()  # a class counts once in a task
         front: list[np.ndarray] = []
         for b in slices(batches, max_bytes=SCAN_BYTES):
@@ -196,6 +197,7 @@ def _keys(h: np.ndarray, offs: np.ndarray, common: np.ndarray, num: int, den: in
 def _prefixes(k: int, num: int, den: int, last: np.ndarray):
     """cid and keys of every set, once a task (``last``: the ascending hashes of common shingles, put last)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         seen: set[int] = set()
         for b in slices(batches, max_bytes=SCAN_BYTES):
             h, offs = shingle_sets(b.column("text"), k)
@@ -234,6 +236,7 @@ def _sketches(h: np.ndarray, offs: np.ndarray) -> list[bytes]:
 def _sets(k: int, num: int, den: int):
     """cid, n, sketch and the whole set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for b in slices(batches, max_bytes=SCAN_BYTES):
             h, offs = shingle_sets(b.column("text"), k)
             whole = [h[o:e].tobytes() for o, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
@@ -253,6 +256,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for b in batches:
             keep = np.zeros(b.num_rows, dtype=bool)
             wa, wb = b.column("wa"), b.column("wb")
@@ -322,6 +326,7 @@ def _meet(num: int, den: int, tries: int, turn: int):
                                           names=["a", "b", "left"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         held = None  # the last block, which the next batch may go on with
         for b in batches:
             t = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]

@@ -188,3 +188,15 @@ def test_reading_time_grows_with_the_file():
         return best
     filler = 16_000_000 // len(member)
     assert seconds(filler) < 6 * seconds(filler // 4)
+
+
+def test_scans_drop_what_token_files_keep():
+    """A worker that has encoded texts does not keep its tokenizer while it hashes shingles or pairs."""
+    import pyarrow as pa
+    from lensmap.llm import jaccard_join, textscan, token_ids
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c d"])], names=["text"])
+    for scan in (jaccard_join._prefixes(5, 80, 100, np.zeros(0, np.uint64)), jaccard_join._sets(5, 80, 100)):
+        before = token_ids._encoder(None)
+        assert any(x is before for x in textscan.process_cache().values())
+        list(scan(iter([batch])))
+        assert not any(x is before for x in textscan.process_cache().values())
