@@ -420,16 +420,17 @@ def s8_cache_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES_PER_TASK = 500
 
 
-def _write_files(values: DataFrame, out: str) -> None:
-    """One text file per row.  Tasks move their own files into place; by default
-    the driver moves all of them, one after the other."""
-    (values.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+def _write_files(values: DataFrame, out: str, folders: bool = False) -> None:
+    """One text file per row, or (``folders``) a folder of them for every task.  Tasks move
+    their own files into place; by default the driver moves all of them, one after the other."""
+    w = (values.withColumn("folder", F.spark_partition_id()).write.partitionBy("folder") if folders else values.write)
+    (w.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
      .mode("append").text(out))
 
 
-def _docs_as_json_dir(spark: SparkSession, sf_dir: str) -> str:
+def _docs_as_json_dir(spark: SparkSession, sf_dir: str, folders: bool = False) -> str:
     """Write documents as JSON-array files (50 records each), in doc_id order by
-    file name and inside the files, and return the folder."""
+    file name and inside the files, and return the folder (of a folder for every task)."""
     out = scratch(spark, "json")
     d = load(spark, sf_dir, "documents")
     packed = (d.groupBy(F.floor(F.col("doc_id") / 50).alias("f"))
@@ -438,7 +439,7 @@ def _docs_as_json_dir(spark: SparkSession, sf_dir: str) -> str:
     n = d.agg(F.count_distinct(F.floor(F.col("doc_id") / 50))).first()[0] + 1
     # Ranges come from a sample: twice the tasks, so that none exceeds FILES_PER_TASK by much.
     packed = packed.repartitionByRange(max(8, -(-2 * n // FILES_PER_TASK)), "f").sortWithinPartitions("f")
-    _write_files(packed.select("value"), out)
+    _write_files(packed.select("value"), out, folders)
     return out
 
 
@@ -463,13 +464,13 @@ def t6_default_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'invalid JSON' AS error, count(*) AS n_files FROM pages WHERE NOT json_valid(html)""")
 def s2_bad_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw page HTML written as one file per page next to the valid JSON
-    files: the HTML files are reported (and skipped), grouped by error."""
-    out = _docs_as_json_dir(spark, sf_dir)
+    files: the HTML files are reported (and skipped), grouped by error.  Files
+    are in folders of bounded size, some of which are listed at a time."""
+    out = _docs_as_json_dir(spark, sf_dir, folders=True)
     pages = load(spark, sf_dir, "pages").select("html")
     tasks = max(spark.sparkContext.defaultParallelism, -(-pages.count() // FILES_PER_TASK))
-    _write_files(pages.repartition(tasks), out)
-    files = json_dir.read_json_files(spark, out, glob="*.txt")
-    return json_dir.bad_files(files).groupBy("error").agg(F.count(F.lit(1)).alias("n_files"))
+    _write_files(pages.repartition(tasks), out, folders=True)
+    return json_dir.bad_files_in_folders(spark, out, glob="*.txt").groupBy("error").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 # ---------------------------------------------------------------------------

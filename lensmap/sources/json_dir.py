@@ -8,11 +8,14 @@ different (``variant_get(...) IS NULL`` versus ``is_variant_null``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.partitioning import number_rows, running_offsets
+from ..session import ensure_checkpoint_dir
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("file", T.StringType(), False),
@@ -22,6 +25,10 @@ RECORD_SCHEMA = T.StructType([
 ])
 
 
+# Folders of files that one scan lists: the driver keeps a record of every listed file.
+FOLDERS_AT_ONCE = 32
+
+
 class DirectoryNotFound(FileNotFoundError):
     pass
 
@@ -62,16 +69,19 @@ def _strict_json(batches):
         yield pd.DataFrame({"file": pdf["file"], "value": pdf["value"], "norm": out})
 
 
-def read_json_files(spark: SparkSession, directory: str, glob: str = "*.json",
+def read_json_files(spark: SparkSession, directory: str | list[str], glob: str = "*.json",
                     strict: bool = False) -> DataFrame:
     """One row per ``*.json`` file (non-recursive): (file, value, doc VARIANT).
 
     S3: a missing directory raises; a directory without JSON gives no rows.
     Spark skips names starting with ``_`` or ``.``, which a plain glob would not.
+    ``directory`` may be several of them.
     """
-    if not _exists(spark, directory):
-        raise DirectoryNotFound(f"directory does not exist: {directory}")
-    if not _has_json(spark, directory, glob.lstrip("*")):
+    directory = [directory] if isinstance(directory, str) else directory
+    for d in directory:
+        if not _exists(spark, d):
+            raise DirectoryNotFound(f"directory does not exist: {d}")
+    if not any(_has_json(spark, d, glob.lstrip("*")) for d in directory):
         return spark.createDataFrame([], "file string, value string, doc variant")
     raw = (spark.read.option("pathGlobFilter", glob)
            .text(directory, wholetext=True)
@@ -91,6 +101,24 @@ def bad_files(files: DataFrame) -> DataFrame:
             .select("file", F.lit("invalid JSON").alias("error")))
 
 
+def bad_files_in_folders(spark: SparkSession, home: str, glob: str = "*.json", strict: bool = False) -> DataFrame:
+    """S2 over the files in the folders of ``home``, for more files than the driver can list at
+    once: FOLDERS_AT_ONCE folders are read at a time, and what is reported of them is written
+    to a table."""
+    if not _exists(spark, home):
+        raise DirectoryNotFound(f"directory does not exist: {home}")
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    p = jvm.org.apache.hadoop.fs.Path(home)
+    folders = sorted(s.getPath().toString() for s in p.getFileSystem(jsc.hadoopConfiguration()).listStatus(p)
+                     if s.isDirectory() and not s.getPath().getName().startswith(("_", ".")))
+    path = f"{ensure_checkpoint_dir(spark)}/lensmap-bad-files-{uuid.uuid4().hex}"
+    for i in range(0, len(folders), FOLDERS_AT_ONCE):
+        bad = bad_files(read_json_files(spark, folders[i:i + FOLDERS_AT_ONCE], glob, strict))
+        bad.hint("rebalance").write.mode("append").parquet(path)
+    return spark.read.schema("file string, error string").parquet(path) if folders else \
+        spark.createDataFrame([], "file string, error string")
+
+
 def explode_records(files: DataFrame) -> DataFrame:
     """Records (file, pos, item) plus gpos = position in the concatenation
     of all files ordered by name (T6)."""

@@ -204,3 +204,40 @@ def test_json_files_of_a_task_stay_in_name_order(spark, tmp_path, monkeypatch):
     assert sorted((r.doc_id, r.id) for r in rows) == [(i, f"record_{i}") for i in range(3000)]
     names = sorted(p.name for p in out.glob("part-*.txt"))
     assert len(names) == 60 and len({n.split("-")[1] for n in names}) > 8
+
+
+def test_bad_files_listed_by_folders(spark, tmp_path, monkeypatch):
+    """The driver lists the files of some folders at a time, however many there are."""
+    from lensmap.plans import catalog
+    home, read, listed = tmp_path / "t", json_dir.read_json_files, []
+    home.mkdir()
+    spark.createDataFrame([(i, "x", "en", "s", 1) for i in range(230)], "doc_id long, text string, lang string, source string, n_chars int") \
+        .write.parquet(str(home / "documents.parquet"))
+    html = ["<p>no JSON</p>", None, "", "[1, 2]", "{}", "{"]
+    spark.createDataFrame([(i, "u", html[i % 6]) for i in range(90)], "page_id long, url string, html string") \
+        .write.parquet(str(home / "pages.parquet"))
+
+    def counted(*a, **kw):
+        out = read(*a, **kw)
+        listed.append(len(out.inputFiles()))
+        return out
+    monkeypatch.setattr(json_dir, "read_json_files", counted)
+    monkeypatch.setattr(catalog, "FILES_PER_TASK", 4)
+    want = catalog.QUERIES["S2_bad_file_report"](spark, str(home)).collect()
+    monkeypatch.setattr(json_dir, "FOLDERS_AT_ONCE", 2, raising=False)
+    listed.clear()
+    got = catalog.QUERIES["S2_bad_file_report"](spark, str(home)).collect()
+    assert got == want and [r.error for r in got] == ["invalid JSON"] and got[0].n_files >= 30
+    assert sum(listed) == 95 and max(listed) <= 24
+
+
+def test_bad_files_of_folders(spark, tmp_path):
+    for name, text in {"a/1.json": "{}", "a/2.json": "{", "b/1.json": "x", "b/_no.json": "x", "c/1.txt": "x", "_d/1.json": "x"}.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    got = json_dir.bad_files_in_folders(spark, str(tmp_path / "in")).collect()
+    assert sorted(r.file.split("/in/")[1] for r in got) == ["a/2.json", "b/1.json"]
+    (tmp_path / "none").mkdir()
+    assert json_dir.bad_files_in_folders(spark, str(tmp_path / "none")).collect() == []
+    with pytest.raises(json_dir.DirectoryNotFound):
+        json_dir.bad_files_in_folders(spark, str(tmp_path / "absent"))
