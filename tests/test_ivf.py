@@ -98,6 +98,35 @@ def test_search_beyond_the_budget_skips_blocks(spark):
     assert plan.report["scored"] < 0.25 * plan.report["pairs"]
 
 
+@pytest.mark.parametrize("metric", ["COSINE", "L2"])
+def test_second_pass_in_rounds(spark, monkeypatch, metric):
+    """With many queries the second pass writes every query once a round, not once a block; the hits are
+    those of the broadcast: ids that repeat, ties, queries without a direction, fewer candidates than k."""
+    rng = np.random.default_rng(14)
+    c = np.concatenate([clustered(rng, 500, 8, groups=6), np.repeat(clustered(rng, 4, 8), 60, axis=0)]).astype(np.float32)
+    cand = frame(spark, c).withColumn("id", F.when(F.col("id") < "c00050", F.lit("hot")).otherwise(F.col("id"))).withColumn("tag", F.length("id"))
+    q = frame(spark, np.concatenate([c[::9], rng.normal(size=(60, 8)), np.zeros((2, 8))]).astype(np.float32), "q", "query_id")
+    written, keep = [], cells.materialize
+
+    def counted(df, what="stage"):
+        out = keep(df, what)
+        if what in ("cells-rest", "cells-state"):
+            written.append((what, out.count()))
+        return out
+    monkeypatch.setattr(cells, "materialize", counted)
+    monkeypatch.setattr(cells, "REST_BYTES", 1, raising=False)
+    monkeypatch.setattr(cells, "ROUND_BYTES", 64 * 150, raising=False)
+
+    def rows(df):
+        return sorted((r.query_id, r["rank"], r.id, round(r.distance, 9), round(r.score, 9), r.tag) for r in df.collect())
+    for some, k in ((cand, 5), (cand.limit(3), 5)):
+        plan = knn.plan_knn(some, k=k, metric=metric, payload=["tag"], broadcast_bytes=50)
+        plan.report = {}
+        assert rows(plan.search_flat(q, "query_id", "vector")) == rows(knn.knn_join(q, some, k=k, metric=metric, payload=["tag"]))
+        assert 0 < plan.report["scored"] <= plan.report["pairs"]
+    assert len(written) > 5 and set(written) == {("cells-state", q.count())}
+
+
 def test_index_of_a_collection_is_kept_by_version(spark, tmp_path):
     rng = np.random.default_rng(5)
     st = CollectionStore(spark, str(tmp_path / "s"), num_buckets=2)

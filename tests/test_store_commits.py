@@ -203,3 +203,22 @@ def test_an_upsert_folds_long_chains(spark, tmp_path, monkeypatch):
         st.upsert("c", rows(spark, range(i, i + 3), f"s{i}"))
         assert all(len(vs) <= 3 for vs in st.manifest("c")["buckets"].values())
     assert content(st) == [("0", "s0"), ("1", "s1"), ("2", "s2"), ("3", "s3"), ("4", "s4"), ("5", "s4"), ("6", "s4")]
+
+
+def test_upsert_leaves_no_batch_and_groups_repeated_ids_only(spark, tmp_path, monkeypatch):
+    """Rows of ids that come once are not aggregated; the written batch is gone afterwards, rejected rows can still be read."""
+    from lensmap.operators import store as S
+    kept, materialize = [], S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, what="stage": kept.append((what, materialize(df, what))) or kept[-1][1])
+    st = CollectionStore(spark, str(tmp_path / "s"), num_buckets=2)
+    st.create("c", dim=1)
+    rows = [("a", 1.0, 3), ("b", 2.0, 1), ("a", 5.0, 4), ("a", 3.0, 2), ("c", 4.0, 7), ("x" * 101, 6.0, 8), (None, 7.0, 9), ("b", 8.0, None)]
+    batch = spark.createDataFrame(rows, "id string, v double, gpos long").select(
+        "id", F.array(F.col("v").cast("float")).alias("vector"), F.lit("t").alias("text_for_embedding"), F.lit(None).cast("variant").alias("metadata"), "gpos")
+    for write, want in ((st.upsert, {("a", 5.0), ("b", 2.0), ("c", 4.0)}), (st.append, {("a", 5.0), ("b", 2.0), ("c", 4.0)})):
+        _, bad = write("c", batch if write == st.upsert else batch.where("v > 5"))
+        assert {(r.id, r.vector[0]) for r in st.read("c").collect()} >= want
+        assert sorted(r.reason for r in bad.collect()) == ["id longer than 100 bytes", "missing id"]
+    left = {what for what, t in kept if (tmp_path.parent / t._lensmap_path.removeprefix("file:")).exists()}
+    assert left == {"rejected"}
+    assert st.read("c").where("id = 'b'").count() == 2 and sum(st.manifest("c")["live"].values()) == 4
