@@ -1,5 +1,7 @@
 """V11 and the cell search beyond the broadcast budget: exact whatever the cells, and cheap on clustered vectors."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +119,9 @@ def test_second_pass_in_rounds(spark, monkeypatch, metric):
     monkeypatch.setattr(cells, "REST_BYTES", 1, raising=False)
     monkeypatch.setattr(cells, "ROUND_BYTES", 64 * 150, raising=False)
 
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: sent.append(pickle.dumps(v)) or send(v))
+
     def rows(df):
         return sorted((r.query_id, r["rank"], r.id, round(r.distance, 9), round(r.score, 9), r.tag) for r in df.collect())
     for some, k in ((cand, 5), (cand.limit(3), 5)):
@@ -124,6 +129,7 @@ def test_second_pass_in_rounds(spark, monkeypatch, metric):
         plan.report = {}
         assert rows(plan.search_flat(q, "query_id", "vector")) == rows(knn.knn_join(q, some, k=k, metric=metric, payload=["tag"]))
         assert 0 < plan.report["scored"] <= plan.report["pairs"]
+    assert sent and not any(b"lensmap" in v for v in sent)      # workers need not find this package
     assert len(written) > 5 and set(written) == {("cells-state", q.count())}
 
 
